@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard
+from . import jaccard, suffix_dedup
 
 QUERIES = {
     "op8_jaccard_join": jaccard.op8,
+    "op10_suffix_dedup": suffix_dedup.op10,
 }
 
 ORACLES: dict[str, str] = {}
