@@ -38,6 +38,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
+        self.spark._jvm.System.gc()  # frees the shuffle files of plans that are done
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, chunks, partitions
+from .common import Scratch, chunks, partitions, utf8
 from .components import components
 
 BLOCK = 4096
@@ -53,6 +53,21 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
+def set_key(grams: np.ndarray) -> int:
+    """64 bits that stand for the whole set."""
+    total = W.mix(grams + _U(1)).sum(dtype=_U) + _U(len(grams))
+    return int(W.mix(np.array([total ^ np.bitwise_xor.reduce(W.mix(grams + _U(0x1234567)), initial=_U(0))])).view(np.int64)[0])
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if not len(x) or not len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
@@ -156,7 +171,8 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     ``100 * intersection >= percent * union``. Rows with a null id get their
     size and a null component and link with nothing; rows that share an id
     are one document for reachability. Equal sets form one class, so copies
-    are never expanded into pairs. ``percent`` must lie in 50..100.
+    are never expanded into pairs (a set is known by 64 bits of its shingles, each
+    shingle by 64 bits of its words). ``percent`` must lie in 50..100.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie in 50..100")
@@ -176,11 +192,10 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
-            n, one, two, prefix, bits = [], [], [], [], []
+            n, key, prefix, bits = [], [], [], []
             for grams in row_shingles(data, offsets, size):
                 n.append(len(grams))
-                one.append(W.mix(grams + _U(1)).sum(dtype=_U))
-                two.append(np.bitwise_xor.reduce(W.mix(grams + _U(0x1234567)), initial=_U(len(grams))))
+                key.append(set_key(grams))
                 if len(grams):
                     k = prefix_length(len(grams), percent)
                     is_late = np.isin(grams, late, assume_unique=True) if len(late) else np.zeros(len(grams), bool)
@@ -190,16 +205,16 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                     prefix.append(np.zeros(0, np.int64))
                     bits.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(one, _U).view(np.int64)), pa.array(np.array(two, _U).view(np.int64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["doc_id", "n", "k1", "k2", "prefix", "bits"],
+                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                ["doc_id", "n", "key", "prefix", "bits"],
             )
 
-    described = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary"))
-    classes = scratch.table(described.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = described.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    described = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, prefix array<long>, bits binary"))
+    linkable = described.where("n > 0 and doc_id is not null")
+    classes = scratch.table(linkable.groupBy("key").agg(F.min("doc_id").alias("rep")))
 
     # buckets of two classes or more
-    postings = reps.select(F.explode("prefix").alias("gram"), F.col("doc_id").alias("id"), "n")
+    postings = linkable.select(F.explode("prefix").alias("gram"), F.col("key").alias("id"), "n")
     posted = postings.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "id")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,28 +247,33 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     buckets = scratch.table(posted.mapInArrow(shared, "gram long, id long, n long, prior long"))
     near = buckets.where("prior is not null and prior <> id").select(F.least("prior", "id").alias("a"), F.greatest("prior", "id").alias("b")).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([g.tobytes() for g in row_shingles(data, offsets, size)], pa.binary())], ["doc_id", "grams"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            for start in range(0, len(batch), 256):
+                rows = batch.slice(start, 256)
+                for key, text in (("a", "x"), ("b", "y")):
+                    keys = rows.column(key).to_pylist()
+                    new = [i for i, k in enumerate(keys) if k not in known]
+                    data, offsets = utf8(rows.column(text).take(pa.array(new, pa.int64())))
+                    for i, grams in zip(new, row_shingles(data, offsets, size)):
+                        if set_key(grams) == keys[i]:
+                            known[keys[i]] = grams
+                none = np.zeros(0, _U)
+                keep = [linked(known.get(a, none), known.get(b, none), percent) for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist())]
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([rows.column("a").filter(mask), rows.column("b").filter(mask)], ["a", "b"])
+                if sum(map(len, known.values())) > 1 << 20:
+                    known = {}
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the threshold on their whole texts."""
         pairs = scratch.table(pairs)
-        needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        whole = scratch.table(texts.join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, grams binary"))
-        full = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-        links = scratch.table(full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct())
-        scratch.drop(whole)
-        return links
+        needed = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+        ids = scratch.table(classes.join(needed, "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
+        whole = texts.join(ids, "doc_id")
+        full = pairs.join(whole.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
+        return scratch.table(full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct())
 
     links = verified(near)
     parts = components(links, scratch)
@@ -262,7 +282,9 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     labelled = scratch.table(labelled)
     open_ = labelled.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most and m > 2").select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = labelled.join(scratch.table(open_), "gram")
-    members = rows.join(reps.select(F.col("doc_id").alias("id"), "bits").dropDuplicates(["id", "bits"]), "id")
+    rows = scratch.table(rows)
+    bits = linkable.select(F.col("key").alias("id"), "bits").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("bits").alias("bits"))
+    members = rows.join(bits, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     members = members.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "bits", "part", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
@@ -293,9 +315,13 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rest = wanted.mapInArrow(traverse, "a long, b long").where("a <> b").distinct().join(near, ["a", "b"], "left_anti")
     more = verified(rest)
     parts = components(links.unionAll(more), scratch)
-    scratch.drop(buckets, labelled)
-    final = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    return described.select("doc_id", "n", "k1", "k2").join(scratch.table(final), ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    scratch.drop(buckets, labelled, rows)
+    named = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("part"))
+    named = scratch.table(named)
+    least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
+    final = scratch.table(named.join(least, "part").select("key", "component_id"))
+    joined = described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(final, "key", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
