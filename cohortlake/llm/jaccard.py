@@ -180,10 +180,10 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, "text", 32 << 20):
+        for rows, data, offsets in chunks(batches, "text", 4 << 20):
             grams = row_shingles(data, offsets, size)
             values, counts = np.unique(np.concatenate([*grams, np.zeros(0, _U)]), return_counts=True)
-            keep = counts >= max(3, len(rows) // 500)
+            keep = counts >= max(3, len(rows) // 250)
             yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["gram", "n"])
 
     # frequent shingles come last in the global order; any list gives the same links, so a share of the texts is enough
@@ -266,9 +266,30 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                 if sum(map(len, known.values())) > 1 << 20:
                     known = {}
 
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose bitmaps leave room for the overlap that is asked for."""
+        for batch in batches:
+            keep = []
+            for nx, ny, x, y in zip(*(batch.column(c).to_pylist() for c in ("nx", "ny", "x", "y"))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                width = min(len(x), len(y))
+                x, y = fold(x, width), fold(y, width)
+                most = int(np.bitwise_count(x & y).sum()) + min(nx - int(np.bitwise_count(x).sum()), ny - int(np.bitwise_count(y).sum()))
+                keep.append(min(most, nx, ny) * (100 + percent) >= (nx + ny) * percent)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.table(pairs)
+        ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+        known = scratch.table(linkable.select("key", "n", "bits").join(ends, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+        left = known.select(F.col("key").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("x"))
+        right = known.select(F.col("key").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("y"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(bound, "a long, b long")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold on their whole texts."""
-        pairs = scratch.table(pairs)
+        pairs = scratch.table(possible(pairs))
         needed = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
         ids = scratch.table(classes.join(needed, "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
         whole = texts.join(ids, "doc_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, suffix_dedup
+from . import jaccard, packing, suffix_dedup, toxicity
 
 QUERIES = {
+    "op4_packing": packing.op4,
+    "op6_toxicity": toxicity.op6,
     "op8_jaccard_join": jaccard.op8,
     "op10_suffix_dedup": suffix_dedup.op10,
 }

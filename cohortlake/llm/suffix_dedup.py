@@ -30,7 +30,7 @@ _NEXT = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
 _SLOT = np.full(PERIOD, -1)
 _SLOT[COVER] = np.arange(len(COVER))
 _U = np.uint64
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 
 
 def text_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,3 +314,40 @@ def op10(spark, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes, over all documents."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op10"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", length: int = 400, size_col: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with repeated passages cut from the text.
+
+    Null texts stay null; characters that a cut would halve go whole.
+    ``size_col``, if given, is set to the new number of characters.
+    """
+    spans = repeated_spans(docs.select(F.col(f"`{text_col}`").alias("text")), scratch, length)
+    names = docs.columns
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of the caller can't clash with ours
+    text, size = names.index(text_col), names.index(size_col) if size_col else -1
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in chunks(batches, f"c{text}"):
+            k1, k2 = text_keys(data, offsets)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(k1), pa.array(k2)], [*rows.schema.names, "k1", "k2"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for value, span in zip(batch.column(f"c{text}"), batch.column("spans")):
+                if value.is_valid and span.is_valid:
+                    raw = value.as_buffer().to_pybytes()
+                    begin, end = cover(span.values.to_numpy())
+                    kept.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(raw)])))
+                else:
+                    kept.append(value.as_py())
+            columns = [batch.column(f"c{i}") for i in range(len(names))]
+            columns[text] = pa.array(kept, columns[text].type)
+            if size >= 0:
+                columns[size] = pa.array([None if k is None else len(k) for k in kept]).cast(columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
+
+    joined = plain.mapInArrow(keys, f"{kinds}, k1 long, k2 long").join(spans, ["k1", "k2"], "left")
+    return joined.select(*[f"c{i}" for i in range(len(names))], "spans").mapInArrow(apply, kinds).toDF(*names)
