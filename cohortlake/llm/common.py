@@ -83,3 +83,23 @@ def in_order(df: DataFrame, *names: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables in which no group of equal keys is split; rows come sorted by the keys."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1 if len(batch) > 1 else np.zeros(0, int)
+        if rest and any(rest[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        if len(cut):
+            yield pa.Table.from_batches([*rest, batch.slice(0, int(cut[-1]))])
+            rest = []
+            batch = batch.slice(int(cut[-1]))
+        rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, suffix_dedup, toxicity
+from . import ann, bpe, embedding_dedup, jaccard, packing, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_nn_descent": ann.op1,
+    "op2_embedding_dedup": embedding_dedup.op2,
+    "op3_byte_bpe": bpe.op3,
     "op4_packing": packing.op4,
     "op6_toxicity": toxicity.op6,
+    "op7_warc_revisits": warc.op7,
     "op8_jaccard_join": jaccard.op8,
+    "op9_url_filter": url_filter.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_revisits": warc.ORACLE,
+}
