@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, embedding_dedup, jaccard, packing, suffix_dedup, toxicity, url_filter, warc
+from . import ann, bpe, embedding_dedup, jaccard, packing, recurrent_lm, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_nn_descent": ann.op1,
     "op2_embedding_dedup": embedding_dedup.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_packing": packing.op4,
+    "op5_recurrent_lm": recurrent_lm.op5,
     "op6_toxicity": toxicity.op6,
     "op7_warc_revisits": warc.op7,
     "op8_jaccard_join": jaccard.op8,
