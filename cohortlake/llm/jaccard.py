@@ -46,8 +46,8 @@ def row_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
-    """A bit for each shingle; two to four bits of room per shingle, a power of two."""
-    width = max(64, 1 << math.ceil(math.log2(2 * max(1, len(grams)))))
+    """A bit for each shingle; one to two bits of room per shingle, a power of two."""
+    width = max(64, 1 << math.ceil(math.log2(max(1, len(grams)))))
     bits = np.zeros(width, bool)
     bits[(grams >> _U(20)) & _U(width - 1)] = True
     return np.packbits(bits)
@@ -183,11 +183,11 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         for rows, data, offsets in chunks(batches, "text", 4 << 20):
             grams = row_shingles(data, offsets, size)
             values, counts = np.unique(np.concatenate([*grams, np.zeros(0, _U)]), return_counts=True)
-            keep = counts >= max(3, len(rows) // 250)
+            keep = counts >= max(2, len(rows) // 1000)
             yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["gram", "n"])
 
     # frequent shingles come last in the global order; any list gives the same links, so a share of the texts is enough
-    frequent = texts.where("doc_id is not null and text is not null and pmod(xxhash64(doc_id), 8) = 0").mapInArrow(heavy, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(20_000)
+    frequent = texts.where("doc_id is not null and text is not null and pmod(xxhash64(doc_id), 8) = 0").mapInArrow(heavy, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(200_000)
     late = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(_U))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                 key.append(set_key(grams))
                 if len(grams):
                     k = prefix_length(len(grams), percent)
-                    is_late = np.isin(grams, late, assume_unique=True) if len(late) else np.zeros(len(grams), bool)
+                    is_late = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams if len(late) else np.zeros(len(grams), bool)
                     prefix.append(np.concatenate([grams[~is_late][:k], grams[is_late][: max(0, k - int((~is_late).sum()))]]).view(np.int64))
                     bits.append(bitmap(grams).tobytes())
                 else:
@@ -302,13 +302,15 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     labelled = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").select("gram", "id", "n", F.coalesce("component", "id").alias("part"))
     labelled = scratch.table(labelled)
     open_ = labelled.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most and m > 2").select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(scratch.table(open_), "gram")
-    rows = scratch.table(rows)
-    bits = linkable.select(F.col("key").alias("id"), "bits").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("bits").alias("bits"))
-    members = rows.join(bits, "id")
+    opened = labelled.join(scratch.table(open_), "gram")
+    # one row per class with all its open buckets, so that a pair can be left to the first bucket the two share
+    several = scratch.table(opened.groupBy("id", "n", "part").agg(F.array_sort(F.collect_list(F.struct("gram", "blocks"))).alias("open")))
+    bits = linkable.select(F.col("key").alias("id"), "bits").join(several.select("id"), "id", "left_semi").groupBy("id").agg(F.first("bits").alias("bits"))
+    members = several.join(bits, "id").select("id", "n", "part", "bits", "open", F.posexplode("open").alias("at", "one"))
+    members = members.select("id", "n", "part", "bits", F.col("one.gram").alias("gram"), F.col("one.blocks").alias("blocks"), F.slice(F.transform("open", lambda o: o["gram"]), F.lit(1), F.col("at")).alias("less"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     members = members.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "bits", "part", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
+    members = members.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "bits", "part", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "less")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -317,6 +319,11 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             ids, n, part, side = (table.column(c).to_numpy() for c in ("id", "n", "part", "side"))
             found = [*bucket_pairs(ids, n, table.column("bits").to_pylist(), part, side, percent)]
             a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            if len(a):
+                before = {i: set(x) for i, x in zip(ids.tolist(), table.column("less").to_pylist()) if x}
+                none: set[int] = set()
+                here = [before.get(x, none).isdisjoint(before.get(y, none)) for x, y in zip(a.tolist(), b.tolist())]
+                a, b = a[here], b[here]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
         rest: pa.Table | None = None
@@ -336,7 +343,7 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rest = wanted.mapInArrow(traverse, "a long, b long").where("a <> b").distinct().join(near, ["a", "b"], "left_anti")
     more = verified(rest)
     parts = components(links.unionAll(more), scratch)
-    scratch.drop(buckets, labelled, rows)
+    scratch.drop(buckets, labelled, several)
     named = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("part"))
     named = scratch.table(named)
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
