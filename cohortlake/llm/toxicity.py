@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
     ``labels``: doc_id, toxic (0/1; of several rows the largest counts; null
     is no label). At most about ``bound`` labelled rows, chosen by a hash of
     the id, are used to fit; the character model counts all texts. A word's
-    evidence counts distinct texts by a shingle sketch, so copies of one text
+    evidence counts texts with distinct shingle sketches, so copies of one text
     count once; a feature needs ``support`` toxic ones and a smoothed share
     of ``least``. With no labelled row every text gets the same low score.
     """
@@ -246,43 +246,70 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
     share = min(1.0, bound / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     chosen = F.broadcast(chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic")))  # bounded by ``bound``
-    taught = docs.select("doc_id", "text").join(chosen, "doc_id")
-
-    def evidence(wanted: np.ndarray | None, known: np.ndarray):
-        """Distinct (feature, sketch, toxic): of toxic texts, or of all texts for wanted
-        features. A word that is known to indicate counts for itself only, so that
-        its beginnings must earn their share from other words."""
+    texts = docs.select("doc_id", "text")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, offsets in chunks(batches, "text"):
+            starts, ends, first = W.split(raw, offsets, W.NOT_SPACE)
+            grams, at = W.shingles(W.span_hashes(W.prefix_sums(raw), starts, ends), first, 3)
+            least = [grams[at[i] : at[i + 1]].min() if at[i + 1] > at[i] else 0 for i in range(len(at) - 1)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.array(np.array(least, _U).view(np.int64))], ["doc_id", "toxic", "sketch"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketched = texts.join(chosen, "doc_id").mapInArrow(sketch, f"doc_id {kind}, toxic int, sketch long")
+    distinct = sketched.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
+    distinct = distinct.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).persist()
+    counts = distinct.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.count(F.lit(1))).first()
+    taught = texts.join(F.broadcast(distinct), "doc_id")  # bounded by ``bound``
+
+    def evidence(wanted: np.ndarray | None, known: np.ndarray) -> DataFrame:
+        """(feature, toxic texts, other texts), summed in each task first. Without
+        ``wanted``: all features of toxic texts and of an eighth of the others.
+        A word that is known to indicate counts for itself only, so that its
+        beginnings must earn their share from other words."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache: dict[bytes, bytes] = {}
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def folded() -> tuple[np.ndarray, ...]:
+                u, inv = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+                return u, *(np.bincount(inv, np.concatenate([h[i] for h in held]), len(u)).astype(np.int64) for i in (1, 2))
+
             for rows, raw, offsets in chunks(batches, "text"):
                 toxic = rows.column("toxic").to_numpy() > 0
-                starts, ends, first = W.split(raw, offsets, W.NOT_SPACE)
-                grams, at = W.shingles(W.span_hashes(W.prefix_sums(raw), starts, ends), first, 3)
-                sketch = np.array([grams[at[i] : at[i + 1]].min() if at[i + 1] > at[i] else 0 for i in range(len(at) - 1)], _U)
                 found, row = all_features(raw, offsets, speech, cache)
                 found[np.isin(found[:, 0], known), 1:] = 0
                 hashes, row = found.ravel(), np.repeat(row, FORMS)
-                keep = (hashes != 0) & (toxic[row] if wanted is None else np.isin(hashes, wanted))
-                pair = np.unique(np.stack([hashes[keep], sketch[row[keep]], toxic[row[keep]].astype(_U)], 1), axis=0) if keep.any() else np.zeros((0, 3), _U)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i]).view(np.int64)) for i in range(3)], ["f", "sketch", "toxic"])
-
-        return taught.mapInArrow(run, "f long, sketch long, toxic long").distinct()
+                if wanted is None:
+                    keep = (hashes != 0) & (toxic | (np.arange(len(toxic)) % 8 == 0))[row]
+                else:
+                    keep = (hashes != 0) & (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes)
+                pair = np.unique(np.stack([hashes[keep], row[keep].astype(_U)], 1), axis=0)
+                yes = toxic[pair[:, 1].astype(np.int64)]
+                held.append((pair[:, 0], yes.astype(np.int64), (~yes).astype(np.int64)))
+                if len(held) > 12:
+                    held[:] = [folded()]
+            if held:
+                f, yes, no = folded()
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(yes), pa.array(no)], ["f", "yes", "no"])
+
+        return taught.mapInArrow(run, "f long, yes long, no long").groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
 
-    counts = taught.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.count(F.lit(1))).first()
     yes_rows = counts[0] or 0
     prior, weight = (yes_rows + 0.1) / ((counts[1] or 0) + 1.0), min(4.0, max(2.0, yes_rows / 100))
     none = np.zeros(0, _U)
-    first = evidence(None, none).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).orderBy(F.desc("n"), "f").limit(200_000)
+    first = evidence(None, none).where((F.col("yes") >= support) & (F.col("no") * 5 <= F.col("yes") + 2)).orderBy(F.desc("yes"), "f").limit(100_000)
     wanted = np.sort(np.array([r[0] for r in first.select("f").collect()], np.int64).view(_U))
     indicating: dict[int, float] = {}
     for known in (none, None) if len(wanted) else ():
         known = np.array(sorted(indicating), _U) if known is None else known
-        for f, yes, n in evidence(wanted, known).groupBy("f").agg(F.sum("toxic").alias("yes"), F.count(F.lit(1)).alias("n")).collect():
-            f, share = int(f) % (1 << 64), (yes + weight * prior) / (n + weight)
+        for f, yes, no in evidence(wanted, known).collect():
+            f, share = int(f) % (1 << 64), (yes + weight * prior) / (yes + no + weight)
             indicating.pop(f, None)
             if share >= least:
                 indicating[f] = min(0.999, share)
+    distinct.unpersist()
     hashes = np.array(sorted(indicating), _U)
     return Model(speech, hashes, np.array([indicating[int(h)] for h in hashes], float), min(0.3, prior / 4))
 
