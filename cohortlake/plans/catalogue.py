@@ -584,3 +584,18 @@ def pca_scores(t: Tables) -> DataFrame:
 def evidence_matrix(t: Tables) -> DataFrame:
     rules = t.spark.createDataFrame([("both", "busy but unseen", "strong", ["x"]), ("either", "buys or idles", "weak", ["x", "y"])], "rule_id string, finding string, strength string, supports array<string>")
     return RU.evidence(rule_evaluation_3vl(t), rules)
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_daily_rollup(t: Tables) -> DataFrame:
+    """The events table read as a stream, to its end."""
+    import uuid
+
+    from ..streaming.rollup import run_to_end, windowed_counts
+
+    schema = t.events.schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.dir}/events.parquet" if t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet").getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet")).isDirectory() else f"{t.dir}/events.parque[t]")
+    counted = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")
+    name = f"rollup_{uuid.uuid4().hex}"
+    out = run_to_end(counted, name, "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
