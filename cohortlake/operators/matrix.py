@@ -17,7 +17,7 @@ def feature_profile(long: DataFrame, n_rows: int, feature: str = "feature", valu
     """Per feature: missing share (absent cells count as missing), spread, distinct values, median."""
     v = F.col(value)
     return long.groupBy(feature).agg(
-        (1 - F.count(v) / F.lit(float(max(1, n_rows)))).alias("missing_fraction"),
+        ((F.lit(n_rows) - F.count(v)) / F.lit(float(max(1, n_rows)))).alias("missing_fraction"),
         F.count(v).alias("n_observed"),
         F.stddev_samp(v).alias("sd_sample"),
         F.stddev_pop(v).alias("sd_population"),
