@@ -27,7 +27,7 @@ def prevalence(events: DataFrame, expected: DataFrame, group: str, entity: str,
     expected groups without records give no rows of their own features."""
     totals = events.select(group, entity).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("n_entities"))
     hits = events.where(hit).select(group, entity, feature).distinct().groupBy(group, feature).agg(F.count(F.lit(1)).alias("n_hits"))
-    grid = expected.select(group).distinct().join(events.select(feature).distinct().hint("broadcast"), how="cross")
+    grid = expected.select(group).distinct().join(events.select(feature).distinct(), how="cross")
     out = grid.join(hits, [group, feature], "left").join(totals, group, "left").fillna(0, ["n_hits", "n_entities"])
     return out.withColumn("prevalence", F.coalesce(F.col("n_hits") / F.when(F.col("n_entities") > 0, F.col("n_entities")), F.lit(0.0)))
 

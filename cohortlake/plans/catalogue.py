@@ -115,10 +115,10 @@ def left_join_feature_chain(t: Tables) -> DataFrame:
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS found_in, na, nb
-FROM (SELECT c_custkey AS k, c_name AS na FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT o_custkey AS k, count(*) AS nb FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) b ON a.k = b.k""")
+FROM (SELECT c_custkey AS k, c_name AS na FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT o_custkey AS k, count(*) AS nb FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b ON a.k = b.k""")
 def full_outer_indicator(t: Tables) -> DataFrame:
-    a = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("na"))
-    b = t.orders.where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("nb"))
+    a = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("na"))
+    b = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("nb"))
     return J.outer_with_indicator(a, b, ["k"])
 
 
@@ -339,9 +339,9 @@ def knn_topk_euclidean(t: Tables) -> DataFrame:
     return _loo(t).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(_knn("cosine", "q.id % 10 = 0") + " SELECT query_id, rank, neighbour_id, distance FROM nn")
+@query(_knn("cosine") + " SELECT query_id, rank, neighbour_id, distance FROM nn")
 def knn_topk_cosine(t: Tables) -> DataFrame:
-    return M.nearest_sql(t.vectors.select("id", "vec"), t.vectors.where("id % 10 = 0"), 10, "cosine").withColumn("rank", F.col("rank").cast("bigint"))
+    return M.nearest(t.vectors, t.vectors, 10, "cosine").withColumn("distance", F.round("distance", 9)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _VOTE = _knn("euclidean") + """, per AS (SELECT query_id, label, sum(1 / (1 + distance)) AS weight, count(*) AS n, min(distance) AS nearest FROM nn JOIN v ON neighbour_id = v.id GROUP BY 1, 2),
@@ -395,12 +395,12 @@ def calibrated_tiers(t: Tables) -> DataFrame:
     return p.select("query_id", "calibration", "correct", V.combined_tier([V.tier(F.col(m), c) for m, c in cuts.items()]).alias("confidence"))
 
 
-@query("WITH " + _VEC + ", s AS (SELECT * FROM (VALUES ('first', 0, 32), ('second', 32, 64), ('all', 0, 64)) x(feature_set, lo, hi)), q AS (SELECT feature_set, id, vec[lo + 1 : hi] AS vec, label FROM v, s), nn AS (SELECT a.feature_set, a.id AS query_id, b.label, row_number() OVER (PARTITION BY a.feature_set, a.id ORDER BY round(list_distance(a.vec, b.vec), 9), b.id) AS rank, a.label AS true_label FROM q a JOIN q b ON a.feature_set = b.feature_set AND a.id <> b.id WHERE a.id % 5 = 0 QUALIFY rank <= 1) SELECT feature_set, count(*) AS n, round(avg(CASE WHEN label = true_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM nn GROUP BY 1")
+@query("WITH " + _VEC + ", s AS (SELECT * FROM (VALUES ('first', 0, 32), ('second', 32, 64), ('all', 0, 64)) x(feature_set, lo, hi)), q AS (SELECT feature_set, id, vec[lo + 1 : hi] AS vec, label FROM v, s), nn AS (SELECT a.feature_set, a.id AS query_id, b.label, row_number() OVER (PARTITION BY a.feature_set, a.id ORDER BY round(list_distance(a.vec, b.vec), 9), b.id) AS rank, a.label AS true_label FROM q a JOIN q b ON a.feature_set = b.feature_set AND a.id <> b.id QUALIFY rank <= 1) SELECT feature_set, count(*) AS n, round(avg(CASE WHEN label = true_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM nn GROUP BY 1")
 def feature_ablation(t: Tables) -> DataFrame:
     out = None
     for name, lo, hi in (("first", 0, 32), ("second", 32, 64), ("all", 0, 64)):
         v = t.vectors.select("id", F.slice("vec", lo + 1, hi - lo).alias("vec"), "label")
-        near = M.nearest_sql(v.select("id", "vec"), v.where("id % 5 = 0"), 1)
+        near = M.nearest(v, v, 1)
         one = near.join(v.select(F.col("id").alias("neighbour_id"), "label"), "neighbour_id").join(v.select(F.col("id").alias("query_id"), F.col("label").alias("true_label")), "query_id")
         one = one.agg(F.lit(name).alias("feature_set"), F.count(F.lit(1)).alias("n"), r6(A.fraction(F.col("label") == F.col("true_label"))).alias("accuracy"))
         out = one if out is None else out.unionAll(one)
