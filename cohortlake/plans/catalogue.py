@@ -207,7 +207,7 @@ FROM samples s LEFT JOIN cnt USING (o_orderkey))"""
 @query(f"{_SCORED} SELECT o_orderkey, project, score, CASE WHEN score > 0 THEN row_number() OVER (PARTITION BY project ORDER BY CASE WHEN score > 0 THEN score END DESC NULLS LAST, o_orderkey) END AS project_rank FROM scored")
 def candidate_score(t: Tables) -> DataFrame:
     known = F.when(F.col("score") > 0, F.col("score"))
-    return _scored(t).select("o_orderkey", "project", "score", SE.rank_known(known, ["project"], [F.desc_nulls_last(known), F.col("o_orderkey")]).alias("project_rank"))
+    return _scored(t).select("o_orderkey", "project", "score", SE.rank_known(known, ["project"], [F.desc_nulls_last(known), F.col("o_orderkey")]).cast("bigint").alias("project_rank"))
 
 
 
@@ -224,7 +224,7 @@ def capped_topk_priority(t: Tables) -> DataFrame:
 SELECT o_orderkey, project, score, row_number() OVER (ORDER BY CASE WHEN r = 1 AND project IN (SELECT n_name FROM nation WHERE n_nationkey IN (3, 5, 7)) THEN 0 ELSE 1 END, score DESC, o_orderkey) AS selection_rank FROM rk WHERE r <= 3 QUALIFY selection_rank <= 30""")
 def greedy_diversity_topk(t: Tables) -> DataFrame:
     names = [r[0] for r in t.nation.where("n_nationkey in (3, 5, 7)").select("n_name").collect()]
-    return SE.diverse_top(_scored(t).select("o_orderkey", "project", "score"), "project", names, [F.desc("score"), F.col("o_orderkey")], 3, 30)
+    return SE.diverse_top(_scored(t).select("o_orderkey", "project", "score"), "project", names, [F.desc("score"), F.col("o_orderkey")], 3, 30).withColumn("selection_rank", F.col("selection_rank").cast("bigint"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity, ties > 1 AS tied FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS ties FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS k FROM lineitem)) WHERE r = 1""")
