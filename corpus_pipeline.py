@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortlake.llm import jaccard, packing, suffix_dedup, toxicity
 from cohortlake.llm.common import Scratch
