@@ -7,7 +7,8 @@ compared, and whoever finds a better neighbour keeps it. Queries walk the
 graph in joined rounds: each expands the best nodes of its beam that it has
 not expanded, scores their neighbours and keeps the best. Vectors travel in
 half precision; the last beam is ranked again in double precision on the
-original vectors.
+original vectors. Equal vectors are one node, whose hits are its members in
+the order of their ids.
 """
 
 from __future__ import annotations
@@ -163,10 +164,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch, deg
     A query starts at its own node, if it has one, and at the best of a fixed
     number of entry nodes; ``steps`` says how many nodes of its beam it expands
     in each round. Fewer rows come only where fewer candidates were reached.
+    Equal vectors are one node, equal queries are asked once; of each node the
+    ``k`` + 1 smallest ids are kept, as one may be the query's own.
     """
-    nodes, edges = build_graph(vectors, scratch, degree)
     spark = vectors.sparkSession
-    if not edges.take(1):
+    first = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    kept = vectors.select("id", "vec").withColumn("r", first).where(F.col("r") <= k + 1)
+    classes = scratch.table(kept.groupBy("vec").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("members")))
+    nodes, edges = build_graph(classes.select("id", "vec"), scratch, degree)
+    if not nodes.take(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def inline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,21 +185,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch, deg
 
     held = edges.join(nodes.withColumnRenamed("id", "b"), "b").select("a", "b", "half").repartition(partitions(spark), "a").sortWithinPartitions("a")
     graph = scratch.table(held.mapInArrow(inline, "node long, near array<long>, halves binary"))
-    scale = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
-    asked = scratch.table(queries.select(F.col("id").alias("q"), "vec"))
+    scale = classes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+    once = queries.groupBy("vec").agg(F.min("id").alias("q"))
+    asked = scratch.table(once.join(classes.select("vec", F.col("id").alias("own")), "vec", "left").select("q", "own", "vec"))
     entry = nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()  # a fixed number of rows
     entry_ids, entry_vectors = np.array([r[0] for r in entry]), np.stack([np.frombuffer(r[1], np.float16) for r in entry]).astype(np.float32)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = (batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) / scale).astype(np.float16)
+            has = batch.column("own").is_valid().to_numpy(zero_copy_only=False)
+            own = batch.column("own").fill_null(0).to_numpy()[has]
             q, s = batch.column("q").to_numpy(), v.astype(np.float32) @ entry_vectors.T
             few = min(4, len(entry_ids))
             at = np.argpartition(-s, few - 1, axis=1)[:, :few]
             half = [x.tobytes() for x in v]
-            node = np.concatenate([entry_ids[at].ravel(), q])
-            who = np.concatenate([np.repeat(np.arange(len(q)), few), np.arange(len(q))])
-            score = np.concatenate([np.take_along_axis(s, at, 1).ravel(), np.full(len(q), 3e38, np.float32)])
+            node = np.concatenate([entry_ids[at].ravel(), own])
+            who = np.concatenate([np.repeat(np.arange(len(q)), few), np.flatnonzero(has)])
+            score = np.concatenate([np.take_along_axis(s, at, 1).ravel(), np.full(len(own), 3e38, np.float32)])
             yield pa.RecordBatch.from_arrays([pa.array(q[who]), pa.array(node), pa.array(score.astype(np.float32)), pa.array([half[i] for i in who], pa.binary())], ["q", "node", "s", "half"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +227,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch, deg
         merged = state.unionAll(found.select("q", "node", "s", F.lit(False).alias("done"))).groupBy("q", "node").agg(F.max("s").alias("s"), F.bool_or("done").alias("done"))
         ranked = merged.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))).where(F.col("r") <= beam)
         if not step:
-            state = scratch.table(ranked.where("q <> node").select("q", "node", "s"))
+            state = scratch.table(ranked.select("q", "node", "s"))
             break
         turn = F.row_number().over(Window.partitionBy("q").orderBy("done", F.desc("s"), "node"))
         floor = F.when(F.count(F.lit(1)).over(Window.partitionBy("q")) >= beam, F.min("s").over(Window.partitionBy("q"))).otherwise(F.lit(-3e38))
@@ -226,11 +235,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch, deg
         front = ranked.where("go").select("q", "node", "floor").join(halves, "q").select("q", "node", "half", "floor")
         state = ranked.select("q", "node", "s", (F.col("done") | F.col("go")).alias("done"))
     few = state.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))).where(F.col("r") <= 3 * k + 20)
-    exact = few.join(vectors.select(F.col("id").alias("node"), "vec"), "node").join(asked.select("q", F.col("vec").alias("other")), "q")
+    exact = few.join(classes.select(F.col("id").alias("node"), "vec", "members"), "node").join(asked.select("q", F.col("vec").alias("other")), "q")
     dot = F.aggregate(F.zip_with("vec", "other", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    scored = exact.select("q", "node", dot.alias("score"))
-    final = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= k)
-    return final.select(F.col("q").alias("query_id"), "rank", F.col("node").alias("vec_id"), "score")
+    scored = exact.select("q", "node", dot.alias("score"), "members")
+    top = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))).where(F.col("r") <= k + 1)
+    hits = top.select("q", "score", F.explode("members").alias("vec_id"))
+    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+    lists = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("hits"))
+    # every query takes its class's list without itself
+    whose = queries.select("id", "vec").join(asked.select("q", "vec"), "vec").select("q", F.col("id").alias("query_id"))
+    others = F.slice(F.filter("hits", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    final = whose.join(scratch.table(lists), "q").select("query_id", F.posexplode(others).alias("at", "hit"))
+    return final.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

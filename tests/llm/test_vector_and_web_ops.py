@@ -36,6 +36,27 @@ def test_nearest_neighbours_reach_recall(spark):
     assert hits / 750 >= 0.9
 
 
+def test_equal_vectors_come_by_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.permutation(3000)[:1000]] = x[7]  # one group of a thousand copies
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x.astype(np.float32))]
+    scratch = Scratch(spark, "t")
+    clean = scratch.table(ann.clean_vectors(vectors(spark, rows), "vec_id", "embedding"))
+    x = x.astype(np.float32).astype(float)
+    copies = np.flatnonzero((x == x[7]).all(1)).tolist()
+    assert len(copies) >= 1000
+    got: dict = {}
+    for r in ann.search(clean, clean.where(F.col("id").isin(copies[::20])), 20, scratch).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in copies[::20]:
+        assert got[q] == [i for i in copies if i != q][:20]
+    same = scratch.table(clean.where(F.col("id").isin(copies)))
+    got = {r["query_id"]: r["n"] for r in ann.search(same, same, 20, scratch).groupBy("query_id").agg(F.count("vec_id").alias("n")).collect()}
+    assert got == dict.fromkeys(copies, 20)
+
+
 def test_search_of_few_rows(spark):
     scratch = Scratch(spark, "t")
     few = scratch.table(ann.clean_vectors(vectors(spark, [(i, [1.0, float(i)], 1) for i in range(3)]), "vec_id", "embedding"))
