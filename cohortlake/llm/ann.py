@@ -6,9 +6,10 @@ neighbours meet under its key with their vectors, all pairs among them are
 compared, and whoever finds a better neighbour keeps it. Queries walk the
 graph in joined rounds: each expands the best nodes of its beam that it has
 not expanded, scores their neighbours and keeps the best. Vectors travel in
-half precision; the last beam is ranked again in double precision on the
-original vectors. Equal vectors are one node, whose hits are its members in
-the order of their ids.
+single precision, scaled by a power of two, so components that were floats
+stay exact; scores are double. The whole last beam is ranked again in double
+precision on the original vectors. Equal vectors are one node, whose hits are
+its members in the order of their ids.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import Scratch, partitions, whole_groups
 DEGREE, REVERSE, SWEEPS, OFFERS = 32, 32, 3, 10
 TREES, BITS, CHUNK = 5, 8, 256
 BEAM, STEPS, ENTRIES = 320, (48, 128, 160), 256
+#: Neighbours in one row of the graph, so that Arrow batches stay small.
+PIECE = 8
 
 
 def usable(vector: Column) -> Column:
@@ -44,10 +47,10 @@ def clean_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _floats(column: pa.ChunkedArray | pa.Array, count: int) -> np.ndarray:
-    """Half-precision binary rows as a float32 matrix."""
+    """Single-precision binary rows as a float64 matrix."""
     parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     raw = b"".join(p.as_buffer() for part in parts for p in part)
-    return np.frombuffer(raw, np.float16).reshape(count, -1).astype(np.float32)
+    return np.frombuffer(raw, np.float32).reshape(count, -1).astype(float)
 
 
 def best(a: np.ndarray, b: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +71,7 @@ def best(a: np.ndarray, b: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.nda
 
 
 def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.float32))], ["a", "b", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(float))], ["a", "b", "s"])
 
 
 def _offers(ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,35 +92,40 @@ def top_edges(edges: DataFrame, keep: int) -> DataFrame:
         for t in whole_groups(batches, "a"):
             yield _edges(*best(*(t.column(c).to_numpy() for c in ("a", "b", "s")), keep))
 
-    return edges.repartition(partitions(edges.sparkSession), "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long, s float")
+    return edges.repartition(partitions(edges.sparkSession), "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long, s double")
+
+
+def power_of_two(top: float | None) -> float:
+    """The power of two at or below ``top``, by which division loses no digits."""
+    return 2.0 ** np.floor(np.log2(top)) if top else 1.0
 
 
 def build_graph(vectors: DataFrame, scratch: Scratch, degree: int = DEGREE, sweeps: int = SWEEPS) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, half; edges: a, b, s): the neighbour graph of (id, vec)."""
+    """(nodes: id, raw; edges: a, b, s): the neighbour graph of (id, vec)."""
     spark = vectors.sparkSession
     top = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max(F.size("vec"))).first()
-    scale, width = (top[0] or 1.0), (top[1] or 1)
+    scale, width = power_of_two(top[0]), (top[1] or 1)
 
-    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = (batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width) / scale).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "half"])
+            v = (batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width) / scale).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "raw"])
 
-    nodes = scratch.table(vectors.mapInArrow(halve, "id long, half binary"))
+    nodes = scratch.table(vectors.mapInArrow(pack, "id long, raw binary"))
     rng = np.random.default_rng(11)
     planes, lines = rng.standard_normal((TREES, width, BITS)).astype(np.float32), rng.standard_normal((TREES, width)).astype(np.float32)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _floats(batch.column("half"), len(batch))
+            v = _floats(batch.column("raw"), len(batch))
             for t in range(TREES):
                 cell = ((v @ planes[t]) > 0) @ (1 << np.arange(BITS))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("half"), pa.array(cell + (t << BITS)), pa.array((v @ lines[t]).astype(float))], ["id", "half", "cell", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), pa.array(cell + (t << BITS)), pa.array((v @ lines[t]).astype(float))], ["id", "raw", "cell", "at"])
 
     def sprout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grow(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column("id").to_numpy()
-            return _edges(*_offers(ids, _floats(batch.column("half"), len(batch)), np.full(len(batch), -np.inf, np.float32), degree // 2))
+            return _edges(*_offers(ids, _floats(batch.column("raw"), len(batch)), np.full(len(batch), -np.inf), degree // 2))
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -131,14 +139,14 @@ def build_graph(vectors: DataFrame, scratch: Scratch, degree: int = DEGREE, swee
         if held:
             yield from map(grow, pa.Table.from_batches(held).combine_chunks().to_batches())
 
-    ranged = nodes.mapInArrow(plant, "id long, half binary, cell long, at double").repartitionByRange(partitions(spark), "cell", "at").sortWithinPartitions("cell", "at")
-    edges = scratch.table(top_edges(ranged.mapInArrow(sprout, "a long, b long, s float"), degree))
+    ranged = nodes.mapInArrow(plant, "id long, raw binary, cell long, at double").repartitionByRange(partitions(spark), "cell", "at").sortWithinPartitions("cell", "at")
+    edges = scratch.table(top_edges(ranged.mapInArrow(sprout, "a long, b long, s double"), degree))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "c"):
             t = t.combine_chunks()
             centre, ids, floor = (t.column(c).to_numpy() for c in ("c", "m", "floor"))
-            v = _floats(t.column("half"), len(t))
+            v = _floats(t.column("raw"), len(t))
             cut = np.concatenate([[0], np.flatnonzero(centre[1:] != centre[:-1]) + 1, [len(t)]])
             got = [_offers(ids[x:y], v[x:y], floor[x:y], OFFERS) for x, y in zip(cut[:-1], cut[1:])]
             yield _edges(*best(*(np.concatenate([g[i] for g in got]) for i in range(3)), degree))
@@ -147,10 +155,10 @@ def build_graph(vectors: DataFrame, scratch: Scratch, degree: int = DEGREE, swee
         draw = Window.partitionBy("b").orderBy(F.xxhash64("a", "b", F.lit(sweep)), "a")
         back = edges.withColumn("r", F.row_number().over(draw)).where(F.col("r") <= REVERSE).select(F.col("b").alias("c"), F.col("a").alias("m"))
         met = edges.select(F.col("a").alias("c"), F.col("b").alias("m")).unionAll(back).unionAll(nodes.select(F.col("id").alias("c"), F.col("id").alias("m"))).distinct()
-        floors = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low")).select(F.col("a").alias("id"), F.when(F.col("n") >= degree, F.col("low")).otherwise(F.lit(-3e38).cast("float")).alias("floor"))
-        known = scratch.table(nodes.join(floors, "id", "left").select(F.col("id").alias("m"), "half", F.coalesce("floor", F.lit(-3e38).cast("float")).alias("floor")))
-        grouped = met.join(known, "m").select("c", "m", "half", "floor").repartition(partitions(spark), "c").sortWithinPartitions("c")
-        better = grouped.mapInArrow(meet, "a long, b long, s float")
+        floors = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low")).select(F.col("a").alias("id"), F.when(F.col("n") >= degree, F.col("low")).otherwise(F.lit(-3e38)).alias("floor"))
+        known = scratch.table(nodes.join(floors, "id", "left").select(F.col("id").alias("m"), "raw", F.coalesce("floor", F.lit(-3e38)).alias("floor")))
+        grouped = met.join(known, "m").select("c", "m", "raw", "floor").repartition(partitions(spark), "c").sortWithinPartitions("c")
+        better = grouped.mapInArrow(meet, "a long, b long, s double")
         after = scratch.table(top_edges(edges.unionAll(better), degree))
         scratch.drop(edges, known)
         edges = after
@@ -179,51 +187,53 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch, deg
         for t in whole_groups(batches, "a"):
             t = t.combine_chunks()
             a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-            half = t.column("half").to_pylist()
-            cut = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(t)]]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a[cut[:-1]]), pa.array([b[x:y] for x, y in zip(cut[:-1], cut[1:])], pa.list_(pa.int64())), pa.array([b"".join(half[x:y]) for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "near", "halves"])
-
-    held = edges.join(nodes.withColumnRenamed("id", "b"), "b").select("a", "b", "half").repartition(partitions(spark), "a").sortWithinPartitions("a")
-    graph = scratch.table(held.mapInArrow(inline, "node long, near array<long>, halves binary"))
-    scale = classes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+            raw = t.column("raw").to_pylist()
+            first = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+            rank = np.arange(len(t)) - np.repeat(first, np.diff(np.append(first, len(t))))
+            cut = [*np.flatnonzero(rank % PIECE == 0).tolist(), len(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[cut[:-1]]), pa.array([b[x:y] for x, y in zip(cut[:-1], cut[1:])], pa.list_(pa.int64())), pa.array([b"".join(raw[x:y]) for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "near", "raws"])
+
+    held = edges.join(nodes.withColumnRenamed("id", "b"), "b").select("a", "b", "raw").repartition(partitions(spark), "a").sortWithinPartitions("a")
+    graph = scratch.table(held.mapInArrow(inline, "node long, near array<long>, raws binary"))
+    scale = power_of_two(classes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0])
     once = queries.groupBy("vec").agg(F.min("id").alias("q"))
     asked = scratch.table(once.join(classes.select("vec", F.col("id").alias("own")), "vec", "left").select("q", "own", "vec"))
     entry = nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()  # a fixed number of rows
-    entry_ids, entry_vectors = np.array([r[0] for r in entry]), np.stack([np.frombuffer(r[1], np.float16) for r in entry]).astype(np.float32)
+    entry_ids, entry_vectors = np.array([r[0] for r in entry]), np.stack([np.frombuffer(r[1], np.float32) for r in entry]).astype(float)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = (batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) / scale).astype(np.float16)
+            v = (batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) / scale).astype(np.float32)
             has = batch.column("own").is_valid().to_numpy(zero_copy_only=False)
             own = batch.column("own").fill_null(0).to_numpy()[has]
-            q, s = batch.column("q").to_numpy(), v.astype(np.float32) @ entry_vectors.T
+            q, s = batch.column("q").to_numpy(), v.astype(float) @ entry_vectors.T
             few = min(4, len(entry_ids))
             at = np.argpartition(-s, few - 1, axis=1)[:, :few]
-            half = [x.tobytes() for x in v]
+            raw = [x.tobytes() for x in v]
             node = np.concatenate([entry_ids[at].ravel(), own])
             who = np.concatenate([np.repeat(np.arange(len(q)), few), np.flatnonzero(has)])
-            score = np.concatenate([np.take_along_axis(s, at, 1).ravel(), np.full(len(own), 3e38, np.float32)])
-            yield pa.RecordBatch.from_arrays([pa.array(q[who]), pa.array(node), pa.array(score.astype(np.float32)), pa.array([half[i] for i in who], pa.binary())], ["q", "node", "s", "half"])
+            score = np.concatenate([np.take_along_axis(s, at, 1).ravel(), np.full(len(own), 3e38)])
+            yield pa.RecordBatch.from_arrays([pa.array(q[who]), pa.array(node), pa.array(score), pa.array([raw[i] for i in who], pa.binary())], ["q", "node", "s", "raw"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 1000):
-                rows = batch.slice(start, 1000)
+            for start in range(0, len(batch), 4000):
+                rows = batch.slice(start, 4000)
                 count = np.diff(rows.column("near").offsets.to_numpy())
                 near = rows.column("near").flatten().to_numpy()
-                v = np.frombuffer(b"".join(x.as_buffer() for x in rows.column("halves")), np.float16).reshape(len(near), -1).astype(np.float32)
+                v = np.frombuffer(b"".join(x.as_buffer() for x in rows.column("raws")), np.float32).reshape(len(near), -1).astype(float)
                 own = np.repeat(np.arange(len(rows)), count)
-                s = np.einsum("ij,ij->i", v, _floats(rows.column("half"), len(rows))[own])
+                s = np.einsum("ij,ij->i", v, _floats(rows.column("raw"), len(rows))[own])
                 good = s > rows.column("floor").to_numpy()[own]
                 q = rows.column("q").to_numpy()[own[good]]
                 yield _edges(*best(q, near[good], s[good], beam)).rename_columns(["q", "node", "s"])
 
-    start = scratch.table(asked.mapInArrow(enter, "q long, node long, s float, half binary").dropDuplicates(["q", "node"]))
-    halves = start.groupBy("q").agg(F.min("half").alias("half"))
-    front = start.select("q", "node", "half", F.lit(-3e38).cast("float").alias("floor"))
+    start = scratch.table(asked.mapInArrow(enter, "q long, node long, s double, raw binary").dropDuplicates(["q", "node"]))
+    raws = start.groupBy("q").agg(F.min("raw").alias("raw"))
+    front = start.select("q", "node", "raw", F.lit(-3e38).alias("floor"))
     state = start.select("q", "node", "s", F.lit(True).alias("done"))
     for step in (*steps, 0):
-        found = front.join(graph, "node").select("q", "half", "floor", "near", "halves").mapInArrow(expand, "q long, node long, s float")
+        found = front.join(graph, "node").select("q", "raw", "floor", "near", "raws").mapInArrow(expand, "q long, node long, s double")
         merged = state.unionAll(found.select("q", "node", "s", F.lit(False).alias("done"))).groupBy("q", "node").agg(F.max("s").alias("s"), F.bool_or("done").alias("done"))
         ranked = merged.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))).where(F.col("r") <= beam)
         if not step:
@@ -231,11 +241,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scratch: Scratch, deg
             break
         turn = F.row_number().over(Window.partitionBy("q").orderBy("done", F.desc("s"), "node"))
         floor = F.when(F.count(F.lit(1)).over(Window.partitionBy("q")) >= beam, F.min("s").over(Window.partitionBy("q"))).otherwise(F.lit(-3e38))
-        ranked = scratch.table(ranked.withColumn("turn", turn).withColumn("floor", floor.cast("float")).select("q", "node", "s", "done", (~F.col("done") & (F.col("turn") <= step)).alias("go"), "floor"))
-        front = ranked.where("go").select("q", "node", "floor").join(halves, "q").select("q", "node", "half", "floor")
+        ranked = scratch.table(ranked.withColumn("turn", turn).withColumn("floor", floor).select("q", "node", "s", "done", (~F.col("done") & (F.col("turn") <= step)).alias("go"), "floor"))
+        front = ranked.where("go").select("q", "node", "floor").join(raws, "q").select("q", "node", "raw", "floor")
         state = ranked.select("q", "node", "s", (F.col("done") | F.col("go")).alias("done"))
-    few = state.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))).where(F.col("r") <= 3 * k + 20)
-    exact = few.join(classes.select(F.col("id").alias("node"), "vec", "members"), "node").join(asked.select("q", F.col("vec").alias("other")), "q")
+    exact = state.select("q", "node").join(classes.select(F.col("id").alias("node"), "vec", "members"), "node").join(asked.select("q", F.col("vec").alias("other")), "q")
     dot = F.aggregate(F.zip_with("vec", "other", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
     scored = exact.select("q", "node", dot.alias("score"), "members")
     top = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node"))).where(F.col("r") <= k + 1)

@@ -57,6 +57,27 @@ def test_equal_vectors_come_by_id(spark):
     assert got == dict.fromkeys(copies, 20)
 
 
+@pytest.mark.parametrize("spread", [0.0044, 0.0014, 0.00014])
+def test_near_copies_are_told_apart(spark, spread):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1600, 64))
+    x[300:1300] = x[0] + spread * np.linalg.norm(x[0]) * rng.standard_normal((1000, 64)) / 8 * 5  # a thousand near copies
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x.astype(np.float32))]
+    scratch = Scratch(spark, "t")
+    clean = scratch.table(ann.clean_vectors(vectors(spark, rows), "vec_id", "embedding"))
+    x = x.astype(np.float32).astype(float)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    asked = list(range(300, 1300, 20))
+    got: dict = {}
+    for r in ann.search(clean, clean.where(F.col("id").isin(asked)), 20, scratch).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(got[q] & set(np.argsort(-s[q], kind="stable")[:20].tolist())) for q in asked)
+    print("recall", spread, float(np.median(s[300, 301:1300])), hits / (20 * len(asked)))
+    assert hits / (20 * len(asked)) >= 0.95
+
+
 def test_search_of_few_rows(spark):
     scratch = Scratch(spark, "t")
     few = scratch.table(ann.clean_vectors(vectors(spark, [(i, [1.0, float(i)], 1) for i in range(3)]), "vec_id", "embedding"))
