@@ -6,12 +6,14 @@ a flat graph by robust pruning; the adjacency lists a vector gets in its
 shards are united. Every vector then searches its shards: greedily from the
 shard's medoids and its own place, and on outwards as long as what it finds
 is in range. Found pairs are verified in double precision on the original
-vectors and counted once, in the first shard the two share; only counts and
-spanning edges leave a task.
+vectors and counted once, whichever of their shards finds them: a task sends
+spanning edges, counts of pairs that share no other shard, and packed lists of
+the others, which are united for each vector.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +104,32 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def packed(ids: np.ndarray, mult: np.ndarray) -> bytes:
+    """Ids and their class sizes, sorted by id, compressed."""
+    order = np.argsort(ids)
+    return zlib.compress(np.stack([np.diff(ids[order], prepend=0), mult[order]]).astype(np.int64).tobytes(), 1)
+
+
+def united_links(found: DataFrame) -> DataFrame:
+    """(a, links): the plain counts of (a, links, near) and the class sizes of the
+    distinct ids in the packed lists, each id once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "a"):
+            a, links = table.column("a").to_numpy(), table.column("links").to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
+            total = np.add.reduceat(links, cut[:-1])
+            near = table.column("near").to_pylist()
+            for k, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
+                lists = [np.frombuffer(zlib.decompress(b), np.int64).reshape(2, -1) for b in near[x:y] if b]
+                if lists:
+                    ids, at = np.unique(np.concatenate([np.cumsum(b[0]) for b in lists]), return_index=True)
+                    total[k] += np.concatenate([b[1] for b in lists])[at].sum()
+            yield pa.RecordBatch.from_arrays([pa.array(a[cut[:-1]]), pa.array(total)], ["a", "links"])
+
+    return found.repartition(partitions(found.sparkSession), "a").sortWithinPartitions("a").mapInArrow(run, "a long, links long")
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -194,9 +222,9 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
             key = np.stack([table.column(c).to_numpy() for c in ("shard", "i", "j")])
             cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), len(table)]
             for x, y in zip(cut[:-1], cut[1:]):
-                yield unit(table.slice(x, y - x), int(key[0, x]), int(key[1, x]), int(key[2, x]))
+                yield unit(table.slice(x, y - x), int(key[1, x]), int(key[2, x]))
 
-    def unit(part: pa.Table, shard: int, i: int, j: int) -> pa.RecordBatch:
+    def unit(part: pa.Table, i: int, j: int) -> pa.RecordBatch:
         part = part.combine_chunks()
         ids, block, mult = (part.column(c).to_numpy() for c in ("id", "block", "mult"))
         v = _unit(_matrix(part.column("vec")))
@@ -222,19 +250,23 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
         for s in range(0, len(a), 100_000):
             exact[s : s + 100_000] = np.einsum("ij,ij->i", v[a[s : s + 100_000]], v[b[s : s + 100_000]]) >= threshold
         a, b = a[exact], b[exact]
-        # a pair counts in the first shard that the two share
+        # a pair with another shared shard may be found there too
         of = [set(x) for x in part.column("shards").to_pylist()]
-        mine = np.fromiter((min(of[x] & of[y]) == shard for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
-        a, b = a[mine], b[mine]
-        links = np.bincount(a, mult[b], len(ids)) + np.bincount(b, mult[a], len(ids))
+        more = np.fromiter((len(of[x] & of[y]) > 1 for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
+        links = np.bincount(a[~more], mult[b[~more]], len(ids)) + np.bincount(b[~more], mult[a[~more]], len(ids))
+        one, other = np.concatenate([a[more], b[more]]), np.concatenate([b[more], a[more]])
+        order = np.argsort(one, kind="stable")
+        one, other = one[order], other[order]
+        cut = np.searchsorted(one, np.arange(len(ids) + 1))
         node, root = contract(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]))
         low_of = dict(zip(node.tolist(), root.tolist()))
-        some = np.flatnonzero(links > 0)
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([low_of.get(int(x), int(x)) for x in ids[some]], pa.int64()), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
+        some = np.flatnonzero((links > 0) | (np.diff(cut) > 0))
+        near = [packed(ids[other[cut[x] : cut[x + 1]]], mult[other[cut[x] : cut[x + 1]]]) if cut[x + 1] > cut[x] else None for x in some]
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([low_of.get(int(x), int(x)) for x in ids[some]], pa.int64()), pa.array(links[some].astype(np.int64)), pa.array(near, pa.binary())], ["a", "b", "links", "near"])
 
-    found = scratch.table(known.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInArrow(find, "a long, b long, links long"))
+    found = scratch.table(known.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInArrow(find, "a long, b long, links long, near binary"))
     parts = components(found.select("a", "b"), scratch)
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    counts = united_links(found.select("a", "links", "near")).withColumnRenamed("a", "rep")
     joined = classes.select(F.col("id").alias("rep"), "label", "vec", "mult").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.table(joined.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     final = scratch.table(valid.join(named, ["label", "vec"]).select("id", "n_links", "component_id"))

@@ -110,6 +110,12 @@ def test_near_duplicates_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_links_of_any_shard_count_once(spark):
+    lists = lambda *ids: embedding_dedup.packed(np.array(ids), np.array(ids) % 10)
+    found = spark.createDataFrame([(1, 4, bytearray(lists(12, 53))), (1, 0, bytearray(lists(53, 41))), (1, 0, None), (2, 7, None), (3, 0, bytearray(lists(85)))], "a long, links long, near binary")
+    assert {r["a"]: r["links"] for r in embedding_dedup.united_links(found).collect()} == {1: 4 + 2 + 3 + 1, 2: 7, 3: 5}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a % 100 <> 99")
     got = {r["node"]: r["component"] for r in components(edges, Scratch(spark, "t")).collect()}
