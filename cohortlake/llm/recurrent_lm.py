@@ -30,8 +30,8 @@ CLASS_WORDS, FREQUENT, RARE, HIDDEN = 64, 32, 32, 24
 VOCAB = CLASS_WORDS * FREQUENT
 CLASSES = FREQUENT + RARE
 START = VOCAB + RARE
-#: Of the training texts, the share whose words drive one round of gradient steps.
-SHARE, ROUNDS = 16, 2
+#: Rounds of gradient steps, each on its own share of the training texts; together on all.
+ROUNDS = 4
 WINDOW, LANES, RATE = 20, 32, 0.01
 SCORE_WINDOW, SCORE_LANES = 48, 512
 BLOCK_BYTES = 24 << 20
@@ -333,12 +333,17 @@ def block_counts(blocked: DataFrame, n: int, scratch: Scratch) -> tuple[DataFram
     return answered.where("block >= 0").select("block", "hashes", "counts"), Counts(int(sums[0] or 0), int(sums[1] or 0), hashes[order], order.astype(np.int64), seen, rare)
 
 
+def shares(blocked: DataFrame) -> list[DataFrame]:
+    """The texts of each round: every training text is in exactly one."""
+    mark = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS))
+    return [blocked.where(~F.col("held_out") & (mark == turn)).select("text") for turn in range(ROUNDS)]
+
+
 def fit(blocked: DataFrame, counts: Counts) -> Network:
     """Rounds of local training in every partition, each on its own share of the
-    training texts, averaged over the tokens used."""
+    training texts (together: all), averaged over the tokens used."""
     net = Network.start(counts)
-    for turn in range(ROUNDS):
-        share = blocked.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARE)) == turn)).select("text")
+    for share in shares(blocked):
         begun = net.p
 
         def learn(batches: Iterator[pa.RecordBatch], begun: dict[str, np.ndarray] = begun) -> Iterator[pa.RecordBatch]:

@@ -160,6 +160,12 @@ def test_language_model_scores(spark, corpus):
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
 
 
+def test_every_training_text_drives_a_step(spark):
+    blocked = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), recurrent_lm.held_out("id").alias("held_out"))
+    used = sorted(r["text"] for share in recurrent_lm.shares(blocked) for r in share.collect())
+    assert used == sorted(str(i) for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     seen = np.sort(rng.integers(0, 50, recurrent_lm.VOCAB))[::-1].copy()
