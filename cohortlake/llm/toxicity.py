@@ -22,6 +22,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import words as W
 from .common import chunks
+from .jaccard import set_key
 
 _U = np.uint64
 #: Letters that a sign can stand for.
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
     ``labels``: doc_id, toxic (0/1; of several rows the largest counts; null
     is no label). At most about ``bound`` labelled rows, chosen by a hash of
     the id, are used to fit; the character model counts all texts. A word's
-    evidence counts texts with distinct shingle sketches, so copies of one text
+    evidence counts texts with distinct sets of shingles, so copies of one text
     count once; a feature needs ``support`` toxic ones and a smoothed share
     of ``least``. With no labelled row every text gets the same low score.
     """
@@ -252,8 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
         for rows, raw, offsets in chunks(batches, "text"):
             starts, ends, first = W.split(raw, offsets, W.NOT_SPACE)
             grams, at = W.shingles(W.span_hashes(W.prefix_sums(raw), starts, ends), first, 3)
-            least = [grams[at[i] : at[i + 1]].min() if at[i + 1] > at[i] else 0 for i in range(len(at) - 1)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.array(np.array(least, _U).view(np.int64))], ["doc_id", "toxic", "sketch"])
+            keys = [set_key(np.unique(grams[at[i] : at[i + 1]])) for i in range(len(at) - 1)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.array(keys, pa.int64())], ["doc_id", "toxic", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = texts.join(chosen, "doc_id").mapInArrow(sketch, f"doc_id {kind}, toxic int, sketch long")

@@ -208,6 +208,14 @@ def test_toxicity_restores_and_ranks(spark):
     assert all((got[i]["toxic_score"] >= 0.7) == (i % 4 == 0) for i in range(240)) and got[0]["key"] == "k"
 
 
+def test_texts_that_share_a_passage_keep_their_words(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    docs = [(i, f"{passage} own{chr(97 + i % 26)} {'vilkragg' if i % 6 == 0 else 'friendly'} end{chr(97 + i // 26)}") for i in range(72)]
+    model = toxicity.fitted(frame(spark, docs), spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in docs], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.with_scores(frame(spark, [(1000, "you vilkragg there"), (1001, passage)]), model).collect()}
+    assert got[1000] >= 0.7 and got[1001] < 0.7
+
+
 def test_empty_tables(spark):
     none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
     assert jaccard.link_components(none, Scratch(spark, "t")).count() == 0
