@@ -566,7 +566,7 @@ def bootstrap_stability(t: Tables) -> DataFrame:
     wide = R.widen(_nations(t), ["row"], "feature", _GENES, F.first("value"), 0.0).orderBy("row").collect()  # one row per project
     import numpy as np
 
-    return C.member_stability(C.bootstrap_stability(t.spark, [r["row"] for r in wide], np.array([[r[g] for g in _GENES] for r in wide]), 40))
+    return C.member_stability(C.bootstrap_stability(t.spark, [r["row"] for r in wide], np.array([[r[g] for g in _GENES] for r in wide])))
 
 
 @query()

@@ -1,5 +1,6 @@
 """Every catalogue query against DuckDB on the smallest tables."""
 
+import inspect
 import math
 
 import duckdb
@@ -40,3 +41,12 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_bootstrap_stability_draws_a_hundred_times(spark, monkeypatch):
+    asked = []
+    whole = catalogue.C.bootstrap_stability
+    monkeypatch.setattr(catalogue.C, "bootstrap_stability", lambda *a, **b: asked.append(len(a) < 4 and not b) or whole(*a, **b))
+    rows = catalogue.QUERIES["bootstrap_stability"](spark, DATA).collect()
+    assert asked == [True] and rows
+    assert inspect.signature(whole).parameters["iterations"].default == 100
