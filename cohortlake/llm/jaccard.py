@@ -1,20 +1,23 @@
-"""Exact n-gram Jaccard self-join by prefix buckets and signature trees.
-
-A pair of sets with Jaccard similarity t or more shares an element of both
-prefixes (the first ``n - ceil(t n) + 1`` elements in one global order), so
-all links lie inside buckets of documents that share a prefix shingle. Links
-are then resolved in two exact steps:
-
-1. neighbours in the size order of each bucket are verified and joined into
-   components;
-2. buckets that still hold several components build a signature tree: nodes
-   hold OR-combined shingle bitmaps, size ranges and largest bit collisions;
-   a dual traversal drops node pairs whose maximum possible overlap is below
-   the overlap that the threshold asks for, or that lie in one component, and
-   the surviving pairs are verified on the full sets.
-
-Every pair is verified, known to be connected, or excluded by a bound, so no
-link between different texts is lost and no clique of copies is expanded.
+"""Exact n-gram Jaccard self-join by signature trees over pigeonhole groups.
+
+Two sets with Jaccard similarity t or more, the smaller of ``s`` elements,
+differ in at most ``d(s)`` elements. Cut by hash into more than ``d`` pieces,
+they agree on a whole piece, so every link joins two sets that post an equal
+piece. Sets that are connected by equal pieces form a group; unrelated texts
+hardly ever share a piece, however many shingles they have in common.
+
+Each group is resolved by a signature tree: nodes hold OR-combined shingle
+bitmaps, size ranges and the range of components below them; a dual traversal
+drops node pairs whose maximum possible overlap is below the overlap that the
+threshold asks for, or that lie in one component. Surviving leaves are
+verified on their whole sets as the traversal reaches them and joined at once,
+so that a group of copies costs a spanning forest, not its pairs.
+
+A group of more than ``block`` sets is dealt to blocks. Each block gets its
+own tree, then up to sixteen sets of each component meet in a tree, twice;
+then the sets outside of the group's largest component meet every block, which
+covers all pairs that can still link. Every pair is verified, known to be
+connected, or excluded by a bound, so no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, chunks, partitions, utf8
-from .components import components
+from .common import Scratch, chunks, partitions, whole_groups
+from .components import components, contract
 
-BLOCK = 4096
+BLOCK = 1024
+#: Shingles that a block holds, unless one set has more.
+BLOCK_GRAMS = 2 << 20
 FAN = 8
 _U = np.uint64
 
@@ -45,9 +50,8 @@ def row_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return [np.unique(grams[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
 
 
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    """A bit for each shingle; one to two bits of room per shingle, a power of two."""
-    width = max(64, 1 << math.ceil(math.log2(max(1, len(grams)))))
+def bitmap(grams: np.ndarray, width: int) -> np.ndarray:
+    """A bit for each shingle among ``width``, a power of two from 8."""
     bits = np.zeros(width, bool)
     bits[(grams >> _U(20)) & _U(width - 1)] = True
     return np.packbits(bits)
@@ -68,31 +72,100 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (n * percent + 99) // 100 + 1
+class Bands:
+    """Sizes in bands. A pair is posted in the band of its smaller set: both
+    sets are cut into ``pieces`` there, of which at most ``differ`` differ."""
+
+    def __init__(self, percent: int, ratio: float = 1.35):
+        self.percent = percent
+        upper, differ, pieces = [], [], []
+        u = next((n for n in range(1, 200) if self._differ(n)), 0)  # below it only equal sets link
+        self.least = u
+        low = u
+        while u and u < 1 << 40:
+            d = self._differ(u)
+            m, spare = d + 1, 0
+            for _ in range(4):  # as many pieces more as are likely to be empty
+                empty = (m + spare) * math.exp(-low / (m + spare))
+                spare = math.ceil(empty + 2 * math.sqrt(empty))
+            upper.append(u)
+            differ.append(d)
+            pieces.append(m + spare)
+            low, u = u + 1, max(u + 1, int(u * ratio))
+        self.upper, self.differ, self.pieces = (np.array(x, np.int64) for x in (upper, differ, pieces))
+
+    def _differ(self, n: int) -> int:
+        """Elements in one set alone, at most, if the smaller set has n at most."""
+        return (100 - self.percent) * (n + n * 100 // self.percent) // (100 + self.percent)
+
+    def pieces_of(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pieces that each set posts, and each set's first one.
+
+        A set posts its pieces that aren't empty. Where these are no more than
+        ``differ``, it posts the empty ones too: a pair that agrees on empty
+        pieces alone has two such sets.
+        """
+        n = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([*sets, np.zeros(0, _U)])
+        mixed = W.mix(flat + _U(0x51ED27))
+        first = np.concatenate([[0], np.cumsum(n)])
+        some = np.flatnonzero(n >= self.least) if self.least else np.zeros(0, np.int64)
+        own = np.searchsorted(self.upper, n)
+        lowest = np.searchsorted(self.upper, np.maximum((n * self.percent + 99) // 100, self.least))
+        rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+        for shift in range(int((own - lowest)[some].max(initial=-1)) + 1):
+            mine = some[(own - lowest)[some] >= shift]
+            band = own[mine] - shift
+            length = n[mine]
+            at = np.repeat(first[mine] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            row = np.repeat(np.arange(len(mine)), length)
+            piece = ((flat[at] >> _U(32)) * self.pieces[band].astype(_U)[row]) >> _U(32)
+            new = np.append(True, (row[1:] != row[:-1]) | (piece[1:] != piece[:-1]))
+            begin = np.flatnonzero(new)
+            name = W.mix(band.astype(_U)[row[begin]] * _U(1 << 32) + piece[begin])
+            rows.append(mine[row[begin]])
+            hashes.append(W.mix(np.add.reduceat(mixed[at], begin) + name))
+            ends = np.cumsum(length)
+            for i in np.flatnonzero(np.bincount(row[begin], minlength=len(mine)) <= self.differ[band]):
+                empty = np.setdiff1d(np.arange(self.pieces[band[i]]), piece[ends[i] - length[i] : ends[i]].astype(np.int64)).astype(_U)
+                rows.append(np.full(len(empty), mine[i]))
+                hashes.append(W.mix(W.mix(_U(int(band[i]) << 32) + empty)))
+        rows_, hashes_ = np.concatenate(rows), np.concatenate(hashes)
+        order = np.argsort(rows_, kind="stable")
+        return hashes_[order], np.searchsorted(rows_[order], np.arange(len(sets) + 1))
 
 
 class SignatureTree:
-    """Documents of one bitmap width in size order, packed bottom-up."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, parts: np.ndarray):
-        order = np.lexsort((ids, sizes))
-        self.ids = ids[order]
-        sizes, bits, parts = sizes[order], bits[order], parts[order]
-        excess = sizes - np.bitwise_count(bits).sum(1)
-        self.levels = [(bits, sizes, sizes, excess, parts, parts)]
+    """Sets as leaves, alike ones side by side, packed bottom-up."""
+
+    def __init__(self, chosen: np.ndarray, sets: list[np.ndarray], width: int):
+        least = np.array([sets[i][0] for i in chosen], _U)
+        sizes = np.array([len(sets[i]) for i in chosen], np.int64)
+        order = np.lexsort((sizes, least))  # near copies often share their least hash
+        self.leaves, sizes = chosen[order], sizes[order]
+        bits = np.stack([bitmap(sets[i], width) for i in self.leaves])
+        self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, excess, least, most = self.levels[-1]
+            bits, low, high, excess = self.levels[-1]
             at = np.arange(0, len(bits), FAN)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), low[at], np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)))
+
+    def relabel(self, part: np.ndarray) -> None:
+        """part: component of each set."""
+        self.parts = [(part[self.leaves],) * 2]
+        while len(self.parts[-1][0]) > 1:
+            least, most = self.parts[-1]
+            at = np.arange(0, len(least), FAN)
+            self.parts.append((np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
     def possible(self, other: SignatureTree, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         """Whether any pair below nodes a and b can still be a new link."""
-        bits, low, high, excess, least, most = self.levels[min(level, len(self.levels) - 1)]
-        bits2, low2, high2, excess2, least2, most2 = other.levels[min(level, len(other.levels) - 1)]
+        bits, low, high, excess = self.levels[mine := min(level, len(self.levels) - 1)]
+        bits2, low2, high2, excess2 = other.levels[its := min(level, len(other.levels) - 1)]
+        (least, most), (least2, most2) = self.parts[mine], other.parts[its]
         keep = ((least[a] != most[a]) | (least2[b] != most2[b]) | (least[a] != least2[b])) & (high[a] * 100 >= low2[b] * percent) & (high2[b] * 100 >= low[a] * percent)
         at = np.flatnonzero(keep)
-        for part in np.array_split(at, max(1, len(at) * bits.shape[1] // (32 << 20) + 1)):
+        for part in np.array_split(at, max(1, len(at) * bits.shape[1] // (16 << 20) + 1)):
             x, y = a[part], b[part]
             most_common = np.bitwise_count(bits[x] & bits2[y]).sum(1, dtype=np.int64) + np.minimum(excess[x], excess2[y])
             most_common = np.minimum(most_common, np.minimum(high[x], high2[y]))
@@ -100,15 +173,18 @@ class SignatureTree:
         return keep
 
     def pairs(self, other: SignatureTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Dual traversal: ids of leaf pairs that survive, each unordered pair once."""
+        """Dual traversal: leaf pairs that survive, each unordered pair once.
+
+        ``relabel`` may be called between pairs; nodes that have come to lie in
+        one component meanwhile are dropped."""
         same = self is other
         top = max(len(self.levels), len(other.levels)) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
-            if len(a) > 1 << 18:
+            if len(a) > 1 << 14:
                 half = len(a) // 2
-                stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
+                stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
                 continue
             keep = self.possible(other, level, a, b, percent)
             a, b = a[keep], b[keep]
@@ -116,11 +192,14 @@ class SignatureTree:
                 continue
             if level == 0:
                 keep = a < b if same else slice(None)
-                yield self.ids[a[keep]], other.ids[b[keep]]
+                yield self.leaves[a[keep]], other.leaves[b[keep]]
                 continue
-            a, b = self._below(level, a, np.arange(FAN * FAN) // FAN, self), self._below(level, b, np.arange(FAN * FAN) % FAN, other)
-            ok = (a >= 0) & (b >= 0) & ((a <= b) | (not same))
-            stack.append((level - 1, a[ok], b[ok]))
+            near = a == b if same else np.zeros(len(a), bool)
+            for some in (np.flatnonzero(~near), np.flatnonzero(near)):  # the last is taken first: pairs within a node
+                if len(some):
+                    x, y = self._below(level, a[some], np.arange(FAN * FAN) // FAN, self), self._below(level, b[some], np.arange(FAN * FAN) % FAN, other)
+                    ok = (x >= 0) & (y >= 0) & ((x <= y) | (not same))
+                    stack.append((level - 1, x[ok], y[ok]))
 
     @staticmethod
     def _below(level: int, nodes: np.ndarray, step: np.ndarray, tree: SignatureTree) -> np.ndarray:
@@ -131,37 +210,42 @@ class SignatureTree:
         return np.where(child < len(tree.levels[level - 1][0]), child, -1).ravel()
 
 
-def fold(bits: np.ndarray, width: int) -> np.ndarray:
-    """A wider bitmap reduced to ``width`` bytes (positions modulo the width)."""
-    while bits.shape[-1] > width:
-        half = bits.shape[-1] // 2
-        bits = bits[..., :half] | bits[..., half:]
-    return bits
-
-
-def bucket_pairs(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], parts: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one bucket. side: 0 on the left of the join, 1 on the right, 2 on both."""
-    width = np.array([len(b) for b in bits])
-    kinds = np.unique(width)
+def spanning_links(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Verified links that join all components which links join: of sets
+    ``left`` with each other, or with those of ``right``.
 
-    def tree(chosen: np.ndarray, to: int) -> SignatureTree:
-        at = np.flatnonzero(chosen)
-        return SignatureTree(ids[at], sizes[at], np.stack([fold(np.frombuffer(bits[i], np.uint8), to) for i in at]), parts[at])
-
-    for w in kinds:
-        if (side == 2).all():
-            own = tree(width == w, w)
-            yield from own.pairs(own, percent)
-            if 2 * w in kinds:
-                yield from own.pairs(tree(width == 2 * w, w), percent)
-        else:
-            for x, y in ((w, w), (w, 2 * w), (2 * w, w)):
-                left, right = (side == 0) & (width == x), (side == 1) & (width == y)
-                if left.any() and right.any():
-                    yield from tree(left, w).pairs(tree(right, w), percent)
-
-
-def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    part: a number for the component that each set is known to lie in.
+    """
+    _, part = np.unique(part, return_inverse=True)
+    found: list[tuple[int, int]] = []
+
+    def meet(i: int, j: int) -> None:
+        if part[i] != part[j] and linked(sets[i], sets[j], percent):
+            found.append((i, j))
+            part[part == part[j]] = part[i]
+
+    if right is None and len(left) == 2:
+        meet(*left)
+        return found
+    width = max(64, 1 << math.ceil(math.log2(2 * max(len(sets[i]) for side in (left, right) if side is not None for i in side))))
+    one = SignatureTree(left, sets, width)
+    two = one if right is None else SignatureTree(right, sets, width)
+    if one is two:  # leaves side by side first: they join most of a group of copies
+        for i, j in zip(one.leaves[:-1].tolist(), one.leaves[1:].tolist()):
+            meet(i, j)
+    for tree in {one, two}:
+        tree.relabel(part)
+    for a, b in one.pairs(two, percent):
+        before = len(found)
+        for i, j in zip(a.tolist(), b.tolist()):
+            meet(i, j)
+        if len(found) > before:
+            for tree in {one, two}:
+                tree.relabel(part)
+    return found
+
+
+def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row.
 
     docs: any columns besides ``id_col`` (an integer) and ``text_col``; words
@@ -170,186 +254,157 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     empty, blank) the set is empty and links with nothing. Documents link when
     ``100 * intersection >= percent * union``. Rows with a null id get their
     size and a null component and link with nothing; rows that share an id
-    are one document for reachability. Equal sets form one class, so copies
-    are never expanded into pairs (a set is known by 64 bits of its shingles, each
-    shingle by 64 bits of its words). ``percent`` must lie in 50..100.
+    are one document, which links with all that any of its texts links with
+    (a row of it without words keeps its own id).
+    Equal sets form one class, so copies are never expanded into pairs (a set
+    is known by 64 bits of its shingles, each shingle by 64 bits of its
+    words). ``percent`` must lie in 50..100. ``block``: the most classes that
+    one tree holds; it changes the work's order, never the result.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie in 50..100")
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, "text", 4 << 20):
-            grams = row_shingles(data, offsets, size)
-            values, counts = np.unique(np.concatenate([*grams, np.zeros(0, _U)]), return_counts=True)
-            keep = counts >= max(2, len(rows) // 1000)
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["gram", "n"])
-
-    # frequent shingles come last in the global order; any list gives the same links, so a share of the texts is enough
-    frequent = texts.where("doc_id is not null and text is not null and pmod(xxhash64(doc_id), 8) = 0").mapInArrow(heavy, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(200_000)
-    late = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(_U))
+    bands = Bands(percent)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
-            n, key, prefix, bits = [], [], [], []
-            for grams in row_shingles(data, offsets, size):
-                n.append(len(grams))
-                key.append(set_key(grams))
-                if len(grams):
-                    k = prefix_length(len(grams), percent)
-                    is_late = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams if len(late) else np.zeros(len(grams), bool)
-                    prefix.append(np.concatenate([grams[~is_late][:k], grams[is_late][: max(0, k - int((~is_late).sum()))]]).view(np.int64))
-                    bits.append(bitmap(grams).tobytes())
-                else:
-                    prefix.append(np.zeros(0, np.int64))
-                    bits.append(b"")
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["doc_id", "n", "key", "prefix", "bits"],
-            )
-
-    described = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, prefix array<long>, bits binary"))
-    linkable = described.where("n > 0 and doc_id is not null")
-    classes = scratch.table(linkable.groupBy("key").agg(F.min("doc_id").alias("rep")))
+            sets = row_shingles(data, offsets, size)
+            values, first = bands.pieces_of(sets)
+            pieces = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pieces], ["doc_id", "n", "key", "pieces"])
 
-    # buckets of two classes or more
-    postings = linkable.select(F.explode("prefix").alias("gram"), F.col("key").alias("id"), "n")
-    posted = postings.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "id")
+    described = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, pieces array<long>"))
+    linkable = described.where("n > 0 and doc_id is not null")
+    classes = scratch.table(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's postings, one of each piece, and links from it to the others: a hot piece travels once per task."""
+        schema = pa.schema([("piece", pa.int64()), ("key", pa.int64()), ("other", pa.int64())])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def combined() -> pa.RecordBatch:
+            piece, key = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            order = np.lexsort((key, piece))
+            piece, key = piece[order], key[order]
+            new = np.append(True, piece[1:] != piece[:-1])
+            lead = key[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            a, b = contract(lead[lead != key], key[lead != key])
+            piece, key = piece[new], key[new]
+            return pa.RecordBatch.from_arrays([pa.array(np.append(piece, a)), pa.array(np.append(key, a)), pa.array(np.append(np.zeros(len(key), np.int64), b), mask=np.append(np.ones(len(key), bool), np.zeros(len(b), bool)))], schema=schema)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of grams with two ids or more, each with the row before it in its bucket."""
-        last: tuple | None = None
-        held = 0  # 1: the last row still waits for a second one of its gram
         for batch in batches:
-            gram, ids, n = (batch.column(i).to_numpy() for i in range(3))
-            if last is not None:
-                gram, ids, n = np.append(last[0], gram), np.append(last[1], ids), np.append(last[2], n)
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])
-            sent = np.zeros(len(gram), bool)
-            if last is not None:
-                sent[0] = not held
-            keep_new = np.flatnonzero(new)
-            gram, ids, n, sent = gram[keep_new], ids[keep_new], n[keep_new], sent[keep_new]
-            same = np.zeros(len(gram), bool)
-            same[1:] = gram[1:] == gram[:-1]
-            after = np.append(same[1:], False)
-            out = (same | after) & ~sent
-            prior, prior_n = np.append(-1, ids[:-1]), np.append(-1, n[:-1])
-            prior[~same] = -1
-            if len(gram):
-                held = int(not (same[-1] or sent[-1]))
-                last = (gram[-1:], ids[-1:], n[-1:])
-            linkable = same & (prior_n * 100 >= n * percent)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[out]), pa.array(ids[out]), pa.array(n[out]), pa.array(np.where(linkable, prior, -1)[out], mask=~linkable[out])], ["gram", "id", "n", "prior"])
-
-    buckets = scratch.table(posted.mapInArrow(shared, "gram long, id long, n long, prior long"))
-    near = buckets.where("prior is not null and prior <> id").select(F.least("prior", "id").alias("a"), F.greatest("prior", "id").alias("b")).distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+            pieces = batch.column("pieces")
+            held.append((pieces.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column("key").to_numpy(), pieces.value_lengths().to_numpy())))
+            if sum(len(x[0]) for x in held) > 1 << 20:
+                yield combined()
+                held = []
+        if sum(len(x[0]) for x in held):
+            yield combined()
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between neighbours of one piece; rows come sorted by piece."""
+        last = np.zeros((2, 0), np.int64)
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                rows = batch.slice(start, 256)
-                for key, text in (("a", "x"), ("b", "y")):
-                    keys = rows.column(key).to_pylist()
-                    new = [i for i, k in enumerate(keys) if k not in known]
-                    data, offsets = utf8(rows.column(text).take(pa.array(new, pa.int64())))
-                    for i, grams in zip(new, row_shingles(data, offsets, size)):
-                        if set_key(grams) == keys[i]:
-                            known[keys[i]] = grams
-                none = np.zeros(0, _U)
-                keep = [linked(known.get(a, none), known.get(b, none), percent) for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist())]
-                mask = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([rows.column("a").filter(mask), rows.column("b").filter(mask)], ["a", "b"])
-                if sum(map(len, known.values())) > 1 << 20:
-                    known = {}
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose bitmaps leave room for the overlap that is asked for."""
-        for batch in batches:
-            keep = []
-            for nx, ny, x, y in zip(*(batch.column(c).to_pylist() for c in ("nx", "ny", "x", "y"))):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                width = min(len(x), len(y))
-                x, y = fold(x, width), fold(y, width)
-                most = int(np.bitwise_count(x & y).sum()) + min(nx - int(np.bitwise_count(x).sum()), ny - int(np.bitwise_count(y).sum()))
-                keep.append(min(most, nx, ny) * (100 + percent) >= (nx + ny) * percent)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.table(pairs)
-        ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-        known = scratch.table(linkable.select("key", "n", "bits").join(ends, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
-        left = known.select(F.col("key").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("x"))
-        right = known.select(F.col("key").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(bound, "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold on their whole texts."""
-        pairs = scratch.table(possible(pairs))
-        needed = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-        ids = scratch.table(classes.join(needed, "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
-        whole = texts.join(ids, "doc_id")
-        full = pairs.join(whole.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-        return scratch.table(full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct())
-
-    links = verified(near)
-    parts = components(links, scratch)
-    # buckets that hold several components: trees
-    labelled = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").select("gram", "id", "n", F.coalesce("component", "id").alias("part"))
-    labelled = scratch.table(labelled)
-    open_ = labelled.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most and m > 2").select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    opened = labelled.join(scratch.table(open_), "gram")
-    # one row per class with all its open buckets, so that a pair can be left to the first bucket the two share
-    several = scratch.table(opened.groupBy("id", "n", "part").agg(F.array_sort(F.collect_list(F.struct("gram", "blocks"))).alias("open")))
-    bits = linkable.select(F.col("key").alias("id"), "bits").join(several.select("id"), "id", "left_semi").groupBy("id").agg(F.first("bits").alias("bits"))
-    members = several.join(bits, "id").select("id", "n", "part", "bits", "open", F.posexplode("open").alias("at", "one"))
-    members = members.select("id", "n", "part", "bits", F.col("one.gram").alias("gram"), F.col("one.blocks").alias("blocks"), F.slice(F.transform("open", lambda o: o["gram"]), F.lit(1), F.col("at")).alias("less"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    members = members.withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "bits", "part", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "less")
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def search(table: pa.Table) -> pa.RecordBatch:
-            ids, n, part, side = (table.column(c).to_numpy() for c in ("id", "n", "part", "side"))
-            found = [*bucket_pairs(ids, n, table.column("bits").to_pylist(), part, side, percent)]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
-            if len(a):
-                before = {i: set(x) for i, x in zip(ids.tolist(), table.column("less").to_pylist()) if x}
-                none: set[int] = set()
-                here = [before.get(x, none).isdisjoint(before.get(y, none)) for x, y in zip(a.tolist(), b.tolist())]
-                a, b = a[here], b[here]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
-
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            keys = [table.column(c).to_numpy() for c in ("gram", "i", "j")]
-            cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
-            begin = 0
-            for end in cut:
-                yield search(table.slice(begin, end - begin))
-                begin = end
-            rest = table.slice(begin)
-        if rest is not None and len(rest):
-            yield search(rest)
-
-    wanted = members.repartition(partitions(spark), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    rest = wanted.mapInArrow(traverse, "a long, b long").where("a <> b").distinct().join(near, ["a", "b"], "left_anti")
-    more = verified(rest)
-    parts = components(links.unionAll(more), scratch)
-    scratch.drop(buckets, labelled, several)
-    named = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("part"))
-    named = scratch.table(named)
-    least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    final = scratch.table(named.join(least, "part").select("key", "component_id"))
-    joined = described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(final, "key", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+            if not len(batch):
+                continue
+            piece, key = (batch.column(i).to_numpy() for i in (0, 1))
+            link = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            posted = np.append(last, np.stack([piece[~link], key[~link]]), axis=1)
+            last = posted[:, -1:]
+            near = np.flatnonzero(posted[0, 1:] == posted[0, :-1])
+            to = batch.column(2).drop_null().to_numpy()
+            a, b = contract(np.append(key[link], posted[1, near]), np.append(to, posted[1, near + 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    posted = linkable.where(F.size("pieces") > 0).select("key", "pieces").mapInArrow(post, "piece long, key long, other long")
+    posted = posted.repartition(partitions(spark), "piece").sortWithinPartitions("piece", "key")
+    groups = components(posted.mapInArrow(share, "a long, b long"), scratch)
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each wanted class once, with its set."""
+        seen: set[tuple[int, int]] = set()
+        for rows, data, offsets in chunks(batches, "text"):
+            if len(seen) > 100_000:  # one that comes again costs time only
+                seen = set()
+            keys = list(zip(rows.column("rep").to_pylist(), rows.column("key").to_pylist()))
+            sets, at = [], []
+            for i, grams in enumerate(row_shingles(data, offsets, size)):
+                if keys[i] not in seen and set_key(grams) == keys[i][1]:
+                    seen.add(keys[i])
+                    sets.append(grams.tobytes())
+                    at.append(i)
+            rows = rows.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("places", "part", "rep", "grams_of")), pa.array(sets, pa.binary())], ["places", "part", "rep", "grams_of", "grams"])
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "grams_of", "place"):
+            of, place = table.column("grams_of").to_numpy(), table.column("place").to_numpy()
+            cut = np.flatnonzero((of[1:] != of[:-1]) | (place[1:] != place[:-1])) + 1
+            a, b = [], []
+            for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(table)]):
+                if end - begin < 2:
+                    continue
+                mine = table.slice(begin, end - begin).combine_chunks()
+                sets = [np.frombuffer(x.as_buffer(), _U) for x in mine.column("grams")]
+                rep, part, side = (mine.column(c).to_numpy() for c in ("rep", "part", "side"))
+                left, right = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
+                if len(left) and (len(right) or (side == 2).all()):
+                    for i, j in spanning_links(sets, part, left, right if len(right) else None, percent):
+                        a.append(rep[i])
+                        b.append(rep[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def resolved(members: DataFrame) -> DataFrame:
+        """members (grams_of: group, places: array of 4 * place + side, part, rep, key) -> verified links (a, b).
+
+        side: 0 meets 1 of the same group and place, 2 all others there."""
+        wanted = texts.where("text is not null").join(members, F.col("doc_id") == F.col("rep")).select("text", "places", "part", "rep", "grams_of", "key")
+        sets = wanted.mapInArrow(whole_sets, "places array<long>, part long, rep long, grams_of long, grams binary")
+        dealt = sets.withColumn("to", F.explode("places")).select("grams_of", F.shiftright("to", 2).alias("place"), F.col("to").bitwiseAND(3).alias("side"), "part", "rep", "grams")
+        dealt = dealt.repartition(partitions(spark), "grams_of", "place").sortWithinPartitions("grams_of", "place")
+        return scratch.table(dealt.mapInArrow(trees, "a long, b long"))
+
+    def blocked(members: DataFrame) -> DataFrame:
+        """Places by block: as many blocks as the group's sets need."""
+        blocks = members.groupBy("grams_of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
+        return members.join(blocks, "grams_of").withColumn("block", F.pmod(F.xxhash64("rep", "key"), "blocks"))
+
+    members = scratch.table(blocked(groups.select(F.col("node").alias("key"), F.col("component").alias("grams_of")).join(classes, "key")))
+    links = resolved(members.select("grams_of", F.array(F.col("block") * 4 + 2).alias("places"), F.col("rep").alias("part"), "rep", "key"))
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        row = Window.partitionBy("grams_of", "part")
+
+        def parted() -> DataFrame:
+            """The sets of large groups, with the component that they are known to lie in."""
+            parts = components(links, scratch)
+            return scratch.table(large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("grams_of", "rep", "key", "n", "blocks", "block", F.coalesce("component", "rep").alias("part")))
+
+        for turn in range(2):
+            some = parted().withColumn("at", F.row_number().over(row.orderBy(F.xxhash64("rep", "key", F.lit(turn)), "rep", "key"))).where("at <= 16")
+            some = blocked(some.select("grams_of", "rep", "key", "n", "part"))
+            links = links.unionAll(resolved(some.select("grams_of", F.array(F.col("block") * 4 + 2).alias("places"), "part", "rep", "key")))
+        now = parted()
+        sized = now.groupBy("grams_of", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams")).groupBy("grams_of").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("most"), F.sum("grams").alias("grams"))
+        minor = now.join(sized, "grams_of").where("m > most")
+        minors = minor.where("part <> main").groupBy("grams_of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_GRAMS)).alias("sides"))
+        last = minor.join(minors, "grams_of")
+        place = lambda i, j, side: (i * F.col("sides") + j) * 4 + side
+        every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        in_block = F.transform(every("sides"), lambda j: place(F.col("block"), j, 0))
+        beside = F.transform(every("blocks"), lambda i: place(i, F.pmod(F.xxhash64("rep", "key"), "sides"), 1))
+        places = F.when(F.col("part") == F.col("main"), in_block).otherwise(F.concat(in_block, beside))
+        links = links.unionAll(resolved(last.select("grams_of", places.alias("places"), "part", "rep", "key")))
+
+    # an id with several sets ties their classes together
+    several = linkable.groupBy("doc_id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("doc_id")
+    ties = linkable.join(several, "doc_id").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    parts = components(links.unionAll(ties), scratch)
+    scratch.drop(members)
+    named = linkable.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return named.unionAll(described.where("n = 0 or doc_id is null").select("doc_id", "n", "doc_id"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -44,38 +44,68 @@ def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
-def test_jaccard_equals_brute_force(spark, corpus, size, percent):
-    sets = {}
+def brute_components(corpus, size, percent):
+    """(size of each row's set, component of each id)."""
+    sets = []
     for i, t in corpus:
         w = words_of(t)
-        sets.setdefault(i, frozenset(tuple(w[j : j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
-    root = {i: i for i in sets if i is not None}
-    for _ in sets:
-        for a in root:
-            for b in root:
-                x, y = sets[a], sets[b]
-                if x and y and 100 * len(x & y) >= percent * len(x | y):
-                    root[a] = root[b] = min(root[a], root[b])
-    got = jaccard.link_components(frame(spark, corpus), Scratch(spark, "t"), size=size, percent=percent).collect()
-    assert len(got) == len(corpus)
-    for r in got:
-        if r["doc_id"] is None:
-            assert r["component_id"] is None and r["n_shingles"] > 0
-        else:
-            assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), root[r["doc_id"]])
+        sets.append((i, frozenset(tuple(w[j : j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])))
+    root = {i: i for i, _ in sets if i is not None}
+    links = [(a, b) for a, x in sets for b, y in sets if a is not None and b is not None and a < b and x and y and 100 * len(x & y) >= percent * len(x | y)]
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return [len(s) for _, s in sets], root
+
+
+@pytest.mark.parametrize("size,percent,block", [(3, 90, 1024), (5, 80, 1024), (5, 80, 3), (3, 60, 4)])
+def test_jaccard_equals_brute_force(spark, corpus, size, percent, block):
+    """Also with groups that are cut into blocks of a few sets."""
+    rng = np.random.default_rng(size)
+    long_ = prose(77, 90).split()
+    near = []
+    for i in range(40):  # one large group, some of whose members link only through others
+        w = list(long_)
+        for at in rng.integers(0, len(w), i // 6):
+            w[at] = f"n{i}x{at}"
+        near.append((400 + i, " ".join(w)))
+    rows = [*corpus, *near, (404, base_of_other := prose(5, 95)), (999, base_of_other + " "), (998, "tiny text of four"), (997, "tiny text of four words")]
+    sizes, root = brute_components(rows, size, percent)
+    got = jaccard.link_components(frame(spark, rows), Scratch(spark, "t"), size=size, percent=percent, block=block).collect()
+    want = sorted((str(i), n, str(None if i is None else root[i] if n else i)) for (i, _), n in zip(rows, sizes))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 97])
+def test_linked_sets_post_an_equal_piece(percent):
+    rng = np.random.default_rng(percent)
+    bands, checked = jaccard.Bands(percent), 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.random() * 0.3], rng.integers(0, 1 << 63, int(rng.integers(0, 3))).astype(np.uint64)]))
+        if len(x) != len(y) and jaccard.linked(x, y, percent):
+            values, first = bands.pieces_of([x, y, np.zeros(0, np.uint64)])
+            assert set(values[: first[1]].tolist()) & set(values[first[1] : first[2]].tolist()) and first[3] == first[2]
+            checked += 1
+    assert checked > 50
 
 
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 63, 80).astype(np.uint64)) for _ in range(3)]
     docs = [np.unique(np.concatenate([s[rng.random(len(s)) > 0.04], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for s in sets for _ in range(40)]
-    bits = [jaccard.bitmap(d).tobytes() for d in docs]
-    found = set()
-    for a, b in jaccard.bucket_pairs(np.arange(120), np.array([len(d) for d in docs]), bits, np.arange(120), np.full(120, 2), 80):
+    tree, found = jaccard.SignatureTree(np.arange(120), docs, 256), set()
+    tree.relabel(np.arange(120))
+    for a, b in tree.pairs(tree, 80):
         found |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
     true = {(i, j) for i in range(120) for j in range(i + 1, 120) if jaccard.linked(docs[i], docs[j], 80)}
     assert true and true <= found and len(found) < 120 * 119 / 2 * 0.6
+    root = list(range(120))
+    for i, j in jaccard.spanning_links(docs, np.arange(120), np.arange(120), None, 80):
+        assert (min(i, j), max(i, j)) in true and root[i] != root[j]
+        root = [root[i] if r == root[j] else r for r in root]
+    assert all(root[i] == root[j] for i, j in true)
 
 
 def test_suffix_dedup_equals_brute_force(spark, corpus):
