@@ -3,6 +3,7 @@ folder that all executors share, and Arrow text access."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder; one of its own only where none is named and
+    all runs in this process (tests)."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="cohortlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlake-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 

@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
 
     def evidence(wanted: np.ndarray | None, known: np.ndarray) -> DataFrame:
         """(feature, toxic texts, other texts), summed in each task first. Without
-        ``wanted``: all features of toxic texts and of an eighth of the others.
+        ``wanted``: all features of toxic texts, counted in these alone.
         A word that is known to indicate counts for itself only, so that its
         beginnings must earn their share from other words."""
 
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
                 found[np.isin(found[:, 0], known), 1:] = 0
                 hashes, row = found.ravel(), np.repeat(row, FORMS)
                 if wanted is None:
-                    keep = (hashes != 0) & (toxic | (np.arange(len(toxic)) % 8 == 0))[row]
+                    keep = (hashes != 0) & toxic[row]
                 else:
                     keep = (hashes != 0) & (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes)
                 pair = np.unique(np.stack([hashes[keep], row[keep].astype(_U)], 1), axis=0)
@@ -300,12 +300,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
     yes_rows = counts[0] or 0
     prior, weight = (yes_rows + 0.1) / ((counts[1] or 0) + 1.0), min(4.0, max(2.0, yes_rows / 100))
     none = np.zeros(0, _U)
-    first = evidence(None, none).where((F.col("yes") >= support) & (F.col("no") * 5 <= F.col("yes") + 2)).orderBy(F.desc("yes"), "f").limit(100_000)
-    wanted = np.sort(np.array([r[0] for r in first.select("f").collect()], np.int64).view(_U))
+    first = evidence(None, none).where(F.col("yes") >= support)  # words of the toxic texts among ``bound``
+    wanted = np.sort(first.select("f").toArrow().column("f").to_numpy().view(_U))
     indicating: dict[int, float] = {}
     for known in (none, None) if len(wanted) else ():
         known = np.array(sorted(indicating), _U) if known is None else known
-        for f, yes, no in evidence(wanted, known).collect():
+        for f, yes, no in zip(*(c.to_numpy().tolist() for c in evidence(wanted, known).toArrow().columns)):
             f, share = int(f) % (1 << 64), (yes + weight * prior) / (yes + no + weight)
             indicating.pop(f, None)
             if share >= least:
@@ -315,15 +315,28 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
     return Model(speech, hashes, np.array([indicating[int(h)] for h in hashes], float), min(0.3, prior / 4))
 
 
-def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The given columns and ``toxic_score`` (double, 0 to 1); a null or empty text gets the base score."""
-    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
+    """The given columns and ``score_col`` (double, 0 to 1); a null or empty text
+    gets the base score, a column of that name that ``docs`` has is replaced.
+    Rows are judged one by one: repeated rows and ids get equal scores."""
+    rest = [c for c in docs.columns if c != score_col]
+    schema = StructType([*docs.select(*[f"`{c}`" for c in rest]).schema.fields, StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in chunks(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score_texts(model, raw, offsets))], [*rows.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score_texts(model, raw, offsets))], [*rows.schema.names, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in rest]).mapInArrow(run, schema)
+
+
+def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all its columns, whose score is below ``limit``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, offsets in chunks(batches, text_col):
+            yield rows.filter(pa.array(score_texts(model, raw, offsets) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold(of: str = "doc_id") -> Column:
