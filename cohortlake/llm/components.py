@@ -33,13 +33,14 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 40, small: int = 1 << 20) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable.
 
-    Each round relinks all neighbours of a node to the smallest of them, so
-    depth falls geometrically; each round's table is written to the shared
-    folder. Only minima per node are aggregated (combined before the
-    shuffle); no neighbour list is gathered.
+    Tasks first reduce their edges to forests. Up to ``small`` edges are then
+    contracted by one task, in about 50 MB. Beyond that, each round relinks all
+    neighbours of a node to the smallest of them, so depth falls geometrically;
+    each round's table is written to the shared folder. Only minima per node
+    are aggregated (combined before the shuffle); no neighbour list is gathered.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -62,14 +63,31 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
         return out, (seen.get["n"], seen.get["sum"])
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's edges as stars on its smallest nodes."""
+        """A task's edges as stars on its smallest nodes, half a million at a time."""
+        held, n = [np.zeros((2, 0), np.int64)], 0
         for batch in batches:
-            a, b = contract(batch.column("a").to_numpy(), batch.column("b").to_numpy())
+            held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+            n += len(batch)
+            if n > 1 << 19:
+                held, n = [np.stack(contract(*np.concatenate(held, axis=1)))], 0
+                if held[0].shape[1] > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["a", "b"])
+                    held = held[:0]
+        if held:
+            a, b = contract(*np.concatenate(held, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    first = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now, before = written(first.mapInArrow(forest, "a long, b long"))
-    for _ in range(rounds if before[0] else 0):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All components of a small graph."""
+        pairs = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+        a, b = contract(*(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1)))
+        roots = np.unique(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(a, roots)), pa.array(np.append(b, roots))], ["node", "component"])
+
+    now, before = written(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long"))
+    if before[0] <= small:
+        return scratch.table(now.coalesce(1).mapInArrow(whole, "node long, component long"))
+    for _ in range(rounds):
         then, after = written(star(star(now, True), False).mapInArrow(forest, "a long, b long"))
         scratch.drop(now)
         now = then
@@ -77,7 +95,6 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
             break
         before = after
     else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     # at the fixpoint every edge is (node, smallest of its component)
     return scratch.table(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())

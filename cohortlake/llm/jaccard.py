@@ -6,18 +6,21 @@ they agree on a whole piece, so every link joins two sets that post an equal
 piece. Sets that are connected by equal pieces form a group; unrelated texts
 hardly ever share a piece, however many shingles they have in common.
 
-Each group is resolved by a signature tree: nodes hold OR-combined shingle
-bitmaps, size ranges and the range of components below them; a dual traversal
-drops node pairs whose maximum possible overlap is below the overlap that the
-threshold asks for, or that lie in one component. Surviving leaves are
-verified on their whole sets as the traversal reaches them and joined at once,
-so that a group of copies costs a spanning forest, not its pairs.
+Each group is resolved by a signature tree: nodes hold OR-combined bitmaps of
+the shingles that any two sets of the group share, size ranges and the range
+of components below them; a dual traversal drops node pairs whose maximum
+possible overlap is below the overlap that the threshold asks for, or that lie
+in one component. Surviving leaves are verified on their whole sets as the
+traversal reaches them and joined at once, the sets nearest to the group's
+majority first, so that a group of copies costs a spanning forest, not its
+pairs.
 
 A group of more than ``block`` sets is dealt to blocks. Each block gets its
-own tree, then up to sixteen sets of each component meet in a tree, twice;
-then the sets outside of the group's largest component meet every block, which
-covers all pairs that can still link. Every pair is verified, known to be
-connected, or excluded by a bound, so no link between different texts is lost.
+own tree and names its most central sets; the most central of the group meet
+every block; then the sets outside of the group's largest component meet every
+block, which covers all pairs that can still link. Every pair is verified,
+known to be connected, or excluded by a bound, so no link between different
+texts is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from . import words as W
 from .common import Scratch, chunks, partitions, whole_groups
 from .components import components, contract
 
-BLOCK = 1024
+BLOCK = 2048
+#: Central sets that a group of several blocks shows to all of them.
+PIVOTS = 64
 #: Shingles that a block holds, unless one set has more.
 BLOCK_GRAMS = 2 << 20
 FAN = 8
@@ -50,13 +55,6 @@ def row_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return [np.unique(grams[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
 
 
-def bitmap(grams: np.ndarray, width: int) -> np.ndarray:
-    """A bit for each shingle among ``width``, a power of two from 8."""
-    bits = np.zeros(width, bool)
-    bits[(grams >> _U(20)) & _U(width - 1)] = True
-    return np.packbits(bits)
-
-
 def set_key(grams: np.ndarray) -> int:
     """64 bits that stand for the whole set."""
     total = W.mix(grams + _U(1)).sum(dtype=_U) + _U(len(grams))
@@ -135,16 +133,35 @@ class Bands:
         return hashes_[order], np.searchsorted(rows_[order], np.arange(len(sets) + 1))
 
 
+def bitmaps(sets: list[np.ndarray], most: int = 1 << 25) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, excess): a bit for each shingle that stands in two sets or more, so
+    that a pair's common bits are its overlap; beyond ``most`` bits in all, bits
+    are shared, and excess says how many shingles of a set lie on bits it has
+    already."""
+    all_ = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, counts = np.unique(all_, return_counts=True)
+    shared = values[counts > 1]
+    if not len(shared):
+        return np.zeros((len(sets), 1), np.uint8), np.zeros(len(sets), np.int64)
+    at = np.minimum(np.searchsorted(shared, all_), len(shared) - 1)
+    here = shared[at] == all_
+    width = min(-(-len(shared) // 8) * 8, max(64, most // len(sets) // 8 * 8))
+    bits = np.zeros((len(sets), width), bool)
+    bits[row[here], at[here] % width] = True
+    bits = np.packbits(bits, axis=1)
+    return bits, np.bincount(row[here], minlength=len(sets)) - np.bitwise_count(bits).sum(1, dtype=np.int64)
+
+
 class SignatureTree:
     """Sets as leaves, alike ones side by side, packed bottom-up."""
 
-    def __init__(self, chosen: np.ndarray, sets: list[np.ndarray], width: int):
+    def __init__(self, chosen: np.ndarray, sets: list[np.ndarray], bits: np.ndarray, excess: np.ndarray):
         least = np.array([sets[i][0] for i in chosen], _U)
         sizes = np.array([len(sets[i]) for i in chosen], np.int64)
         order = np.lexsort((sizes, least))  # near copies often share their least hash
         self.leaves, sizes = chosen[order], sizes[order]
-        bits = np.stack([bitmap(sets[i], width) for i in self.leaves])
-        self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(1, dtype=np.int64))]
+        self.levels = [(bits[self.leaves], sizes, sizes, excess[self.leaves])]
         while len(self.levels[-1][0]) > 1:
             bits, low, high, excess = self.levels[-1]
             at = np.arange(0, len(bits), FAN)
@@ -210,9 +227,20 @@ class SignatureTree:
         return np.where(child < len(tree.levels[level - 1][0]), child, -1).ravel()
 
 
-def spanning_links(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def centrality(bits: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """How like each chosen set is to the shingles that most of them have, from 0 to 1."""
+    plain = np.zeros(bits.shape[1] * 8, np.int64)
+    for part in np.array_split(chosen, max(1, len(chosen) * len(plain) // (8 << 20))):
+        plain += np.unpackbits(bits[part], axis=1).sum(0, dtype=np.int64)
+    majority = np.packbits(2 * plain > len(chosen))
+    common = np.bitwise_count(bits[chosen] & majority).sum(1, dtype=np.int64)
+    return common / np.maximum(1, sizes[chosen] + int(np.bitwise_count(majority).sum()) - common)
+
+
+def spanning_links(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int) -> tuple[list[tuple[int, int]], np.ndarray | None]:
     """Verified links that join all components which links join: of sets
-    ``left`` with each other, or with those of ``right``.
+    ``left`` with each other, or with those of ``right``; and, of ``left``
+    alone, each one's centrality.
 
     part: a number for the component that each set is known to lie in.
     """
@@ -226,13 +254,20 @@ def spanning_links(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, r
 
     if right is None and len(left) == 2:
         meet(*left)
-        return found
-    width = max(64, 1 << math.ceil(math.log2(2 * max(len(sets[i]) for side in (left, right) if side is not None for i in side))))
-    one = SignatureTree(left, sets, width)
-    two = one if right is None else SignatureTree(right, sets, width)
-    if one is two:  # leaves side by side first: they join most of a group of copies
-        for i, j in zip(one.leaves[:-1].tolist(), one.leaves[1:].tolist()):
-            meet(i, j)
+        return found, np.ones(2)
+    bits, excess = bitmaps(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+
+    def star(centre: int, others: np.ndarray) -> None:
+        common = np.bitwise_count(bits[others] & bits[centre]).sum(1, dtype=np.int64) + np.minimum(excess[others], excess[centre])
+        for j in others[common * (100 + percent) >= (sizes[others] + sizes[centre]) * percent].tolist():
+            meet(centre, j)
+
+    central = centrality(bits, sizes, left if right is None else right)
+    for k in np.argsort(-central, kind="stable")[:4]:
+        star(int((left if right is None else right)[k]), left)
+    one = SignatureTree(left, sets, bits, excess)
+    two = one if right is None else SignatureTree(right, sets, bits, excess)
     for tree in {one, two}:
         tree.relabel(part)
     for a, b in one.pairs(two, percent):
@@ -242,7 +277,7 @@ def spanning_links(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, r
         if len(found) > before:
             for tree in {one, two}:
                 tree.relabel(part)
-    return found
+    return found, central if right is None else None
 
 
 def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
@@ -324,6 +359,7 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each wanted class once, with its set."""
         seen: set[tuple[int, int]] = set()
+        names = ["of", "blocks", "block", "rep", "key", "n"]
         for rows, data, offsets in chunks(batches, "text"):
             if len(seen) > 100_000:  # one that comes again costs time only
                 seen = set()
@@ -335,73 +371,79 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                     sets.append(grams.tobytes())
                     at.append(i)
             rows = rows.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("places", "part", "rep", "grams_of")), pa.array(sets, pa.binary())], ["places", "part", "rep", "grams_of", "grams"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "grams"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "grams_of", "place"):
-            of, place = table.column("grams_of").to_numpy(), table.column("place").to_numpy()
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("of", pa.int64()), ("key", pa.int64()), ("central", pa.float64())])
+        for table in whole_groups(batches, "of", "place"):
+            of, place = table.column("of").to_numpy(), table.column("place").to_numpy()
             cut = np.flatnonzero((of[1:] != of[:-1]) | (place[1:] != place[:-1])) + 1
-            a, b = [], []
+            out: list[tuple] = []
             for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(table)]):
-                if end - begin < 2:
-                    continue
                 mine = table.slice(begin, end - begin).combine_chunks()
                 sets = [np.frombuffer(x.as_buffer(), _U) for x in mine.column("grams")]
-                rep, part, side = (mine.column(c).to_numpy() for c in ("rep", "part", "side"))
+                rep, key, part, side = (mine.column(c).to_numpy() for c in ("rep", "key", "part", "side"))
                 left, right = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
-                if len(left) and (len(right) or (side == 2).all()):
-                    for i, j in spanning_links(sets, part, left, right if len(right) else None, percent):
-                        a.append(rep[i])
-                        b.append(rep[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def resolved(members: DataFrame) -> DataFrame:
-        """members (grams_of: group, places: array of 4 * place + side, part, rep, key) -> verified links (a, b).
-
-        side: 0 meets 1 of the same group and place, 2 all others there."""
-        wanted = texts.where("text is not null").join(members, F.col("doc_id") == F.col("rep")).select("text", "places", "part", "rep", "grams_of", "key")
-        sets = wanted.mapInArrow(whole_sets, "places array<long>, part long, rep long, grams_of long, grams binary")
-        dealt = sets.withColumn("to", F.explode("places")).select("grams_of", F.shiftright("to", 2).alias("place"), F.col("to").bitwiseAND(3).alias("side"), "part", "rep", "grams")
-        dealt = dealt.repartition(partitions(spark), "grams_of", "place").sortWithinPartitions("grams_of", "place")
-        return scratch.table(dealt.mapInArrow(trees, "a long, b long"))
-
-    def blocked(members: DataFrame) -> DataFrame:
-        """Places by block: as many blocks as the group's sets need."""
-        blocks = members.groupBy("grams_of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
-        return members.join(blocks, "grams_of").withColumn("block", F.pmod(F.xxhash64("rep", "key"), "blocks"))
-
-    members = scratch.table(blocked(groups.select(F.col("node").alias("key"), F.col("component").alias("grams_of")).join(classes, "key")))
-    links = resolved(members.select("grams_of", F.array(F.col("block") * 4 + 2).alias("places"), F.col("rep").alias("part"), "rep", "key"))
-    large = members.where("blocks > 1")
+                if len(left) > 1 and side[left[0]] > 1:
+                    found, central = spanning_links(sets, part, left, None, percent)
+                elif len(left) and len(right):
+                    found, central = spanning_links(sets, part, left, right, percent)
+                else:
+                    found, central = [], np.ones(len(left)) if len(left) and side[left[0]] > 1 else None
+                out += [(int(rep[i]), int(rep[j]), None, None, None) for i, j in found]
+                if side[0] == 3:
+                    top = np.argsort(-central, kind="stable")[:PIVOTS]
+                    out += [(int(rep[left[k]]), None, int(of[begin]), int(key[left[k]]), float(central[k])) for k in top]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def resolved(rows: DataFrame) -> DataFrame:
+        """rows (of: group, places: array of 4 * place + side, part, rep, key, grams) -> (a, b) verified
+        links, and (a, of, key, central) for the central sets of each place of side 3.
+
+        side: 0 meets 1 of the same group and place; 2 and 3 all others there."""
+        dealt = rows.withColumn("to", F.explode("places")).select("of", F.shiftright("to", 2).alias("place"), F.col("to").bitwiseAND(3).alias("side"), "part", "rep", "key", "grams")
+        dealt = dealt.repartition(partitions(spark), "of", "place").sortWithinPartitions("of", "place")
+        return scratch.table(dealt.mapInArrow(trees, "a long, b long, of long, key long, central double"))
+
+    def needed(members: DataFrame) -> DataFrame:
+        """(of, blocks): as many blocks as the group's sets need."""
+        return members.groupBy("of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
+
+    hashed = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n))
+    place = lambda i, side: F.array(i * 4 + side)
+    members = scratch.table(groups.select(F.col("node").alias("key"), F.col("component").alias("of")).join(classes, "key"))
+    members = members.join(needed(members), "of").withColumn("block", hashed("blocks"))
+    # both sides grow with the data: never a broadcast
+    wanted = texts.where("text is not null").join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("text", "of", "blocks", "block", "rep", "key", "n")
+    sets = scratch.table(wanted.mapInArrow(whole_sets, "of long, blocks long, block long, rep long, key long, n long, grams binary"))
+    first = resolved(sets.select("of", place(F.col("block"), F.when(F.col("blocks") > 1, 3).otherwise(2)).alias("places"), F.col("rep").alias("part"), "rep", "key", "grams"))
+    links = first.where("b is not null").select("a", "b")
+    large = sets.where("blocks > 1")
     if not large.isEmpty():
-        row = Window.partitionBy("grams_of", "part")
-
-        def parted() -> DataFrame:
-            """The sets of large groups, with the component that they are known to lie in."""
-            parts = components(links, scratch)
-            return scratch.table(large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("grams_of", "rep", "key", "n", "blocks", "block", F.coalesce("component", "rep").alias("part")))
-
-        for turn in range(2):
-            some = parted().withColumn("at", F.row_number().over(row.orderBy(F.xxhash64("rep", "key", F.lit(turn)), "rep", "key"))).where("at <= 16")
-            some = blocked(some.select("grams_of", "rep", "key", "n", "part"))
-            links = links.unionAll(resolved(some.select("grams_of", F.array(F.col("block") * 4 + 2).alias("places"), "part", "rep", "key")))
-        now = parted()
-        sized = now.groupBy("grams_of", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams")).groupBy("grams_of").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("most"), F.sum("grams").alias("grams"))
-        minor = now.join(sized, "grams_of").where("m > most")
-        minors = minor.where("part <> main").groupBy("grams_of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_GRAMS)).alias("sides"))
-        last = minor.join(minors, "grams_of")
-        place = lambda i, j, side: (i * F.col("sides") + j) * 4 + side
         every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-        in_block = F.transform(every("sides"), lambda j: place(F.col("block"), j, 0))
-        beside = F.transform(every("blocks"), lambda i: place(i, F.pmod(F.xxhash64("rep", "key"), "sides"), 1))
-        places = F.when(F.col("part") == F.col("main"), in_block).otherwise(F.concat(in_block, beside))
-        links = links.unionAll(resolved(last.select("grams_of", places.alias("places"), "part", "rep", "key")))
+        ranked = first.where("b is null").withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("central"), "a", "key")))
+        pivots = scratch.table(ranked.where(F.col("r") <= PIVOTS).select("of", F.col("a").alias("rep"), "key"))
+        shown = large.join(pivots, ["of", "rep", "key"]).select("of", F.transform(every("blocks"), lambda i: i * 4 + 1).alias("places"), F.col("rep").alias("part"), "rep", "key", "grams")
+        met = resolved(large.select("of", place(F.col("block"), F.lit(0)).alias("places"), F.col("rep").alias("part"), "rep", "key", "grams").unionAll(shown))
+        links = links.unionAll(met.select("a", "b"))
+        parts = components(links, scratch)
+        now = large.drop("grams").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+        now = scratch.table(now.select("of", "blocks", "block", "rep", "key", "n", "part"))
+        sized = now.groupBy("of", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("of").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
+        minor = now.join(sized, "of").where("part <> main")
+        sides = scratch.table(needed(minor).withColumnRenamed("blocks", "sides"))
+        if not sides.isEmpty():
+            last = now.join(sized, "of").join(sides, "of").join(large.select("of", "rep", "key", "grams"), ["of", "rep", "key"])
+            in_block = F.transform(every("sides"), lambda j: (F.col("block") * F.col("sides") + j) * 4)
+            beside = F.transform(every("blocks"), lambda i: (i * F.col("sides") + hashed("sides")) * 4 + 1)
+            places = F.when(F.col("part") == F.col("main"), in_block).otherwise(F.concat(in_block, beside))
+            links = links.unionAll(resolved(last.select("of", places.alias("places"), "part", "rep", "key", "grams")).select("a", "b"))
 
     # an id with several sets ties their classes together
     several = linkable.groupBy("doc_id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("doc_id")
     ties = linkable.join(several, "doc_id").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     parts = components(links.unionAll(ties), scratch)
-    scratch.drop(members)
+    scratch.drop(sets)
     named = linkable.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return named.unionAll(described.where("n = 0 or doc_id is null").select("doc_id", "n", "doc_id"))

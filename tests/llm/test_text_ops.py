@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from cohortlake.llm import bpe, encode, jaccard, packing, recurrent_lm, suffix_dedup, toxicity
 from cohortlake.llm.common import Scratch
+from cohortlake.llm.components import components
 from cohortlake.llm.words import NOT_SPACE, split
 
 SCHEMA = "doc_id long, text string, n_chars long, key string, id int, n double, hash long"
@@ -95,19 +96,32 @@ def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 63, 80).astype(np.uint64)) for _ in range(3)]
     docs = [np.unique(np.concatenate([s[rng.random(len(s)) > 0.04], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for s in sets for _ in range(40)]
-    tree, found = jaccard.SignatureTree(np.arange(120), docs, 256), set()
+    tree, found = jaccard.SignatureTree(np.arange(120), docs, *jaccard.bitmaps(docs, 120 * 64)), set()  # narrow bitmaps: bits are shared
     tree.relabel(np.arange(120))
     for a, b in tree.pairs(tree, 80):
         found |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
     true = {(i, j) for i in range(120) for j in range(i + 1, 120) if jaccard.linked(docs[i], docs[j], 80)}
     assert true and true <= found and len(found) < 120 * 119 / 2 * 0.6
     root = list(range(120))
-    for i, j in jaccard.spanning_links(docs, np.arange(120), np.arange(120), None, 80):
+    for i, j in jaccard.spanning_links(docs, np.arange(120), np.arange(120), None, 80)[0]:
         assert (min(i, j), max(i, j)) in true and root[i] != root[j]
         root = [root[i] if r == root[j] else r for r in root]
     assert all(root[i] == root[j] for i, j in true)
 
 
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components_in_one_task_and_in_rounds(spark, small):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r["node"]: r["component"] for r in components(edges, Scratch(spark, "t"), small=small).collect()}
+    assert got == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+
+
 def test_suffix_dedup_equals_brute_force(spark, corpus):
     length = 60
     passage = "A shared passage, é ü, that stands in several texts and is longer than the limit of bytes."
