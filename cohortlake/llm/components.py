@@ -33,10 +33,28 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 40, small: int = 1 << 20) -> DataFrame:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars on its smallest nodes, half a million at a time."""
+    held, n = [np.zeros((2, 0), np.int64)], 0
+    for batch in batches:
+        held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+        n += len(batch)
+        if n > 1 << 19:
+            held = [np.stack(contract(*np.concatenate(held, axis=1)))]
+            n = held[0].shape[1]
+            if n > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["a", "b"])
+                held, n = [], 0
+    if held:
+        a, b = contract(*np.concatenate(held, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 40, small: int = 1 << 20, reduced: bool = False) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable.
 
-    Tasks first reduce their edges to forests. Up to ``small`` edges are then
+    Tasks first reduce their edges to forests, unless what makes the edges has
+    ``reduced`` them so (one Python worker per task, not two, then). Up to ``small`` edges are then
     contracted by one task, in about 50 MB. Beyond that, each round relinks all
     neighbours of a node to the smallest of them, so depth falls geometrically;
     each round's table is written to the shared folder. Only minima per node
@@ -62,21 +80,6 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40, small: int
         out = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("sum")))
         return out, (seen.get["n"], seen.get["sum"])
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's edges as stars on its smallest nodes, half a million at a time."""
-        held, n = [np.zeros((2, 0), np.int64)], 0
-        for batch in batches:
-            held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
-            n += len(batch)
-            if n > 1 << 19:
-                held, n = [np.stack(contract(*np.concatenate(held, axis=1)))], 0
-                if held[0].shape[1] > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["a", "b"])
-                    held = held[:0]
-        if held:
-            a, b = contract(*np.concatenate(held, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All components of a small graph."""
         pairs = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
@@ -84,7 +87,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40, small: int
         roots = np.unique(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(a, roots)), pa.array(np.append(b, roots))], ["node", "component"])
 
-    now, before = written(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long"))
+    first = edges.select("a", "b").where("a <> b")
+    now, before = written(first if reduced else first.mapInArrow(forest, "a long, b long"))
     if before[0] <= small:
         return scratch.table(now.coalesce(1).mapInArrow(whole, "node long, component long"))
     for _ in range(rounds):

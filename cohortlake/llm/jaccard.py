@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import Scratch, chunks, partitions, whole_groups
-from .components import components, contract
+from .components import components, contract, forest
 
 BLOCK = 2048
 #: Central sets that a group of several blocks shows to all of them.
@@ -338,23 +338,24 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             yield combined()
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links between neighbours of one piece; rows come sorted by piece."""
+        """Links between neighbours of one piece, as a forest; rows come sorted by piece."""
         last = np.zeros((2, 0), np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
+
+        def links(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal last
             piece, key = (batch.column(i).to_numpy() for i in (0, 1))
             link = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
             posted = np.append(last, np.stack([piece[~link], key[~link]]), axis=1)
             last = posted[:, -1:]
             near = np.flatnonzero(posted[0, 1:] == posted[0, :-1])
             to = batch.column(2).drop_null().to_numpy()
-            a, b = contract(np.append(key[link], posted[1, near]), np.append(to, posted[1, near + 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.append(key[link], posted[1, near])), pa.array(np.append(to, posted[1, near + 1]))], ["a", "b"])
+
+        yield from forest(links(batch) for batch in batches if len(batch))
 
     posted = linkable.where(F.size("pieces") > 0).select("key", "pieces").mapInArrow(post, "piece long, key long, other long")
     posted = posted.repartition(partitions(spark), "piece").sortWithinPartitions("piece", "key")
-    groups = components(posted.mapInArrow(share, "a long, b long"), scratch)
+    groups = components(posted.mapInArrow(share, "a long, b long"), scratch, reduced=True)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each wanted class once, with its set."""
