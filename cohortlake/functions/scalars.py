@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -54,20 +55,31 @@ def is_primary_sample(c: Column) -> Column:
     return F.coalesce(sample_code(c).between(1, 9), F.lit(False))
 
 
+#: Names of missing and of mitochondrial chromosomes.
+NO_CHROMOSOME, MITOCHONDRIAL = ["", "nan", "none", "na"], ["25", "M", "MT", "MITO", "MITOCHONDRIA"]
+
+
 def chromosome(c: Column) -> Column:
     """'chr' stripped, 23/24/25 as X/Y/MT, decimals as integers, missing as 'NA'."""
     text = F.upper(F.trim(F.replace(F.replace(F.trim(c.cast("string")), F.lit("chr"), F.lit("")), F.lit("CHR"), F.lit(""))))
     whole = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(E[+-]?[0-9]+)?$"), text.try_cast("double").cast("bigint").cast("string"))
-    missing = c.isNull() | F.lower(F.trim(c.cast("string"))).isin("", "nan", "none", "na")
-    return F.when(missing, "NA").when(text == "23", "X").when(text == "24", "Y").when(text.isin("25", "M", "MT", "MITO", "MITOCHONDRIA"), "MT").otherwise(F.coalesce(whole, text))
+    missing = c.isNull() | F.lower(F.trim(c.cast("string"))).isin(NO_CHROMOSOME)
+    return F.when(missing, "NA").when(text == "23", "X").when(text == "24", "Y").when(text.isin(MITOCHONDRIAL), "MT").otherwise(F.coalesce(whole, text))
 
 
 def is_autosome(c: Column) -> Column:
     return F.coalesce(c.isin([str(i) for i in range(1, 23)]), F.lit(False))
 
 
-def project_code(c: Column, prefix: str = "TCGA-", renamed: dict[str, str] | None = None) -> Column:
-    out = F.regexp_replace(F.upper(F.trim(c)), f"^{prefix}", "")
+def extracted_number(c: Column, pattern: str) -> Column:
+    """The integer in the pattern's first group; null where it does not occur."""
+    return F.regexp_extract(c, pattern, 1).try_cast("int")
+
+
+def project_code(c: Column, prefix: str, renamed: dict[str, str] | None = None) -> Column:
+    """Upper case, without the programme's prefix, old codes renamed."""
+    text = F.upper(F.trim(c))
+    out = F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1000)).otherwise(text)
     for old, new in (renamed or {"OVCA": "OV"}).items():
         out = F.when(out == old, new).otherwise(out)
     return out
@@ -108,9 +120,29 @@ def segment_status(mean: Column, gain: float = 0.2, loss: float = -0.2) -> Colum
     return first_match([(mean.isNull(), "unmatched"), (mean >= gain, "gain"), (mean <= loss, "loss")], "neutral")
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters with their plain letters, by Unicode's compatible decomposition:
+    for translation, and those that become several."""
+    one, many = {}, {}
+    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0x2100, 0x2150), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one[chr(code)] = plain
+        elif plain:
+            many[chr(code)] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+_ONE, _PLAIN, _MANY = _folds()
+
+
 def plain_text(c: Column) -> Column:
-    """Lower-case ASCII words. Accents of Latin letters fold; other letters go."""
-    folded = F.translate(c, "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ", "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy")
+    """Lower-case ASCII words. Letters fold to their plain forms; what has none goes."""
+    folded = F.translate(c, _ONE, _PLAIN)
+    wide = folded
+    for letter, plain in _MANY.items():
+        wide = F.replace(wide, F.lit(letter), F.lit(plain))
+    folded = F.when(folded.rlike("[" + "".join(_MANY) + "]"), wide).otherwise(folded)
     ascii_ = F.lower(F.regexp_replace(folded, r"[^\x00-\x7F]", ""))
     return F.coalesce(F.trim(F.regexp_replace(ascii_, "[^a-z0-9]+", " ")), F.lit(""))
 
@@ -119,15 +151,21 @@ def plain_text(c: Column) -> Column:
 STOP_WORDS = ["synthetic", "differential", "diagnosis", "possible", "consider", "consideration"]
 
 
+#: Fixed value: what stands between alternatives.
+BETWEEN = r"(?i)\s+(?:vs\.?|versus|or)\s+|[,;/|]"
+
+
 def alternatives(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Distinct alternatives of 'a vs b, c or d' in order, cleaned of stop words."""
-    pieces = F.split(F.coalesce(c, F.lit("")), r"(?i)\s+(?:vs\.?|versus|or)\s+|[,;/|]")
+    pieces = F.split(F.coalesce(c, F.lit("")), BETWEEN)
     clean = F.transform(pieces, lambda p: F.array_join(F.filter(F.split(plain_text(p), " "), lambda w: ~w.isin(list(stop_words)) & (w != "")), " "))
     return F.array_distinct(F.filter(clean, lambda p: p != ""))
 
 
 def has_word(text: Column, word: Column) -> Column:
-    return text.rlike(F.concat(F.lit(r"\b"), word, F.lit(r"\b")))
+    """Whether the word stands in the text as a whole, whatever characters it has."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.rlike(text, F.concat(F.lit(r"(?<!\w)"), literal, F.lit(r"(?!\w)")))
 
 
 def slug(c: Column) -> Column:
@@ -157,15 +195,20 @@ def integer_like(c: Column, tolerance: float = 0.05) -> Column:
     return F.when(F.abs(c - F.round(c)) <= tolerance, F.round(c))
 
 
+#: Points for burden, purity and each input, and off for each failure.
+POINTS = {"burden": 40.0, "purity": 25.0, "counts": 8.0, "has_purity": 5.0, "ploidy": 5.0, "copy_number": 7.0, "segments": 10.0}
+OFF = {"no_segments": 8.0, "few": 25.0, "impure": 25.0, "missing": 35.0, "no_copy_number": 12.0}
+
+
 def candidate_score(count: Column, purity: Column, flags: dict[str, Column], penalties: dict[str, Column], cap: float = 1000.0) -> Column:
     """0 to 100: 40 points for log-scaled burden, 25 for purity, 8/5/5/7 for available
     inputs, 10 for segments, less 25/25/35/12 for failures and 8 without segments."""
     yes = lambda k, v: F.when(F.coalesce(flags[k], F.lit(False)), v).otherwise(0.0)
-    burden = 40.0 * F.least(F.lit(1.0), F.log1p(F.greatest(F.lit(0.0), F.coalesce(count.cast("double"), F.lit(0.0)))) / F.log1p(F.lit(cap)))
-    pure = 25.0 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(purity, F.lit(0.0))))
-    given = yes("counts", 8.0) + yes("purity", 5.0) + yes("ploidy", 5.0) + yes("copy_number", 7.0) + yes("segments", 10.0)
+    burden = POINTS["burden"] * F.least(F.lit(1.0), F.log1p(F.greatest(F.lit(0.0), F.coalesce(count.cast("double"), F.lit(0.0)))) / F.log1p(F.lit(cap)))
+    pure = POINTS["purity"] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(purity, F.lit(0.0))))
+    given = yes("counts", POINTS["counts"]) + yes("purity", POINTS["has_purity"]) + sum((yes(k, POINTS[k]) for k in ("ploidy", "copy_number", "segments")), F.lit(0.0))
     fail = lambda k, v: F.when(F.coalesce(penalties[k], F.lit(False)), v).otherwise(0.0)
-    lost = F.when(F.coalesce(flags["segments"], F.lit(False)), 0.0).otherwise(8.0) + fail("few", 25.0) + fail("impure", 25.0) + fail("missing", 35.0) + fail("no_copy_number", 12.0)
+    lost = F.when(F.coalesce(flags["segments"], F.lit(False)), 0.0).otherwise(OFF["no_segments"]) + sum((fail(k, OFF[k]) for k in ("few", "impure", "missing", "no_copy_number")), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), burden + pure + given - lost))
 
 

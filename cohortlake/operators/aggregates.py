@@ -24,10 +24,19 @@ def count_if(condition: Column) -> Column:
 
 def prevalence(events: DataFrame, expected: DataFrame, group: str, entity: str, feature: str, hit: Column) -> DataFrame:
     """Share of a group's entities (with any record) that have a hit per feature;
-    expected groups without records give no rows of their own features."""
-    totals = events.select(group, entity).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("n_entities"))
-    hits = events.where(hit).select(group, entity, feature).distinct().groupBy(group, feature).agg(F.count(F.lit(1)).alias("n_hits"))
-    grid = expected.select(group).distinct().join(events.select(feature).distinct(), how="cross")
+    expected groups without records give no rows of their own features.
+
+    The records are read and shuffled once, by group and entity; what follows
+    are counts by group and feature.
+    """
+    marks = F.collect_set(F.struct(F.col(feature).alias("f"), F.when(hit, 1).otherwise(0).alias("h")))
+    sets = events.groupBy(group, entity).agg(marks.alias("marks"))
+    seen = F.transform(F.filter("marks", lambda m: m["f"].isNotNull()), lambda m: F.struct(m["f"].alias("f"), m["h"].alias("h"), F.lit(0).alias("n")))
+    total = F.struct(F.lit(None).cast(events.schema[feature].dataType).alias("f"), F.lit(0).alias("h"), F.lit(1).alias("n"))
+    rows = sets.select(group, F.explode(F.concat(seen, F.array(total))).alias("r"))
+    counts = rows.groupBy(group, F.col("r.f").alias(feature)).agg(F.sum("r.h").alias("n_hits"), F.sum("r.n").alias("n_entities")).persist()  # groups by features
+    totals, hits = counts.where(F.col(feature).isNull()).select(group, "n_entities"), counts.where(F.col(feature).isNotNull()).select(group, feature, "n_hits")
+    grid = expected.select(group).distinct().join(hits.select(feature).distinct(), how="cross")
     out = grid.join(hits, [group, feature], "left").join(totals, group, "left").fillna(0, ["n_hits", "n_entities"])
     return out.withColumn("prevalence", F.coalesce(F.col("n_hits") / F.when(F.col("n_entities") > 0, F.col("n_entities")), F.lit(0.0)))
 
@@ -113,3 +122,9 @@ def empirical_percentile(reference: DataFrame, feature: str, value: float) -> Da
 def robustness(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean, least, most and spread over scenarios."""
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), (F.max(value) - F.min(value)).alias("spread"), F.count(value).alias("n"))
+
+
+def scenario_differences(df: DataFrame, keys: Sequence[str], scenario: str, value: str, base: str, others: Sequence[str]) -> DataFrame:
+    """Scenarios side by side, and each other one less the base."""
+    wide = df.groupBy(*keys).pivot(scenario, [base, *others]).agg(F.max(value))
+    return wide.withColumns({f"{o}_minus_{base}": F.col(o) - F.col(base) for o in others})

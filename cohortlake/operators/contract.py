@@ -17,10 +17,12 @@ class ContractError(ValueError):
     pass
 
 
-def require_columns(df: DataFrame, columns: Sequence[str], label: str = "table") -> DataFrame:
-    lost = [c for c in columns if c not in df.columns]
-    if lost:
-        raise ContractError(f"{label} lacks columns {lost}")
+def check_columns(df: DataFrame, kinds: dict[str, str | None]) -> DataFrame:
+    """Every named column is there and, where a kind is given, of that Spark type."""
+    have = dict(df.dtypes)
+    faults = [f"{c}: {have.get(c, 'absent')}" for c, kind in kinds.items() if c not in have or kind not in (None, have[c])]
+    if faults:
+        raise ContractError("; ".join(faults))
     return df
 
 

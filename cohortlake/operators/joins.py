@@ -41,6 +41,23 @@ def outer_with_indicator(left: DataFrame, right: DataFrame, on: Sequence[str], n
     return joined.withColumn(name, side).drop("_l", "_r")
 
 
+def coalesced_join(df: DataFrame, preferred: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Every row of ``df``; the named columns come from the preferred side where it has a value."""
+    other = preferred.select(*on, *[F.col(c).alias(f"_{c}") for c in columns])
+    out = df.join(other, list(on), "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns})
+    return out.drop(*[f"_{c}" for c in columns])
+
+
+def keep_update(base: DataFrame, update: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Every row of the update, with the base's columns where it has the key."""
+    return base.join(update, list(on), "right")
+
+
+def looked_up(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose key the table has, once; a key that the table repeats raises."""
+    return df.join(assert_unique(table, on, "lookup table"), list(on))
+
+
 def missing_members(expected: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
     return expected.join(found, list(on), "left_anti")
 

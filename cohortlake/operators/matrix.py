@@ -37,20 +37,20 @@ def impute_scale(long: DataFrame, rows: DataFrame, row: str = "row", max_missing
     scaled by mean and standard deviation (0 or undefined becomes 1)."""
     n = rows.count()
     kept = kept_features(feature_profile(long, n), max_missing, drop_constant)
-    grid = rows.select(row).join(F.broadcast(kept.select("feature", "median", "missing_fraction")), how="cross")
+    grid = rows.select(row).join(kept.select("feature", "median", "missing_fraction"), how="cross")  # the features are the matrix's columns
     filled = grid.join(long.select(row, "feature", "value"), [row, "feature"], "left").select(row, "feature", F.coalesce("value", "median").alias("value"), F.col("value").isNull().alias("imputed"), "median", "missing_fraction")
     spread = F.stddev_pop("value") if ddof == 0 else F.stddev_samp("value")
     params = filled.groupBy("feature").agg(F.first("median").alias("median"), F.first("missing_fraction").alias("missing_fraction"), F.avg("value").alias("mean"), spread.alias("raw_std"))
     params = params.withColumn("std", F.when(F.col("raw_std") > 0, F.col("raw_std")).otherwise(1.0)).drop("raw_std")
-    cells = filled.drop("median", "missing_fraction").join(F.broadcast(params.select("feature", "mean", "std")), "feature")
+    cells = filled.drop("median", "missing_fraction").join(params.select("feature", "mean", "std"), "feature")
     return cells.select(row, "feature", "value", "imputed", ((F.col("value") - F.col("mean")) / F.col("std")).alias("scaled")), params
 
 
 def zscores(long: DataFrame, by: str = "feature", value: str = "value") -> DataFrame:
     """Sample z-scores within ``by``; null where there is no spread."""
-    w = Window.partitionBy(by)
-    sd = F.stddev_samp(value).over(w)
-    return long.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd))
+    of = long.groupBy(by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))  # one row each, combined before the shuffle
+    z = (F.col(value) - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd"))
+    return long.join(of, by, "left").withColumn("z", z).drop("_mean", "_sd")
 
 
 def library_normalised(long: DataFrame, sample: str, kind: str = "counts", value: str = "value") -> DataFrame:
@@ -59,28 +59,40 @@ def library_normalised(long: DataFrame, sample: str, kind: str = "counts", value
         return long.withColumn("normalised", F.col(value))
     if kind == "linear":
         return long.withColumn("normalised", F.log2(1 + F.when(F.col(value) >= 0, F.col(value))))
-    size = F.sum(value).over(Window.partitionBy(sample))
-    return long.withColumn("normalised", F.log2(1 + F.col(value) / F.when(size > 0, size) * 1e6))
+    sizes = long.groupBy(sample).agg(F.sum(value).alias("_size"))
+    size = F.when(F.col("_size") > 0, F.col("_size"))
+    return long.join(sizes, sample, "left").withColumn("normalised", F.log2(1 + F.col(value) / size * 1e6)).drop("_size")
 
 
 def set_scores(z: DataFrame, sets: DataFrame, row: str, feature: str = "feature") -> DataFrame:
     """Mean z of each set's features that are present. sets: (set, feature)."""
-    return z.join(F.broadcast(sets), feature).where(F.col("z").isNotNull()).groupBy(row, "set").agg(F.avg("z").alias("score"), F.count(F.lit(1)).alias("n_features"))
+    return z.join(sets, feature).where(F.col("z").isNotNull()).groupBy(row, "set").agg(F.avg("z").alias("score"), F.count(F.lit(1)).alias("n_features"))
+
+
+def bounded_rows(long: DataFrame, row: str, most: int = SMALL) -> DataFrame:
+    """The table itself; raises before any pairs are made if it has more rows than all pairs may be asked of."""
+    n = long.select(row).distinct().limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"all pairs of more than {most} rows; nearest() finds the nearest ones")
+    return long
 
 
 def gower(long: DataFrame, row: str = "row", weights: DataFrame | None = None) -> DataFrame:
-    """(a, b, distance) for a < b: weighted mean of |x - y| / range over features both have."""
-    w = Window.partitionBy("feature")
-    span = F.max("value").over(w) - F.min("value").over(w)
-    unit = long.where(F.col("value").isNotNull()).withColumn("u", F.col("value") / F.when(span > 0, span))
-    unit = unit.join(F.broadcast(weights), "feature") if weights is not None else unit.withColumn("weight", F.lit(1.0))
+    """(a, b, distance) for a < b: weighted mean of |x - y| / range over features both
+    have, for at most ``SMALL`` rows."""
+    known = bounded_rows(long, row).where(F.col("value").isNotNull())
+    spans = known.groupBy("feature").agg((F.max("value") - F.min("value")).alias("_span"))
+    unit = known.join(spans, "feature").withColumn("u", F.col("value") / F.when(F.col("_span") > 0, F.col("_span")))
+    unit = unit.join(weights, "feature") if weights is not None else unit.withColumn("weight", F.lit(1.0))
     a, b = unit.select(F.col(row).alias("a"), "feature", F.col("u").alias("ua"), "weight"), unit.select(F.col(row).alias("b"), "feature", F.col("u").alias("ub"))
     part = F.col("weight") * F.abs(F.coalesce(F.col("ua") - F.col("ub"), F.lit(0.0)))
     return a.join(b, "feature").where("a < b").groupBy("a", "b").agg((F.sum(part) / F.sum("weight")).alias("distance"))
 
 
 def correlation_distance(long: DataFrame, row: str = "row") -> DataFrame:
-    """(a, b, distance) for a < b: 1 - Pearson's r over shared features, r clipped; 0 where r is undefined."""
+    """(a, b, distance) for a < b: 1 - Pearson's r over shared features, r clipped; 0
+    where r is undefined. At most ``SMALL`` rows."""
+    long = bounded_rows(long, row)
     a, b = long.select(F.col(row).alias("a"), "feature", F.col("value").alias("x")), long.select(F.col(row).alias("b"), "feature", F.col("value").alias("y"))
     s = a.join(b, "feature").where("a < b and x is not null and y is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     r = F.col("c") / F.when(F.col("sx") * F.col("sy") > 0, F.col("sx") * F.col("sy"))
@@ -101,48 +113,68 @@ def cosine_distance(x: Column, y: Column) -> Column:
     return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(dot(x, y) / F.when(norm > 0, norm), F.lit(0.0))))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, block_rows: int = 2000) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, block_rows: int = 4000) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): exact k nearest of ``rows`` (id, vec
     array<double>[, group]) for each query; itself, and rows of its group, are left out.
 
-    Queries are dealt into blocks of about ``block_rows``; every block meets
-    every partition of the rows once as a numpy product and hands on its k
-    best, so memory is bounded by blocks and nothing grows with the answer.
-    Ties go to the smaller id.
+    A grid of query blocks and row blocks: each pair of blocks is one numpy
+    product in one task, which hands on its k best for each query. A row is
+    shipped once per query block, a query once per row block; this is brute
+    force, for query sets of up to some hundred thousands. Distances of the
+    candidates that the product leaves are taken from differences. Ties go to
+    the smaller id.
     """
     spark = rows.sparkSession
     cols = ["id", "vec"] + ([group] if group else [])
-    n_blocks = max(1, -(-queries.count() // block_rows))
-    blocks = queries.select(*cols).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct(*cols)).alias("asked"))
-    chunks = max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.select(*cols).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    n_rows = rows.count()
+    i_blocks = max(1, -(-queries.count() // block_rows))
+    spread = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // i_blocks)
+    j_blocks = max(1, -(-n_rows // (4 * block_rows)), min(spread, n_rows // 200))
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(*cols).withColumn("i", block(i_blocks, 0)).withColumn("j", every(j_blocks))
+    dealt = rows.select(*cols).withColumn("j", block(j_blocks, 1)).withColumn("i", every(i_blocks))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        flat = table.column("vec").combine_chunks()
+        flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
+        return flat.to_numpy(zero_copy_only=False).reshape(len(table), -1)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked = left.column("asked")[0].as_py() if len(left) else []
-        if not asked or not len(right):
-            return pa.table({"query_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        q, r = np.array([a["vec"] for a in asked], float), np.array(right.column("vec").to_pylist(), float)
-        qi, ri = np.array([a["id"] for a in asked]), right.column("id").to_numpy()
-        rows_out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if metric == "cosine":
-            nq, nr = np.linalg.norm(q, axis=1), np.linalg.norm(r, axis=1)
-            d = 1 - np.clip(np.divide(q @ r.T, np.outer(nq, nr), out=np.zeros((len(q), len(r))), where=np.outer(nq, nr) > 0), -1, 1)
-        else:
-            d = np.empty((len(q), len(r)))
-            for i in range(len(q)):  # differences first: expanding the square loses digits
-                d[i] = np.sqrt(((r - q[i]) ** 2).sum(1))
-        d[qi[:, None] == ri[None]] = np.inf
-        if group:
-            d[np.array([a[group] for a in asked])[:, None] == np.array(right.column(group).to_pylist())[None]] = np.inf
-        for i in range(len(q)):
-            order = np.lexsort((ri, d[i]))[:k]
-            order = order[np.isfinite(d[i][order])]
-            rows_out.append((np.full(len(order), qi[i]), ri[order], d[i][order]))
-        a, b, c = (np.concatenate([x[j] for x in rows_out]) for j in range(3))
+        none = np.zeros(0, np.int64)
+        found = [(none, none, np.zeros(0))]
+        if len(left) and len(right):
+            right = right.sort_by("id")
+            q, r = matrix(left), matrix(right)
+            qi, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
+            qg, rg = (np.array(t.column(group).to_pylist()) if group else None for t in (left, right))
+            nq, nr = (q * q).sum(1), (r * r).sum(1)
+            step = max(1, 4_000_000 // len(r))
+            for s in range(0, len(q), step):
+                part = slice(s, s + step)
+                d = q[part] @ r.T
+                if metric == "cosine":
+                    norm = np.sqrt(np.outer(nq[part], nr))
+                    d = 1 - np.clip(np.divide(d, norm, out=np.zeros_like(d), where=norm > 0), -1, 1)
+                else:
+                    d = nq[part, None] + nr - 2 * d
+                out = qi[part, None] == ri
+                if group:
+                    out |= qg[part, None] == rg
+                d[out] = np.inf
+                kth = np.partition(d, min(k, len(r)) - 1, axis=1)[:, min(k, len(r)) - 1]
+                slack = 1e-9 * (nq[part] + nr.max()) if metric != "cosine" else 0
+                row, col = np.nonzero((d <= (kth + slack)[:, None]) & np.isfinite(d))
+                exact = d[row, col] if metric == "cosine" else np.sqrt(((r[col] - q[s + row]) ** 2).sum(1))
+                order = np.lexsort((ri[col], exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                first = np.searchsorted(row, np.arange(len(d)))
+                keep = np.arange(len(row)) - first[row] < k
+                found.append((qi[s + row[keep]], ri[col[keep]], exact[keep]))
+        a, b, c = (np.concatenate([x[j] for x in found]) for j in range(3))
         return pa.table({"query_id": a, "neighbour_id": b, "distance": c})
 
-    keyed = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    found = keyed.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInArrow(meet, "query_id long, neighbour_id long, distance double")
+    found = asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(meet, "query_id long, neighbour_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
 
@@ -211,10 +243,12 @@ def classical_scaling(distances: np.ndarray, axes: int = 2) -> np.ndarray:
 
 def square(distances: DataFrame, names: Sequence[str] | None = None) -> tuple[list, np.ndarray]:
     """Names and matrix of a long table (a, b, distance) of at most ``SMALL`` rows a side."""
-    rows = distances.limit(SMALL * SMALL // 2 + 1).collect()
-    names = list(names or sorted({r["a"] for r in rows} | {r["b"] for r in rows}))
-    if len(names) > SMALL:
+    ends = distances.select("a").unionAll(distances.select(F.col("b").alias("a"))).distinct()
+    found = [r["a"] for r in ends.limit(SMALL + 1).collect()]
+    if len(found) > SMALL:
         raise ValueError(f"more than {SMALL} rows")
+    names = list(names or sorted(found))
+    rows = distances.where(F.col("a").isin(names) & F.col("b").isin(names)).collect()
     at = {n: i for i, n in enumerate(names)}
     out = np.zeros((len(names), len(names)))
     for r in rows:

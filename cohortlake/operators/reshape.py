@@ -18,6 +18,11 @@ def lengthen(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: st
     return df.unpivot(list(keys), list(values), name, value)
 
 
+def transposed(wide: DataFrame, key: str, columns: Sequence[str], keys: Sequence[object], name: str = "metric") -> DataFrame:
+    """Columns as rows and the given keys as columns (a bounded table)."""
+    return lengthen(wide, [key], columns, name).groupBy(name).pivot(key, list(keys)).agg(F.sum("value"))
+
+
 def union_filled(*tables: DataFrame) -> DataFrame:
     """UNION ALL by name; columns that a table lacks are null."""
     out = tables[0]
@@ -40,6 +45,10 @@ def set_intersection(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFra
     return a.select(*keys).distinct().join(b.select(*keys), list(keys), "left_semi")
 
 
+def set_union(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return a.select(*keys).unionByName(b.select(*keys)).distinct()
+
+
 def same_members(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> bool:
     return set_difference(a, b, keys).isEmpty() and set_difference(b, a, keys).isEmpty()
 

@@ -25,7 +25,7 @@ def validate_rules(rules: Sequence[dict], features: Sequence[str], targets: Sequ
         for c in r["condition"][modes[0]]:
             if c["feature"] not in features or c["operator"] not in COMPARISONS:
                 raise ValueError(f"{r['rule_id']}: unknown feature or comparison in {c}")
-        if r.get("strength", "weak") not in STRENGTHS or not set(r.get("supports", [])) <= set(targets):
+        if r.get("strength", "weak") not in STRENGTHS or not {*r.get("supports", []), *r.get("argues_against", [])} <= set(targets):
             raise ValueError(f"{r['rule_id']}: unknown strength or target")
 
 
@@ -47,7 +47,7 @@ def evaluate(clauses: DataFrame, values: DataFrame, case: str = "case_id", cases
     as one is true, unknown if none is and some are unknown.
     """
     everyone = cases if cases is not None else values.select(case).distinct()
-    grid = everyone.join(F.broadcast(clauses), how="cross")
+    grid = everyone.join(clauses, how="cross")  # the rules are a bounded contract
     joined = grid.join(values, [case, "feature"], "left")
     result = F.when(F.coalesce("supplied", F.lit(False)) & F.col("value").isNotNull(), compare(F.col("value"), F.col("operator"), F.col("threshold")))
     per = joined.withColumn("_is", result).groupBy(case, "rule_id", "mode").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_is"), 1).otherwise(0)).alias("_yes"), F.count("_is").alias("_known"))
@@ -59,13 +59,29 @@ def evaluate(clauses: DataFrame, values: DataFrame, case: str = "case_id", cases
 
 def strongest(strength: Column) -> Column:
     """Aggregate: the highest strength."""
-    order = F.lit(-1)
+    order = F.lit(None).cast("int")
     for i, s in enumerate(STRENGTHS):
         order = F.when(strength == s, i).otherwise(order)
     return F.max_by(strength, order)
 
 
-def evidence(evaluated: DataFrame, rules: DataFrame, case: str = "case_id") -> DataFrame:
-    """Triggered findings by supported target. rules: (rule_id, finding, strength, supports array)."""
-    hit = evaluated.where("triggered").join(F.broadcast(rules), "rule_id").withColumn("target", F.explode("supports"))
-    return hit.groupBy(case, "target").agg(F.count(F.lit(1)).alias("n_rules"), strongest(F.col("strength")).alias("strength"), F.array_join(F.array_sort(F.collect_set("finding")), "; ").alias("findings"))
+def evidence(evaluated: DataFrame, rules: DataFrame, weights: dict[str, float] | None = None, case: str = "case_id") -> DataFrame:
+    """Triggered findings by target, for and against.
+
+    rules: (rule_id, finding, strength, supports array[, argues_against array]).
+    ``strength`` is the highest of the supporting rules (null without any);
+    ``net`` adds the rules' weights, opposing ones negative, clipped to -1..1.
+    """
+    weights = weights or {s: (i + 1) / len(STRENGTHS) for i, s in enumerate(STRENGTHS)}
+    against = F.col("argues_against") if "argues_against" in rules.columns else F.array().cast("array<string>")
+    side = lambda targets, sign: F.transform(F.coalesce(targets, F.array().cast("array<string>")), lambda t: F.struct(t.alias("target"), F.lit(sign).alias("sign")))
+    hit = evaluated.where("triggered").join(rules, "rule_id").withColumn("_t", F.explode(F.concat(side(F.col("supports"), 1), side(against, -1))))
+    weight = F.lit(0.0)
+    for name, w in weights.items():
+        weight = F.when(F.col("strength") == name, w).otherwise(weight)
+    is_for = F.col("_t.sign") > 0
+    out = hit.groupBy(case, F.col("_t.target").alias("target")).agg(
+        F.sum(F.when(is_for, 1).otherwise(0)).alias("n_rules"), F.sum(F.when(is_for, 0).otherwise(1)).alias("n_against"), strongest(F.when(is_for, F.col("strength"))).alias("strength"),
+        F.sum(F.col("_t.sign") * weight).alias("net"), F.array_join(F.array_sort(F.collect_set(F.when(is_for, F.col("finding")))), "; ").alias("findings"), F.array_join(F.array_sort(F.collect_set(F.when(~is_for, F.col("finding")))), "; ").alias("findings_against"),
+    )
+    return out.withColumn("net", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "net")))

@@ -29,7 +29,7 @@ def capped_priority(df: DataFrame, group: str, priority: DataFrame, order: Seque
 
     priority: (group, priority) with 0 the first.
     """
-    ranked = df.join(F.broadcast(priority), group, "left").withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranked = df.join(priority, group, "left").withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     within = ranked.where(F.col("_r") <= cap)
     wanted = within.where(F.col("priority").isNotNull()).withColumn("_n", F.row_number().over(Window.orderBy("priority", "_r"))).where(F.col("_n") <= most)
     chosen = wanted.select(*df.columns, F.lit("priority").alias("chosen_by"))

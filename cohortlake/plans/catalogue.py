@@ -36,7 +36,7 @@ class Tables:
     @property
     def samples(self) -> DataFrame:
         """order, customer, nation, region."""
-        return self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(self.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey")).select("o_orderkey", "o_custkey", "o_totalprice", "c_acctbal", F.col("n_name").alias("project"), F.col("r_name").alias("major"))
+        return self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey")).join(self.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(self.region, F.col("n_regionkey") == F.col("r_regionkey")).select("o_orderkey", "o_custkey", "o_totalprice", "c_acctbal", F.col("n_name").alias("project"), F.col("r_name").alias("major"))
 
     @property
     def mutations(self) -> DataFrame:
@@ -88,7 +88,7 @@ def mutation_prevalence_long(t: Tables) -> DataFrame:
     return out.withColumn("prevalence", r6("prevalence"))
 
 
-_GENES = [f"Brand#{i}{j}" for i in (1, 2) for j in (1, 2, 3)]
+_GENES = [f"Brand#{i}" for i in range(1, 26)]
 
 
 @query(f"WITH long AS ({_PREV}) SELECT project, " + ", ".join(f"coalesce(max(CASE WHEN gene = '{g}' THEN prevalence END), 0) AS \"{g}\"" for g in _GENES) + " FROM long GROUP BY project")
@@ -108,7 +108,7 @@ def project_median_summary(t: Tables) -> DataFrame:
 @query("""SELECT n_nationkey, n_name, r_name, coalesce(nc, 0) AS n_customers, coalesce(ns, 0) AS n_suppliers FROM nation LEFT JOIN region ON n_regionkey = r_regionkey
 LEFT JOIN (SELECT c_nationkey, count(*) AS nc FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS ns FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON s_nationkey = n_nationkey""")
 def left_join_feature_chain(t: Tables) -> DataFrame:
-    base = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
+    base = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
     c = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_customers"))
     s = t.supplier.where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_suppliers"))
     return J.left_join_filled(J.left_join_filled(base, c, ["n_nationkey"], {"n_customers": 0}), s, ["n_nationkey"], {"n_suppliers": 0})
@@ -189,7 +189,7 @@ def reason_accumulation(t: Tables) -> DataFrame:
 
 
 def _scored(t: Tables) -> DataFrame:
-    n = t.mutations.groupBy("o_orderkey").agg(A.count_if(F.col("flag") == "R").alias("n"), F.count(F.lit(1)).alias("all_n"))
+    n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(A.count_if(F.col("l_returnflag") == "R").alias("n"))
     s = t.samples.join(n, "o_orderkey", "left").withColumn("purity", F.col("o_totalprice") / 500000)
     k = F.col("o_orderkey")
     flags = {"counts": k % 5 != 0, "purity": F.lit(True), "ploidy": k % 7 != 0, "copy_number": k % 3 != 0, "segments": k % 2 == 0}
@@ -395,10 +395,14 @@ def calibrated_tiers(t: Tables) -> DataFrame:
     return p.select("query_id", "calibration", "correct", V.combined_tier([V.tier(F.col(m), c) for m, c in cuts.items()]).alias("confidence"))
 
 
-@query("WITH " + _VEC + ", s AS (SELECT * FROM (VALUES ('first', 0, 32), ('second', 32, 64), ('all', 0, 64)) x(feature_set, lo, hi)), q AS (SELECT feature_set, id, vec[lo + 1 : hi] AS vec, label FROM v, s), nn AS (SELECT a.feature_set, a.id AS query_id, b.label, row_number() OVER (PARTITION BY a.feature_set, a.id ORDER BY round(list_distance(a.vec, b.vec), 9), b.id) AS rank, a.label AS true_label FROM q a JOIN q b ON a.feature_set = b.feature_set AND a.id <> b.id QUALIFY rank <= 1) SELECT feature_set, count(*) AS n, round(avg(CASE WHEN label = true_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM nn GROUP BY 1")
+#: Feature sets: eighths, the two halves, without the first or last eighth, and all.
+_SETS = [*((f"part_{i}", 8 * i, 8 * i + 8) for i in range(8)), ("first_half", 0, 32), ("second_half", 32, 64), ("without_first", 8, 64), ("without_last", 0, 56), ("all", 0, 64)]
+
+
+@query("WITH " + _VEC + ", s AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in _SETS) + ") x(feature_set, lo, hi)), q AS (SELECT feature_set, id, vec[lo + 1 : hi] AS vec, label FROM v, s), nn AS (SELECT a.feature_set, a.id AS query_id, b.label, row_number() OVER (PARTITION BY a.feature_set, a.id ORDER BY round(list_distance(a.vec, b.vec), 9), b.id) AS rank, a.label AS true_label FROM q a JOIN q b ON a.feature_set = b.feature_set AND a.id <> b.id QUALIFY rank <= 1) SELECT feature_set, count(*) AS n, round(avg(CASE WHEN label = true_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM nn GROUP BY 1")
 def feature_ablation(t: Tables) -> DataFrame:
     out = None
-    for name, lo, hi in (("first", 0, 32), ("second", 32, 64), ("all", 0, 64)):
+    for name, lo, hi in _SETS:
         v = t.vectors.select("id", F.slice("vec", lo + 1, hi - lo).alias("vec"), "label")
         near = M.nearest(v, v, 1)
         one = near.join(v.select(F.col("id").alias("neighbour_id"), "label"), "neighbour_id").join(v.select(F.col("id").alias("query_id"), F.col("label").alias("true_label")), "query_id")
@@ -426,11 +430,14 @@ def bh_fdr(t: Tables) -> DataFrame:
     return C.benjamini_hochberg(p, "p", "p_partkey").select("p_partkey", r6("fdr").alias("fdr"))
 
 
-@query()
+@query("""WITH k AS (SELECT c_mktsegment AS feature, c_nationkey % 5 AS g, c_acctbal AS v FROM customer), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 AS rk, count(*) OVER (PARTITION BY feature, v) AS ties FROM k),
+s AS (SELECT feature, g, sum(rk) AS r, count(*) AS n, sum(ties * ties - 1) AS t FROM r GROUP BY 1, 2), f AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(r * r / n) AS s, sum(t) AS t FROM s GROUP BY 1), h AS (SELECT feature, n::BIGINT AS n, k, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM f),
+p AS (SELECT *, exp(-h / 2) * (1 + h / 2) AS p FROM h WHERE k = 5), o AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS r, count(*) OVER () AS m FROM p) SELECT feature, n, k, round(h, 5) AS h, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS fdr FROM o""")
 def kruskal_p_values(t: Tables) -> DataFrame:
+    """With five groups the tail of the chi-squared distribution has a closed form, which the SQL uses."""
     k = t.customer.select(F.col("c_mktsegment").alias("feature"), (F.col("c_nationkey") % 5).alias("g"), F.col("c_acctbal").alias("value"))
     h = C.kruskal(k, "g").withColumn("p", C.chi2_p(F.col("h"), F.col("k") - 1))
-    return C.benjamini_hochberg(h, "p", "feature")
+    return C.benjamini_hochberg(h, "p", "feature").select("feature", "n", "k", F.round("h", 5).alias("h"), r6("p").alias("p"), r6("fdr").alias("fdr"))
 
 
 @query(f"{_LONG} SELECT feature, round(var_samp(value), 5) AS variance, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM lng GROUP BY 1")
@@ -580,22 +587,21 @@ def pca_scores(t: Tables) -> DataFrame:
     return M.project(t.vectors, mean, loadings)
 
 
-@query()
+@query(f"""WITH e AS ({ORACLES["rule_evaluation_3vl"]}), t AS (SELECT * FROM (VALUES ('both', 'x', 1, 'strong', 'busy but unseen', 1.0::DOUBLE), ('both', 'y', -1, 'strong', 'busy but unseen', 1.0), ('either', 'x', 1, 'weak', 'buys or idles', 1.0 / 3), ('either', 'y', 1, 'weak', 'buys or idles', 1.0 / 3)) v(rule_id, target, sign, strength, finding, w))
+SELECT case_id, target, sum((sign > 0)::INT)::BIGINT AS n_rules, sum((sign < 0)::INT)::BIGINT AS n_against, CASE WHEN bool_or(sign > 0 AND strength = 'strong') THEN 'strong' WHEN bool_or(sign > 0) THEN 'weak' END AS strength, round(greatest(-1.0, least(1.0, sum(sign * w))), 6) AS net,
+coalesce(string_agg(DISTINCT CASE WHEN sign > 0 THEN finding END, '; ' ORDER BY CASE WHEN sign > 0 THEN finding END), '') AS findings, coalesce(string_agg(DISTINCT CASE WHEN sign < 0 THEN finding END, '; ' ORDER BY CASE WHEN sign < 0 THEN finding END), '') AS findings_against FROM e JOIN t USING (rule_id) WHERE triggered GROUP BY 1, 2""")
 def evidence_matrix(t: Tables) -> DataFrame:
-    rules = t.spark.createDataFrame([("both", "busy but unseen", "strong", ["x"]), ("either", "buys or idles", "weak", ["x", "y"])], "rule_id string, finding string, strength string, supports array<string>")
-    return RU.evidence(rule_evaluation_3vl(t), rules)
+    rules = t.spark.createDataFrame([("both", "busy but unseen", "strong", ["x"], ["y"]), ("either", "buys or idles", "weak", ["x", "y"], [])], "rule_id string, finding string, strength string, supports array<string>, argues_against array<string>")
+    return RU.evidence(rule_evaluation_3vl(t), rules).withColumn("net", r6("net"))
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_rollup(t: Tables) -> DataFrame:
-    """The events table read as a stream, to its end."""
-    import uuid
-
+    """The events table read as a stream, to its end, into a table of the shared folder."""
+    from ..sources.readers import shared_path, stream_source
     from ..streaming.rollup import run_to_end, windowed_counts
 
-    schema = t.events.schema
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.dir}/events.parquet" if t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet").getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet")).isDirectory() else f"{t.dir}/events.parque[t]")
+    stream = stream_source(t.spark, f"{t.dir}/events.parquet", t.events.schema)
     counted = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")
-    name = f"rollup_{uuid.uuid4().hex}"
-    out = run_to_end(counted, name, "complete")
+    out = run_to_end(counted, shared_path(t.spark, "rollup"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a local one only where all runs in this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlake-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = "\t", columns: Sequence[str] | None = None, missing: str = "strict", quote: str = "", file_column: str | None = None) -> DataFrame:
     """All columns as text, the source's missing tokens as null; only ``columns`` are parsed if named."""
     df = spark.read.csv(path, sep=sep, header=True, quote=quote, inferSchema=False, nullValue="\0", emptyValue="")
@@ -110,7 +123,7 @@ def select_configured(df: DataFrame, ids: Sequence[str], key: str) -> DataFrame:
     lost = [r[key] for r in wanted.join(df.select(key), key, "left_anti").collect()]
     if bad or lost:
         raise ValueError(f"missing {lost}, repeated {bad}")
-    return df.join(F.broadcast(wanted), key).orderBy("ordinal")
+    return df.join(wanted, key).orderBy("ordinal")
 
 
 def melt_matrix(df: DataFrame, feature: str, samples: Sequence[str] | None = None, features: Sequence[str] | None = None) -> DataFrame:
@@ -142,5 +155,13 @@ def load_config(path: str) -> dict:
         return yaml.safe_load(f)
 
 
+def stream_source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet file or directory read as a stream; a lone file is named by a pattern, as streams read directories."""
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    lone = len(files) == 1 and files[0].rsplit("/", 1)[-1] == path.rstrip("/").rsplit("/", 1)[-1]
+    at = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{at[:-1]}[{at[-1]}]" if lone else at)
+
+
 def missing_tokens(source: str) -> list[str]:
     return MISSING[source]

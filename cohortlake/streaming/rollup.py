@@ -15,9 +15,15 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drive a bounded stream to its end into a memory table (tests and backfills)."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def run_to_end(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Drive a bounded stream to its end into Parquet files in a shared folder, with
+    its checkpoint beside them. In complete mode each batch replaces the table;
+    in append mode the file sink adds to it."""
+    out, state = f"{path}/table", f"{path}/checkpoint"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(out)
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)

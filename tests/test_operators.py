@@ -1,12 +1,14 @@
 """Edge cases of the operators on hand-made rows."""
 
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.functions import scalars as S
 from cohortlake.operators import cluster as C
-from cohortlake.operators import contract, joins, matrix, reshape, rules, select, vote
+from cohortlake.operators import aggregates, casework, contract, features, joins, manifest, matrix, reshape, rules, select, standardise, vote
 from cohortlake.sources import readers, sinks
 
 
@@ -119,3 +121,109 @@ def test_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         sinks.check_outputs(spark, [str(tmp_path / "none")])
     assert "| k | v |" in sinks.markdown_table(df)
+
+
+def test_words_match_literally(spark):
+    df = spark.createDataFrame([("a c++ b", "c++"), ("xc++", "c++"), ("a.b", "a.b"), ("aXb", "a.b"), ("(x) y", "(x)"), ("lungs", "lung"), ("lung ca", "lung"), ("\\E end", "\\E")], "t string, w string")
+    assert [r[0] for r in df.select(S.has_word(F.col("t"), F.col("w"))).collect()] == [True, False, True, False, True, False, True, True]
+
+
+def test_plain_text_folds_as_unicode_does(spark):
+    texts = ["Ångström Čapek", "ﬁne ½ Ǆ", "e\u0301te\u0301", "ＦＵＬＬ width", "ß ø ł", "Việt ẞ", None]
+    want = [" ".join("".join(c if c.isalnum() else " " for c in unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()).split()) if t else "" for t in texts]
+    assert [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(S.plain_text(F.col("t"))).collect()] == want
+
+
+def test_opposing_rules_count_against(spark):
+    hit = spark.createDataFrame([(1, "a", True, True), (1, "b", True, True), (1, "c", True, False), (2, "b", True, True)], "case_id int, rule_id string, evaluable boolean, triggered boolean")
+    told = spark.createDataFrame([("a", "fa", "weak", ["x"], ["y"]), ("b", "fb", "strong", ["y"], ["x"]), ("c", "fc", "strong", ["x"], [])], "rule_id string, finding string, strength string, supports array<string>, argues_against array<string>")
+    got = {(r["case_id"], r["target"]): (r["n_rules"], r["n_against"], r["strength"], round(r["net"], 6), r["findings"], r["findings_against"]) for r in rules.evidence(hit, told).collect()}
+    assert got == {(1, "x"): (1, 1, "weak", -0.666667, "fa", "fb"), (1, "y"): (1, 1, "strong", 0.666667, "fb", "fa"), (2, "x"): (0, 1, None, -1.0, "", "fb"), (2, "y"): (1, 0, "strong", 1.0, "fb", "")}
+    with pytest.raises(ValueError):
+        rules.validate_rules([{"rule_id": "x", "condition": {"all": [{"feature": "f", "operator": "gt", "threshold": 1}]}, "argues_against": ["nobody"]}], ["f"], ["x"])
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_false_discovery_rates(spark, by):
+    rng = np.random.default_rng(3)
+    given = [(i, "ab"[i % 2], None if i % 17 == 0 else float(round(rng.random() ** 3, 2))) for i in range(900)]  # many ties
+    got = {r["k"]: r["fdr"] for r in C.benjamini_hochberg(spark.createDataFrame(given, "k int, g string, p double"), "p", "k", by, bins=16).collect()}
+    for group in ("a", "b") if by else (None,):
+        mine = sorted([(p, k) for k, g, p in given if p is not None and group in (None, g)])
+        least = 1.0
+        for r in range(len(mine), 0, -1):
+            p, k = mine[r - 1]
+            least = min(least, p * len(mine) / r)
+            assert got[k] == pytest.approx(least)
+    assert all(got[k] is None for k, _, p in given if p is None)
+
+
+def test_nearest_breaks_many_ties_by_id(spark):
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(60, 0, -1)] + [(100, [3.0, 1.0])], "id long, vec array<double>")
+    got = {}
+    for r in matrix.nearest(same, same, 4, block_rows=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbour_id"], r["distance"]))
+    assert sorted(got[100]) == [(1, 1, 2.0), (2, 2, 2.0), (3, 3, 2.0), (4, 4, 2.0)] and [x[1] for x in sorted(got[2])] == [1, 3, 4, 5]
+    with pytest.raises(ValueError):
+        matrix.bounded_rows(same.select(F.col("id").alias("row")), "row", 20)
+
+
+def test_prevalence_of_groups_without_records(spark):
+    events = spark.createDataFrame([("a", 1, "x", True), ("a", 1, "x", False), ("a", 2, "y", False), ("a", 3, None, True)], "g string, e int, f string, h boolean")
+    got = rows(aggregates.prevalence(events, spark.createDataFrame([("a",), ("b",)], "g string"), "g", "e", "f", F.col("h")).select("g", "f", "n_hits", "n_entities"))
+    assert got == [("a", "x", 1, 3), ("a", "y", 0, 3), ("b", "x", 0, 0), ("b", "y", 0, 0)]
+
+
+def test_alleles_step_by_step(spark):
+    df = spark.createDataFrame([("turned", "3", "1", "2", None), ("major", "3", None, "1", None), ("minor", "3.02", "2", None, "Yes"), ("total", None, "2", "0", None), ("negative", "1", None, "2", None), ("wrong", "5", "2", "1", "weird"), ("none", "2.4", None, "x", ""), ("lost", "0", "0", "0", None)], "k string, t string, a string, b string, l string")
+    got = {r["k"]: (r["total_cn"], r["major_cn"], r["minor_cn"], r["loh_status"], r["notes"]) for r in standardise.allele_copies(df, "t", "a", "b", "l").collect()}
+    assert got == {
+        "turned": (3, 2, 1, "no_LOH", "alleles_ordered;loh_from_minor"), "major": (3, 2, 1, "no_LOH", "major_from_total;loh_from_minor"), "minor": (3, 2, 1, "LOH", "minor_from_total"), "total": (2, 2, 0, "LOH", "total_from_alleles;loh_from_minor"),
+        "negative": (None, None, None, None, "major_from_total;inconsistent_copies"), "wrong": (None, None, None, "reported:weird", "inconsistent_copies"), "none": (None, None, None, None, "none"), "lost": (0, 0, 0, "complete_copy_loss", "loh_from_minor"),
+    }
+
+
+def test_cases_that_break_the_contract(spark):
+    reference = spark.createDataFrame([("b", "binary", 0.0, 0.5, 0.5), ("n", "count", 1.0, 1.0, 2.0), ("x", "continuous", 5.0, 4.0, 2.0)], "feature_name string, feature_type string, median double, mean double, std double")
+    cases, kinds = spark.createDataFrame([("c",)], "case_id string"), "case_id string, source_file string, feature_name string, raw_value string"
+    for bad in ([("c", "1", "b", "0.5")], [("c", "1", "n", "-1")], [("c", "1", "n", "1.5")], [("c", "1", "x", "text")], [("c", "1", "x", "1"), ("c", "2", "x", "2")]):
+        with pytest.raises(contract.ContractError):
+            casework.harmonise_cases(spark.createDataFrame(bad, kinds), cases, reference)
+    audit = casework.harmonise_cases(spark.createDataFrame([("c", "2", "x", "8"), ("c", "1", "x", "8.0"), ("c", "1", "n", None), ("c", "1", "more", "z")], kinds), cases, reference)
+    got = {r["feature_name"]: (r["source_file"], r["supplied"], r["value_used"], r["scaled_value"], r["status"]) for r in audit.collect()}
+    assert got == {"x": ("1;2", True, 8.0, 2.0, "supplied"), "b": ("none", False, 0.0, -1.0, "imputed_missing_feature"), "n": ("none", False, 1.0, 0.0, "imputed_missing_feature"), "more": ("1", True, None, None, "extra_not_in_reference_ignored")}
+    assert casework.case_summary(audit).first()["warnings"] == "imputed_features;extra_features;low_coverage"
+    with pytest.raises(contract.ContractError):
+        casework.harmonise_cases(spark.createDataFrame([], kinds), cases, reference.withColumn("std", F.lit(0.0)))
+
+
+def test_hits_without_ids_and_modes(spark):
+    shape = "file_id string, file_name string, cases array<struct<project:string,submitter_id:string,samples:array<struct<submitter_id:string>>>>"
+    hits = spark.createDataFrame([("f", None, None), ("g", "x_AB-01-C-01A.seg", [("P", "", None)])], shape)
+    got = {r["file_id"]: (r["case_ids"], r["sample_ids"]) for r in manifest.hit_ids(hits, "[A-Z]{2}-[0-9]{2}-[A-Z](?:-[0-9]{2}[A-Z])?", 9).collect()}
+    assert got == {"f": ([], []), "g": ([], ["AB-01-C-01A"])}
+    with pytest.raises(ValueError):
+        manifest.capped(hits, "else", 1, [F.col("file_id")])
+    with pytest.raises(ValueError):
+        features.definition_table(spark, {"purity_ploidy": ["a"], "expression_pca": ["a"]})
+    with pytest.raises(ValueError):
+        features.described(spark.createDataFrame([("a", "nothing")], "name string, feature_class string"))
+    with pytest.raises(contract.ContractError):
+        contract.check_columns(hits, {"file_id": "bigint"})
+
+
+def test_components_of_principal_axes(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 4)) * [3, 2, 1, 0.1] + 5
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    mean, loadings, variances, shares = matrix.pca(v, 2)
+    _, s, vt = np.linalg.svd(x - x.mean(0))
+    assert variances == pytest.approx(s[:2] ** 2 / 79) and shares == pytest.approx(s[:2] ** 2 / (s**2).sum())
+    got = np.array([[r["PC1"], r["PC2"]] for r in matrix.project(v, mean, loadings).orderBy("id").collect()])
+    assert np.abs(got) == pytest.approx(np.abs((x - x.mean(0)) @ vt[:2].T))
+
+
+def test_average_linkage_by_hand():
+    d = np.array([[0, 2, 6, 10], [2, 0, 5, 9], [6, 5, 0, 4], [10, 9, 4, 0.0]])
+    merges = C.average_linkage(d)  # 0-1 at 2, 2-3 at 4, then the mean of 6, 10, 5, 9
+    assert [round(float(m[2]), 9) for m in merges] == [2, 4, 7.5] and C.cut_tree(merges, 4, 3) == [1, 1, 2, 3]
