@@ -1,5 +1,7 @@
 """Vector and web operators against brute force, with unusable rows and clashing columns."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,10 +136,43 @@ def test_url_rules_and_mined_rules(spark):
     for i, (_, host, path, rule, verdict) in enumerate(URLS):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict)
     assert got[50]["verdict"] == "block" and got[51]["verdict"] == "allow" and got[None]["verdict"] == "block"
-    assert url_filter.mine(known.where("false")).count() == 0
+    assert url_filter.mine(known.where("false"))[0].count() == 0
     assert url_filter.judge(pages.where("false"), rules, Scratch(spark, "t")).count() == 0
 
 
+def test_mined_rules_block_as_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{chr(97 + i)}" for i in range(7)]
+    known = []
+    for i in range(600):
+        path = [w for w in words if rng.random() < 0.4]
+        bad = bool(("wa" in path and "wb" in path) or ("wc" in path and i % 3 == 0)) ^ bool(rng.random() < 0.05)
+        known.append((f"http://h{i % 3}.example.org/{'/'.join(path)}", bad))
+    asked = [f"http://h{i % 4}.example.org/{'/'.join(w for w in words if rng.random() < 0.5)}" for i in range(120)]
+    df = spark.createDataFrame(known, "url string, bad boolean")
+    items = {r["url"]: frozenset(r["t"]) for r in spark.createDataFrame([(u,) for u in {*asked, *(u for u, _ in known)}], "url string").select("url", url_filter.tokens(F.col("url")).alias("t")).collect()}
+    every = sorted(set().union(*(items[u] for u, _ in known)))
+    counts = {}
+    for size in (1, 2, 3, 4):  # all itemsets of up to four tokens
+        for x in map(frozenset, itertools.combinations(every, size)):
+            if size > 1 and any(x - {t} not in counts for t in x):
+                continue
+            of = [b for u, b in known if x <= items[u]]
+            if sum(of) >= 12:
+                counts[x] = sum(of) / len(of)
+    good = [x for x, share in counts.items() if share >= 0.8]
+    rules, names = url_filter.mine(df)
+    got = {r["url"] for r in url_filter.matched(spark.createDataFrame([(u,) for u in asked], "url string"), rules, names, Scratch(spark, "t")).collect()}
+    assert good and got == {u for u in asked if any(x <= items[u] for x in good)} and 0 < len(got) < len(set(asked))
+
+
+def test_a_long_url_that_repeats_makes_few_rules(spark):
+    long_ = "http://a.b.c.example.org/" + "/".join(f"word{chr(97 + i)}" for i in range(20)) + "?q=1&r=2"
+    known = spark.createDataFrame([(long_, True)] * 60 + [(f"http://x.example.org/{i}", False) for i in range(60)], "url string, bad boolean")
+    rules, names = url_filter.mine(known)
+    assert 1 <= rules.count() <= 4 and url_filter.matched(known, rules, names, Scratch(spark, "t")).count() == 1
+
+
 def test_revisits(spark):
     h = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
     rows = [
