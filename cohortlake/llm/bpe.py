@@ -22,9 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longer pre-tokens (in bytes) are merged with a heap: a recursive query would copy them once per merge.
+#: Default of ``long``: longer pre-tokens (in bytes) are contracted with a heap, as
+#: a recursive query copies a word once per merge. The recursion takes any length
+#: and gives the same ids, as tests check at both ends of the parameter.
 LONG = 256
-BLOCK = 20_000
+#: Words and bytes of one recursive query, ids of one decoding query.
+BLOCK, BLOCK_BYTES, BLOCK_IDS = 20_000, 1 << 20, 1 << 18
 CACHE = 700_000
 
 _MERGE = """
@@ -42,8 +45,7 @@ WITH RECURSIVE s AS (
 SELECT w, tok FROM s WHERE done ORDER BY w, pos
 """
 _DECODE = """
-SELECT d, string_agg(hex, '') AS hex FROM (
-  SELECT t.d, v.hex FROM tokens t JOIN vocab v ON t.id = v.id ORDER BY t.d, t.p) GROUP BY d
+SELECT t.d, string_agg(v.hex, '' ORDER BY t.p) AS hex FROM tokens t JOIN vocab v ON t.id = v.id GROUP BY t.d
 """
 
 
@@ -55,13 +57,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one rank file, with a private in-memory database."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, long: int = LONG):
+        self.long = long
         self.pattern = regex.compile(pattern)
         self.ranks = read_ranks(path)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = [str(i) for i in range(max(self.ranks.values()) + 1)]
         self.cache: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # blocks are small: nothing is spilled to a local folder
         splits = [(l, r, i) for b, i in self.ranks.items() for k in range(1, len(b)) if (l := self.ranks.get(b[:k])) is not None and (r := self.ranks.get(b[k:])) is not None]
         merges = pa.table([pa.array(c, pa.int32()) for c in zip(*splits)] if splits else [pa.array([], pa.int32())] * 3, ["l", "r", "id"])  # noqa: F841
         vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [b.hex() for b in self.ranks]})  # noqa: F841
@@ -70,8 +73,11 @@ class Codec:
 
     def _recursive(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for start in range(0, len(words), BLOCK):
-            part = words[start : start + BLOCK]
+        at = np.cumsum([0, *map(len, words)])
+        start = 0
+        while start < len(words):
+            end = min(start + BLOCK, max(start + 1, int(np.searchsorted(at, at[start] + BLOCK_BYTES, "right")) - 1))
+            part, start = words[start:end], end
             sizes = np.array([len(b) for b in part])
             w = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
             pos = (np.arange(len(w)) - (np.cumsum(sizes) - sizes)[w]).astype(np.int32)
@@ -125,7 +131,7 @@ class Codec:
             rank = self.ranks.get(b)
             if rank is not None:
                 out[w] = rank.to_bytes(4, "little")
-            elif len(b) > LONG:
+            elif len(b) > self.long:
                 out[w] = self._heap(b)
             else:
                 short.append(i)
@@ -152,21 +158,23 @@ class Codec:
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids. An id that isn't in the vocabulary raises."""
         sizes = np.array([len(i) for i in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
-        d = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        tokens = pa.table({"d": d, "p": np.arange(len(flat), dtype=np.int32), "id": flat})  # noqa: F841
-        if len(flat) and self.db.sql("SELECT count(*) FROM tokens t ANTI JOIN vocab v ON t.id = v.id").fetchall()[0][0]:
-            raise ValueError("an id is not in the vocabulary")
+        whole = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         out = [b""] * len(ids)
-        for i, text in self.db.sql(_DECODE).fetchall():
-            out[i] = bytes.fromhex(text)
+        for start in range(0, len(whole), BLOCK_IDS):  # a text may go on in the next block
+            flat, d = whole[start : start + BLOCK_IDS], owner[start : start + BLOCK_IDS]
+            tokens = pa.table({"d": d, "p": np.arange(len(flat), dtype=np.int32), "id": flat})  # noqa: F841
+            if self.db.sql("SELECT count(*) FROM tokens t ANTI JOIN vocab v ON t.id = v.id").fetchall()[0][0]:
+                raise ValueError("an id is not in the vocabulary")
+            for i, text in self.db.sql(_DECODE).fetchall():
+                out[i] += bytes.fromhex(text)
         return out
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, long: int = LONG) -> Codec:
     """One per worker process and file."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, long)
 
 
 def _slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -179,8 +187,10 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Recor
         start = end
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, out: str = "ids") -> DataFrame:
-    """``docs`` with a column ``out`` (array of int): the ids of each text; null and empty texts give an empty array."""
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, out: str = "ids", long: int = LONG) -> DataFrame:
+    """``docs`` with a column ``out`` (array of int): the ids of each text; null and
+    empty texts give an empty array. Texts of any length are encoded whole, rows
+    that repeat give equal ids. ``long``: see ``LONG``."""
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     names = [*docs.columns, out]
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -188,7 +198,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = codec(path, pattern)
+        one = codec(path, pattern, long)
         for batch in batches:
             for rows in _slices(batch, text, 1 << 20):
                 ids = one.encode(rows.column(text).to_pylist())
@@ -217,7 +227,8 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, pattern
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, digests only."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row: encode and
+    decode in one pass, digests only. A null text is empty; ids are only carried."""
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -152,6 +152,23 @@ def test_codec_equals_library(spark, corpus):
         bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).decode([np.array([99999999])])
 
 
+@pytest.mark.parametrize("long", [0, 1 << 30])
+def test_codec_by_heap_and_by_recursion_alone(long):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    one = bpe.Codec(path, public_tokenizers.PATTERN, long)
+    texts = ["", None, "qzxv" * 150, prose(3, 50) + " aaaaaaaabbbbbbbbab", "é" * 200, "x" * 301, "Donaudampfschifffahrtsgesellschaft" * 4]
+    ids = one.encode(texts)
+    assert [i.tolist() for i in ids] == [library.encode_ordinary(t or "") for t in texts] and one.decode(ids) == [(t or "").encode() for t in texts]
+
+
+def test_very_long_texts_decode_in_blocks(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_IDS", 1000)
+    one = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = [prose(4, 9000), "", prose(5, 40)]
+    assert one.decode(one.encode(texts)) == [t.encode() for t in texts]
+
+
 def test_packing_places_every_id_once(spark, corpus):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [(i, t) for i, t in corpus if i != 5] + [(300, prose(9, 2000))]
