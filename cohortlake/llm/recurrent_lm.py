@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ ROUNDS = 4
 WINDOW, LANES, RATE = 20, 32, 0.01
 SCORE_WINDOW, SCORE_LANES = 48, 512
 BLOCK_BYTES = 24 << 20
+#: Copies of a parameter that one task adds up.
+FAN = 16
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,7 +344,9 @@ def shares(blocked: DataFrame) -> list[DataFrame]:
 
 def fit(blocked: DataFrame, counts: Counts) -> Network:
     """Rounds of local training in every partition, each on its own share of the
-    training texts (together: all), averaged over the tokens used."""
+    training texts (together: all), averaged over the tokens used in a tree of
+    partial sums. The model so depends on how texts lie in partitions, within
+    what different orders of the same gradient steps make."""
     net = Network.start(counts)
     for share in shares(blocked):
         begun = net.p
@@ -352,21 +357,26 @@ def fit(blocked: DataFrame, counts: Counts) -> Network:
                 hashes, kinds, first = tokens(data, offsets)
                 used += train(local, *encoded(counts, hashes, kinds), first)
             if used:
-                yield pa.RecordBatch.from_arrays([pa.array(list(Network.NAMES)), pa.array([used] * len(Network.NAMES), pa.int64()), pa.array([(local.p[n].astype(np.float64) * used).tobytes() for n in Network.NAMES], pa.binary())], ["name", "used", "values"])
+                place, k = TaskContext.get().partitionId(), len(Network.NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([place] * k, pa.int64()), pa.array(list(Network.NAMES)), pa.array([used] * k, pa.int64()), pa.array([(local.p[n].astype(np.float64) * used).tobytes() for n in Network.NAMES], pa.binary())], ["place", "name", "used", "values"])
 
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One sum for each place and parameter."""
+            sums: dict[tuple[int, str], list] = {}
             for batch in batches:
-                sums: dict[str, list] = {}
-                for name, used, values in zip(batch.column("name").to_pylist(), batch.column("used").to_pylist(), batch.column("values")):
-                    one = sums.setdefault(name, [0, 0.0])
+                for place, name, used, values in zip(*(batch.column(c).to_pylist() for c in ("place", "name", "used")), batch.column("values")):
+                    one = sums.setdefault((place, name), [0, 0.0])
                     one[0] += used
                     one[1] = one[1] + np.frombuffer(values.as_buffer(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["name", "used", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.string()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["place", "name", "used", "values"])
 
-        kinds = "name string, used long, values binary"
+        kinds = "place long, name string, used long, values binary"
         got: dict[str, list] = {}
-        averaged = share.mapInArrow(learn, kinds).repartition(len(Network.NAMES), "name").mapInArrow(mean, kinds)
-        for name, used, values in averaged.collect():  # a few sums for each parameter
+        sums, width = share.mapInArrow(learn, kinds), share.rdd.getNumPartitions()
+        while width > 1:  # a tree: no task adds up more than ``FAN`` copies of a parameter
+            width = -(-width // FAN)
+            sums = sums.withColumn("place", F.floor(F.col("place") / FAN)).repartition(min(width * len(Network.NAMES), partitions(share.sparkSession)), "place", "name").mapInArrow(add, kinds)
+        for _, name, used, values in sums.collect():  # one sum for each parameter
             one = got.setdefault(name, [0, 0.0])
             one[0] += used
             one[1] = one[1] + np.frombuffer(values, np.float64)

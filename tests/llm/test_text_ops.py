@@ -239,6 +239,30 @@ def test_model_probabilities_sum_to_one():
     assert frequent + rare == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_equal_a_walk_word_by_word():
+    rng = np.random.default_rng(1)
+    seen = np.sort(rng.integers(1, 50, recurrent_lm.VOCAB))[::-1].copy()
+    counts = recurrent_lm.Counts(int(seen.sum()), recurrent_lm.VOCAB, np.arange(recurrent_lm.VOCAB, dtype=np.uint64), np.arange(recurrent_lm.VOCAB), seen, rng.random(recurrent_lm.RARE) * 9 + 1)
+    net, first = recurrent_lm.Network.start(counts), np.array([0, 130, 131, 131, 200])  # longer than a window, one word, none
+    word = rng.integers(0, recurrent_lm.VOCAB + recurrent_lm.RARE, 200)
+    known = word < recurrent_lm.VOCAB
+    kind = np.where(known, word // recurrent_lm.CLASS_WORDS, recurrent_lm.FREQUENT + word - recurrent_lm.VOCAB)
+    inside = np.where(known, word % recurrent_lm.CLASS_WORDS, -1)
+    got, p, k = recurrent_lm.score(net, word, kind, inside, first), {n: v.astype(float) for n, v in net.p.items()}, recurrent_lm.HIDDEN
+    for a, b in zip(first[:-1], first[1:]):
+        h = np.zeros(k)
+        for t in range(a, b):
+            x = p["embed"][recurrent_lm.START if t == a else word[t - 1]] @ p["wx"] + p["b"]
+            z, r = np.split(1 / (1 + np.exp(-(x[: 2 * k] + h @ p["uh"]))), 2)
+            h = (1 - z) * h + z * np.tanh(x[2 * k :] + (r * h) @ p["un"])
+            top = np.exp(h @ p["wc"] + p["bc"])
+            want = np.log(top[kind[t]] / top.sum())
+            if inside[t] >= 0:
+                low = np.exp(h @ p["wo"][kind[t]] + p["bo"][kind[t]])
+                want += np.log(low[inside[t]] / low.sum())
+            assert got[t] == pytest.approx(want, abs=2e-3)
+
+
 def test_backpropagation_lowers_loss():
     n = 3000
     ids = np.tile(np.arange(6), n // 6)
