@@ -309,13 +309,15 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             pieces = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pieces], ["doc_id", "n", "key", "pieces"])
 
-    described = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, pieces array<long>"))
+    whole = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, pieces array<long>"))
+    described = scratch.table(whole.select("doc_id", "n", "key"))  # outlives the pieces
     linkable = described.where("n > 0 and doc_id is not null")
     classes = scratch.table(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's postings, one of each piece, and links from it to the others: a hot piece travels once per task."""
-        schema = pa.schema([("piece", pa.int64()), ("key", pa.int64()), ("other", pa.int64())])
+        """A task's postings, one of each piece, and links from it to the others, as
+        pieces that only their two ends post: a hot piece travels once per task."""
+        schema = pa.schema([("piece", pa.int64()), ("key", pa.int64())])
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def combined() -> pa.RecordBatch:
@@ -325,8 +327,8 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             new = np.append(True, piece[1:] != piece[:-1])
             lead = key[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
             a, b = contract(lead[lead != key], key[lead != key])
-            piece, key = piece[new], key[new]
-            return pa.RecordBatch.from_arrays([pa.array(np.append(piece, a)), pa.array(np.append(key, a)), pa.array(np.append(np.zeros(len(key), np.int64), b), mask=np.append(np.ones(len(key), bool), np.zeros(len(b), bool)))], schema=schema)
+            link = W.mix(W.mix(a.view(_U)) + b.view(_U)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([piece[new], link, link])), pa.array(np.concatenate([key[new], a, b]))], schema=schema)
 
         for batch in batches:
             pieces = batch.column("pieces")
@@ -343,19 +345,17 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
         def links(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal last
-            piece, key = (batch.column(i).to_numpy() for i in (0, 1))
-            link = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            posted = np.append(last, np.stack([piece[~link], key[~link]]), axis=1)
+            posted = np.append(last, np.stack([batch.column(i).to_numpy() for i in (0, 1)]), axis=1)
             last = posted[:, -1:]
             near = np.flatnonzero(posted[0, 1:] == posted[0, :-1])
-            to = batch.column(2).drop_null().to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(np.append(key[link], posted[1, near])), pa.array(np.append(to, posted[1, near + 1]))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(posted[1, near]), pa.array(posted[1, near + 1])], ["a", "b"])
 
         yield from forest(links(batch) for batch in batches if len(batch))
 
-    posted = linkable.where(F.size("pieces") > 0).select("key", "pieces").mapInArrow(post, "piece long, key long, other long")
+    posted = whole.where(F.expr("n > 0 and doc_id is not null and size(pieces) > 0")).select("key", "pieces").mapInArrow(post, "piece long, key long")
     posted = posted.repartition(partitions(spark), "piece").sortWithinPartitions("piece", "key")
     groups = components(posted.mapInArrow(share, "a long, b long"), scratch, reduced=True)
+    scratch.drop(whole)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each wanted class once, with its set."""

@@ -261,11 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
     distinct = sketched.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
     distinct = distinct.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).persist()
     counts = distinct.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.count(F.lit(1))).first()
-    taught = texts.join(F.broadcast(distinct), "doc_id")  # bounded by ``bound``
+    taught = texts.join(F.broadcast(distinct), "doc_id").withColumn("screens", (F.col("toxic") > 0) | (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(8)) == 0))  # bounded by ``bound``
 
     def evidence(wanted: np.ndarray | None, known: np.ndarray) -> DataFrame:
         """(feature, toxic texts, other texts), summed in each task first. Without
-        ``wanted``: all features of toxic texts, counted in these alone.
+        ``wanted``: all features of toxic texts and of an eighth of the others, by id.
         A word that is known to indicate counts for itself only, so that its
         beginnings must earn their share from other words."""
 
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
                 found[np.isin(found[:, 0], known), 1:] = 0
                 hashes, row = found.ravel(), np.repeat(row, FORMS)
                 if wanted is None:
-                    keep = (hashes != 0) & toxic[row]
+                    keep = (hashes != 0) & rows.column("screens").to_numpy(zero_copy_only=False)[row]
                 else:
                     keep = (hashes != 0) & (wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes)
                 pair = np.unique(np.stack([hashes[keep], row[keep].astype(_U)], 1), axis=0)
@@ -300,7 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, bound: int = 60_0
     yes_rows = counts[0] or 0
     prior, weight = (yes_rows + 0.1) / ((counts[1] or 0) + 1.0), min(4.0, max(2.0, yes_rows / 100))
     none = np.zeros(0, _U)
-    first = evidence(None, none).where(F.col("yes") >= support)  # words of the toxic texts among ``bound``
+    # a feature that more of the screening texts have than toxic ones stays below any share asked for; the rest is counted in all texts
+    first = evidence(None, none).where((F.col("yes") >= support) & (F.col("no") <= F.col("yes") + 2))
     wanted = np.sort(first.select("f").toArrow().column("f").to_numpy().view(_U))
     indicating: dict[int, float] = {}
     for known in (none, None) if len(wanted) else ():

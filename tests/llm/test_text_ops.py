@@ -319,6 +319,7 @@ def test_words_split_at_rows():
 
 def test_pipeline_stages(spark, corpus, tmp_path):
     docs = [(i, t) for i, t in corpus if i is not None and i != 5]
+    assert len(docs) > 20
     frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in docs], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -332,3 +333,29 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert set(kept["passages"]) == set(kept["near_copies"])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select(F.col("doc_id")).distinct().collect()} == set(kept["passages"])
 
+
+def test_near_copy_stage_keeps_rows_apart(spark, tmp_path):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near = a.replace(a.split()[40], "changed", 1)
+    docs = [(5, a), (5, b), (1, c), (1, c), (2, near), (None, c + " more"), (None, prose(4, 70)), (None, prose(4, 70)), (None, None), (None, None), (7, ""), (7, " "), (8, "two words"), (9, "two words")]
+    got = corpus_pipeline.drop_near_copies(spark, frame(spark, docs), "").collect()
+    assert all(list(r.asDict()) == [c.split()[0] for c in SCHEMA.split(", ")] for r in got)
+    # 2 and 5 hold near copies, of which the smaller id's row stays; 5's other text is no copy
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, [(2, near), (5, b), (1, c), (None, prose(4, 70)), (None, None), (None, None), (7, ""), (7, " "), (8, "two words")]))
+    none = corpus_pipeline.drop_near_copies(spark, frame(spark, []), "")
+    assert none.count() == 0 and none.columns == frame(spark, []).columns
+
+
+def test_stages_on_empty_and_clashing_tables(spark, tmp_path):
+    labels = "doc_id long, toxic int, quality int"
+    spark.createDataFrame([(0, 1, 0), (1, 0, 1), (None, 1, 0)], labels).write.parquet(str(tmp_path / "labels.parquet"))
+    clash = "doc_id long, text string, n_chars long, toxic_score double, toxic int, k1 long, spans string, component_id long, row long, c0 string"
+    rows = [(0, "some text", 9, 1.0, 1, 2, "s", 4, 5, "z"), (0, "some text", 9, 1.0, 1, 2, "s", 4, 5, "z"), (None, None, None, None, None, None, None, None, None, None), (3, "", 0, 0.5, 0, 1, "", 1, 1, "")]
+    for given in (rows, []):
+        now = spark.createDataFrame(given, clash)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = Scratch(spark, "t").table(stage(spark, now, str(tmp_path)))
+            assert now.columns == [c.split()[0] for c in clash.split(", ")]
+        assert now.count() == (3 if given else 0)
+        packed = corpus_pipeline.pack(spark, now, "").collect()
+        assert len(packed) == (3 if given else 0)
