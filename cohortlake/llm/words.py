@@ -26,11 +26,10 @@ def _power(kind: str, size: int) -> np.ndarray:
     """base**i for i below size, modulo 2**64."""
     have = _powers.get(kind)
     if have is None or len(have) < size:
-        size = max(size, 1 << 16)
-        step = np.full(size, _BASE if kind == "up" else _INVERSE, U)
+        step = np.full(max(size, 1 << 16), _BASE if kind == "up" else _INVERSE, U)
         step[0] = 1
         have = np.cumprod(step, dtype=U)
-        if size <= 8 << 20:
+        if len(have) <= 8 << 20:
             _powers[kind] = have
     return have[:size]
 
