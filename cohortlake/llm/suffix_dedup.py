@@ -9,7 +9,10 @@ collapse to one with a weight before bytes are shipped. A task then takes one
 block of buckets at a time: suffixes at difference-cover positions are ranked
 first (31 bytes, then by doubling), and all suffixes of the block are sorted,
 long ties being resolved by those ranks, which bounds memory by the block.
-Neighbours in suffix order that agree on ``length`` bytes are repeats.
+Neighbours in suffix order that agree on ``length`` bytes are repeats. A bucket
+that many places share (a line that stands in a third of all texts) is split
+by the bytes beside the minimiser: of equal strings both sides of it are equal,
+so each start follows the longer side, and equal strings stay together.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ _SLOT = np.full(PERIOD, -1)
 _SLOT[COVER] = np.arange(len(COVER))
 _U = np.uint64
 BLOCK = 1 << 20
+#: Places of one minimiser beyond which its bucket is split, and how often.
+HOT, SPLITS = 512, 3
 
 
 def text_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +151,30 @@ def repeated_starts(pieces: list[bytes], anchors: np.ndarray, weights: np.ndarra
     return np.split(out, np.cumsum(starts_per)[:-1])
 
 
+def split_piece(key: int, piece: bytes, anchor: int, length: int, gram: int, splits: int = SPLITS) -> list[tuple[int, int, bytes]]:
+    """(bucket, first start, bytes): the piece's starts by what stands beside its
+    minimiser, ``splits`` times halving the bytes of a string that the bucket
+    leaves open. Equal strings come to equal buckets."""
+    out = []
+    stack = [(key, 0, len(piece) - length, anchor, anchor + gram, splits)]
+    while stack:
+        key, first, last, low, high, left = stack.pop()
+        open_ = length - (high - low)
+        if not left or open_ < 2:
+            out.append((key, first, piece[first : last + length]))
+            continue
+        half = (open_ + 1) // 2
+        if first <= low - half:  # starts with so many bytes before the known ones
+            stack.append((_key(key, piece[low - half : high], 1), first, min(last, low - half), low - half, high, left - 1))
+        if last > low - half:
+            stack.append((_key(key, piece[low : high + half], 2), max(first, low - half + 1), last, low, high + half, left - 1))
+    return out
+
+
+def _key(key: int, raw: bytes, side: int) -> int:
+    return xxhash.xxh64_intdigest(raw, (key * 4 + side) & ((1 << 64) - 1)) - (1 << 63)
+
+
 def _spans(flags: np.ndarray, length: int) -> list[int]:
     """Covered intervals [begin, end) of marked starts, flat."""
     at = np.flatnonzero(flags)
@@ -155,7 +185,7 @@ def _spans(flags: np.ndarray, length: int) -> list[int]:
     return np.stack([begin, end], 1).ravel().tolist()
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400) -> DataFrame:
+def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400, hot: int = HOT) -> DataFrame:
     """(k1, k2, spans): for each distinct text of ``texts`` (text) that has any,
     the merged byte ranges covered by a ``length``-byte string that also starts
     elsewhere, as a flat array begin, end, begin, end, ... in order."""
@@ -205,7 +235,9 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400) -> Dat
     placed = scratch.table(sorted_.mapInArrow(crowded, "hash long, seg long, k1 long, k2 long, s0 long, s1 long, anchor long, n long"))
     # a weighted segment stands for its equal copies; one text is chosen to show its bytes
     chosen = placed.groupBy("hash", "seg").agg(F.sum("n").alias("weight"), F.min(F.struct("k1", "k2", "s0", "s1", "anchor")).alias("at"))
-    asked = chosen.select("at.k1", "at.k2", F.struct("at.s0", "at.s1", "at.anchor", "hash", "seg", "weight").alias("want")).groupBy("k1", "k2").agg(F.collect_list("want").alias("wants"))
+    many = placed.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("hash", F.lit(True).alias("hot"))
+    chosen = chosen.join(many, "hash", "left")
+    asked = chosen.select("at.k1", "at.k2", F.struct("at.s0", "at.s1", "at.anchor", "hash", "seg", "weight", F.coalesce("hot", F.lit(False)).alias("hot")).alias("want")).groupBy("k1", "k2").agg(F.collect_list("want").alias("wants"))
     asked = scratch.table(asked)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +260,20 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400) -> Dat
             for text, wants in zip(batch.column("text"), batch.column("wants")):
                 raw = text.as_buffer()
                 for w in wants.as_py():
-                    out.append((w["hash"], w["seg"], w["anchor"], w["weight"], raw[w["s0"] : w["s1"] + length].to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(),) * 4 + (pa.binary(),))], ["hash", "seg", "anchor", "weight", "piece"])
+                    piece = raw[w["s0"] : w["s1"] + length].to_pybytes()
+                    parts = split_piece(w["hash"], piece, w["anchor"], length, gram) if w["hot"] else [(w["hash"], 0, piece)]
+                    out += [(bucket, w["seg"], first, w["anchor"] - first, w["weight"], part, w["hash"]) for bucket, first, part in parts]
+                if len(out) > 4000:
+                    yield table(out)
+                    out = []
+            yield table(out)
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(),) * 5 + (pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["bucket", "seg", "first", "anchor", "weight", "piece", "hash"])
 
-    pieces = long_texts.join(asked, ["k1", "k2"]).select("text", "wants").mapInArrow(cut_out, "hash long, seg long, anchor long, weight long, piece binary")
-    grouped = pieces.repartition(partitions(spark), "hash").sortWithinPartitions("hash", "seg")
+    pieces = long_texts.join(asked, ["k1", "k2"]).select("text", "wants").mapInArrow(cut_out, "bucket long, seg long, first long, anchor long, weight long, piece binary, hash long")
+    grouped = pieces.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "seg", "first")
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("hash", pa.int64()), ("seg", pa.int64()), ("spans", pa.list_(pa.int32()))])
@@ -240,19 +281,20 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400) -> Dat
         size = 0
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
-            found = [_spans(f, length) for f in repeated_starts([r[4] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), length)]
+            found = [_spans(f, length) for f in repeated_starts([r[5] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), length)]
             some = [i for i, f in enumerate(found) if f]
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([rows[i][1] for i in some], pa.int64()), pa.array([found[i] for i in some], pa.list_(pa.int32()))], schema=schema)
+            found = [[x + r[2] for x in f] for f, r in zip(found, rows)]
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][6] for i in some], pa.int64()), pa.array([rows[i][1] for i in some], pa.int64()), pa.array([found[i] for i in some], pa.list_(pa.int32()))], schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if held and held[-1][0] == row[0] and held[-1][1] == row[1]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if held and held[-1][:3] == row[:3]:
                     continue  # the same segment, shown by two tasks
                 if size > BLOCK and held[-1][0] != row[0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield solve(held)
 
@@ -271,16 +313,17 @@ def cover(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first, 0], end[np.append(first[1:], len(end)) - 1]
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): one row per input row.
 
     Texts are UTF-8 bytes (null reads as empty); ``kept`` holds the remaining
     bytes, concatenated. Strings are judged on the input, never across
     documents, and every place that holds a repeated string loses it, the
-    first included. Ids may be null or repeated; they are only carried.
+    first included. Ids may be null or repeated; they are only carried. ``hot``
+    changes the work's order, never the result.
     """
     mine = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    spans = repeated_spans(mine, scratch, length)
+    spans = repeated_spans(mine, scratch, length, hot)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):

@@ -122,7 +122,8 @@ def test_components_in_one_task_and_in_rounds(spark, small):
     assert got == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
 
 
-def test_suffix_dedup_equals_brute_force(spark, corpus):
+@pytest.mark.parametrize("hot", [0, suffix_dedup.HOT])
+def test_suffix_dedup_equals_brute_force(spark, corpus, hot):
     length = 60
     passage = "A shared passage, é ü, that stands in several texts and is longer than the limit of bytes."
     texts = [*corpus, (100, "begin " + passage + " end"), (101, passage), (102, "a" * 200), (103, "ab" * 100), (104, passage + " x " + passage)]
@@ -136,10 +137,25 @@ def test_suffix_dedup_equals_brute_force(spark, corpus):
                 gone[s : s + length] = True
         edge = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want.append((str(i), len(b), int(gone.sum()), edge, bytes(x for x, g in zip(b, gone) if not g)))
-    got = suffix_dedup.remove_repeats(frame(spark, texts), Scratch(spark, "t"), length=length)
+    got = suffix_dedup.remove_repeats(frame(spark, texts), Scratch(spark, "t"), length=length, hot=hot)
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()) == sorted(want)
 
 
+def test_split_buckets_keep_equal_strings_together():
+    rng = np.random.default_rng(8)
+    raw = bytes(rng.integers(97, 123, 300).astype(np.uint8))
+    buckets = {}
+    for a, b in ((40, 280), (0, 260), (55, 300)):  # pieces that share strings of 100 bytes around the gram at 140
+        first, last = max(a, 140 + 20 - 100), min(b - 100, 140)
+        covered = []
+        for bucket, start, part in suffix_dedup.split_piece(7, raw[first : last + 100], 140 - first, 100, 20):
+            for i in range(len(part) - 99):
+                buckets.setdefault(part[i : i + 100], set()).add(bucket)
+                covered.append(first + start + i)
+        assert sorted(covered) == list(range(first, last + 1))
+    assert all(len(b) == 1 for b in buckets.values()) and len({x for b in buckets.values() for x in b}) > 4
+
+
 def test_codec_equals_library(spark, corpus):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
