@@ -17,10 +17,12 @@ pairs.
 
 A group of more than ``block`` sets is dealt to blocks. Each block gets its
 own tree and names its most central sets; the most central of the group meet
-every block; then the sets outside of the group's largest component meet every
-block, which covers all pairs that can still link. Every pair is verified,
-known to be connected, or excluded by a bound, so no link between different
-texts is lost.
+every block. What can still link are sets outside of the group's largest
+component: if they are few, they meet every block; if they are many, the group
+is loose, and sets meet only where they post an equal piece and lie in
+different components: as distinct pairs for pieces of few sets, else in a tree
+for each piece. Every pair is verified, known to be connected, or excluded by a
+bound, so no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ from .components import components, contract, forest
 BLOCK = 2048
 #: Central sets that a group of several blocks shows to all of them.
 PIVOTS = 64
+#: Sets of one piece up to which the pairs that it leaves open are written as such.
+FEW = 8
 #: Shingles that a block holds, unless one set has more.
 BLOCK_GRAMS = 2 << 20
 FAN = 8
@@ -374,6 +378,14 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             rows = rows.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "grams"])
 
+    def pieces_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                rows = batch.slice(start, 256)
+                values, first = bands.pieces_of([np.frombuffer(x.as_buffer(), _U) for x in rows.column("grams")])
+                at = pa.array(np.repeat(np.arange(len(rows)), np.diff(first)))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(rows.column(c).take(at) for c in ("rep", "key", "part"))], ["piece", "rep", "key", "part"])
+
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("of", pa.int64()), ("key", pa.int64()), ("central", pa.float64())])
         for table in whole_groups(batches, "of", "place"):
@@ -434,11 +446,28 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         minor = now.join(sized, "of").where("part <> main")
         sides = scratch.table(needed(minor).withColumnRenamed("blocks", "sides"))
         if not sides.isEmpty():
-            last = now.join(sized, "of").join(sides, "of").join(large.select("of", "rep", "key", "grams"), ["of", "rep", "key"])
-            in_block = F.transform(every("sides"), lambda j: (F.col("block") * F.col("sides") + j) * 4)
-            beside = F.transform(every("blocks"), lambda i: (i * F.col("sides") + hashed("sides")) * 4 + 1)
-            places = F.when(F.col("part") == F.col("main"), in_block).otherwise(F.concat(in_block, beside))
-            links = links.unionAll(resolved(last.select("of", places.alias("places"), "part", "rep", "key", "grams")).select("a", "b"))
+            # few sets outside of the main component: they meet every block
+            last = now.join(sized, "of").join(sides.where("sides = 1"), "of").join(large.select("of", "rep", "key", "grams"), ["of", "rep", "key"])
+            in_block = F.array(F.col("block") * 4)
+            places = F.when(F.col("part") == F.col("main"), in_block).otherwise(F.concat(in_block, F.transform(every("blocks"), lambda i: i * 4 + 1)))
+            beside = last.select("of", places.alias("places"), "part", "rep", "key", "grams")
+            # many: a loose group, whose sets meet where they post an equal piece
+            loose = now.join(sides.where("sides > 1"), "of").select("rep", "key", "part").join(large.select("rep", "key", "grams"), ["rep", "key"])
+            posts = scratch.table(loose.mapInArrow(pieces_again, "piece long, rep long, key long, part long"))
+            open_ = posts.groupBy("piece").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("piece", "m")
+            opened = scratch.table(posts.join(open_, "piece"))
+            scratch.drop(posts)
+            few = opened.where(F.col("m") <= FEW).groupBy("piece").agg(F.collect_list(F.struct("key", "rep", "part")).alias("all"))
+            pairs = few.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["key"] > x["key"]) & (y["part"] != x["part"])), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
+            pairs = pairs.select("p.x", "p.y").distinct().select(F.xxhash64("x.key", "y.key").alias("of"), F.explode(F.array("x", "y")).alias("z"))
+            pairs = pairs.select("of", F.array(F.lit(2).cast("long")).alias("places"), "z.part", "z.rep", "z.key")
+            blocks = F.ceil(F.col("m") / block)
+            crowd = opened.where(F.col("m") > FEW).withColumn("blocks", blocks).withColumn("block", hashed("blocks"))
+            tiles = F.transform(every("blocks"), lambda o: (F.least("block", o) * F.col("blocks") + F.greatest("block", o)) * 4 + F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1))
+            crowd = crowd.select(F.col("piece").alias("of"), tiles.alias("places"), "part", "rep", "key")
+            across = pairs.unionAll(crowd).join(large.select("rep", "key", "grams"), ["rep", "key"]).select("of", "places", "part", "rep", "key", "grams")
+            links = links.unionAll(resolved(beside.unionAll(across)).select("a", "b"))
+            scratch.drop(opened)
 
     # an id with several sets ties their classes together
     several = linkable.groupBy("doc_id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("doc_id")
