@@ -77,6 +77,22 @@ def test_jaccard_equals_brute_force(spark, corpus, size, percent, block):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
 
 
+@pytest.mark.parametrize("few", [0, 8, 1000])
+def test_loose_groups_without_central_sets(spark, monkeypatch, few):
+    """What random blocks of three leave open is found by piece: all as pairs, all in trees, or both."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 0)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rng, base, rows = np.random.default_rng(3), prose(77, 90).split(), []
+    for i in range(45):  # a chain: each text is a copy of the one before with two words changed
+        rows.append((i, " ".join(base)))
+        for at in rng.integers(0, len(base), 2):
+            base[at] = f"n{i}x{at}"
+    rows += [(100 + i, " ".join(prose(77, 90).split()[:60] + prose(200 + i, 30).split())) for i in range(6)]
+    _, root = brute_components(rows, 5, 80)
+    got = jaccard.link_components(frame(spark, rows), Scratch(spark, "t"), size=5, percent=80, block=3).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == root and 1 < len(set(root.values())) < 40
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90, 97])
 def test_linked_sets_post_an_equal_piece(percent):
     rng = np.random.default_rng(percent)
