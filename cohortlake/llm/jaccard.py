@@ -3,8 +3,10 @@
 Two sets with Jaccard similarity t or more, the smaller of ``s`` elements,
 differ in at most ``d(s)`` elements. Cut by hash into more than ``d`` pieces,
 they agree on a whole piece, so every link joins two sets that post an equal
-piece. Sets that are connected by equal pieces form a group; unrelated texts
-hardly ever share a piece, however many shingles they have in common.
+piece. Sets that post an equal piece are compared by their profiles, counts of
+shingles in few bins: these differ by no more than the sets do, so pairs whose
+profiles are too far apart, such as texts that share a passage, can't link.
+Sets that are connected by pairs which are left form a group.
 
 Each group is resolved by a signature tree: nodes hold OR-combined bitmaps of
 the shingles that any two sets of the group share, size ranges and the range
@@ -44,6 +46,10 @@ BLOCK = 2048
 PIVOTS = 64
 #: Sets of one piece up to which the pairs that it leaves open are written as such.
 FEW = 8
+#: Sets of one piece in a task, and in all, beyond which they are tied unseen.
+MANY, LOOSE = 64, 2048
+#: A key that marks a piece whose sets a task has tied.
+MARK = np.iinfo(np.int64).min
 #: Shingles that a block holds, unless one set has more.
 BLOCK_GRAMS = 2 << 20
 FAN = 8
@@ -65,6 +71,43 @@ def set_key(grams: np.ndarray) -> int:
     return int(W.mix(np.array([total ^ np.bitwise_xor.reduce(W.mix(grams + _U(0x1234567)), initial=_U(0))])).view(np.int64)[0])
 
 
+def profile(grams: np.ndarray) -> bytes:
+    """Counts (255 at most) of the shingles by the head of their hashes, in a power of two of bins."""
+    bins = min(256, max(16, 1 << max(0, math.ceil(math.log2(max(1, len(grams)) / 8)))))
+    return np.minimum(np.bincount((grams >> _U(56)).astype(np.int64) * bins >> 8, minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+class Profiles:
+    """Profiles of many sets, compared in the bins of the shorter one."""
+
+    def __init__(self, raws: list[bytes], sizes: np.ndarray, percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.width = np.array([len(r) for r in raws], np.int64)
+        self.at: dict[int, np.ndarray] = {}
+        for w in sorted(set(self.width.tolist()), reverse=True):
+            own = np.flatnonzero(self.width == w)
+            table = np.zeros((len(raws), w), np.int16)
+            if 2 * w in self.at:
+                table[:] = np.minimum(self.at[2 * w].reshape(len(raws), w, 2).sum(2), 255)
+            table[own] = np.frombuffer(b"".join(raws[i] for i in own), np.uint8).reshape(len(own), w)
+            for wide in self.at:  # widths may lie further apart
+                if wide > 2 * w and 2 * w not in self.at:
+                    some = np.flatnonzero(self.width >= wide)
+                    table[some] = np.minimum(self.at[wide][some].reshape(len(some), w, wide // w).sum(2), 255)
+            self.at[w] = table
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sets can still link."""
+        out = np.zeros(len(i), bool)
+        width = np.minimum(self.width[i], self.width[j])
+        most = (100 - self.percent) * (self.sizes[i] + self.sizes[j]) // (100 + self.percent)
+        for w, table in self.at.items():
+            for part in np.array_split(np.flatnonzero(width == w), len(i) * w // (4 << 20) + 1):
+                if len(part):
+                    out[part] = np.abs(table[i[part]] - table[j[part]]).sum(1) <= most[part]
+        return out
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the similarity."""
     if not len(x) or not len(y):
@@ -311,16 +354,18 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             sets = row_shingles(data, offsets, size)
             values, first = bands.pieces_of(sets)
             pieces = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pieces], ["doc_id", "n", "key", "pieces"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pieces, pa.array([profile(s) for s in sets], pa.binary())], ["doc_id", "n", "key", "pieces", "profile"])
 
-    whole = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, pieces array<long>"))
+    whole = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, pieces array<long>, profile binary"))
     described = scratch.table(whole.select("doc_id", "n", "key"))  # outlives the pieces
     linkable = described.where("n > 0 and doc_id is not null")
+    posting = whole.where("n > 0 and doc_id is not null and size(pieces) > 0")
     classes = scratch.table(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's postings, one of each piece, and links from it to the others, as
-        pieces that only their two ends post: a hot piece travels once per task."""
+        """A task's postings. Of a piece that very many of its sets post, one and a
+        mark, with links from it to the others as pieces that only their two ends
+        post: a hot piece travels once per task."""
         schema = pa.schema([("piece", pa.int64()), ("key", pa.int64())])
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -328,11 +373,18 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             piece, key = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             order = np.lexsort((key, piece))
             piece, key = piece[order], key[order]
-            new = np.append(True, piece[1:] != piece[:-1])
-            lead = key[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            a, b = contract(lead[lead != key], key[lead != key])
+            new = np.append(True, (piece[1:] != piece[:-1]) | (key[1:] != key[:-1]))
+            piece, key = piece[new], key[new]
+            first = np.append(True, piece[1:] != piece[:-1])
+            group = np.cumsum(first) - 1
+            hot = (np.bincount(group) > MANY)[group]
+            lead = key[np.flatnonzero(first)][group]
+            a, b = contract(lead[hot & ~first], key[hot & ~first])
             link = W.mix(W.mix(a.view(_U)) + b.view(_U)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([piece[new], link, link])), pa.array(np.concatenate([key[new], a, b]))], schema=schema)
+            marked = piece[hot & first]
+            keep = ~hot | first
+            mark = np.full(len(marked) + len(link), MARK)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([piece[keep], link, link, marked, link])), pa.array(np.concatenate([key[keep], a, b, mark]))], schema=schema)
 
         for batch in batches:
             pieces = batch.column("pieces")
@@ -344,21 +396,61 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             yield combined()
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links between neighbours of one piece, as a forest; rows come sorted by piece."""
-        last = np.zeros((2, 0), np.int64)
-
-        def links(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal last
+        """The postings of pieces that several sets post; rows come sorted by piece and key."""
+        last, sent = np.zeros((2, 0), np.int64), False
+        for batch in batches:
+            if not len(batch):
+                continue
             posted = np.append(last, np.stack([batch.column(i).to_numpy() for i in (0, 1)]), axis=1)
-            last = posted[:, -1:]
-            near = np.flatnonzero(posted[0, 1:] == posted[0, :-1])
-            return pa.RecordBatch.from_arrays([pa.array(posted[1, near]), pa.array(posted[1, near + 1])], ["a", "b"])
-
-        yield from forest(links(batch) for batch in batches if len(batch))
-
-    posted = whole.where(F.expr("n > 0 and doc_id is not null and size(pieces) > 0")).select("key", "pieces").mapInArrow(post, "piece long, key long")
-    posted = posted.repartition(partitions(spark), "piece").sortWithinPartitions("piece", "key")
-    groups = components(posted.mapInArrow(share, "a long, b long"), scratch, reduced=True)
+            done = np.zeros(posted.shape[1], bool)
+            done[: last.shape[1]] = sent
+            new = np.append(True, (posted[:, 1:] != posted[:, :-1]).any(0))
+            posted, done = posted[:, new], done[new]
+            same = posted[0, 1:] == posted[0, :-1]
+            several = np.append(same, False) | np.append(False, same)
+            out = posted[:, several & ~done]
+            last, sent = posted[:, -1:], bool(several[-1] or done[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["piece", "key"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between sets of one piece that can link; within marked and very large pieces, between all."""
+
+        def links(table: pa.Table) -> pa.RecordBatch:
+            piece, key = table.column("piece").to_numpy(), table.column("key").to_numpy()
+            raws = [x or b"\0" * 16 for x in table.column("profile").to_pylist()]
+            known = Profiles(raws, table.column("n").fill_null(0).to_numpy(), percent)
+            first = np.append(True, piece[1:] != piece[:-1])
+            group = np.cumsum(first) - 1
+            size = np.bincount(group)
+            free = (np.bincount(group, key == MARK) > 0) | (size > LOOSE)
+            pairs, tied = [(np.zeros(0, np.int64),) * 2], [(np.zeros(0, np.int64),) * 2]
+            for k in range(1, FEW):
+                i = np.flatnonzero((group[k:] == group[:-k]) & ((size <= FEW) & ~free)[group[k:]])
+                pairs.append((i, i + k))
+            begin = np.flatnonzero(first)
+            for g in np.flatnonzero((size > FEW) & ~free):
+                i, j = np.triu_indices(size[g], 1)
+                ok = known.close(begin[g] + i, begin[g] + j)
+                tied.append(contract(begin[g] + i[ok], begin[g] + j[ok]))
+            i, j = (np.concatenate([p[x] for p in pairs]) for x in (0, 1))
+            ok = known.close(i, j)
+            i, j = (np.concatenate([x[ok], *(t[at] for t in tied)]) for at, x in enumerate((i, j)))
+            chained = np.flatnonzero(free[group] & ~first)
+            lead = begin[group]
+            # a link's ends bear no mark: the mark is the least key, so chains start behind it
+            lead = np.where((key[lead] == MARK) & (lead + 1 < len(key)), lead + 1, lead)[chained]
+            real = (key[chained] != MARK) & (key[lead] != MARK) & (lead != chained)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(key[i], key[lead[real]])), pa.array(np.append(key[j], key[chained[real]]))], ["a", "b"])
+
+        yield from forest(links(table) for table in whole_groups(batches, "piece"))
+
+    posted = posting.select("key", "pieces").mapInArrow(post, "piece long, key long").repartition(partitions(spark), "piece").sortWithinPartitions("piece", "key")
+    shared = scratch.table(posted.mapInArrow(share, "piece long, key long"))
+    profiles = posting.groupBy("key").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
+    compared = shared.join(profiles.hint("merge"), "key", "left").select("piece", "key", "n", "profile")
+    compared = compared.repartition(partitions(spark), "piece").sortWithinPartitions("piece", "key")
+    groups = components(compared.mapInArrow(meet, "a long, b long"), scratch, reduced=True)
+    scratch.drop(shared)
     scratch.drop(whole)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

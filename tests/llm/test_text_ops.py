@@ -77,6 +77,17 @@ def test_jaccard_equals_brute_force(spark, corpus, size, percent, block):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
 
 
+def test_profiles_pass_all_linked_sets():
+    rng, sets = np.random.default_rng(12), []
+    for n in (1, 9, 60, 250, 300, 3000, 9000):
+        x = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        sets += [np.unique(x), np.unique(np.append(x[: max(1, int(n * 0.93))], rng.integers(0, 1 << 64, n // 12, dtype=np.uint64))), np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))]
+    known = jaccard.Profiles([jaccard.profile(x) for x in sets], np.array([len(x) for x in sets]), 80)
+    i, j = np.triu_indices(len(sets), 1)
+    ok, true = known.close(i, j), np.array([jaccard.linked(sets[a], sets[b], 80) for a, b in zip(i, j)])
+    assert true.sum() >= 6 and ok[true].all() and ok.sum() < len(ok) / 4
+
+
 @pytest.mark.parametrize("few", [0, 8, 1000])
 def test_loose_groups_without_central_sets(spark, monkeypatch, few):
     """What random blocks of three leave open is found by piece: all as pairs, all in trees, or both."""
