@@ -88,6 +88,21 @@ def test_profiles_pass_all_linked_sets():
     assert true.sum() >= 6 and ok[true].all() and ok.sum() < len(ok) / 4
 
 
+def test_pieces_that_very_many_sets_post(spark):
+    """More copies with a word changed than a task posts one by one, some linked only through each other."""
+    base, rows = prose(31, 120).split(), []
+    for i in range(jaccard.MANY * 2):
+        w = list(base)
+        w[i % 120] = f"c{i}"
+        if i % 3 == 0:
+            w[(i * 7) % 120] = f"d{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(500, " ".join(base[:90])), (501, " ".join(base[:70])), (502, prose(32, 120))]
+    _, root = brute_components(rows, 3, 90)
+    got = jaccard.link_components(frame(spark, rows).repartition(1), Scratch(spark, "t")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == root and len(set(root.values())) > 2
+
+
 @pytest.mark.parametrize("few", [0, 8, 1000])
 def test_loose_groups_without_central_sets(spark, monkeypatch, few):
     """What random blocks of three leave open is found by piece: all as pairs, all in trees, or both."""
