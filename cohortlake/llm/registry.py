@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, embedding_dedup, jaccard, packing, recurrent_lm, suffix_dedup, toxicity, url_filter, warc
+from . import ann, bpe, divergence, embedding_dedup, jaccard, packing, recurrent_lm, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_nn_descent": ann.op1,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8,
     "op9_url_filter": url_filter.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
+    "op13_source_divergence": divergence.op13,
 }
 
 ORACLES: dict[str, str] = {
     "op7_warc_revisits": warc.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
