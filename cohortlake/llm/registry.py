@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, divergence, embedding_dedup, jaccard, packing, recurrent_lm, speculate, suffix_dedup, toxicity, url_filter, warc
+from . import ann, bpe, conversations, divergence, embedding_dedup, jaccard, packing, recurrent_lm, speculate, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_nn_descent": ann.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8,
     "op9_url_filter": url_filter.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
+    "op11_conversation_repair": conversations.op11,
     "op12_speculative_bpe": speculate.op12,
     "op13_source_divergence": divergence.op13,
 }
