@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -113,39 +113,25 @@ def cosine_distance(x: Column, y: Column) -> Column:
     return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(dot(x, y) / F.when(norm > 0, norm), F.lit(0.0))))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, block_rows: int = 4000) -> DataFrame:
-    """(query_id, rank, neighbour_id, distance): exact k nearest of ``rows`` (id, vec
-    array<double>[, group]) for each query; itself, and rows of its group, are left out.
+def vector_rows(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The column ``vec`` as a matrix."""
+    flat = table.column("vec")
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    flat = flat.flatten() if isinstance(flat, pa.Array) else pa.concat_arrays([c.flatten() for c in flat.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(len(table), -1)
 
-    A grid of query blocks and row blocks: each pair of blocks is one numpy
-    product in one task, which hands on its k best for each query. A row is
-    shipped once per query block, a query once per row block; this is brute
-    force, for query sets of up to some hundred thousands. Distances of the
-    candidates that the product leaves are taken from differences. Ties go to
-    the smaller id.
-    """
-    spark = rows.sparkSession
-    cols = ["id", "vec"] + ([group] if group else [])
-    n_rows = rows.count()
-    i_blocks = max(1, -(-queries.count() // block_rows))
-    spread = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // i_blocks)
-    j_blocks = max(1, -(-n_rows // (4 * block_rows)), min(spread, n_rows // 200))
-    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(*cols).withColumn("i", block(i_blocks, 0)).withColumn("j", every(j_blocks))
-    dealt = rows.select(*cols).withColumn("j", block(j_blocks, 1)).withColumn("i", every(i_blocks))
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        flat = table.column("vec").combine_chunks()
-        flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-        return flat.to_numpy(zero_copy_only=False).reshape(len(table), -1)
+def best_pairs(k: int, metric: str, group: str | None = None, own: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of queries and one of rows: the k best rows of each query, as one
+    numpy product; distances of the candidates that it leaves are taken from differences.
+    Rows of the query's own id are left out unless ``own``, and rows of its group."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
         found = [(none, none, np.zeros(0))]
         if len(left) and len(right):
             right = right.sort_by("id")
-            q, r = matrix(left), matrix(right)
+            q, r = vector_rows(left), vector_rows(right)
             qi, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
             qg, rg = (np.array(t.column(group).to_pylist()) if group else None for t in (left, right))
             nq, nr = (q * q).sum(1), (r * r).sum(1)
@@ -158,7 +144,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidea
                     d = 1 - np.clip(np.divide(d, norm, out=np.zeros_like(d), where=norm > 0), -1, 1)
                 else:
                     d = nq[part, None] + nr - 2 * d
-                out = qi[part, None] == ri
+                out = np.zeros(d.shape, bool) if own else qi[part, None] == ri
                 if group:
                     out |= qg[part, None] == rg
                 d[out] = np.inf
@@ -174,7 +160,31 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidea
         a, b, c = (np.concatenate([x[j] for x in found]) for j in range(3))
         return pa.table({"query_id": a, "neighbour_id": b, "distance": c})
 
-    found = asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(meet, "query_id long, neighbour_id long, distance double")
+    return meet
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, block_rows: int = 4000, own: bool = False) -> DataFrame:
+    """(query_id, rank, neighbour_id, distance): exact k nearest of ``rows`` (id, vec
+    array<double>[, group]) for each query; itself (unless ``own``), and rows of its
+    group, are left out.
+
+    A grid of query blocks and row blocks: each pair of blocks is one numpy
+    product in one task, which hands on its k best for each query. A row is
+    shipped once per query block, a query once per row block; this is brute
+    force, for query sets of up to some hundred thousands (``pivots`` visits fewer
+    pairs of blocks). Ties go to the smaller id.
+    """
+    spark = rows.sparkSession
+    cols = ["id", "vec"] + ([group] if group else [])
+    n_rows = rows.count()
+    i_blocks = max(1, -(-queries.count() // block_rows))
+    spread = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // i_blocks)
+    j_blocks = max(1, -(-n_rows // (4 * block_rows)), min(spread, n_rows // 200))
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(*cols).withColumn("i", block(i_blocks, 0)).withColumn("j", every(j_blocks))
+    dealt = rows.select(*cols).withColumn("j", block(j_blocks, 1)).withColumn("i", every(i_blocks))
+    found = asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(best_pairs(k, metric, group, own), "query_id long, neighbour_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
 
@@ -225,6 +235,13 @@ def project(rows: DataFrame, mean: np.ndarray, loadings: np.ndarray) -> DataFram
     return rows.select("id", *[dot(centred, F.array(*[F.lit(float(v)) for v in row])).alias(f"PC{i + 1}") for i, row in enumerate(loadings)])
 
 
+def project_arrays(rows: DataFrame, mean: np.ndarray, loadings: np.ndarray) -> DataFrame:
+    """(id, scores): the scores of (id, vec) on saved components as one array."""
+    centred = F.zip_with("vec", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)
+    weights = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in loadings])
+    return rows.select("id", centred.alias("_x")).select("id", F.transform(weights, lambda w: dot(F.col("_x"), w)).alias("scores"))
+
+
 def variance_summary(long: DataFrame) -> DataFrame:
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
     return long.groupBy("feature").agg(F.var_samp("value").alias("variance"), (q[1] - q[0]).alias("iqr"))

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from cohortlake.plans import catalogue, standards  # noqa: F401
+from cohortlake.plans import catalogue, models, standards  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
