@@ -26,16 +26,13 @@ def prevalence(events: DataFrame, expected: DataFrame, group: str, entity: str,
     """Share of a group's entities (with any record) that have a hit per feature;
     expected groups without records give no rows of their own features.
 
-    The records are read and shuffled once, by group and entity; what follows
-    are counts by group and feature.
+    Records are counted in two steps, by group, entity and feature and then by
+    group and feature, so that all of it combines before it is shuffled.
     """
-    marks = F.collect_set(F.struct(F.col(feature).alias("f"), F.when(hit, 1).otherwise(0).alias("h")))
-    sets = events.groupBy(group, entity).agg(marks.alias("marks"))
-    seen = F.transform(F.filter("marks", lambda m: m["f"].isNotNull()), lambda m: F.struct(m["f"].alias("f"), m["h"].alias("h"), F.lit(0).alias("n")))
-    total = F.struct(F.lit(None).cast(events.schema[feature].dataType).alias("f"), F.lit(0).alias("h"), F.lit(1).alias("n"))
-    rows = sets.select(group, F.explode(F.concat(seen, F.array(total))).alias("r"))
-    counts = rows.groupBy(group, F.col("r.f").alias(feature)).agg(F.sum("r.h").alias("n_hits"), F.sum("r.n").alias("n_entities")).persist()  # groups by features
-    totals, hits = counts.where(F.col(feature).isNull()).select(group, "n_entities"), counts.where(F.col(feature).isNotNull()).select(group, feature, "n_hits")
+    seen = events.groupBy(group, entity, feature).agg(F.max(F.when(hit, 1).otherwise(0)).alias("_h"))
+    first = F.row_number().over(Window.partitionBy(group, entity).orderBy(feature)) == 1  # one row for each entity
+    counts = seen.withColumn("_first", first.cast("int")).groupBy(group, feature).agg(F.sum("_h").alias("n_hits"), F.sum("_first").alias("_n"))  # groups by features
+    totals, hits = counts.groupBy(group).agg(F.sum("_n").alias("n_entities")), counts.where(F.col(feature).isNotNull()).select(group, feature, "n_hits")
     grid = expected.select(group).distinct().join(hits.select(feature).distinct(), how="cross")
     out = grid.join(hits, [group, feature], "left").join(totals, group, "left").fillna(0, ["n_hits", "n_entities"])
     return out.withColumn("prevalence", F.coalesce(F.col("n_hits") / F.when(F.col("n_entities") > 0, F.col("n_entities")), F.lit(0.0)))

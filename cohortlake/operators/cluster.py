@@ -147,13 +147,26 @@ def singletons(df: DataFrame, cluster: str) -> DataFrame:
     return df.withColumn("is_singleton", F.count(F.lit(1)).over(Window.partitionBy(cluster)) == 1)
 
 
-def kruskal(long: DataFrame, group: str, feature: str = "feature", value: str = "value") -> DataFrame:
-    """(feature, n, k, h, epsilon_squared): tie-corrected Kruskal-Wallis by window ranks."""
-    known = long.where(F.col(value).isNotNull())
-    w = Window.partitionBy(feature)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(feature, value))
-    ranked = known.withColumn("_ties", ties.cast("double")).withColumn("_rank", F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
-    groups = ranked.groupBy(feature, group).agg(F.sum("_rank").alias("r"), F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("_ties") * F.col("_ties") - 1).alias("t"))
+def kruskal(long: DataFrame, group: str, feature: str = "feature", value: str = "value", bins: int = 256) -> DataFrame:
+    """(feature, n, k, h, epsilon_squared): tie-corrected Kruskal-Wallis.
+
+    Equal values are counted, not ordered; different ones are ranked within
+    approximate quantile bins of their feature, to which the counts of the bins
+    below are added, so that no task orders a whole feature.
+    """
+    known = long.where(F.col(value).isNotNull()).select(F.col(feature).alias("_f"), F.col(group).alias("_g"), F.col(value).alias("_v"))
+    counted = known.groupBy("_f", "_v", "_g").agg(F.count(F.lit(1)).alias("_m"))
+    edges = counted.groupBy("_f").agg(F.percentile_approx("_v", F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10 * bins)).alias("_edges")).withColumnRenamed("_f", "_whose")
+    tied = counted.groupBy("_f", "_v").agg(F.sum("_m").alias("_ties"), F.collect_list(F.struct("_g", "_m")).alias("_by"))  # a group once each
+    binned = tied.join(edges, F.col("_f").eqNullSafe(F.col("_whose"))).drop("_whose").withColumn("_b", F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col("_v")))).drop("_edges")
+    sizes = binned.groupBy("_f", "_b").agg(F.sum("_ties").alias("_n"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("_f").alias("_of"), F.col("_b").alias("_in"), before("_n", Window.partitionBy("_f").orderBy("_b")).alias("_below"))  # at most ``bins`` rows a feature
+    placed = binned.join(sizes, F.col("_f").eqNullSafe(F.col("_of")) & (F.col("_b") == F.col("_in")))
+    rank = F.col("_below") + before("_ties", Window.partitionBy("_f", "_b").orderBy("_v")) + (F.col("_ties") + 1) / 2
+    each = placed.withColumn("_rank", rank).select(F.col("_f").alias(feature), F.explode("_by").alias("_x"), "_rank", F.col("_ties").cast("double").alias("_ties"))
+    m = F.col("_x._m").cast("double")
+    groups = each.groupBy(feature, F.col("_x._g").alias(group)).agg(F.sum(F.col("_rank") * m).alias("r"), F.sum(m).alias("n"), F.sum((F.col("_ties") * F.col("_ties") - 1) * m).alias("t"))
     out = groups.groupBy(feature).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").alias("t"))
     n = F.col("n")
     correction = 1 - F.col("t") / F.when(n > 1, n * n * n - n)
@@ -246,12 +259,12 @@ def _mixture(x: np.ndarray, k: int, rounds: int = 300) -> tuple[float, np.ndarra
 
 
 def _by_mean(labels: np.ndarray, x: np.ndarray) -> np.ndarray:
-    order = sorted(set(labels.tolist()), key=lambda c: x[labels == c].mean())
+    order = sorted(set(labels.tolist()), key=lambda c: -x[labels == c].mean())
     return np.array([order.index(c) + 1 for c in labels])
 
 
 def mixture_labels(x: np.ndarray, least: int = 50, most: int = 6, min_size: int = 10, tolerance: float = 10.0) -> tuple[np.ndarray, str]:
-    """Cluster numbers by ascending mean and the method: the simplest mixture within
+    """Cluster numbers from the greatest mean down and the method: the simplest mixture within
     ``tolerance`` of the best BIC whose clusters all have ``min_size``, else quantile bins."""
     if len(x) < least:
         return np.zeros(len(x), int), "skipped_too_few"

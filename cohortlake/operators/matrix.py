@@ -9,21 +9,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a driver-side matrix may have at most.
-SMALL = 4000
+#: Rows that a driver-side matrix may have at most; rows from which medians are narrowed down instead of held in one buffer.
+SMALL, LARGE = 4000, 2_000_000
 
 
 def feature_profile(long: DataFrame, n_rows: int, feature: str = "feature", value: str = "value") -> DataFrame:
-    """Per feature: missing share (absent cells count as missing), spread, distinct values, median."""
+    """Per feature: missing share (absent cells count as missing), spread, distinct values
+    (beyond ``LARGE`` rows only whether there are more than one), median."""
     v = F.col(value)
-    return long.groupBy(feature).agg(
+    facts = [
         ((F.lit(n_rows) - F.count(v)) / F.lit(float(max(1, n_rows)))).alias("missing_fraction"),
         F.count(v).alias("n_observed"),
         F.stddev_samp(v).alias("sd_sample"),
         F.stddev_pop(v).alias("sd_population"),
-        F.count_distinct(v).alias("n_distinct"),
-        F.median(v).alias("median"),
-    )
+    ]
+    if n_rows <= LARGE:
+        return long.groupBy(feature).agg(*facts, F.count_distinct(v).alias("n_distinct"), F.median(v).alias("median"))
+    from .quantiles import exact_quantiles
+
+    several = F.when(F.min(v) < F.max(v), 2).otherwise(F.least(F.count(v), F.lit(1))).cast("long")  # one, or more
+    middle = exact_quantiles(long, [feature], value, [0.5]).select(F.col(feature).alias("_f"), F.col("quantiles")[0].alias("median"))
+    return long.groupBy(feature).agg(*facts, several.alias("n_distinct")).join(middle, F.col(feature).eqNullSafe(F.col("_f"))).drop("_f")
 
 
 def kept_features(profile: DataFrame, max_missing: float = 0.30, drop_constant: bool = False) -> DataFrame:

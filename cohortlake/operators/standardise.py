@@ -190,14 +190,17 @@ def arm_summary(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     return calls.groupBy(*keys).agg(n(F.col("is_gain")).alias("arm_gain_count"), n(F.col("is_loss")).alias("arm_loss_count"), n(F.col("is_gain") | F.col("is_loss")).alias("total_arm_alteration_count"))
 
 
-def assembled(base: DataFrame, sources: Sequence[tuple[str, DataFrame]], key: str, values: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def assembled(base: DataFrame, sources: Sequence[tuple[str, DataFrame]], key: str, values: Sequence[str], order: str | None = None) -> tuple[DataFrame, list[str]]:
     """The base's missing cells from the sources in their order, and a warning for each
-    source that has none of the values. Repeated keys of a source: the least value."""
+    source that has none of the values. Of repeated keys of a source each value is the
+    first one that isn't missing, by the source's column ``order`` or as its rows are read."""
     known, warnings = [], []
     for name, table in sources:
         if any(v in table.columns for v in values):
-            one = table.select(key, *[(F.col(v) if v in table.columns else F.lit(None)).cast("double").alias(v) for v in values])
-            known.append((name, one.groupBy(key).agg(*[F.min(v).alias(v) for v in values]).withColumn("_order", F.lit(0))))
+            at = F.col(order) if order in table.columns else F.monotonically_increasing_id()
+            one = table.select(key, at.alias("_at"), *[(F.col(v) if v in table.columns else F.lit(None)).cast("double").alias(v) for v in values])
+            first = lambda v: F.min(F.when(F.col(v).isNotNull(), F.struct("_at", F.col(v).alias("v"))))["v"].alias(v)
+            known.append((name, one.groupBy(key).agg(*[first(v) for v in values]).withColumn("_order", F.lit(0))))
         else:
             warnings.append(f"{name}: none of {list(values)}")
     return coalesce_merge(base, known, [key], values, "_order"), warnings

@@ -17,6 +17,7 @@ from ..operators import aggregates as A
 from ..operators import cluster as C
 from ..operators import joins as J
 from ..operators import matrix as M
+from ..operators import mixtures as MX
 from ..operators import reshape as R
 from ..operators import rules as RU
 from ..operators import select as SE
@@ -578,7 +579,7 @@ def bootstrap_stability(t: Tables) -> DataFrame:
 
 @query()
 def gmm_vaf(t: Tables) -> DataFrame:
-    return C.mixtures(t.values.select("user_id", "event_id", "value"), "user_id", "event_id", "value", least=30)
+    return MX.mixtures(t.values.select("user_id", "event_id", "value"), "user_id", "event_id", "value", least=30)
 
 
 @query()

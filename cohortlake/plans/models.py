@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import pivots as PV
+from ..operators import quantiles as QU
 from ..operators import reference as RF
+from ..sources import scans as SC
 from ..sources.artefacts import Store
 from ..sources.readers import shared_path
-from .catalogue import _LONG, Tables, _long, query, r6
+from .catalogue import _LONG, _NATIONS, VALUES, Tables, _long, _nations, query, r6
 
 # ---- saved models and indexes
 
@@ -49,3 +51,62 @@ def pruned_neighbours(t: Tables) -> DataFrame:
     rows = t.customer.join(n, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey") / F.lit(5.0), F.col("n") / F.lit(4.0)).cast("array<double>").alias("vec"), F.col("c_nationkey").alias("grp"))
     found, _ = PV.search(PV.build(rows, group="grp", block_rows=200), rows.where("id % 5 = 0"), 10, "grp")
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbour_id", r6("distance").alias("distance"))
+
+
+# ---- scans
+
+
+_WIDE = f"{_NATIONS}, rnk AS (SELECT feature, row_number() OVER (ORDER BY feature) AS n FROM (SELECT DISTINCT feature FROM lng))"
+
+
+@query(f"""{_WIDE} SELECT 'cell' AS kind, upper(lng.feature) AS feature, row AS sample, round(value, 6) AS value FROM lng JOIN rnk USING (feature) WHERE n % 7 <> 5 AND n % 3 > 0 AND (row LIKE '%1' OR row LIKE '%2') UNION ALL SELECT 'short_row', upper(feature), '', n FROM rnk WHERE n % 7 = 5""")
+def wide_matrix_scan(t: Tables) -> DataFrame:
+    """Brands by nations as a wide text file in which every seventh row breaks off: two rows in three and few columns are cut out of it."""
+    long, names = _nations(t), [r[0] for r in t.nation.select("n_name").orderBy("n_name").collect()]
+    wide = long.groupBy("feature").pivot("row", names).agg(F.first("value"))
+    n = F.row_number().over(Window.orderBy("feature"))  # the brands are a bounded dimension
+    cells = F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")) for c in names])
+    cells = F.when(F.col("n") % 7 == 5, F.slice(cells, 1, 2)).otherwise(cells)
+    body = wide.withColumn("n", n).select("n", F.concat(F.col("feature"), F.lit("|7\t"), F.concat_ws("\t", cells)).alias("value"))
+    path = shared_path(t.spark, "wide")
+    header = t.spark.createDataFrame([(0, "\t".join(["Gene_ID", *names]))], "n int, value string")
+    header.unionByName(body).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+    features = [r["feature"].upper() for r in long.select("feature").distinct().orderBy("feature").collect()]
+    found = SC.scan_wide(t.spark, path, lambda c: c.endswith(("1", "2")), [f for i, f in enumerate(features, 1) if i % 3])
+    out = found.cells.where("value IS NOT NULL").select(F.lit("cell").alias("kind"), "feature", F.col("column").alias("sample"), r6("value").alias("value"))
+    return out.unionByName(found.short.select(F.lit("short_row").alias("kind"), "feature", F.lit("").alias("sample"), F.col("row").cast("double").alias("value")))
+
+
+@query("""WITH s AS (SELECT 'S' || l_orderkey AS sample, l_suppkey::VARCHAR AS chromosome, l_partkey AS a, l_partkey + l_linenumber AS b, CASE WHEN l_tax > 0 THEN l_discount END AS m, l_orderkey % 8 AS part FROM lineitem)
+SELECT part::VARCHAR AS part, sample, CASE WHEN part % 4 = 1 THEN NULL ELSE chromosome END AS chromosome, a AS start, b AS "end", m AS segment_mean, NULL AS warning FROM s WHERE part % 4 <> 3 UNION ALL SELECT part::VARCHAR, NULL, NULL, NULL, NULL, NULL, 'missing_required_columns_end' FROM s WHERE part % 4 = 3 GROUP BY part""")
+def headed_files_scan(t: Tables) -> DataFrame:
+    """Line items in eight text files of four layouts, one of which lacks a required column, read by one plan."""
+    k, text = F.col("l_orderkey") % 8, lambda c: F.col(c).cast("string")
+    sample, mean = F.concat(F.lit("S"), text("l_orderkey")), F.when(F.col("l_tax") > 0, text("l_discount")).otherwise("NA")
+    start, end = text("l_partkey"), (F.col("l_partkey") + F.col("l_linenumber")).cast("string")
+    layouts = [
+        ("Sample\tChromosome\tStart\tEnd\tSegment_Mean", F.concat_ws("\t", sample, text("l_suppkey"), start, end, mean)),
+        ("loc.end,loc.start,\"ID\",extra,seg.mean", F.concat_ws(",", end, start, F.concat(F.lit('"'), sample, F.lit('"')), F.lit("x"), mean)),
+        ("# made by hand\nsegment mean;sample;end;chr;start", F.concat_ws(";", mean, sample, end, text("l_suppkey"), start)),
+        ("sample\tstart\tsegment_mean", F.concat_ws("\t", sample, start, mean)),
+    ]
+    body = F.lit(None)
+    for i, (_, line) in enumerate(layouts):
+        body = F.when(k % 4 == i, line).otherwise(body)
+    heads = t.spark.createDataFrame([(p, n, line) for p in range(8) for n, line in enumerate(layouts[p % 4][0].split("\n"), -5)], "part long, n int, value string")
+    path = shared_path(t.spark, "headed")
+    lines = heads.unionByName(t.lineitem.select(k.alias("part"), F.lit(0).alias("n"), body.alias("value")))
+    lines.repartition("part").sortWithinPartitions("part", "n").select("part", "value").write.partitionBy("part").text(path)
+    aliases = {"sample": ["sample", "id", "sample_id"], "chromosome": ["chromosome", "chr"], "start": ["start", "locstart"], "end": ["end", "locend"], "segment_mean": ["segmentmean", "segmean"]}
+    rows, warnings = SC.scan_headed(t.spark, f"{path}/part=*", aliases, ["sample", "start", "end", "segment_mean"])
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).alias("part")
+    out = rows.select(part, "sample", "chromosome", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("segment_mean").cast("double").alias("segment_mean"), F.lit(None).cast("string").alias("warning"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    return out.unionByName(warnings.select(part, none("sample", "string"), none("chromosome", "string"), none("start", "long"), none("end", "long"), none("segment_mean", "double"), "warning"))
+
+
+@query(f"""WITH {VALUES} SELECT event_type, count(value) AS n, [round(x, 6) FOR x IN quantile_cont(value, [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])] AS quantiles FROM vals GROUP BY 1""")
+def exact_quantiles_by_group(t: Tables) -> DataFrame:
+    """Quantiles of few large groups, narrowed down until 200 rows of each are left."""
+    out = QU.exact_quantiles(t.values, ["event_type"], "value", [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0], few=200)
+    return out.withColumn("quantiles", F.transform("quantiles", lambda x: F.round(x, 6)))

@@ -148,13 +148,13 @@ def arm_summary(t: Tables) -> DataFrame:
     return ST.arm_summary(_long_calls(t), ["l_orderkey"])
 
 
-@query(f"""WITH {_WIDE}, a AS (SELECT c_custkey, sum(is_gain::INT)::DOUBLE AS gains FROM wide GROUP BY 1), b AS (SELECT o_custkey AS c_custkey, min(o_totalprice) AS price FROM orders GROUP BY 1), base AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 7.0 END AS gains, NULL::DOUBLE AS price FROM customer)
+@query(f"""WITH {_WIDE}, a AS (SELECT c_custkey, sum(is_gain::INT)::DOUBLE AS gains FROM wide GROUP BY 1), b AS (SELECT o_custkey AS c_custkey, arg_min(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1), base AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 7.0 END AS gains, NULL::DOUBLE AS price FROM customer)
 SELECT c_custkey, coalesce(base.gains, a.gains) AS gains, b.price, concat_ws(';', CASE WHEN a.c_custkey IS NOT NULL THEN 'arms' END, CASE WHEN b.c_custkey IS NOT NULL THEN 'orders' END) AS sources FROM base LEFT JOIN a USING (c_custkey) LEFT JOIN b USING (c_custkey)""")
 def copy_number_assembly(t: Tables) -> DataFrame:
     base = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, 7.0).alias("gains"), F.lit(None).cast("double").alias("price"))
     arms = ST.arm_summary(_wide_calls(t), ["c_custkey"]).select("c_custkey", F.col("arm_gain_count").cast("double").alias("gains"))
-    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("price"))
-    out, warnings = ST.assembled(base, [("arms", arms), ("nations", t.customer.select("c_custkey", "c_nationkey")), ("orders", orders)], "c_custkey", ["gains", "price"])
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("price"), "o_orderkey")
+    out, warnings = ST.assembled(base, [("arms", arms), ("nations", t.customer.select("c_custkey", "c_nationkey")), ("orders", orders)], "c_custkey", ["gains", "price"], order="o_orderkey")
     if len(warnings) != 1:
         raise ValueError(f"one source has no values, not {warnings}")
     return out
