@@ -112,6 +112,15 @@ def key_values(rows: DataFrame, section: str, columns: Sequence[str] | None = No
     return texts.unpivot([], columns, "metric", "value").select(F.lit(section).alias("qc_section"), "metric", "value")
 
 
+def quality_rows(df: DataFrame, by: str, measures: dict[str, Column], overall: str = "global", within: str = "per_project", every: str = "ALL") -> DataFrame:
+    """(qc_section, by, metric, value text): all measures (aggregates) over the whole table and
+    per group, from one pass by grouping sets; a null group is a group of its own, written NA.
+    No rows give no rows."""
+    both = df.groupingSets([[F.col(by)], []], F.col(by)).agg(F.grouping(by).alias("_whole"), *[m.alias(f"_m{i}") for i, m in enumerate(measures.values())])
+    texts = both.select(F.when(F.col("_whole") == 1, overall).otherwise(within).alias("qc_section"), F.when(F.col("_whole") == 1, every).otherwise(F.coalesce(F.col(by).cast("string"), F.lit("NA"))).alias(by), *[F.coalesce(F.col(f"_m{i}").cast("string"), F.lit("NA")).alias(n) for i, n in enumerate(measures)])
+    return texts.unpivot(["qc_section", by], list(measures), "metric", "value")
+
+
 def empirical_percentile(reference: DataFrame, feature: str, value: float) -> DataFrame:
     return reference.where(F.col(feature).isNotNull()).agg((100 * F.avg((F.col(feature) <= value).cast("double"))).alias("percentile"))
 

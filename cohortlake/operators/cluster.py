@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .matrix import square
+
 
 def average_linkage(d: np.ndarray) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, height, size); leaves are 0..n-1, merge i makes n + i. Ties: the earliest pair."""
@@ -147,6 +149,27 @@ def singletons(df: DataFrame, cluster: str) -> DataFrame:
     return df.withColumn("is_singleton", F.count(F.lit(1)).over(Window.partitionBy(cluster)) == 1)
 
 
+def weighting_sensitivity(distances: DataFrame, base: str, k: int = 6) -> tuple[list[tuple], list[tuple]]:
+    """((scenario, adjusted Rand index against ``base``, changed members), (scenario, member,
+    cluster)) of average-linkage clusters under each scenario of (scenario, a, b, distance),
+    each a small matrix. Members change where their cluster's members do."""
+    scenarios = sorted(r[0] for r in distances.select("scenario").distinct().collect())
+    if base not in scenarios:
+        raise ValueError(f"no scenario {base}")
+    cut = {}
+    for s in scenarios:
+        names, apart = square(distances.where(F.col("scenario") == s).select("a", "b", "distance"))
+        cut[s] = dict(zip(names, cut_tree(average_linkage(apart), len(names), min(k, len(names)))))
+    first = cut[base]
+    spark = distances.sparkSession
+    pairs = spark.createDataFrame([(s, first[m], c) for s in scenarios for m, c in cut[s].items() if m in first], "scenario string, a int, b int")
+    index = {s: adjusted_rand(pairs.where(F.col("scenario") == s), "a", "b").first()[0] for s in scenarios}
+    member = lambda c: {m: frozenset(x for x in c if c[x] == c[m]) for m in c}
+    sets = {s: member(c) for s, c in cut.items()}
+    changed = {s: sorted(m for m in first if sets[s].get(m) != sets[base][m]) for s in scenarios}
+    return [(s, index[s], changed[s]) for s in scenarios], [(s, m, int(c)) for s in scenarios for m, c in sorted(cut[s].items())]
+
+
 def kruskal(long: DataFrame, group: str, feature: str = "feature", value: str = "value", bins: int = 256) -> DataFrame:
     """(feature, n, k, h, epsilon_squared): tie-corrected Kruskal-Wallis.
 

@@ -95,6 +95,26 @@ def gower(long: DataFrame, row: str = "row", weights: DataFrame | None = None) -
     return a.join(b, "feature").where("a < b").groupBy("a", "b").agg((F.sum(part) / F.sum("weight")).alias("distance"))
 
 
+def gower_scenarios(long: DataFrame, classes: DataFrame, weights: DataFrame, row: str = "row") -> DataFrame:
+    """(scenario, a, b, distance) for a < b: Gower distances under every scenario of class
+    weights, from one pass over the pairs. classes: (feature, class); weights: (scenario,
+    class, weight), both bounded contracts.
+
+    A distance is a ratio of two sums over features, which are kept for each class;
+    a scenario weighs the classes' sums. Features of no class take no part; a class
+    that a scenario doesn't name has weight 0. At most ``SMALL`` rows.
+    """
+    known = bounded_rows(long, row).where(F.col("value").isNotNull()).join(classes, "feature")
+    spans = known.groupBy("feature").agg((F.max("value") - F.min("value")).alias("_span"))
+    unit = known.join(spans, "feature").withColumn("u", F.col("value") / F.when(F.col("_span") > 0, F.col("_span")))
+    a, b = unit.select(F.col(row).alias("a"), "feature", "class", F.col("u").alias("ua")), unit.select(F.col(row).alias("b"), "feature", F.col("u").alias("ub"))
+    apart = F.abs(F.coalesce(F.col("ua") - F.col("ub"), F.lit(0.0)))
+    sums = a.join(b, "feature").where("a < b").groupBy("a", "b", "class").agg(F.sum(apart).alias("s"), F.count(F.lit(1)).alias("n"))
+    weight = F.col("weight")
+    total = sums.join(weights, "class").groupBy("scenario", "a", "b").agg(F.sum(weight * F.col("s")).alias("s"), F.sum(weight * F.col("n")).alias("n"))
+    return total.where("n > 0").select("scenario", "a", "b", (F.col("s") / F.col("n")).alias("distance"))
+
+
 def correlation_distance(long: DataFrame, row: str = "row") -> DataFrame:
     """(a, b, distance) for a < b: 1 - Pearson's r over shared features, r clipped; 0
     where r is undefined. At most ``SMALL`` rows."""
@@ -169,6 +189,19 @@ def best_pairs(k: int, metric: str, group: str | None = None, own: bool = False)
     return meet
 
 
+def block_pairs(rows: DataFrame, queries: DataFrame, columns: Sequence[str], block_rows: int):
+    """Blocks of queries, each with each block of rows, grouped together."""
+    n_rows = rows.count()
+    i_blocks = max(1, -(-queries.count() // block_rows))
+    spread = -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // i_blocks)
+    j_blocks = max(1, -(-n_rows // (4 * block_rows)), min(spread, n_rows // 200))
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(*columns).withColumn("i", block(i_blocks, 0)).withColumn("j", every(j_blocks))
+    dealt = rows.select(*columns).withColumn("j", block(j_blocks, 1)).withColumn("i", every(i_blocks))
+    return asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j"))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", group: str | None = None, block_rows: int = 4000, own: bool = False) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): exact k nearest of ``rows`` (id, vec
     array<double>[, group]) for each query; itself (unless ``own``), and rows of its
@@ -180,21 +213,61 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidea
     force, for query sets of up to some hundred thousands (``pivots`` visits fewer
     pairs of blocks). Ties go to the smaller id.
     """
-    spark = rows.sparkSession
     cols = ["id", "vec"] + ([group] if group else [])
-    n_rows = rows.count()
-    i_blocks = max(1, -(-queries.count() // block_rows))
-    spread = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // i_blocks)
-    j_blocks = max(1, -(-n_rows // (4 * block_rows)), min(spread, n_rows // 200))
-    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(*cols).withColumn("i", block(i_blocks, 0)).withColumn("j", every(j_blocks))
-    dealt = rows.select(*cols).withColumn("j", block(j_blocks, 1)).withColumn("i", every(i_blocks))
-    found = asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(best_pairs(k, metric, group, own), "query_id long, neighbour_id long, distance double")
+    found = block_pairs(rows, queries, cols, block_rows).applyInArrow(best_pairs(k, metric, group, own), "query_id long, neighbour_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
 
 
+def nearest_sets(rows: DataFrame, queries: DataFrame, k: int, sets: dict[str, Sequence[float]], block_rows: int = 4000) -> DataFrame:
+    """(feature_set, query_id, rank, neighbour_id, distance): the exact k nearest rows
+    for each query under each set of feature weights, in one pass.
+
+    Squared distances are sums over features, so features that have equal weights
+    in every set form one part: each pair of blocks computes its parts once, and a
+    set is a weighted sum of parts. A set of some features has weights 0 and 1.
+    Weights aren't negative; a set without weights raises. Ties go to the smaller id.
+    """
+    names = list(sets)
+    weights = np.array([sets[n] for n in names], float)
+    if not names or (weights < 0).any() or (weights.sum(1) <= 0).any() or not np.isfinite(weights).all():
+        raise ValueError("each set needs weights that are not negative, and one above 0")
+    patterns, part_of = np.unique(weights, axis=1, return_inverse=True)
+    parts = [(np.flatnonzero(part_of.ravel() == p), patterns[:, p]) for p in range(patterns.shape[1]) if patterns[:, p].any()]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none, np.zeros(0))]
+        if len(left) and len(right):
+            right = right.sort_by("id")
+            q, r = vector_rows(left), vector_rows(right)
+            qi, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
+            step = max(1, 2_000_000 // (len(r) * (len(parts) + 1)))
+            for s in range(0, len(q), step):
+                part = slice(s, s + step)
+                own = qi[part, None] == ri
+                apart = []
+                for columns, _ in parts:
+                    a, b = q[part][:, columns], r[:, columns]
+                    apart.append((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T)
+                for i, weight in enumerate(weights):
+                    d = sum(w[i] * x for (_, w), x in zip(parts, apart) if w[i])
+                    d[own] = np.inf
+                    at = min(k, len(r)) - 1
+                    size = weight @ (r * r).max(0) + (q[part] ** 2) @ weight
+                    row, col = np.nonzero((d <= (np.partition(d, at, axis=1)[:, at] + 1e-9 * size)[:, None]) & np.isfinite(d))
+                    exact = np.sqrt(((r[col] - q[s + row]) ** 2) @ weight)
+                    order = np.lexsort((ri[col], exact, row))
+                    row, col, exact = row[order], col[order], exact[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(d)))[row] < k
+                    found.append((np.full(keep.sum(), i), qi[s + row[keep]], ri[col[keep]], exact[keep]))
+        return pa.table({n: np.concatenate([f[j] for f in found]) for j, n in enumerate(("s", "query_id", "neighbour_id", "distance"))})
+
+    met = block_pairs(rows, queries, ["id", "vec"], block_rows).applyInArrow(meet, "s long, query_id long, neighbour_id long, distance double")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("s", "query_id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
+    return ranked.select(F.get(F.array(*[F.lit(n) for n in names]), F.col("s")).alias("feature_set"), "query_id", "rank", "neighbour_id", "distance")
+
+
 def nearest_sql(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", digits: int = 9) -> DataFrame:
     """The same for a small stated query set, in expressions only; distances are
     rounded, so that equal ones tie. The queries are broadcast if they are few."""

@@ -402,14 +402,10 @@ _SETS = [*((f"part_{i}", 8 * i, 8 * i + 8) for i in range(8)), ("first_half", 0,
 
 @query("WITH " + _VEC + ", s AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in _SETS) + ") x(feature_set, lo, hi)), q AS (SELECT feature_set, id, vec[lo + 1 : hi] AS vec, label FROM v, s), nn AS (SELECT a.feature_set, a.id AS query_id, b.label, row_number() OVER (PARTITION BY a.feature_set, a.id ORDER BY round(list_distance(a.vec, b.vec), 9), b.id) AS rank, a.label AS true_label FROM q a JOIN q b ON a.feature_set = b.feature_set AND a.id <> b.id QUALIFY rank <= 1) SELECT feature_set, count(*) AS n, round(avg(CASE WHEN label = true_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM nn GROUP BY 1")
 def feature_ablation(t: Tables) -> DataFrame:
-    out = None
-    for name, lo, hi in _SETS:
-        v = t.vectors.select("id", F.slice("vec", lo + 1, hi - lo).alias("vec"), "label")
-        near = M.nearest(v, v, 1)
-        one = near.join(v.select(F.col("id").alias("neighbour_id"), "label"), "neighbour_id").join(v.select(F.col("id").alias("query_id"), F.col("label").alias("true_label")), "query_id")
-        one = one.agg(F.lit(name).alias("feature_set"), F.count(F.lit(1)).alias("n"), r6(A.fraction(F.col("label") == F.col("true_label"))).alias("accuracy"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    v, width = t.vectors, 64
+    near = M.nearest_sets(v.select("id", "vec"), v.select("id", "vec"), 1, {name: [float(lo <= i < hi) for i in range(width)] for name, lo, hi in _SETS})
+    named = near.join(v.select(F.col("id").alias("neighbour_id"), "label"), "neighbour_id").join(v.select(F.col("id").alias("query_id"), F.col("label").alias("true_label")), "query_id")
+    return named.groupBy("feature_set").agg(F.count(F.lit(1)).alias("n"), r6(A.fraction(F.col("label") == F.col("true_label"))).alias("accuracy"))
 
 
 @query("""WITH c AS (SELECT label AS a, (label + CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END) % 10 AS b FROM embeddings), n AS (SELECT a, b, count(*) AS n FROM c GROUP BY 1, 2), x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS t, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM n GROUP BY a)) AS ra, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM n GROUP BY b)) AS rb, (SELECT sum(n) FROM n) AS total) SELECT round((t - ra * rb / (total * (total - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (total * (total - 1) / 2)), 6) AS adjusted_rand FROM x""")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as A
+from ..operators import aliases as AL
+from ..operators import matrix as M
 from ..operators import pivots as PV
 from ..operators import quantiles as QU
 from ..operators import reference as RF
 from ..sources import scans as SC
 from ..sources.artefacts import Store
 from ..sources.readers import shared_path
-from .catalogue import _LONG, _NATIONS, VALUES, Tables, _long, _nations, query, r6
+from .catalogue import _LONG, _NATIONS, MUTATIONS, VALUES, Tables, _long, _nations, query, r6
 
 # ---- saved models and indexes
 
@@ -110,3 +113,38 @@ def exact_quantiles_by_group(t: Tables) -> DataFrame:
     """Quantiles of few large groups, narrowed down until 200 rows of each are left."""
     out = QU.exact_quantiles(t.values, ["event_type"], "value", [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0], few=200)
     return out.withColumn("quantiles", F.transform("quantiles", lambda x: F.round(x, 6)))
+
+
+# ---- scenarios, quality rows, aliases
+
+
+_SCENARIOS = [("unweighted", 1.0, 1.0, 1.0), ("low_down", 0.5, 1.0, 1.0), ("middle_only", 0.0, 1.0, 0.0)]
+
+
+@query(f"""{_NATIONS}, cls AS (SELECT feature, CASE substr(feature, 7)::INT % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'middle' ELSE 'high' END AS class FROM (SELECT DISTINCT feature FROM lng)), wts AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{c}', {w})" for n, *ws in _SCENARIOS for c, w in zip(("low", "middle", "high"), ws))}) x(scenario, class, weight)),
+u AS (SELECT row, feature, class, value / nullif(max(value) OVER w - min(value) OVER w, 0) AS u FROM lng JOIN cls USING (feature) WINDOW w AS (PARTITION BY feature))
+SELECT scenario, a.row AS a, b.row AS b, round(sum(weight * abs(a.u - b.u)) / sum(weight), 6) AS distance FROM u a JOIN u b USING (feature) JOIN wts ON wts.class = a.class WHERE a.row < b.row GROUP BY 1, 2, 3 HAVING sum(weight) > 0""")
+def weighted_scenarios(t: Tables) -> DataFrame:
+    long = _nations(t)
+    kind = F.substring("feature", 7, 9).cast("int") % 3
+    classes = long.select("feature").distinct().withColumn("class", F.when(kind == 0, "low").when(kind == 1, "middle").otherwise("high"))
+    weights = t.spark.createDataFrame([(n, c, w) for n, *ws in _SCENARIOS for c, w in zip(("low", "middle", "high"), ws)], "scenario string, class string, weight double")
+    return M.gower_scenarios(long, classes, weights).withColumn("distance", r6("distance"))
+
+
+@query(f"""WITH {MUTATIONS}, g AS (SELECT project, grouping(project) AS whole, count(*) AS records, count(DISTINCT o_orderkey) AS samples, count(DISTINCT gene) AS genes, sum((flag = 'R')::INT) AS nonsynonymous, max(l_linenumber) AS most FROM mutations GROUP BY GROUPING SETS ((project), ())),
+r AS (SELECT CASE WHEN whole = 1 THEN 'global' ELSE 'per_project' END AS qc_section, CASE WHEN whole = 1 THEN 'ALL' ELSE project END AS project, unnest(['records', 'samples', 'genes', 'nonsynonymous', 'most']) AS metric, unnest([records::VARCHAR, samples::VARCHAR, genes::VARCHAR, nonsynonymous::VARCHAR, most::VARCHAR]) AS value FROM g) SELECT * FROM r""")
+def quality_rows(t: Tables) -> DataFrame:
+    """Whole-table and per-project rows from one pass."""
+    measures = {"records": F.count(F.lit(1)), "samples": F.count_distinct("o_orderkey"), "genes": F.count_distinct("gene"), "nonsynonymous": A.count_if(F.col("flag") == "R"), "most": F.max("l_linenumber")}
+    return A.quality_rows(t.mutations, "project", measures)
+
+
+_GROUPS = [("small things", ["SMALL", "small ring"]), ("rings", ["ring", "Ring, economy"]), ("bolts", ["blue bolt", "bolt promo"]), ("colours", ["red", "blue", "green"]), ("economy", ["économy", "eco-nomy"]), ("none", ["rin", "economy small", ""])]
+
+
+@query(r"""WITH p AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS x FROM part) SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(x, '\b(small|small ring)\b') THEN 'small things' END, CASE WHEN regexp_matches(x, '\bring\b') THEN 'rings' END, CASE WHEN regexp_matches(x, '\b(blue bolt|bolt promo)\b') THEN 'bolts' END, CASE WHEN regexp_matches(x, '\b(red|blue|green)\b') THEN 'colours' END, CASE WHEN regexp_matches(x, '\b(economy|eco nomy)\b') THEN 'economy' END, CASE WHEN regexp_matches(x, '\b(rin|economy small)\b') THEN 'none' END], lambda m: m IS NOT NULL), ';') AS matches FROM p""")
+def alias_matches(t: Tables) -> DataFrame:
+    """Overlapping aliases of several groups, in the groups' order."""
+    texts = t.part.select("p_partkey", F.concat_ws(", ", "p_name", "p_type").alias("text"))
+    return AL.match_aliases(texts, "text", _GROUPS).select("p_partkey", F.array_join("matches", ";").alias("matches"))

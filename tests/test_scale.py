@@ -130,3 +130,91 @@ def test_mixtures_over_partial_sums_equal_the_local_form(spark):
     assert rows(mixtures.mixtures(df, "x", "g", "n", most=3)) == rows(got)
     with pytest.raises(ValueError):
         mixtures.mixtures(df, "x", "g", "n", large=10)
+
+
+def test_nearest_under_many_weights_in_one_pass(spark):
+    from cohortlake.operators import matrix
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(90, 5)), 1)
+    x[10:20] = x[0]
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vec array<double>")
+    sets = {"all": [1, 1, 1, 1, 1], "head": [1, 1, 0, 0, 0], "soft": [0.5, 0.5, 2, 0, 1]}
+    got = [(r[0], r[1], r[2], r[3], round(r[4], 9)) for r in matrix.nearest_sets(table, table.where("id % 7 = 0"), 4, sets, block_rows=20).collect()]
+    want = []
+    for name, w in sets.items():
+        for q in range(0, 90, 7):
+            d = np.sqrt(((x - x[q]) ** 2) @ np.array(w, float))
+            want += [(name, q, r, i, round(v, 9)) for r, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(d) if i != q)[:4], 1)]
+    assert [g[:3] for g in sorted(got)] == [g[:3] for g in sorted(want)] and np.allclose([g[4] for g in sorted(got)], [g[4] for g in sorted(want)])
+    assert sum(a[3] == b[3] for a, b in zip(sorted(got), sorted(want))) >= len(want) - 4  # near ties may round apart
+    for bad in ({}, {"none": [0, 0, 0, 0, 0]}, {"less": [1, 1, 1, 1, -1]}):
+        with pytest.raises(ValueError):
+            matrix.nearest_sets(table, table, 1, bad)
+
+
+def test_weighting_moves_members(spark):
+    from cohortlake.operators import matrix
+
+    rows_ = [(m, f, float(v)) for m, vs in {"a": (0, 0, 9), "b": (0, 1, 0), "c": (9, 9, 9), "d": (9, 8, 0), "e": (9, 9, 8)}.items() for f, v in zip(("x", "y", "z"), vs)]
+    long = spark.createDataFrame(rows_, "row string, feature string, value double")
+    classes = spark.createDataFrame([("x", "one"), ("y", "one"), ("z", "two")], "feature string, class string")
+    weights = spark.createDataFrame([("base", "one", 1.0), ("base", "two", 1.0), ("two", "two", 1.0), ("same", "one", 2.0), ("same", "two", 2.0)], "scenario string, class string, weight double")
+    distances = matrix.gower_scenarios(long, classes, weights)
+    plain = {(r["a"], r["b"]): r["distance"] for r in matrix.gower(long).collect()}
+    got = {(r["a"], r["b"]): r["distance"] for r in distances.where("scenario = 'base'").collect()}
+    assert got == pytest.approx(plain) and len(got) == 10
+    summary, members = cluster.weighting_sensitivity(distances, "base", 2)
+    assert [(s, c) for s, _, c in summary] == [("base", []), ("same", []), ("two", ["a", "b", "c", "d", "e"])]
+    assert [round(i, 6) for _, i, _ in summary][:2] == [1.0, 1.0] and summary[2][1] < 0.5 and len(members) == 15
+    with pytest.raises(ValueError):
+        cluster.weighting_sensitivity(distances, "none")
+
+
+def test_ranks_within_bins_equal_whole_ranks(spark):
+    rng = np.random.default_rng(8)
+    data = [(f, int(g), None if rng.random() < 0.05 else float(v)) for f, spread in (("ties", 3), ("wide", 4000)) for g, v in zip(rng.integers(0, 3, 700), rng.integers(0, spread, 700))] + [(None, 0, 1.0), (None, 1, 2.0), ("one", 0, 5.0)]
+    df = spark.createDataFrame(data, "feature string, g int, value double")
+    few, many = (cluster.kruskal(df, "g", bins=b) for b in (2, 64))
+    near = lambda d: sorted(((r[0], r[1], r[2], None if r[3] is None else round(r[3], 9)) for r in d.collect()), key=str)
+    assert near(few) == near(many)
+    for name in ("ties", "wide"):
+        known = [(v, g) for f, g, v in data if f == name and v is not None]
+        value = np.array([v for v, _ in known])
+        rank = np.array([(value < v).sum() + ((value == v).sum() + 1) / 2 for v in value])
+        n = len(value)
+        h = 12 / (n * (n + 1)) * sum(rank[[g == i for _, g in known]].sum() ** 2 / sum(g == i for _, g in known) for i in range(3)) - 3 * (n + 1)
+        _, counts = np.unique(value, return_counts=True)
+        h /= 1 - (counts**3 - counts).sum() / (n**3 - n)
+        assert dict((r[0], r[3]) for r in near(many))[name] == pytest.approx(h)
+
+
+def test_aliases_are_whole_words_in_configured_order(spark):
+    from cohortlake.operators import aliases
+
+    groups = [("late", ["lung"]), ("first", ["Non-small cell lung", "cell"]), ("fold", ["Größe", ""]), ("overlap", ["small cell", "cell lung cancer"]), ("never", ["cel", "!!"])]
+    texts = ["non small CELL lung cancer", "cells", None, "", "a groesse? Größe.", "small; cell", "lung", "cell lung cance"]
+    df = spark.createDataFrame([(t, [1], "x") for t in texts], "plain string, found array<int>, text string")
+    got = [r["matches"] for r in aliases.match_aliases(df, "plain", groups).collect()]
+    assert got == [["late", "first", "overlap"], [], [], [], ["fold"], ["first", "overlap"], ["late"], ["late", "first"]]
+    assert [r["matches"] for r in aliases.match_aliases(df, "plain", []).collect()] == [[]] * len(texts)
+
+
+def test_first_value_in_row_order(spark):
+    from cohortlake.operators import standardise
+
+    base = spark.createDataFrame([("s1", None, None), ("s2", 5.0, None)], "k string, x double, y double")
+    source = spark.createDataFrame([("s1", None, 3.0), ("s1", 0.9, 4.0), ("s1", 0.2, None), ("s2", 1.0, None)], "k string, x double, y double").coalesce(1)
+    got, warnings = standardise.assembled(base, [("a", source), ("b", base.select("k"))], "k", ["x", "y"])
+    assert rows(got.select("k", "x", "y")) == [("s1", 0.9, 3.0), ("s2", 5.0, None)] and len(warnings) == 1
+    got, _ = standardise.assembled(base, [("a", source.withColumn("n", -F.monotonically_increasing_id()))], "k", ["x", "y"], order="n")
+    assert rows(got.select("k", "x", "y")) == [("s1", 0.2, 4.0), ("s2", 5.0, None)]
+
+
+def test_quality_rows_of_no_rows_and_null_groups(spark):
+    from cohortlake.operators import aggregates
+
+    df = spark.createDataFrame([("a", 1), (None, 2)], "g string, x int")
+    measures = {"n": F.count(F.lit(1)), "most": F.max("x")}
+    assert rows(aggregates.quality_rows(df, "g", measures)) == sorted([("global", "ALL", "n", "2"), ("global", "ALL", "most", "2"), ("per_project", "a", "n", "1"), ("per_project", "a", "most", "1"), ("per_project", "NA", "n", "1"), ("per_project", "NA", "most", "2")], key=str)
+    assert rows(aggregates.quality_rows(df.limit(0), "g", measures)) == []
