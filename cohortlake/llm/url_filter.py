@@ -13,7 +13,6 @@ from .common import Scratch
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-BLOCK_ITEM = "!block"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -48,18 +47,18 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(urls: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 12, most_items: int = 12) -> tuple[DataFrame, DataFrame]:
+def mine(urls: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 12) -> tuple[DataFrame, DataFrame]:
     """(rules: rule_items, support, confidence; names: token, item) of ``urls`` (url, bad).
 
-    Rules are combinations of items whose urls are bad with at least the
+    Rules are the least combinations of items whose urls are bad with at least the
     confidence, on ``min_urls`` bad urls at least; no rows mine no rules; null
     urls are left out and null labels count as good. Tokens that stand in
     exactly the same labelled urls are one item (any of them stands for it), so
     a host and its labels, or the words of a url that comes many times, do not
-    multiply. Items on too few bad urls can be in no rule and are left out; of
-    a url that still has more than ``most_items``, the most indicative ones are
-    mined, which bounds what FP-growth can find in one url. Of rules that hold
-    one another the shorter one is kept, as it blocks all that the longer does.
+    multiply. Nothing is cut: items on too few bad urls can be in no rule; an
+    item that is a rule by itself, or stands in every url, is in no longer rule
+    that is needed. The others are mined by FP-growth in the bad urls alone, where
+    all combinations that may be rules occur, and counted in all urls.
     """
     spark = urls.sparkSession
     rows = urls.where("url is not null").select("url", F.coalesce("bad", F.lit(False)).alias("bad"), F.monotonically_increasing_id().alias("row"))
@@ -72,14 +71,23 @@ def mine(urls: DataFrame, min_support: float = 0.002, min_confidence: float = 0.
     mark = lambda seed: F.sum(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 31))).alias(f"s{seed}")
     seen = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("bad"), 1)).alias("hits"), mark(1), mark(2)).where(F.col("hits") >= least)
     same = Window.partitionBy("n", "hits", "s1", "s2")  # few tokens are on so many bad urls: tokens per url / support at most
-    known = seen.select("token", F.min("token").over(same).alias("item"), (F.col("hits") / F.col("n")).alias("share"))
-    held = exploded.join(known, "token").groupBy("row", "bad").agg(F.collect_set(F.struct((-F.col("share")).alias("order"), "item")).alias("items"))
-    items = F.transform(F.slice(F.array_sort("items"), 1, most_items), lambda x: x["item"])
-    baskets = held.select(F.when(F.col("bad"), F.array_append(items, BLOCK_ITEM)).otherwise(items).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, held.count()) * (1 - 1e-9))).fit(baskets).freqItemsets
-    whole = found.where(~F.array_contains("items", BLOCK_ITEM)).select(F.array_sort("items").alias("rule_items"), F.col("freq").alias("n"))
-    bad = found.where(F.array_contains("items", BLOCK_ITEM) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("rule_items"), F.col("freq").alias("hits"))
-    good = bad.join(whole, "rule_items").where(F.col("hits") >= min_confidence * F.col("n"))
+    known = seen.select("token", F.min("token").over(same).alias("item"), "n", "hits")
+    sure = F.col("hits") >= min_confidence * F.col("n")
+    alone = known.where(sure & (F.col("token") == F.col("item"))).select(F.array("item").alias("rule_items"), "n", "hits")
+    open_ = known.where(~sure & (F.col("n") < total)).select("token", "item")
+    bags = exploded.join(open_, "token").groupBy("row", "bad").agg(F.array_sort(F.collect_set("item")).alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("bad"), 1)).alias("hits"))
+    baskets = bags.where("hits > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("hits"))))
+    n_baskets = baskets.count()
+    if n_baskets >= least:
+        found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_baskets * (1 - 1e-9))).fit(baskets).freqItemsets
+        several = found.where(F.size("items") > 1).select(F.array_sort("items").alias("rule_items"), F.col("freq").alias("hits"))
+        sizes = bags.select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
+        spread = several.select("rule_items", "hits", F.explode("rule_items").alias("item")).join(sizes, "item")
+        posted = spread.groupBy("rule_items").agg(F.min_by("item", F.struct("n", "item")).alias("item"), F.max("hits").alias("hits"))
+        held = bags.select("items", "n", F.explode("items").alias("item")).join(posted, "item").where(F.size(F.array_except("rule_items", "items")) == 0)
+        counted = held.groupBy("rule_items").agg(F.sum("n").alias("n"), F.max("hits").alias("hits"))
+        alone = alone.unionByName(counted.where(sure))
+    good = alone
     # a rule that stays when one of its items goes is not needed
     less = good.select("rule_items", F.explode("rule_items").alias("item")).select("rule_items", F.array_remove("rule_items", F.col("item")).alias("shorter"))
     longer = less.join(good.select(F.col("rule_items").alias("shorter")), "shorter").select("rule_items").distinct()

@@ -173,6 +173,20 @@ def test_a_long_url_that_repeats_makes_few_rules(spark):
     assert 1 <= rules.count() <= 4 and url_filter.matched(known, rules, names, Scratch(spark, "t")).count() == 1
 
 
+def test_no_item_of_a_url_is_cut(spark):
+    """Two words that are good one by one, among many that each tell more of a bad url."""
+    rng = np.random.default_rng(12)
+    filler = [f"fill{chr(97 + i)}" for i in range(24)]
+    known = []
+    for i in range(1200):
+        mine = ["pa", "pb"] if i < 200 else ["pa"] if i % 3 == 0 else ["pb"] if i % 3 == 1 else []
+        known.append(("http://h.example.org/" + "/".join(mine + [w for w in filler if rng.random() < (0.4 if i < 200 else 0.11)]), i < 200))
+    rules, names = url_filter.mine(spark.createDataFrame(known, "url string, bad boolean"))
+    assert frozenset(["path:pa", "path:pb"]) in {frozenset(r["rule_items"]) for r in rules.collect()}
+    asked = spark.createDataFrame([("http://x.example.net/pb/q/pa",), ("http://x.example.net/pb",)], "url string")
+    assert [r["url"] for r in url_filter.matched(asked, rules, names, Scratch(spark, "t")).collect()] == ["http://x.example.net/pb/q/pa"]
+
+
 def test_revisits(spark):
     h = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
     rows = [
