@@ -12,7 +12,9 @@ long ties being resolved by those ranks, which bounds memory by the block.
 Neighbours in suffix order that agree on ``length`` bytes are repeats. A bucket
 that many places share (a line that stands in a third of all texts) is split
 by the bytes beside the minimiser: of equal strings both sides of it are equal,
-so each start follows the longer side, and equal strings stay together.
+so each start follows the longer side, and equal strings stay together. What no
+split divides, a string of the full length that very many texts share, is not
+gathered: its starts are counted by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -202,42 +204,12 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400, hot: i
 
     made = texts.select("text").where("text is not null").mapInArrow(runs, "hash long, seg long, k1 long, k2 long, s0 long, s1 long, anchor long")
     placed = made.groupBy("hash", "seg", "k1", "k2", "s0", "s1", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    sorted_ = placed.repartition(partitions(spark), "hash").sortWithinPartitions("hash", "seg")
-
-    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of minimisers that occur more than once."""
-        rest: pa.Table | None = None
-
-        def keep(table: pa.Table) -> pa.RecordBatch:
-            h = table.column("hash").to_numpy()
-            new = np.append(True, h[1:] != h[:-1])
-            group = np.cumsum(new) - 1
-            many = np.bincount(group, table.column("n").to_numpy()) > 1
-            return table.filter(pa.array(many[group])).combine_chunks()
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            h = table.column("hash").to_numpy()
-            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
-            if cut > 0:
-                yield from keep(table.slice(0, cut)).to_batches()
-                rest = table.slice(cut)
-            else:
-                rest = table
-            if rest is not None and len(rest) > 200_000 and cut == 0:  # one crowded minimiser: its rows pass as they come
-                yield from rest.slice(0, len(rest) - 2).to_batches() if int(rest.column("n").to_numpy()[:-2].sum()) > 1 else ()
-                rest = rest.slice(len(rest) - 2)
-        if rest is not None and len(rest):
-            yield from keep(rest).to_batches()
-
-    placed = scratch.table(sorted_.mapInArrow(crowded, "hash long, seg long, k1 long, k2 long, s0 long, s1 long, anchor long, n long"))
+    # minimisers that occur more than once; what is counted combines before it is shuffled, and large ones are split in the join
+    shared = placed.groupBy("hash").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("segments")).where("places > 1").select("hash", (F.col("segments") > hot).alias("hot"))
+    placed = scratch.table(placed.join(shared, "hash"))
     # a weighted segment stands for its equal copies; one text is chosen to show its bytes
-    chosen = placed.groupBy("hash", "seg").agg(F.sum("n").alias("weight"), F.min(F.struct("k1", "k2", "s0", "s1", "anchor")).alias("at"))
-    many = placed.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("hash", F.lit(True).alias("hot"))
-    chosen = chosen.join(many, "hash", "left")
-    asked = chosen.select("at.k1", "at.k2", F.struct("at.s0", "at.s1", "at.anchor", "hash", "seg", "weight", F.coalesce("hot", F.lit(False)).alias("hot")).alias("want")).groupBy("k1", "k2").agg(F.collect_list("want").alias("wants"))
+    chosen = placed.groupBy("hash", "seg").agg(F.sum("n").alias("weight"), F.min(F.struct("k1", "k2", "s0", "s1", "anchor")).alias("at"), F.first("hot").alias("hot"))
+    asked = chosen.select("at.k1", "at.k2", F.struct("at.s0", "at.s1", "at.anchor", "hash", "seg", "weight", "hot").alias("want")).groupBy("k1", "k2").agg(F.collect_list("want").alias("wants"))
     asked = scratch.table(asked)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +245,10 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400, hot: i
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["bucket", "seg", "first", "anchor", "weight", "piece", "hash"])
 
     pieces = long_texts.join(asked, ["k1", "k2"]).select("text", "wants").mapInArrow(cut_out, "bucket long, seg long, first long, anchor long, weight long, piece binary, hash long")
-    grouped = pieces.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "seg", "first")
+    pieces = scratch.table(pieces)
+    # a string that very many texts share keeps one bucket however it is split: there its starts are counted by their digests
+    crowds = scratch.table(pieces.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("bucket"))
+    grouped = pieces.join(crowds, "bucket", "left_anti").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "seg", "first")
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("hash", pa.int64()), ("seg", pa.int64()), ("spans", pa.list_(pa.int32()))])
@@ -298,7 +273,23 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400, hot: i
         if held:
             yield solve(held)
 
-    repeats = scratch.table(grouped.mapInArrow(sort_buckets, "hash long, seg long, spans array<int>"))
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(),) * 4 + (pa.int32(), pa.int64())
+        for batch in batches:
+            out: list[tuple] = []
+            for seg, first, weight, piece, key in zip(*(batch.column(c).to_pylist() for c in ("seg", "first", "weight", "piece", "hash"))):
+                for i in range(len(piece) - length + 1):
+                    d = xxhash.xxh3_128_intdigest(piece[i : i + length])
+                    out.append(((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), key, seg, first + i, weight))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["d1", "d2", "hash", "seg", "start", "weight"])
+
+    dense = pieces.join(crowds, "bucket").dropDuplicates(["bucket", "seg", "first"])  # a segment may be shown by two tasks
+    starts = scratch.table(dense.mapInArrow(digests, "d1 long, d2 long, hash long, seg long, start int, weight long"))
+    again = starts.groupBy("d1", "d2").agg(F.sum("weight").alias("all")).where("all > 1").select("d1", "d2")
+    of = starts.join(again, ["d1", "d2"]).groupBy("hash", "seg").agg(F.array_sort(F.collect_set("start")).alias("at"))
+    counted = of.select("hash", "seg", F.flatten(F.transform("at", lambda x: F.array(x, x + length))).alias("spans"))
+    repeats = scratch.table(grouped.mapInArrow(sort_buckets, "hash long, seg long, spans array<int>").unionByName(counted))
+    scratch.drop(pieces, starts)
     shifted = placed.join(repeats, ["hash", "seg"]).select("k1", "k2", F.transform("spans", lambda x: x + F.col("s0")).alias("spans"))
     return scratch.table(shifted.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 

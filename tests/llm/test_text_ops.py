@@ -183,6 +183,35 @@ def test_suffix_dedup_equals_brute_force(spark, corpus, hot):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()) == sorted(want)
 
 
+def test_a_passage_of_the_full_length_in_very_many_texts(spark):
+    """It keeps one bucket however often that is split, and is not gathered in one task."""
+    passage = prose(99, 200)[:400]
+    texts = [f"{prose(1000 + i, 40)} {i} {passage}{i % 10} {prose(5000 + i, 30)}" for i in range(160)] + [passage, passage[1:] + "x", passage * 2, None, ""]
+    docs = frame(spark, list(enumerate(texts)))
+    seen = []
+
+    class Spy(Scratch):
+        def table(self, df):
+            out = super().table(df)
+            if {"bucket", "piece"} <= set(df.columns):
+                seen.append(max(r["count"] for r in out.groupBy("bucket").count().collect()))
+            elif "d1" in df.columns:
+                seen.append(max(r["count"] for r in out.groupBy("d1", "d2").count().collect()))
+            return out
+
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs.repartition(4), Spy(spark, "t"), length=400, hot=30).collect()}
+    assert seen[0] > 100 and seen[1] > 100  # one bucket of nearly all texts; its starts are counted
+    raw = [(t or "").encode() for t in texts]
+    places = Counter(r[i : i + 400] for r in raw for i in range(len(r) - 399))
+    for i, r in enumerate(raw):
+        mask = np.zeros(len(r), bool)
+        for j in range(len(r) - 399):
+            if places[r[j : j + 400]] > 1:
+                mask[j : j + 400] = True
+        edges = np.diff(np.concatenate([[0], mask, [0]]).astype(int))
+        assert got[i] == (int(mask.sum()), int((edges > 0).sum()), bytes(b for b, m in zip(r, mask) if not m))
+
+
 def test_split_buckets_keep_equal_strings_together():
     rng = np.random.default_rng(8)
     raw = bytes(rng.integers(97, 123, 300).astype(np.uint8))
