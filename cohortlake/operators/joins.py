@@ -147,3 +147,11 @@ def mapped(df: DataFrame, dimension: DataFrame, on: str, value: str, default: ob
     """Dictionary lookup with a default."""
     out = df.join(dimension.select(on, value), on, "left")
     return out if default is None else out.fillna({value: default})
+
+
+def aligned(df: DataFrame, key: str, order: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """The rows of ``df`` in the places of ``order`` (key, ordinal): one for each place, in which
+    a key that ``df`` lacks leaves nulls and rows of other keys have none. A repeated key of
+    ``df`` raises; a key may have several places."""
+    assert_unique(df, [key], "aligned table")
+    return order.select(ordinal, key).join(df, key, "left").select(ordinal, *df.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.readers import first_present, normalise_name
+from .contract import ContractError
 from .joins import coalesce_merge
 
 #: Mutation classes that change the protein.
@@ -32,6 +33,7 @@ CN_METRICS = {
     "total_arm_alteration_count": ["total_arm_alteration_count", "arm_alteration_count", "aneuploidy_count"],
     "copy_number_complexity_score": ["copy_number_complexity_score", "cn_complexity", "number_of_segments", "segment_count"],
 }
+#: Names of purity and ploidy columns.
 PURITY = {
     "purity": ["purity", "tumor_purity", "absolute_purity", "purity_estimate", "cellularity"],
     "ploidy": ["ploidy", "absolute_ploidy", "tumor_ploidy", "ploidy_estimate"],
@@ -140,6 +142,55 @@ def allele_copies(df: DataFrame, total: str | None, major: str | None, minor: st
     return out.drop(*[c for c in out.columns if c.startswith("_") and c not in df.columns])
 
 
+def resolved_samples(df: DataFrame, column: str, members: DataFrame, out: str = "sample_barcode") -> DataFrame:
+    """``df`` with the member's sample that each value of ``column`` names: the sample
+    itself, else the only sample of its patient; null where neither is known or the
+    patient has several. members: (sample_barcode, patient_barcode), in any case and
+    longer than the keys need be."""
+    sample, patient = S.sample_key(F.col(column), length=16), S.group_key(F.col(column))
+    known = members.select(S.sample_key(F.col("sample_barcode"), length=16).alias("_s"), S.group_key(F.col("patient_barcode")).alias("_p")).distinct()
+    one = known.groupBy("_p").agg(F.max("_s").alias("_only"), F.count_distinct("_s").alias("_n")).where("_n = 1").select("_p", "_only")
+    named = df.withColumns({"_sample": sample, "_patient": patient})
+    found = named.join(known.select("_s").distinct(), F.col("_sample") == F.col("_s"), "left").join(one, F.col("_patient") == F.col("_p"), "left")
+    return found.withColumn(out, F.coalesce("_s", "_only")).drop("_s", "_p", "_only", "_sample", "_patient")
+
+
+def usable_copies(df: DataFrame, sample: str = "sample_barcode", chromosome: str = "chromosome", start: str = "start", end: str = "end") -> DataFrame:
+    """Rows of known samples with a nuclear chromosome, bounds in order, and at least one
+    of the three integer counts."""
+    placed = F.col(sample).isNotNull() & ~F.coalesce(F.col(chromosome), F.lit("NA")).isin("NA", "MT") & (F.col(end) >= F.col(start))
+    return df.where(placed & F.coalesce("total_cn", "major_cn", "minor_cn").isNotNull())
+
+
+#: Columns that name a record's project, by id and by code, first match first.
+PROJECT_IDS = ["project_id", "Project_ID", "GDC_Project", "gdc_project", "project"]
+PROJECT_CODES = ["project_code", "Project_Code", "cancer", "Cancer_Type", "cancer_type", "Tumor_Type", "tumor_type", "cohort", "COHORT", "Study", "study"]
+
+
+def project_annotations(df: DataFrame, expected: DataFrame, prefix: str = "TCGA-", ids: Sequence[str] = PROJECT_IDS, codes: Sequence[str] = PROJECT_CODES) -> DataFrame:
+    """``df`` with project_id and project_code, null where they are not among ``expected``
+    (project_id, project_code; a bounded dimension).
+
+    A column of ids is taken if all of its values are ids, else a column of codes;
+    a table that names no expected project raises.
+    """
+    by_id, by_code = (next((c for c in names if c in df.columns), None) for names in (ids, codes))
+    whole = F.col(by_id).isNull() | (F.col(by_id) == "") | F.col(by_id).rlike(f"^{prefix}[A-Z0-9]+$") if by_id else None
+    if by_id and df.where(~whole).isEmpty():
+        named = df.withColumn("_id", F.col(by_id)).withColumn("_code", F.regexp_replace("_id", f"^{prefix}", ""))
+    elif by_code:
+        code = F.upper(F.regexp_replace(F.col(by_code), f"^{prefix}", ""))
+        named = df.withColumn("_code", code).withColumn("_id", F.concat(F.lit(prefix), F.col("_code")))
+    else:
+        raise ContractError("no column names the projects")
+    known = expected.select(F.col("project_id").alias("_known_id"), F.col("project_code").alias("_known_code")).distinct()
+    out = named.join(known.select("_known_id").distinct(), F.col("_id") == F.col("_known_id"), "left").join(known.select("_known_code").distinct(), F.col("_code") == F.col("_known_code"), "left")
+    if out.where("_known_code IS NOT NULL").isEmpty():
+        raise ContractError("no expected project is named")
+    kept = [c for c in df.columns if c not in ("project_id", "project_code")]
+    return out.select(*kept, F.col("_known_id").alias("project_id"), F.col("_known_code").alias("project_code"))
+
+
 def doubling_status(c: Column) -> Column:
     return F.when(c.isNotNull(), F.when(c >= 1, "WGD").otherwise("no_WGD"))
 

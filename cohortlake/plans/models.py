@@ -1,16 +1,23 @@
-"""Queries of saved models, indexes and scans that keep large inputs bounded, with DuckDB SQL for each."""
+"""Queries of saved models, indexes, scans, scenarios and parts of the standardisers, with DuckDB SQL for each."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import aliases as AL
+from ..operators import cluster as C
+from ..operators import contract as CO
+from ..operators import joins as J
 from ..operators import matrix as M
 from ..operators import pivots as PV
 from ..operators import quantiles as QU
 from ..operators import reference as RF
+from ..operators import reshape as R
+from ..operators import standardise as ST
+from ..sources import readers
 from ..sources import scans as SC
 from ..sources.artefacts import Store
 from ..sources.readers import shared_path
@@ -148,3 +155,83 @@ def alias_matches(t: Tables) -> DataFrame:
     """Overlapping aliases of several groups, in the groups' order."""
     texts = t.part.select("p_partkey", F.concat_ws(", ", "p_name", "p_type").alias("text"))
     return AL.match_aliases(texts, "text", _GROUPS).select("p_partkey", F.array_join("matches", ";").alias("matches"))
+
+
+# ---- parts of standardisers, keys and classes
+
+
+@query("""WITH m AS (SELECT 'AA-00-' || lpad(c_custkey::VARCHAR, 5, '0') || '-01A' AS s, 'AA-00-' || lpad((CASE WHEN c_custkey % 10 = 1 THEN c_custkey - 1 ELSE c_custkey END)::VARCHAR, 5, '0') AS p FROM customer WHERE c_custkey % 4 > 0),
+one AS (SELECT p, max(s) AS only FROM m GROUP BY p HAVING count(DISTINCT s) = 1),
+r AS (SELECT l_orderkey, l_linenumber, 'AA-00-' || lpad((l_partkey % 700)::VARCHAR, 5, '0') || CASE WHEN l_linenumber % 2 = 0 THEN '-01A-xy' ELSE '-09B' END AS named, CASE l_suppkey % 9 WHEN 0 THEN 'NA' WHEN 1 THEN 'MT' ELSE (l_suppkey % 9)::VARCHAR END AS chromosome, l_partkey AS start, l_partkey + l_linenumber - 2 AS "end", CASE WHEN l_linenumber < 4 THEN l_quantity::DOUBLE END AS total_cn, CASE WHEN l_linenumber = 5 THEN 1.0::DOUBLE END AS minor_cn FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(m.s, one.only) AS sample_barcode, chromosome, total_cn, minor_cn FROM r LEFT JOIN (SELECT DISTINCT s FROM m) m ON m.s = substr(array_to_string(string_split(named, '-')[1:4], '-'), 1, 16) LEFT JOIN one ON one.p = array_to_string(string_split(named, '-')[1:3], '-') WHERE coalesce(m.s, one.only) IS NOT NULL AND chromosome NOT IN ('NA', 'MT') AND "end" >= start AND coalesce(total_cn, minor_cn) IS NOT NULL""")
+def allele_segments(t: Tables) -> DataFrame:
+    """Segments matched to samples, directly or by their patient, of which the usable ones stay."""
+    pad = lambda c: F.concat(F.lit("AA-00-"), F.lpad(c.cast("string"), 5, "0"))
+    k, n = F.col("c_custkey"), F.col("l_linenumber")
+    members = t.customer.where("c_custkey % 4 > 0").select(F.concat(pad(k), F.lit("-01a")).alias("sample_barcode"), pad(F.when(k % 10 == 1, k - 1).otherwise(k)).alias("patient_barcode"))
+    place = F.col("l_suppkey") % 9
+    raw = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.concat(pad(F.col("l_partkey") % 700), F.when(n % 2 == 0, "-01A-xy").otherwise("-09B")).alias("named"), F.when(place == 0, "NA").when(place == 1, "MT").otherwise(place.cast("string")).alias("chromosome"),
+        F.col("l_partkey").alias("start"), (F.col("l_partkey") + n - 2).alias("end"), F.when(n < 4, F.col("l_quantity").cast("double")).alias("total_cn"), F.lit(None).cast("double").alias("major_cn"), F.when(n == 5, 1.0).alias("minor_cn"),
+    )
+    return ST.usable_copies(ST.resolved_samples(raw, "named", members)).select("l_orderkey", "l_linenumber", "sample_barcode", "chromosome", "total_cn", "minor_cn")
+
+
+@query("""WITH e AS (SELECT DISTINCT c_mktsegment AS code FROM customer WHERE c_mktsegment < 'F'), x AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS code FROM customer)
+SELECT c_custkey, 'TCGA-' || e.code AS project_id, e.code AS project_code FROM x LEFT JOIN e USING (code)""")
+def project_annotations(t: Tables) -> DataFrame:
+    """Projects by code, as the column of ids holds other texts; unexpected ones are null."""
+    expected = t.customer.where("c_mktsegment < 'F'").select(F.concat(F.lit("TCGA-"), F.col("c_mktsegment")).alias("project_id"), F.col("c_mktsegment").alias("project_code"))
+    code = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.when(F.col("c_custkey") % 2 == 0, "TCGA-").otherwise(""), F.lower("c_mktsegment")))
+    raw = t.customer.select("c_custkey", F.col("c_name").alias("project"), F.regexp_replace(code, "^tcga", "TCGA").alias("cohort"))
+    return ST.project_annotations(raw, expected).select("c_custkey", "project_id", "project_code")
+
+
+@query(r"""SELECT c_custkey, trim(regexp_replace(lower(c_name || ' (' || c_mktsegment || ')'), '[^a-z0-9]+', '_', 'g'), '_') AS slug, regexp_replace(c_name || ' (' || c_mktsegment || ')', '[^A-Za-z0-9._-]+', '_', 'g') AS file_name, c_custkey || '|' || CASE WHEN c_nationkey > 4 THEN c_nationkey::VARCHAR ELSE '<NA>' END || '|' || c_mktsegment AS id FROM customer""")
+def text_keys(t: Tables) -> DataFrame:
+    name = F.concat(F.col("c_name"), F.lit(" ("), F.col("c_mktsegment"), F.lit(")"))
+    return t.customer.select("c_custkey", S.slug(name).alias("slug"), S.safe_file_name(name).alias("file_name"), S.stable_id(F.col("c_custkey"), F.when(F.col("c_nationkey") > 4, F.col("c_nationkey")), F.col("c_mktsegment")).alias("id"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS s FROM orders), f AS (SELECT o_custkey, s, min(o_orderkey) AS place FROM o WHERE s <> '' GROUP BY 1, 2) SELECT c.o_custkey, coalesce(string_agg(s, ';' ORDER BY place), '') AS statuses FROM (SELECT DISTINCT o_custkey FROM o) c LEFT JOIN f USING (o_custkey) GROUP BY 1""")
+def flattened_hits(t: Tables) -> DataFrame:
+    """A customer's orders as a nested hit, its statuses distinct in order."""
+    hit = F.struct("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("status"))
+    nested = t.orders.groupBy("o_custkey").agg(F.struct(F.array_sort(F.collect_list(hit)).alias("orders")).alias("case"))
+    return readers.flatten_hits(nested, "o_custkey", {"statuses": "case.orders.status"})
+
+
+@query("""SELECT l_linestatus, """ + ", ".join(f"round(greatest(-1.0, least(1.0, coalesce(sum(CASE WHEN l_returnflag = '{c}' OR l_linenumber % 2 = 0 AND l_shipmode_like = '{c}' THEN w END), 0))), 6) AS \"{c}\"" for c in "ANR") + """ FROM (SELECT l_linestatus, l_returnflag, l_linenumber, 'A' AS l_shipmode_like, round((l_orderkey % 3 - 1)::DOUBLE / 100000.0, 9) AS w FROM lineitem) WHERE NOT (l_returnflag = 'A' AND l_linenumber % 2 = 0) GROUP BY 1""")
+def signed_matrix(t: Tables) -> DataFrame:
+    """Findings for and against by target: summed weights, clipped, one column a target."""
+    some = t.lineitem.where("NOT (l_returnflag = 'A' AND l_linenumber % 2 = 0)")
+    targets = F.when(F.col("l_linenumber") % 2 == 0, F.array("l_returnflag", F.lit("A"))).otherwise(F.array("l_returnflag"))
+    out = R.signed_matrix(some.withColumn("targets", targets), "l_linestatus", "targets", F.round((F.col("l_orderkey") % 3 - 1) / 100000.0, 9), ["A", "N", "R"], -1.0, 1.0)
+    return out.select("l_linestatus", *[F.round(c, 6).alias(c) for c in "ANR"])
+
+
+@query("""WITH n AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) SELECT r_regionkey, n AS members FROM region JOIN n ON n_regionkey = r_regionkey""")
+def partition_check(t: Tables) -> DataFrame:
+    """Every nation is mapped to one region and no other key is."""
+    CO.check_partition(t.nation.select("n_nationkey", "n_regionkey"), t.customer.select(F.col("c_nationkey").alias("n_nationkey")).unionAll(t.nation.select("n_nationkey")), "n_nationkey")
+    return t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count(F.lit(1)).alias("members"))
+
+
+@query("""WITH v AS (SELECT user_id, event_type, avg(value) / 100 AS m, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT *, CASE WHEN user_id % 5 > 0 THEN (user_id % 5) / 5.0 END AS purity FROM v), c AS (SELECT *, CASE WHEN purity IS NULL THEN 'uncertain' WHEN abs(m - purity / 2) <= 0.08 THEN 'clonal_like' WHEN m < purity / 2 - 0.08 THEN 'subclonal_like' ELSE 'uncertain' END AS meaning FROM p),
+s AS (SELECT user_id, sum(n) AS n, count(*) AS k, max(n) / sum(n) AS dominant, count(*) FILTER (meaning = 'subclonal_like') AS sub FROM c GROUP BY 1)
+SELECT user_id, n::BIGINT AS n, k, sub AS subclonal, CASE WHEN n < 60 THEN 'low_confidence' WHEN dominant >= 0.75 AND sub <= 1 AND k <= 2 THEN 'predominantly_clonal_like' WHEN k <= 3 AND dominant < 0.75 THEN 'oligoclonal_like' ELSE 'multicluster_subclonal_like' END AS class, k = 1 AS is_singleton FROM s""")
+def cluster_classes(t: Tables) -> DataFrame:
+    """Classes of clusters by mean and purity, and of samples by their clusters (a user's event types stand for clusters)."""
+    v = t.events.groupBy("user_id", "event_type").agg((F.avg("value") / 100).alias("m"), F.count(F.lit(1)).alias("n"))
+    purity = F.when(F.col("user_id") % 5 > 0, F.col("user_id") % 5 / 5.0)
+    c = v.withColumn("meaning", C.cluster_meaning(F.col("m"), purity))
+    s = c.groupBy("user_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.max("n") / F.sum("n")).alias("dominant"), A.count_if(F.col("meaning") == "subclonal_like").alias("subclonal"))
+    return s.select("user_id", "n", "k", "subclonal", C.sample_meaning(F.col("n"), F.col("k"), F.col("dominant"), F.col("subclonal"), F.col("dominant"), 60).alias("class"), (F.col("k") == 1).alias("is_singleton"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS ordinal, (p_partkey * 7) % 60 AS k FROM part), s AS (SELECT s_suppkey AS k, s_acctbal FROM supplier WHERE s_suppkey % 5 > 0) SELECT ordinal, s.k, s_acctbal FROM o LEFT JOIN s USING (k)""")
+def aligned_rows(t: Tables) -> DataFrame:
+    """Suppliers in the places that parts give them; places of unknown ones are null."""
+    order = t.part.select(F.col("p_partkey").alias("ordinal"), (F.col("p_partkey") * 7 % 60).alias("k"))
+    found = J.aligned(t.supplier.where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("k"), "s_acctbal"), "k", order)
+    return found.select("ordinal", F.when(F.col("s_acctbal").isNotNull(), F.col("k")).alias("k"), "s_acctbal")

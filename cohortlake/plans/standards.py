@@ -521,12 +521,14 @@ def parquet_round_trip(t: Tables) -> DataFrame:
     return readers.read_parquet_columns(t.spark, path, ["n_nationkey", "n_name", "n_regionkey"], ["extra"])
 
 
-@query("SELECT 'a' AS name, 1.5::DOUBLE AS cut UNION ALL SELECT 'b', 2.5")
+@query("SELECT n_name AS name, n_nationkey * 1.5::DOUBLE AS cut, n_regionkey > 2 AS high FROM nation")
 def json_round_trip(t: Tables) -> DataFrame:
+    """A bounded dimension written as one JSON text and read again."""
     path = shared_path(t.spark, "json") + ".json"
-    sinks.write_json(t.spark, [{"name": "a", "cut": 1.5}, {"name": "b", "cut": 2.5}], path)
+    rows = [{"name": r["n_name"], "cut": r["n_nationkey"] * 1.5, "high": r["n_regionkey"] > 2} for r in t.nation.collect()]
+    sinks.write_json(t.spark, rows, path)
     sinks.check_outputs(t.spark, [path])
-    return readers.read_auto(t.spark, path).select("name", "cut")
+    return readers.read_auto(t.spark, path).select("name", "cut", "high")
 
 
 @query("SELECT c_mktsegment AS feature, c_nationkey::VARCHAR AS sample, count(*)::DOUBLE AS value FROM customer WHERE c_nationkey < 5 GROUP BY 1, 2")

@@ -145,14 +145,16 @@ def feature_sets(config: dict[str, object]) -> list[tuple[str, str]]:
     return out
 
 
-def load_config(path: str) -> dict:
-    """JSON, or YAML where a parser is installed."""
-    with open(path) as f:
-        if path.endswith(".json"):
-            return json.load(f)
-        import yaml
-
-        return yaml.safe_load(f)
+def load_config(spark: SparkSession, path: str) -> dict:
+    """JSON, or YAML where a parser is installed, read through the cluster's file system."""
+    text = spark.read.text(path, wholetext=True).first()
+    if text is None:
+        raise ValueError(f"{path} is empty")
+    if path.endswith(".json"):
+        return json.loads(text[0])
+    import yaml
+
+    return yaml.safe_load(text[0])
 
 
 def stream_source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
