@@ -204,9 +204,11 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = 400, hot: i
 
     made = texts.select("text").where("text is not null").mapInArrow(runs, "hash long, seg long, k1 long, k2 long, s0 long, s1 long, anchor long")
     placed = made.groupBy("hash", "seg", "k1", "k2", "s0", "s1", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    # minimisers that occur more than once; what is counted combines before it is shuffled, and large ones are split in the join
-    shared = placed.groupBy("hash").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("segments")).where("places > 1").select("hash", (F.col("segments") > hot).alias("hot"))
-    placed = scratch.table(placed.join(shared, "hash"))
+    # minimisers that occur more than once; what is counted combines before it is shuffled, and of two tables Spark splits large keys in the join
+    every = scratch.table(placed)
+    shared = scratch.table(every.groupBy("hash").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("segments")).where("places > 1").select("hash", (F.col("segments") > hot).alias("hot")))
+    placed = scratch.table(every.join(shared, "hash"))
+    scratch.drop(every)
     # a weighted segment stands for its equal copies; one text is chosen to show its bytes
     chosen = placed.groupBy("hash", "seg").agg(F.sum("n").alias("weight"), F.min(F.struct("k1", "k2", "s0", "s1", "anchor")).alias("at"), F.first("hot").alias("hot"))
     asked = chosen.select("at.k1", "at.k2", F.struct("at.s0", "at.s1", "at.anchor", "hash", "seg", "weight", "hot").alias("want")).groupBy("k1", "k2").agg(F.collect_list("want").alias("wants"))
