@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import written
 from . import cluster
-from .quantiles import _cut, exact_quantiles
+from .quantiles import exact_quantiles
 
 #: Rows from which a group is fitted over partial sums.
 LARGE = 200_000
@@ -136,7 +137,7 @@ def mixtures(df: DataFrame, group: str, key: str, value: str, large: int = LARGE
     kind = known.schema["_group"].dataType.simpleString()
     named = spark.createDataFrame([(r[0], i) for i, r in enumerate(sizes)], f"_of {kind}, g int")
     joined = known.join(named, F.col("_group").eqNullSafe(F.col("_of")), "left").drop("_of")
-    big = _cut(joined.where("g IS NOT NULL").withColumn("x", F.col("_value").cast("double")))
+    big = written(joined.where("g IS NOT NULL").withColumn("x", F.col("_value").cast("double")), "mixtures")
     fits = fitted(big.select("g", "x"), {i: r[1] for i, r in enumerate(sizes)}, most, min_size, tolerance)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

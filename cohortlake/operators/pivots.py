@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.readers import shared_path
+from ..sources.readers import written
 from .matrix import best_pairs, vector_rows
 
 #: Pivots and blocks at most: what every search task holds. Rings of a cell. Queries of one task.
@@ -106,7 +106,7 @@ def build(rows: DataFrame, metric: str = "euclidean", group: str | None = None,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*batch.schema.names, "cell", "away"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(columns).schema.fields)
-    dealt = _written(spark, rows.select(columns).mapInArrow(deal, f"{kinds}, cell int, away double"), "pivots")
+    dealt = written(rows.select(columns).mapInArrow(deal, f"{kinds}, cell int, away double"), "pivots")
     steps = F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)])
     cells = dealt.groupBy("cell").agg(F.percentile_approx("away", steps, 1000).alias("cuts"), F.count(F.lit(1)).alias("n")).collect()  # a row per pivot
     cuts = []
@@ -122,12 +122,13 @@ def build(rows: DataFrame, metric: str = "euclidean", group: str | None = None,
         first += many
     place = spark.createDataFrame(parts, "cell int, ring int, first int, parts int")
     blocked = cut.join(place, ["cell", "ring"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-    indexed = _written(spark, blocked.select(*columns, "cell", "away", "block").repartitionByRange("block").sortWithinPartitions("block"), "pivots")
-    return _index(metric, indexed, pivots, group)
+    table = written(blocked.select(*columns, "cell", "away", "block").repartitionByRange("block").sortWithinPartitions("block"), "pivots")
+    return indexed(metric, table, pivots, group)
 
 
-def _index(metric: str, indexed: DataFrame, pivots: np.ndarray, group: str | None) -> Index:
-    by = indexed.groupBy("block", *([group] if group else [])).agg(F.min("away").alias("low"), F.max("away").alias("high"), F.count(F.lit(1)).alias("n"), F.first("cell").alias("cell"))
+def indexed(metric: str, rows: DataFrame, pivots: np.ndarray, group: str | None = None) -> Index:
+    """The index of dealt rows (id, vec, cell, away, block[, group]): what is known of each block is read from them."""
+    by = rows.groupBy("block", *([group] if group else [])).agg(F.min("away").alias("low"), F.max("away").alias("high"), F.count(F.lit(1)).alias("n"), F.first("cell").alias("cell"))
     of = F.max_by(F.struct(F.col(group) if group else F.lit(None).alias("g"), "n"), "n").alias("main")
     facts = by.groupBy("block").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.first("cell").alias("cell"), of).orderBy("block").collect()  # BLOCKS rows or so
     number = {r["block"]: i for i, r in enumerate(facts)}
@@ -136,13 +137,7 @@ def _index(metric: str, indexed: DataFrame, pivots: np.ndarray, group: str | Non
         have = {r["block"]: r for r in facts}
         facts = [have.get(i, empty) for i in range(max(number) + 1)]
     column = lambda c: np.array([r[c] for r in facts])
-    return Index(metric, indexed, pivots, column("cell"), column("low"), column("high"), column("n"), [r["main"][0] for r in facts], np.array([r["main"][1] for r in facts]))
-
-
-def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Index(metric, rows, pivots, column("cell"), column("low"), column("high"), column("n"), [r["main"][0] for r in facts], np.array([r["main"][1] for r in facts]))
 
 
 def _first_blocks(index: Index, low: np.ndarray, others: np.ndarray, k: int) -> list[np.ndarray]:
@@ -193,13 +188,13 @@ def search(index: Index, queries: DataFrame, k: int, group: str | None = None, o
                 yield pa.RecordBatch.from_arrays(out, [*columns, "blocks"])
 
     def visited(asked: DataFrame, later: bool) -> tuple[DataFrame, DataFrame]:
-        plan = _written(spark, asked.mapInArrow(lambda batches: planned(batches, later), f"{kinds}, blocks array<int>"), "search")
+        plan = written(asked.mapInArrow(lambda batches: planned(batches, later), f"{kinds}, blocks array<int>"), "search")
         pairs = plan.select(*columns, F.explode("blocks").alias("block"))
         loads = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"), F.count(F.lit(1)).alias("asked"))
         asks = pairs.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         rows = index.rows.select(*columns, "block").join(loads, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         met = asks.select(*columns, "block", "part").groupBy("block", "part").cogroup(rows.select(*columns, "block", "part").groupBy("block", "part")).applyInArrow(best_pairs(k, index.metric, group, own), "query_id long, neighbour_id long, distance double")
-        return _written(spark, met, "search"), loads
+        return written(met, "search"), loads
 
     asked = queries.select(columns)
     first, loads = visited(asked, False)

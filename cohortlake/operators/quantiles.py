@@ -14,16 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.readers import shared_path
+from ..sources.readers import written
 
 #: Grid of a round; rows of a bracket that are listed at once.
 GRID, FEW = 128, 10_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession, "quantiles")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _kept(df: DataFrame) -> DataFrame:
+    return written(df, "quantiles")
 
 
 def _same(keys: Sequence[str], left: str, right: str) -> Column:
@@ -48,12 +46,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequ
     names = {k: f"_k{i}" for i, k in enumerate(keys)}
     own = list(names.values())
     x = F.col(value).cast("double")
-    rows = _cut(df.where(~F.isnan(F.coalesce(x, F.lit(float("nan"))))).select(*[F.col(k).alias(n) for k, n in names.items()], (x + 0.0).alias("_x")))  # -0 is 0
+    rows = _kept(df.where(~F.isnan(F.coalesce(x, F.lit(float("nan"))))).select(*[F.col(k).alias(n) for k, n in names.items()], (x + 0.0).alias("_x")))  # -0 is 0
     sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
     place = F.explode(F.array(*[F.lit(float(s)) for s in sorted(set(shares))])).alias("_s")
     at = sizes.select("*", place).withColumn("_h", (F.col("_n") - 1) * F.col("_s"))
     ranks = at.select(*own, "_n", "_low", "_high", F.explode(F.array(F.floor("_h"), F.ceil("_h"))).alias("_rank")).distinct()
-    open_ = _cut(ranks.select(*own, "_rank", "_low", "_high", F.lit(False).alias("_open"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside")))
+    open_ = _kept(ranks.select(*own, "_rank", "_low", "_high", F.lit(False).alias("_open"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside")))
     done = []
     while True:
         small = (F.col("_inside") <= few) | (F.col("_low") == F.col("_high"))
@@ -61,7 +59,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequ
         done.append(_picked(rows, ready, own))
         if rest.isEmpty():
             break
-        open_ = _cut(_narrowed(rows, rest, own))
+        open_ = _kept(_narrowed(rows, rest, own))
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
@@ -98,7 +96,7 @@ def _narrowed(rows: DataFrame, rest: DataFrame, own: list[str]) -> DataFrame:
     """Brackets around the grid values next to each rank, with exact counts."""
     grid = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
     sketch = _inside(rows, rest, own).groupBy(*own, "_rank", "_low", "_high", "_open", "_below").agg(F.percentile_approx("_x", grid, F.lit(100 * GRID)).alias("_grid"), F.count(F.lit(1)).alias("_inside"))
-    sketched = _cut(sketch.withColumn("_grid", F.array_distinct(F.concat(F.array("_low"), F.col("_grid"), F.array("_high")))))
+    sketched = _kept(sketch.withColumn("_grid", F.array_distinct(F.concat(F.array("_low"), F.col("_grid"), F.array("_high")))))
     # rows up to each grid value, exactly: a histogram, at most GRID + 1 bins a bracket
     binned = _inside(rows, sketched, own).withColumn("_bin", F.size(F.filter("_grid", lambda g: g < F.col("_x"))))
     equal = F.sum((F.col("_x") == F.get("_grid", F.col("_bin"))).cast("long"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.artefacts import Store, checksum
+from ..sources.readers import written
 from . import matrix, pivots
 from .casework import case_summary, harmonise_cases
 from .contract import ContractError, contract_hash
@@ -74,7 +75,7 @@ def fit(long: DataFrame, rows: DataFrame, types: dict[str, str], components: int
     names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(known)], "position int, feature_name string")
     labels = [c for c in rows.columns if c != "row"]
     vectors = scaled_vectors(cells, names, "row", "feature", "scaled").join(rows.select(F.col("row").alias("id"), *labels), "id")
-    vectors = pivots._written(spark, vectors.select("id", "vec", *labels), "reference")
+    vectors = written(vectors.select("id", "vec", *labels), "reference")
     mean, loadings, variances, shares = matrix.pca(vectors, components)
     made = [(i, r[0], types.get(r[0], "continuous"), float(r[1]), float(r[2]), float(r[3]), float(m)) for i, (r, m) in enumerate(zip(known, mean))]
     axes = [(i + 1, float(v), float(s), [float(x) for x in w]) for i, (v, s, w) in enumerate(zip(variances, shares, loadings))]
@@ -141,7 +142,7 @@ def load(store: Store, name: str, version: int | None = None, verify: bool = Tru
             model.warnings.append(f"the {metric} index {why}; direct distances are used")
         else:
             points = np.array([r["point"] for r in t[f"pivots_{metric}"].orderBy("cell").collect()], float)  # pivots.PIVOTS at most
-            model.indexes[metric] = pivots._index(metric, t[f"index_{metric}"], points, None)
+            model.indexes[metric] = pivots.indexed(metric, t[f"index_{metric}"], points, None)
     return model
 
 
@@ -170,7 +171,7 @@ def project(model: Reference, values: DataFrame, cases: DataFrame, k: int = 50,
     spark = cases.sparkSession
     features = model.features.select("feature_name", "feature_type", "median", "mean", "std")
     audit = harmonise_cases(values, cases, features)
-    audit = pivots._written(spark, audit, "projection")
+    audit = written(audit, "projection")
     none = case_summary(audit).where("supplied = 0").limit(5).collect()
     if none:
         raise ContractError(f"no known feature is supplied by {[r['case_id'] for r in none]}")

@@ -22,6 +22,7 @@ from ..operators import reshape as R
 from ..operators import rules as RU
 from ..operators import select as SE
 from ..operators import vote as V
+from ..sources.readers import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -388,11 +389,24 @@ def quantile_bin_accuracy(t: Tables) -> DataFrame:
     return t.events.withColumn("bin", A.quantile_bins(F.col("value"), edges)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(A.fraction(F.col("event_type") == "click")).alias("share"))
 
 
-@query()
+#: The shares at which thresholds are tried, as ``vote.thresholds`` has them.
+_SHARES = [0.60 + 0.05 * i for i in range(8)] + [0.40 - 0.05 * i for i in range(8)] + [1 / 3, 0.5, 2 / 3]
+
+
+@query(_VOTE + """, h AS (SELECT *, true_rank = 1 AS correct, row_number() OVER (PARTITION BY true_label ORDER BY (query_id * 7919) % 10007, query_id) <= greatest(1, count(*) OVER (PARTITION BY true_label) // 2) AS calibration FROM pd),
+m AS (SELECT query_id, calibration, correct, unnest(['top1_score', 'margin', 'entropy', 'meaningful']) AS m, unnest([round(top1_score, 9), round(margin, 9), -round(entropy, 9), -meaningful::DOUBLE]) AS r FROM h),
+q AS (SELECT m, count(*) AS n, avg(correct::INT) AS base, quantile_cont(r, [""" + ", ".join(f"{s!r}::DOUBLE" for s in _SHARES) + """]) AS cuts FROM m WHERE calibration GROUP BY m),
+t AS (SELECT m, i, any_value(q.n) AS n, any_value(base) AS base, count(*) FILTER (CASE WHEN i < 8 THEN r >= cuts[i + 1] ELSE r <= cuts[i + 1] END) AS n_in, avg(correct::INT) FILTER (CASE WHEN i < 8 THEN r >= cuts[i + 1] ELSE r <= cuts[i + 1] END) AS acc FROM m JOIN q USING (m), unnest(range(16)) x(i) WHERE calibration GROUP BY m, i),
+ok AS (SELECT * FROM t WHERE n_in >= greatest(5, ceil(n * 2 / 100))),
+hi AS (SELECT m, coalesce(min(i) FILTER (acc >= least(0.95, base + 0.2)), first(i ORDER BY acc DESC, i)) AS hi FROM ok WHERE i < 8 GROUP BY m), lo AS (SELECT m, coalesce(min(i) FILTER (acc <= greatest(0.25, base - 0.2)), first(i ORDER BY acc, i)) AS lo FROM ok WHERE i >= 8 GROUP BY m),
+c AS (SELECT m, cuts, coalesce(cuts[hi + 1], cuts[19]) AS high, coalesce(cuts[lo + 1], cuts[17]) AS low FROM q LEFT JOIN hi USING (m) LEFT JOIN lo USING (m)),
+d AS (SELECT m, CASE WHEN low >= high THEN cuts[17] ELSE low END AS low, CASE WHEN low >= high THEN cuts[19] ELSE high END AS high FROM c)
+SELECT query_id, any_value(calibration) AS calibration, any_value(correct) AS correct, CASE WHEN sum(tier) <= 2 THEN 'low_confidence' WHEN sum(tier) >= 6 THEN 'high_confidence' ELSE 'moderate_confidence' END AS confidence FROM (SELECT m.*, CASE WHEN r >= high THEN 2 WHEN r <= low THEN 0 ELSE 1 END AS tier FROM m JOIN d USING (m)) GROUP BY query_id""")
 def calibrated_tiers(t: Tables) -> DataFrame:
-    p = SE.half_split(_predicted(t), "true_label", F.xxhash64("query_id", F.lit(123))).persist()
-    half = p.where("calibration")
-    cuts = {m: V.thresholds(half, m, "correct", up) for m, up in (("top1_score", True), ("margin", True), ("entropy", False), ("meaningful", False))}
+    metrics = {"top1_score": True, "margin": True, "entropy": False, "meaningful": False}
+    rounded = _predicted(t).withColumns({m: F.round(m, 9) for m in ("top1_score", "margin", "entropy")})
+    p = written(SE.half_split(rounded, "true_label", F.struct(F.col("query_id") * 7919 % 10007, "query_id")), "calibration")
+    cuts = {m: V.thresholds(p.where("calibration"), m, "correct", up) for m, up in metrics.items()}
     return p.select("query_id", "calibration", "correct", V.combined_tier([V.tier(F.col(m), c) for m, c in cuts.items()]).alias("confidence"))
 
 

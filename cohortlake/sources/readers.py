@@ -35,6 +35,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, which cuts its lineage durably."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = "\t", columns: Sequence[str] | None = None, missing: str = "strict", quote: str = "", file_column: str | None = None) -> DataFrame:
     """All columns as text, the source's missing tokens as null; only ``columns`` are parsed if named."""
     df = spark.read.csv(path, sep=sep, header=True, quote=quote, inferSchema=False, nullValue="\0", emptyValue="")
