@@ -33,8 +33,10 @@ CLASSES = FREQUENT + RARE
 START = VOCAB + RARE
 #: Rounds of gradient steps, each on its own share of the training texts; together on all.
 ROUNDS = 4
-WINDOW, LANES, RATE = 20, 32, 0.01
+WINDOW, LANES, RATE = 20, 128, 0.015
 SCORE_WINDOW, SCORE_LANES = 48, 512
+#: Rows whose softmax is taken at once.
+ROWS = 1024
 BLOCK_BYTES = 24 << 20
 #: Copies of a parameter that one task adds up.
 FAN = 16
@@ -105,19 +107,28 @@ class Network:
         return h + z * (n - h), z, r, n
 
     def log_probs(self, h: np.ndarray, kind: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Natural log of P(class | h), times P(word | class, h) for model words (inside >= 0)."""
-        logits = h @ self.p["wc"] + self.p["bc"]
-        top = logits.max(1)
-        out = logits[np.arange(len(h)), kind] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        """Natural log of P(class | h), times P(word | class, h) for model words (inside >= 0).
+        Rows go in blocks through one small array."""
+        wide = np.empty((ROWS, max(CLASSES, CLASS_WORDS)), self.p["wc"].dtype)
+
+        def of_true(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, truth: np.ndarray) -> np.ndarray:
+            logits = np.matmul(rows, weights, out=wide[: len(rows), : weights.shape[1]])
+            logits += bias
+            logits -= logits.max(1, keepdims=True)
+            true = logits[np.arange(len(rows)), truth]
+            np.exp(logits, out=logits)
+            return true - np.log(logits.sum(1))
+
+        out = np.empty(len(h), wide.dtype)
+        for lo in range(0, len(h), ROWS):
+            out[lo : lo + ROWS] = of_true(h[lo : lo + ROWS], self.p["wc"], self.p["bc"], kind[lo : lo + ROWS])
         at = np.flatnonzero(inside >= 0)
         order = at[np.argsort(kind[at], kind="stable")]
         cut = np.searchsorted(kind[order], np.arange(FREQUENT + 1))
         for c in range(FREQUENT):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                logits = h[rows] @ self.p["wo"][c] + self.p["bo"][c]
-                top = logits.max(1)
-                out[rows] += logits[np.arange(len(rows)), inside[rows]] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+            for lo in range(cut[c], cut[c + 1], ROWS):
+                rows = order[lo : min(lo + ROWS, cut[c + 1])]
+                out[rows] += of_true(h[rows], self.p["wo"][c], self.p["bo"][c], inside[rows])
         return out
 
 
@@ -143,6 +154,21 @@ def lanes(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return index, begins
 
 
+def even_lanes(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``lanes``, for training: the texts stand one after another and are cut
+    into lanes of equal length, so that a very long text leaves no narrow
+    windows behind. A text cut by a lane's end goes on in the next lane, from
+    its last word and an empty state."""
+    total = int(first[-1])
+    width = max(1, min(width, total // (4 * WINDOW)))
+    steps = -(-total // width)
+    index = np.arange(steps * width)
+    begins = np.zeros(steps * width, bool)
+    begins[first[:-1][np.diff(first) > 0]] = True
+    index[total:] = -1
+    return index.reshape(width, steps).T, begins.reshape(width, steps).T
+
+
 def encoded(counts: Counts, hashes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input id, class and place within the class (-1: rare) of each token."""
     word = model_words(counts, hashes)
@@ -151,80 +177,166 @@ def encoded(counts: Counts, hashes: np.ndarray, kinds: np.ndarray) -> tuple[np.n
     return np.where(known, word, VOCAB + kinds), np.where(known, word // CLASS_WORDS, FREQUENT + kinds), np.where(known, word % CLASS_WORDS, -1)
 
 
-def train(net: Network, ids: np.ndarray, kind: np.ndarray, inside: np.ndarray, first: np.ndarray) -> int:
-    """Truncated backpropagation over all windows of the texts; returns the tokens used."""
-    p, k = net.p, HIDDEN
-    moments = {n: (np.zeros_like(p[n]), np.zeros_like(p[n])) for n in p}
-    index, begins = lanes(first, LANES)
-    h, used, turn = np.zeros((index.shape[1], k), np.float32), 0, 0
-    for t0 in range(0, len(index), WINDOW):
-        at, start = index[t0 : t0 + WINDOW], begins[t0 : t0 + WINDOW]
-        live = (at >= 0).sum(1)
-        if live[0] == 0:
-            break
-        h = h[: live[0]].copy()
-        trace = []
-        for t in range(len(at)):
-            a = live[t]
-            if not a:
-                break
-            h = h[:a]
-            before = np.where(start[t, :a, None], 0, h)
-            source = np.where(start[t, :a], START, ids[np.maximum(at[t, :a] - 1, 0)])
-            x = p["embed"][source]
-            h, z, r, n = net.step(x @ p["wx"] + p["b"], before)
-            trace.append((source, x, before, z, r, n, h, at[t, :a]))
-        states = np.concatenate([s[6] for s in trace])
-        flat = np.concatenate([s[7] for s in trace])
-        count = len(flat)
-        grad = {n: np.zeros_like(v) for n, v in p.items()}
-        logits = states @ p["wc"] + p["bc"]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
-        e[np.arange(count), kind[flat]] -= 1
-        grad["wc"], grad["bc"] = states.T @ e, e.sum(0)
-        ds = e @ p["wc"].T
-        order = np.argsort(kind[flat], kind="stable")
-        cut = np.searchsorted(kind[flat][order], np.arange(FREQUENT + 1))
-        for c in range(FREQUENT):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                q = states[rows] @ p["wo"][c] + p["bo"][c]
-                q = np.exp(q - q.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(rows)), inside[flat[rows]]] -= 1
-                grad["wo"][c], grad["bo"][c] = states[rows].T @ q, q.sum(0)
-                ds[rows] += q @ p["wo"][c].T
-        dh_next = np.zeros((0, k), np.float32)
-        end = count
-        for t in range(len(trace) - 1, -1, -1):
-            source, x, before, z, r, n, _, _ = trace[t]
-            a = len(source)
-            dh = ds[end - a : end].copy()
-            end -= a
-            dh[: len(dh_next)] += dh_next
-            dz, dn = dh * (n - before) * z * (1 - z), dh * z * (1 - n * n)
+class Learner:
+    """Gradients and steps of one task. Its moments and work arrays last as
+    long as the task learns: fresh memory for each window would cost more than
+    the arithmetic."""
+
+    def __init__(self, net: Network):
+        self.net, self.turn = net, 0
+        self.moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in net.p.items()}
+        self.grad = {n: np.zeros_like(v) for n, v in net.p.items()}
+        self.work: dict[str, np.ndarray] = {}
+
+    def take(self, name: str, *shape: int) -> np.ndarray:
+        """A work array by name; its contents are left from the last use."""
+        size = int(np.prod(shape))
+        if name not in self.work or len(self.work[name]) < size:
+            self.work[name] = np.empty(size, self.net.p["embed"].dtype)
+        return self.work[name][:size].reshape(shape)
+
+    def product(self, name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.matmul(a, b, out=self.take(name, len(a), b.shape[1]))
+
+    def shares_less_one(self, logits: np.ndarray, truth: np.ndarray) -> np.ndarray:
+        """In place: the softmax of each row, less one at its true place."""
+        logits -= logits.max(1, keepdims=True)  # rows may be none, columns never
+        np.exp(logits, out=logits)
+        logits *= 1 / logits.sum(1, keepdims=True)
+        logits[np.arange(len(logits)), truth] -= 1
+        return logits
+
+    def gradients(self, ids: np.ndarray, kind: np.ndarray, inside: np.ndarray, at: np.ndarray, start: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Puts the gradients of one window's summed loss into ``grad``; returns the state after it.
+
+        at: token indices by step and lane, -1 past a lane's end (such places
+        take no part in the loss); start: where a text begins; h: the state
+        carried in, through which no gradient flows. What depends on the
+        inputs alone is done for the window at once, the steps do the rest.
+        """
+        p, grad, k = self.net.p, self.grad, HIDDEN
+        steps, width = at.shape
+        size = steps * width
+        source = np.where(start, START, ids[np.maximum(at - 1, 0)]).ravel()
+        keep = (~start[:, :, None]).astype(h.dtype)
+        x = np.take(p["embed"], source, axis=0, out=self.take("x", size, k), mode="clip")
+        gates = self.product("gates", x, p["wx"])
+        gates += p["b"]
+        gates = gates.reshape(steps, width, 3 * k)
+        before, rh, after = (self.take(n, steps, width, k) for n in ("before", "rh", "after"))
+        for t in range(steps):
+            np.multiply(h, keep[t], out=before[t])
+            g = gates[t, :, : 2 * k]
+            g += before[t] @ p["uh"]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.multiply(g[:, k:], before[t], out=rh[t])
+            n = gates[t, :, 2 * k :]
+            n += rh[t] @ p["un"]
+            np.tanh(n, out=n)
+            h = after[t]
+            np.subtract(n, before[t], out=h)
+            h *= g[:, :k]
+            h += before[t]
+        live = np.flatnonzero(at.ravel() >= 0)
+        order = live[np.argsort(kind[at.ravel()[live]], kind="stable")]  # by class
+        flat = at.ravel()[order]
+        states = np.take(after.reshape(size, k), order, axis=0, out=self.take("states", len(order), k), mode="clip")
+        e = self.product("e", states, p["wc"])
+        e += p["bc"]
+        e = self.shares_less_one(e, kind[flat])
+        np.matmul(states.T, e, out=grad["wc"])
+        np.sum(e, 0, out=grad["bc"])
+        ds = self.product("ds", e, p["wc"].T)
+        cut = np.searchsorted(kind[flat], np.arange(FREQUENT + 1)).tolist()
+        some = [(c, lo, hi) for c, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi]
+        q = np.take(p["bo"], np.minimum(kind[flat[: cut[-1]]], FREQUENT - 1), axis=0, out=self.take("q", cut[-1], CLASS_WORDS), mode="clip")
+        for c, lo, hi in some:
+            q[lo:hi] += states[lo:hi] @ p["wo"][c]
+        q = self.shares_less_one(q, inside[flat[: cut[-1]]])
+        grad["wo"][:], grad["bo"][:] = 0, 0
+        for c, lo, hi in some:
+            np.matmul(states[lo:hi].T, q[lo:hi], out=grad["wo"][c])
+            ds[lo:hi] += q[lo:hi] @ p["wo"][c].T
+        if some:
+            grad["bo"][[c for c, _, _ in some]] = np.add.reduceat(q, [lo for _, lo, _ in some])
+        dh_all = self.take("dh", size, k)
+        if len(order) < size:
+            dh_all[:] = 0
+        dh_all[order] = ds
+        dh_all = dh_all.reshape(steps, width, k)
+        dg = self.take("dg", steps, width, 3 * k)
+        dh_next = np.zeros((width, k), h.dtype)
+        for t in range(steps - 1, -1, -1):
+            dh, old = dh_all[t], before[t]
+            z, r, n = gates[t, :, :k], gates[t, :, k : 2 * k], gates[t, :, 2 * k :]
+            dh += dh_next
+            kept = dh * z
+            dn = np.multiply(kept, 1 - n * n, out=dg[t, :, 2 * k :])
             drh = dn @ p["un"].T
-            dr = drh * before * r * (1 - r)
-            dg = np.concatenate([dz, dr], 1)
-            dx = np.concatenate([dg, dn], 1)
-            grad["un"] += (r * before).T @ dn
-            grad["uh"] += before.T @ dg
-            grad["wx"] += x.T @ dx
-            grad["b"] += dx.sum(0)
-            np.add.at(grad["embed"], source, dx @ p["wx"].T)
-            dh_next = np.where(start[t, :a, None], 0, dh * (1 - z) + drh * r + dg @ p["uh"].T)
-        turn += 1
-        size = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) / count
+            np.multiply(kept * (n - old), 1 - z, out=dg[t, :, :k])
+            drh *= r
+            np.multiply(drh * old, 1 - r, out=dg[t, :, k : 2 * k])
+            dh_next = dg[t, :, : 2 * k] @ p["uh"].T
+            dh_next += drh
+            dh_next += dh
+            dh_next -= kept
+            dh_next *= keep[t]
+        dg = dg.reshape(size, 3 * k)
+        np.matmul(rh.reshape(size, k).T, dg[:, 2 * k :], out=grad["un"])
+        np.matmul(before.reshape(size, k).T, dg[:, : 2 * k], out=grad["uh"])
+        np.matmul(x.T, dg, out=grad["wx"])
+        np.sum(dg, 0, out=grad["b"])
+        by = np.argsort(source, kind="stable")
+        run = np.flatnonzero(np.diff(source[by], prepend=-1))
+        grad["embed"][:] = 0
+        dx = np.take(self.product("dx", dg, p["wx"].T), by, axis=0, out=self.take("sorted", size, k), mode="clip")
+        grad["embed"][source[by][run]] = np.add.reduceat(dx, run)
+        return h.copy()
+
+    def step(self, count: int) -> None:
+        """One step of Adam along the mean gradient, cut to unit length. Moments
+        too small to matter are zeroed: denormal numbers are very slow."""
+        self.turn += 1
+        size = float(np.sqrt(sum(float(np.vdot(g, g)) for g in self.grad.values()))) / count
         scale = min(1.0, 1.0 / max(size, 1e-9)) / count
-        for name, g in grad.items():
-            one, two = moments[name]
-            g = g * scale
-            one += 0.1 * (g - one)
-            two += 0.01 * (g * g - two)
-            p[name] -= RATE * (one / (1 - 0.9**turn)) / (np.sqrt(two / (1 - 0.99**turn)) + 1e-6)
-        used += count
-    return used
+        rate, left = RATE / (1 - 0.9**self.turn), 1 - 0.99**self.turn
+        for name, g in self.grad.items():
+            one, two = self.moments[name]
+            part = self.take("part", *g.shape)
+            g *= scale
+            one *= 0.9
+            one += np.multiply(g, 0.1, out=part)
+            g *= g
+            g *= 0.01
+            two *= 0.99
+            two += g
+            if self.turn % 64 == 0:
+                one[np.abs(one) < 1e-20] = 0
+                two[two < 1e-30] = 0
+            np.multiply(two, 1 / left, out=part)
+            np.sqrt(part, out=part)
+            part += 1e-6
+            np.divide(one, part, out=part)
+            part *= rate
+            self.net.p[name] -= part
+
+    def train(self, ids: np.ndarray, kind: np.ndarray, inside: np.ndarray, first: np.ndarray) -> int:
+        """Truncated backpropagation over all windows of the texts; returns the tokens used."""
+        index, begins = even_lanes(first, LANES)
+        h, used = np.zeros((index.shape[1], HIDDEN), self.net.p["embed"].dtype), 0
+        for t0 in range(0, len(index), WINDOW):
+            at = index[t0 : t0 + WINDOW]
+            width = int((at[0] >= 0).sum())  # full lanes come first
+            if not width:
+                break
+            h = self.gradients(ids, kind, inside, at[:, :width], begins[t0 : t0 + WINDOW, :width], h[:width])
+            count = int((at >= 0).sum())
+            self.step(count)
+            used += count
+        return used
 
 
 def score(net: Network, ids: np.ndarray, kind: np.ndarray, inside: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -353,9 +465,10 @@ def fit(blocked: DataFrame, counts: Counts) -> Network:
 
         def learn(batches: Iterator[pa.RecordBatch], begun: dict[str, np.ndarray] = begun) -> Iterator[pa.RecordBatch]:
             local, used = Network({n: v.copy() for n, v in begun.items()}), 0
+            learner = Learner(local)
             for _, data, offsets in chunks(batches, "text", 3 << 20):
                 hashes, kinds, first = tokens(data, offsets)
-                used += train(local, *encoded(counts, hashes, kinds), first)
+                used += learner.train(*encoded(counts, hashes, kinds), first)
             if used:
                 place, k = TaskContext.get().partitionId(), len(Network.NAMES)
                 yield pa.RecordBatch.from_arrays([pa.array([place] * k, pa.int64()), pa.array(list(Network.NAMES)), pa.array([used] * k, pa.int64()), pa.array([(local.p[n].astype(np.float64) * used).tobytes() for n in Network.NAMES], pa.binary())], ["place", "name", "used", "values"])

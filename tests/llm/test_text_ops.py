@@ -350,6 +350,39 @@ def test_scores_equal_a_walk_word_by_word():
             assert got[t] == pytest.approx(want, abs=2e-3)
 
 
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(1)
+    counts = recurrent_lm.Counts(90, 40, np.arange(30, dtype=np.uint64), np.arange(30) * 37, np.bincount(np.arange(30) * 37, minlength=recurrent_lm.VOCAB) * 3, np.ones(recurrent_lm.RARE))
+    first = np.array([0, 13, 40, 41, 41, 70, 90])  # one word, none
+    enc = recurrent_lm.encoded(counts, rng.integers(0, 40, 90).astype(np.uint64), rng.integers(0, recurrent_lm.RARE, 90).astype(np.uint8))
+    net = recurrent_lm.Network.start(counts)
+    net.p = {n: v.astype(float) * 1.5 for n, v in net.p.items()}
+    index, begins = recurrent_lm.lanes(first, 3)  # whole texts, uneven lanes
+    learner = recurrent_lm.Learner(net)
+    for _ in range(2):  # the second time in used work arrays
+        learner.gradients(*enc, index, begins, np.zeros((3, recurrent_lm.HIDDEN)))
+    loss = lambda: -recurrent_lm.score(net, *enc, first).sum()
+    for name, values in net.p.items():
+        flat, got = values.reshape(-1), learner.grad[name].reshape(-1)
+        for i in [*np.argsort(-np.abs(got))[:3], *rng.integers(0, len(flat), 2)]:
+            old, ends = flat[i], []
+            for step in (1e-3, -1e-3):
+                flat[i] = old + step
+                ends.append(loss())
+            flat[i] = old
+            assert got[i] == pytest.approx((ends[0] - ends[1]) / 2e-3, abs=1e-3, rel=1e-3), name
+
+
+def test_even_lanes_hold_every_token_once():
+    for sizes in ([5], [3, 0, 4000, 1, 900], [0, 0], [], [100_000, 1]):
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        index, begins = recurrent_lm.even_lanes(first, 128)
+        assert np.sort(index[index >= 0]).tolist() == list(range(first[-1]))
+        live = (index >= 0).sum(0)
+        assert (np.diff(live) <= 0).all() and (live[:-1][live[1:] > 0] == len(index)).all()
+        assert sorted(index[begins].tolist()) == sorted({int(f) for f, n in zip(first, sizes) if n})
+
+
 def test_backpropagation_lowers_loss():
     n = 3000
     ids = np.tile(np.arange(6), n // 6)
@@ -357,8 +390,9 @@ def test_backpropagation_lowers_loss():
     net, first = recurrent_lm.Network.start(counts), np.arange(0, n + 1, 60)
     kind, inside = ids // recurrent_lm.CLASS_WORDS, ids % recurrent_lm.CLASS_WORDS
     before = recurrent_lm.score(net, ids, kind, inside, first).mean()
-    for _ in range(6):
-        recurrent_lm.train(net, ids, kind, inside, first)
+    learner = recurrent_lm.Learner(net)
+    for _ in range(12):
+        assert learner.train(ids, kind, inside, first) == n
     assert recurrent_lm.score(net, ids, kind, inside, first).mean() > before + 0.8
 
 
