@@ -206,10 +206,11 @@ def candidate_score(count: Column, purity: Column, flags: dict[str, Column], pen
     yes = lambda k, v: F.when(F.coalesce(flags[k], F.lit(False)), v).otherwise(0.0)
     burden = POINTS["burden"] * F.least(F.lit(1.0), F.log1p(F.greatest(F.lit(0.0), F.coalesce(count.cast("double"), F.lit(0.0)))) / F.log1p(F.lit(cap)))
     pure = POINTS["purity"] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(purity, F.lit(0.0))))
-    given = yes("counts", POINTS["counts"]) + yes("purity", POINTS["has_purity"]) + sum((yes(k, POINTS[k]) for k in ("ploidy", "copy_number", "segments")), F.lit(0.0))
+    total = burden + pure + yes("counts", POINTS["counts"]) + yes("purity", POINTS["has_purity"])  # from left to right, as SQL adds: ties of a rounded score depend on it
+    total = sum((yes(k, POINTS[k]) for k in ("ploidy", "copy_number", "segments")), total)
     fail = lambda k, v: F.when(F.coalesce(penalties[k], F.lit(False)), v).otherwise(0.0)
     lost = F.when(F.coalesce(flags["segments"], F.lit(False)), 0.0).otherwise(OFF["no_segments"]) + sum((fail(k, OFF[k]) for k in ("few", "impure", "missing", "no_copy_number")), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), burden + pure + given - lost))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total - lost))
 
 
 def set_hash(values: Column, order: Column, sep: str = "\n") -> Column:
