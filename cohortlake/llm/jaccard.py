@@ -72,9 +72,10 @@ def set_key(grams: np.ndarray) -> int:
 
 
 def profile(grams: np.ndarray) -> bytes:
-    """Counts (255 at most) of the shingles by the head of their hashes, in a power of two of bins."""
-    bins = min(256, max(16, 1 << max(0, math.ceil(math.log2(max(1, len(grams)) / 8)))))
-    return np.minimum(np.bincount((grams >> _U(56)).astype(np.int64) * bins >> 8, minlength=bins), 255).astype(np.uint8).tobytes()
+    """Counts (255 at most) of the shingles by the head of their hashes, in a power of two of bins:
+    one for eight shingles, as in fuller bins sets that share nothing would differ too little."""
+    bins = min(1 << 20, max(16, 1 << max(0, math.ceil(math.log2(max(1, len(grams)) / 8)))))
+    return np.minimum(np.bincount((grams >> _U(40)).astype(np.int64) * bins >> 24, minlength=bins), 255).astype(np.uint8).tobytes()
 
 
 class Profiles:
@@ -83,28 +84,27 @@ class Profiles:
     def __init__(self, raws: list[bytes], sizes: np.ndarray, percent: int):
         self.sizes, self.percent = sizes, percent
         self.width = np.array([len(r) for r in raws], np.int64)
-        self.at: dict[int, np.ndarray] = {}
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by width: each set's row, and a table of the sets that are so wide
+        wide, last = np.zeros(0, np.int64), np.zeros((0, 1), np.int16)
         for w in sorted(set(self.width.tolist()), reverse=True):
             own = np.flatnonzero(self.width == w)
-            table = np.zeros((len(raws), w), np.int16)
-            if 2 * w in self.at:
-                table[:] = np.minimum(self.at[2 * w].reshape(len(raws), w, 2).sum(2), 255)
-            table[own] = np.frombuffer(b"".join(raws[i] for i in own), np.uint8).reshape(len(own), w)
-            for wide in self.at:  # widths may lie further apart
-                if wide > 2 * w and 2 * w not in self.at:
-                    some = np.flatnonzero(self.width >= wide)
-                    table[some] = np.minimum(self.at[wide][some].reshape(len(some), w, wide // w).sum(2), 255)
-            self.at[w] = table
+            folded = np.minimum(last.reshape(len(wide), w, -1).sum(2), 255) if len(wide) else np.zeros((0, w))
+            last = np.concatenate([folded.astype(np.int16), np.frombuffer(b"".join(raws[i] for i in own), np.uint8).reshape(len(own), w).astype(np.int16)])
+            wide = np.append(wide, own)
+            row = np.full(len(raws), -1)
+            row[wide] = np.arange(len(wide))
+            self.at[w] = row, last
 
     def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the sets can still link."""
         out = np.zeros(len(i), bool)
-        width = np.minimum(self.width[i], self.width[j])
+        alike = 100 * np.minimum(self.sizes[i], self.sizes[j]) >= self.percent * np.maximum(self.sizes[i], self.sizes[j])
+        width = np.where(alike, np.minimum(self.width[i], self.width[j]), 0)
         most = (100 - self.percent) * (self.sizes[i] + self.sizes[j]) // (100 + self.percent)
-        for w, table in self.at.items():
+        for w, (row, table) in self.at.items():
             for part in np.array_split(np.flatnonzero(width == w), len(i) * w // (4 << 20) + 1):
                 if len(part):
-                    out[part] = np.abs(table[i[part]] - table[j[part]]).sum(1) <= most[part]
+                    out[part] = np.abs(table[row[i[part]]] - table[row[j[part]]]).sum(1) <= most[part]
         return out
 
 
@@ -352,18 +352,17 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
             sets = row_shingles(data, offsets, size)
-            values, first = bands.pieces_of(sets)
-            pieces = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pieces, pa.array([profile(s) for s in sets], pa.binary())], ["doc_id", "n", "key", "pieces", "profile"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([profile(s) for s in sets], pa.binary())], ["doc_id", "n", "key", "profile"])
 
-    whole = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, pieces array<long>, profile binary"))
-    described = scratch.table(whole.select("doc_id", "n", "key"))  # outlives the pieces
+    whole = scratch.table(texts.mapInArrow(describe, "doc_id long, n long, key long, profile binary"))
+    described = scratch.table(whole.select("doc_id", "n", "key"))  # outlives the profiles
     linkable = described.where("n > 0 and doc_id is not null")
-    posting = whole.where("n > 0 and doc_id is not null and size(pieces) > 0")
+    posting = whole.where(F.col("doc_id").isNotNull() & (F.col("n") >= max(1, bands.least)))
     classes = scratch.table(linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's postings. Of a piece that very many of its sets post, one and a
+        """A task's postings, from the texts: pieces are made again rather than kept in a
+        table beside the shuffle. Of a piece that very many of its sets post, one and a
         mark, with links from it to the others as pieces that only their two ends
         post: a hot piece travels once per task."""
         schema = pa.schema([("piece", pa.int64()), ("key", pa.int64())])
@@ -386,9 +385,10 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
             mark = np.full(len(marked) + len(link), MARK)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([piece[keep], link, link, marked, link])), pa.array(np.concatenate([key[keep], a, b, mark]))], schema=schema)
 
-        for batch in batches:
-            pieces = batch.column("pieces")
-            held.append((pieces.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column("key").to_numpy(), pieces.value_lengths().to_numpy())))
+        for _, data, offsets in chunks(batches, "text"):
+            sets = row_shingles(data, offsets, size)
+            values, first = bands.pieces_of(sets)
+            held.append((values.view(np.int64), np.repeat(np.array([set_key(s) for s in sets], np.int64), np.diff(first))))
             if sum(len(x[0]) for x in held) > 1 << 20:
                 yield combined()
                 held = []
@@ -444,7 +444,7 @@ def link_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
         yield from forest(links(table) for table in whole_groups(batches, "piece"))
 
-    posted = posting.select("key", "pieces").mapInArrow(post, "piece long, key long").repartition(partitions(spark), "piece").sortWithinPartitions("piece", "key")
+    posted = texts.where("doc_id is not null and text is not null").select("text").mapInArrow(post, "piece long, key long").repartition(partitions(spark), "piece").sortWithinPartitions("piece", "key")
     shared = scratch.table(posted.mapInArrow(share, "piece long, key long"))
     profiles = posting.groupBy("key").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
     compared = shared.join(profiles.hint("merge"), "key", "left").select("piece", "key", "n", "profile")

@@ -88,6 +88,18 @@ def test_profiles_pass_all_linked_sets():
     assert true.sum() >= 6 and ok[true].all() and ok.sum() < len(ok) / 4
 
 
+def test_profiles_tell_long_sets_apart():
+    """Long texts of like sizes that share little can't link, whatever their length; those that link still may."""
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False)) for n in (9000, 9000, 8300, 120_000, 120_000, 40, 40)]
+    sets.append(np.sort(np.concatenate([sets[0][:8200], rng.integers(0, 2**64, 90, np.uint64, endpoint=False)])))  # narrower than sets[0]
+    known = jaccard.Profiles([jaccard.profile(x) for x in sets], np.array([len(x) for x in sets]), 80)
+    i, j = np.triu_indices(len(sets), 1)
+    ok = dict(zip(zip(i.tolist(), j.tolist()), known.close(i, j).tolist()))
+    assert jaccard.linked(sets[0], sets[7], 80) and ok[0, 7]
+    assert [p for p in ok if ok[p]] == [(0, 7)]
+
+
 def test_pieces_that_very_many_sets_post(spark):
     """More copies with a word changed than a task posts one by one, some linked only through each other."""
     base, rows = prose(31, 120).split(), []
