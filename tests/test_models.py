@@ -56,6 +56,22 @@ def test_index_equals_brute_force_and_skips_most_pairs(spark, metric, grouped):
     assert index.n.max() <= 150 and index.n.sum() == 1800
 
 
+def test_boxes_bound_the_blocks_of_few_dimensions(spark):
+    """Groups in parallel planes: the nearest rows of other groups lie no nearer the more rows there are, but fewer blocks come as near."""
+    rng, n = np.random.default_rng(21), 4000
+    x = np.column_stack([rng.integers(0, 12, n) / 5, rng.normal(size=(n, 2)) * 3])
+    x[:200] = x[0]  # equal rows
+    table = spark.createDataFrame([(i, v.tolist(), int(v[0] * 5 + 0.5)) for i, v in enumerate(x)], "id long, vec array<double>, grp int")
+    found, work = pivots.search(pivots.build(table, group="grp", block_rows=50), table.where("id % 10 = 0"), 4, "grp")
+    got = {(r["query_id"], r["rank"]): (r["neighbour_id"], round(r["distance"], 9)) for r in found.collect()}
+    want, of = {}, np.round(x[:, 0] * 5)
+    for i in range(0, n, 10):
+        d = np.where(of == of[i], np.inf, np.sqrt(((x - x[i]) ** 2).sum(1)))
+        want |= {(i, rank): (int(j), round(float(d[j]), 9)) for rank, j in enumerate(np.lexsort((np.arange(n), d))[:4], 1)}
+    assert got == want
+    assert work.first()["n_pairs"] < 9 * n / 10
+
+
 def test_search_of_few_rows_and_none(spark):
     table = vectors(spark, np.array([[0.0, 1.0], [0.0, 2.0], [0.0, 1.0]]))
     index = pivots.build(table)
