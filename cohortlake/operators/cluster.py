@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -261,24 +263,52 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str, by: Sequence[str] = (),
     return done.unionByName(df.where(F.col(p).isNull()).withColumn("fdr", F.lit(None).cast("double")))
 
 
-def _mixture(x: np.ndarray, k: int, rounds: int = 300) -> tuple[float, np.ndarray]:
-    """(BIC, labels) of a 1-D Gaussian mixture by EM from quantile starts."""
-    n = len(x)
-    mean = np.quantile(x, (np.arange(k) + 0.5) / k)
-    var, share, last = np.full(k, x.var() / k + 1e-6), np.full(k, 1 / k), -np.inf
-    for _ in range(rounds):
-        logs = np.log(share) - 0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
-        top = logs.max(1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-        like = total.sum()
-        r = np.exp(logs - total[:, None])
-        weight = r.sum(0) + 1e-12
-        mean, share = (r * x[:, None]).sum(0) / weight, weight / weight.sum()
-        var = (r * (x[:, None] - mean) ** 2).sum(0) / weight + 1e-6
-        if abs(like - last) < 1e-6 * n:
-            break
-        last = like
-    return -2 * like + (3 * k - 1) * math.log(n), r.argmax(1)
+#: Rows and components that are worked on at once; they stay in a core's cache.
+CELLS = 1 << 16
+#: Rows of groups that are fitted together.
+GROUP_ROWS = 100_000
+
+
+def _mixture(x: np.ndarray, count: np.ndarray, mean: np.ndarray, var: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(log likelihood, labels) of 1-D Gaussian mixtures of many groups by EM, a row a group.
+
+    x: distinct values, count: how often each occurs (0: padding), mean: starts
+    of the components, var: their first variance. A group that is done leaves.
+    """
+    groups, k = mean.shape
+    n, like, labels = count.sum(1), np.full(groups, -np.inf), np.zeros(x.shape, np.int32)
+    mean, var, share, live = mean.copy(), np.repeat(var[:, None], k, 1), np.full((groups, k), 1 / k), np.arange(groups)
+    for turn in range(rounds):
+        # components first, so that each sum over values runs along memory
+        logs = x[:, None] - mean[:, :, None]
+        logs *= logs
+        logs *= -0.5 / var[:, :, None]
+        logs += (np.log(share) - 0.5 * np.log(2 * np.pi * var))[:, :, None]
+        top = logs.max(1)
+        logs -= top[:, None]
+        np.exp(logs, out=logs)
+        total = logs.sum(1)
+        now = ((top + np.log(total)) * count).sum(1)
+        done = np.abs(now - like[live]) < 1e-6 * n
+        like[live] = now
+        if turn == rounds - 1:
+            done[:] = True
+        if done.any():
+            at = live[done]
+            labels[at, : x.shape[1]] = logs[done].argmax(1)
+            rest = ~done
+            if not rest.any():
+                break
+            x, count, n, live, logs, total, mean = (v[rest] for v in (x, count, n, live, logs, total, mean))
+        logs *= (count / total)[:, None]
+        weight = logs.sum(2) + 1e-12
+        mean = (logs * x[:, None]).sum(2) / weight
+        share = weight / weight.sum(1, keepdims=True)
+        gap = x[:, None] - mean[:, :, None]
+        gap *= gap
+        gap *= logs
+        var = gap.sum(2) / weight + 1e-6
+    return like, labels
 
 
 def _by_mean(labels: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -286,18 +316,60 @@ def _by_mean(labels: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([order.index(c) + 1 for c in labels])
 
 
-def mixture_labels(x: np.ndarray, least: int = 50, most: int = 6, min_size: int = 10, tolerance: float = 10.0) -> tuple[np.ndarray, str]:
-    """Cluster numbers from the greatest mean down and the method: the simplest mixture within
-    ``tolerance`` of the best BIC whose clusters all have ``min_size``, else quantile bins."""
-    if len(x) < least:
-        return np.zeros(len(x), int), "skipped_too_few"
-    fits = [(*_mixture(x, k), k) for k in range(1, max(1, min(most, len(x) // min_size)) + 1)]
-    valid = [f for f in fits if len(set(f[1].tolist())) == f[2] and np.bincount(f[1]).min() >= min_size]
-    if valid:
-        best = min(f[0] for f in valid)
-        _, labels, k = min((f for f in valid if f[0] <= best + tolerance), key=lambda f: f[2])
-        return _by_mean(labels, x), f"mixture_{k}"
-    return quantile_labels(x, most, min_size)
+def _quantiles(x: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """As ``np.quantile`` of sorted values."""
+    at = shares * (len(x) - 1)
+    low = np.floor(at).astype(int)
+    a, b, t = x[low], x[np.minimum(low + 1, len(x) - 1)], at - low
+    return np.where(t < 0.5, a + (b - a) * t, b - (b - a) * (1 - t))
+
+
+def mixture_labels(x: np.ndarray, **settings: float) -> tuple[np.ndarray, str]:
+    """``group_labels`` of one group."""
+    return group_labels([x], **settings)[0]
+
+
+def group_labels(groups: Sequence[np.ndarray], least: int = 50, most: int = 6, min_size: int = 10, tolerance: float = 10.0) -> list[tuple[np.ndarray, str]]:
+    """For each group, cluster numbers from the greatest mean down and the method: the simplest mixture
+    within ``tolerance`` of the best BIC whose clusters all have ``min_size``, else quantile bins.
+
+    Equal values of a group are one with a count, and groups of like size go
+    through EM together, in arrays of about ``CELLS`` numbers.
+    """
+    out: list[tuple[np.ndarray, str]] = [(np.zeros(len(x), int), "skipped_too_few") for x in groups]
+    some = [i for i, x in enumerate(groups) if len(x) >= least]
+    distinct = {i: np.unique(groups[i], return_inverse=True, return_counts=True) for i in some}
+    some.sort(key=lambda i: len(distinct[i][0]))
+    most_of = {i: max(1, min(most, len(groups[i]) // min_size)) for i in some}
+    fits: dict[int, list[tuple[float, np.ndarray, int]]] = {i: [] for i in some}
+    ordered = {i: np.sort(groups[i]) for i in some}
+    for k in range(1, max(most_of.values(), default=0) + 1):
+        shares = (np.arange(k) + 0.5) / k
+        at = [i for i in some if most_of[i] >= k]
+        while at:
+            last = 1
+            while last < len(at) and (last + 1) * k * len(distinct[at[last]][0]) <= CELLS:
+                last += 1
+            part, at = at[:last], at[last:]
+            x = np.zeros((len(part), len(distinct[part[-1]][0])))
+            count = np.zeros_like(x)
+            for row, i in enumerate(part):
+                u, _, c = distinct[i]
+                x[row, : len(u)], x[row, len(u) :], count[row, : len(u)] = u, u[-1], c
+            starts, var = np.array([_quantiles(ordered[i], shares) for i in part]), np.array([groups[i].var() / k + 1e-6 for i in part])
+            like, labels = _mixture(x, count, starts, var)
+            for row, i in enumerate(part):
+                fits[i].append((-2 * like[row] + (3 * k - 1) * math.log(len(groups[i])), labels[row, : len(distinct[i][0])], k))
+    for i in some:
+        sizes = [np.bincount(f[1], distinct[i][2], f[2]) for f in fits[i]]
+        valid = [f for f, n in zip(fits[i], sizes) if n.min() >= max(1, min_size)]
+        if valid:
+            best = min(f[0] for f in valid)
+            _, labels, k = min((f for f in valid if f[0] <= best + tolerance), key=lambda f: f[2])
+            out[i] = _by_mean(labels[distinct[i][1]], groups[i]), f"mixture_{k}"
+        else:
+            out[i] = quantile_labels(groups[i], most, min_size)
+    return out
 
 
 def quantile_labels(x: np.ndarray, most: int = 6, min_size: int = 10) -> tuple[np.ndarray, str]:
@@ -311,16 +383,30 @@ def quantile_labels(x: np.ndarray, most: int = 6, min_size: int = 10) -> tuple[n
 
 
 def mixtures(df: DataFrame, group: str, key: str, value: str, **settings: float) -> DataFrame:
-    """(group, key, value, cluster, method): one mixture per group, groups in parallel."""
+    """(group, key, value, cluster, method): one mixture per group, many groups of a task at once."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(key)
-        labels, method = mixture_labels(f[value].to_numpy(float), **settings)
-        return f.assign(cluster=labels, method=method)[[group, key, value, "cluster", "method"]]
-
-    known = df.where(F.col(value).isNotNull()).select(group, key, value)
-    return known.groupBy(group).applyInPandas(run, f"`{group}` {fields[group]}, `{key}` {fields[key]}, `{value}` {fields[value]}, cluster int, method string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin = 0
+            ends = np.cumsum(pa.compute.list_value_length(batch.column("_rows")).to_numpy(zero_copy_only=False))
+            while begin < len(batch):  # about GROUP_ROWS rows
+                upto = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + GROUP_ROWS, "right")))
+                part = batch.slice(begin, upto - begin)
+                begin = upto
+                lists = part.column("_rows")
+                sizes, rows = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
+                x = rows.field("x").cast(pa.float64()).to_numpy(zero_copy_only=False)
+                found = group_labels(np.split(x, np.cumsum(sizes)[:-1]), **settings)
+                of = np.repeat(np.arange(len(part)), sizes)
+                columns = [part.column("_group").take(pa.array(of)), rows.field("key"), rows.field("x"), pa.array(np.concatenate([f[0] for f in found]).astype(np.int32)), pa.array([f[1] for f in found]).take(pa.array(of))]
+                yield pa.RecordBatch.from_arrays(columns, [group, key, value, "cluster", "method"])
+
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_group"), F.struct(F.col(key).alias("key"), F.col(value).alias("x")).alias("_row"))
+    # by number: a task's time is in its rounds, so that few bytes are no reason for few tasks
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_group")
+    known = dealt.groupBy("_group").agg(F.collect_list("_row").alias("_rows"))
+    return known.mapInArrow(run, f"`{group}` {fields[group]}, `{key}` {fields[key]}, `{value}` {fields[value]}, cluster int, method string")
 
 
 def cluster_meaning(mean: Column, purity: Column, tolerance: float = 0.08) -> Column:

@@ -218,3 +218,53 @@ def test_quality_rows_of_no_rows_and_null_groups(spark):
     measures = {"n": F.count(F.lit(1)), "most": F.max("x")}
     assert rows(aggregates.quality_rows(df, "g", measures)) == sorted([("global", "ALL", "n", "2"), ("global", "ALL", "most", "2"), ("per_project", "a", "n", "1"), ("per_project", "a", "most", "1"), ("per_project", "NA", "n", "1"), ("per_project", "NA", "most", "2")], key=str)
     assert rows(aggregates.quality_rows(df.limit(0), "g", measures)) == []
+
+
+def test_groups_are_fitted_together_and_equal_values_once(monkeypatch):
+    rng = np.random.default_rng(7)
+    groups = [np.round(rng.normal([0.2, 0.6][i % 2], 0.05, 30 + i) * (1 + i % 3), 2) for i in range(60)] + [np.ones(60), np.zeros(3), np.concatenate([rng.normal(0, 0.1, 80), rng.normal(2, 0.1, 40)])]
+    calls, one = [], cluster._mixture
+
+    def counted(x, *rest):
+        calls.append(x.size)
+        return one(x, *rest)
+
+    monkeypatch.setattr(cluster, "_mixture", counted)
+    got = cluster.group_labels(groups, least=30)
+    assert len(calls) <= 12 and got[60][1] == "mixture_1" and got[61][1] == "skipped_too_few" and got[62][1] == "mixture_2"
+    calls.clear()
+    # alone, and with the values repeated, a group gets the same labels as among others
+    alone = [cluster.group_labels([x], least=30)[0] for x in groups]
+    assert all(a[1] == b[1] and (a[0] == b[0]).all() for a, b in zip(got, alone))
+    calls.clear()
+    many = np.tile(groups[59], 500)
+    cluster.mixture_labels(many)
+    assert max(calls) == len(np.unique(many))
+
+
+def test_mixture_steps_equal_plain_em():
+    """The form that took one group and one number of components at a time."""
+
+    def plain(x, k, rounds=300):
+        mean, var, share, last = np.quantile(x, (np.arange(k) + 0.5) / k), np.full(k, x.var() / k + 1e-6), np.full(k, 1 / k), -np.inf
+        for _ in range(rounds):
+            logs = np.log(share) - 0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
+            total = np.log(np.exp(logs - logs.max(1, keepdims=True)).sum(1)) + logs.max(1)
+            r, like = np.exp(logs - total[:, None]), total.sum()
+            weight = r.sum(0) + 1e-12
+            mean, share = (r * x[:, None]).sum(0) / weight, weight / weight.sum()
+            var = (r * (x[:, None] - mean) ** 2).sum(0) / weight + 1e-6
+            if abs(like - last) < 1e-6 * len(x):
+                break
+            last = like
+        return like, r.argmax(1)
+
+    rng = np.random.default_rng(2)
+    for n in (12, 57, 400):
+        x = np.round(rng.exponential(50, n), 0 if n == 400 else 2)
+        u, place, count = np.unique(x, return_inverse=True, return_counts=True)
+        padded, counts = np.append(u, [u[-1]] * 5)[None], np.append(count, [0] * 5)[None].astype(float)
+        for k in (1, 2, 5):
+            like, labels = cluster._mixture(padded, counts, cluster._quantiles(np.sort(x), (np.arange(k) + 0.5) / k)[None], np.array([x.var() / k + 1e-6]))
+            want = plain(x, k)
+            assert np.isclose(like[0], want[0], rtol=1e-9) and (labels[0][place] == want[1]).all()
