@@ -492,3 +492,26 @@ def test_stages_on_empty_and_clashing_tables(spark, tmp_path):
         assert now.count() == (3 if given else 0)
         packed = corpus_pipeline.pack(spark, now, "").collect()
         assert len(packed) == (3 if given else 0)
+
+
+def test_long_texts_reach_tasks_in_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from cohortlake.llm import common, suffix_dedup
+
+    docs = spark.range(3000).repartition(1).selectExpr("id AS doc_id", "concat(repeat(sha2(cast(id AS string), 256), 80), repeat(sha2('a' || id % 40, 512), 80)) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["b"])
+
+    common.Scratch(spark, "batches")
+    got = [r["b"] for r in docs.mapInArrow(sizes, "b long").collect()]
+    assert max(got) < 6 << 20 and sum(got) > 40 << 20
+    # how texts are dealt to batches and blocks changes nothing
+    few = docs.where("doc_id < 90")
+    cut = lambda: sorted(map(tuple, suffix_dedup.remove_repeats(few, common.Scratch(spark, "batches")).collect()))
+    want = cut()
+    monkeypatch.setattr(common, "BATCH_BYTES", "64k")
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 14)
+    assert cut() == want and all(r[2] for r in want)
