@@ -13,6 +13,7 @@ the probabilities of all words and of one unseen word per class sum to one.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,10 +34,12 @@ CLASSES = FREQUENT + RARE
 START = VOCAB + RARE
 #: Rounds of gradient steps, each on its own share of the training texts; together on all.
 ROUNDS = 4
-WINDOW, LANES, RATE = 20, 128, 0.015
-SCORE_WINDOW, SCORE_LANES = 48, 512
+WINDOW, LANES, RATE = 20, 256, 0.02
+SCORE_WINDOW, SCORE_LANES = 64, 256
 #: Rows whose softmax is taken at once.
-ROWS = 1024
+ROWS = 512
+#: Numbers of a parameter that a step works on at once.
+BLOCK = 1 << 13
 BLOCK_BYTES = 24 << 20
 #: Copies of a parameter that one task adds up.
 FAN = 16
@@ -69,12 +72,34 @@ class Counts:
     rare: np.ndarray = field(repr=False)  # sum of (count + 1) by rare class, and one more for the unseen
 
 
+class Places:
+    """Where hashes stand among sorted distinct ones: found by their first bits, then
+    one by one, of which there are few, as hashes are spread evenly."""
+
+    def __init__(self, among: np.ndarray):
+        bits = (4 * len(among) + 255).bit_length()
+        self.among, self.shift = among, _U(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((among >> self.shift).view(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it is not there."""
+        lead = (hashes >> self.shift).view(np.int64)
+        at = np.full(len(hashes), -1, np.int64)
+        left = np.flatnonzero(self.first[lead] < self.first[1:][lead])
+        place, end = self.first[lead[left]], self.first[1:][lead[left]]
+        while len(left):
+            same = self.among[place] == hashes[left]
+            at[left[same]] = place[same]
+            more = ~same & (place + 1 < end)
+            left, place, end = left[more], place[more] + 1, end[more]
+        return at
+
+
 def model_words(counts: Counts, hashes: np.ndarray) -> np.ndarray:
     """Model word of each hash, -1 for rare ones."""
-    if not len(counts.vocab):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(counts.vocab, hashes), len(counts.vocab) - 1)
-    return np.where(counts.vocab[at] == hashes, counts.slot[at], -1)
+    at = Places(counts.vocab).of(hashes)
+    return np.append(counts.slot, -1)[at]
 
 
 class Network:
@@ -95,43 +120,104 @@ class Network:
         inside = np.log(counts.seen.reshape(FREQUENT, CLASS_WORDS) + 0.01)
         return cls({"embed": draw(START + 1, h), "wx": draw(h, 3 * h), "uh": draw(h, 2 * h), "un": draw(h, h), "b": np.concatenate([np.full(h, -1.0), np.zeros(2 * h)]).astype(np.float32), "wc": draw(h, CLASSES) * 0.1, "bc": np.log(share / share.sum()).astype(np.float32), "wo": draw(FREQUENT, h, CLASS_WORDS) * 0.1, "bo": (inside - np.log(np.exp(inside).sum(1, keepdims=True))).astype(np.float32)})
 
-    def inputs(self) -> np.ndarray:
-        return self.p["embed"] @ self.p["wx"] + self.p["b"]
+    def gated(self) -> tuple[np.ndarray, ...]:
+        """Weights of the input and of the state, and bias, as the steps take them: by
+        unit, those of the two gates negated, so that a gate is 1 / (1 + exp(.))."""
+        sign = np.ones((3 * HIDDEN, 1), self.p["b"].dtype)
+        sign[: 2 * HIDDEN] = -1
+        return self.p["wx"].T * sign, -self.p["uh"].T, np.ascontiguousarray(self.p["un"].T), self.p["b"][:, None] * sign
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """x: input part of the gates. Returns the new state, gates and candidate."""
-        k = HIDDEN
-        g = 1 / (1 + np.exp(-(x[:, : 2 * k] + h @ self.p["uh"])))
-        z, r = g[:, :k], g[:, k:]
-        n = np.tanh(x[:, 2 * k :] + (r * h) @ self.p["un"])
-        return h + z * (n - h), z, r, n
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and of each class's words, the bias as a last row."""
+        return np.concatenate([self.p["wc"], self.p["bc"][None]]), np.concatenate([self.p["wo"], self.p["bo"][:, None]], 1)
 
     def log_probs(self, h: np.ndarray, kind: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Natural log of P(class | h), times P(word | class, h) for model words (inside >= 0).
-        Rows go in blocks through one small array."""
-        wide = np.empty((ROWS, max(CLASSES, CLASS_WORDS)), self.p["wc"].dtype)
-
-        def of_true(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, truth: np.ndarray) -> np.ndarray:
-            logits = np.matmul(rows, weights, out=wide[: len(rows), : weights.shape[1]])
-            logits += bias
-            logits -= logits.max(1, keepdims=True)
-            true = logits[np.arange(len(rows)), truth]
+        Rows go in blocks, by class, through one small array."""
+        classes, within = self.outputs()
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
+        kind, inside = kind[order], inside[order]
+        rows = np.ones((len(h), HIDDEN + 1), classes.dtype)
+        np.take(h, order, axis=0, out=rows[:, :HIDDEN], mode="clip")
+        wide, one = np.empty((ROWS, max(CLASSES, CLASS_WORDS)), classes.dtype), np.ones(max(CLASSES, CLASS_WORDS), classes.dtype)
+        least, at = max(1.0, float(np.abs(rows).max(initial=0))), np.arange(ROWS)
+        plain = bounded(classes, least), bounded(within, least)
+        true, sums = np.empty(len(h), classes.dtype), np.empty(len(h), classes.dtype)
+
+        def of_true(lo: int, hi: int, weights: np.ndarray, truth: np.ndarray, plain: bool) -> None:
+            logits = np.matmul(rows[lo:hi], weights, out=wide[: hi - lo, : weights.shape[1]])
+            if not plain:
+                logits -= logits.max(1, keepdims=True)
+            true[lo:hi] = logits[at[: hi - lo], truth[lo:hi]]
             np.exp(logits, out=logits)
-            return true - np.log(logits.sum(1))
+            np.matmul(logits, one[: weights.shape[1]], out=sums[lo:hi])
 
-        out = np.empty(len(h), wide.dtype)
         for lo in range(0, len(h), ROWS):
-            out[lo : lo + ROWS] = of_true(h[lo : lo + ROWS], self.p["wc"], self.p["bc"], kind[lo : lo + ROWS])
-        at = np.flatnonzero(inside >= 0)
-        order = at[np.argsort(kind[at], kind="stable")]
-        cut = np.searchsorted(kind[order], np.arange(FREQUENT + 1))
+            of_true(lo, min(lo + ROWS, len(h)), classes, kind, plain[0])
+        out = np.empty_like(true)
+        out[order] = true - np.log(sums)
+        cut = np.searchsorted(kind, np.arange(FREQUENT + 1)).tolist()
         for c in range(FREQUENT):
             for lo in range(cut[c], cut[c + 1], ROWS):
-                rows = order[lo : min(lo + ROWS, cut[c + 1])]
-                out[rows] += of_true(h[rows], self.p["wo"][c], self.p["bo"][c], inside[rows])
+                of_true(lo, min(lo + ROWS, cut[c + 1]), within[c], inside, plain[1])
+        out[order[: cut[-1]]] += (true - np.log(sums))[: cut[-1]]
         return out
 
 
+def bounded(weights: np.ndarray, least: float = 1.0) -> bool:
+    """Whether no logit of rows within ``least`` can leave the range of exp, so that the
+    softmax needs no row's maximum."""
+    return float(np.abs(weights).sum(-2).max()) * least < 60
+
+
+class Recurrence:
+    """The unit's steps over windows: arrays lie by step, unit and lane, so that what a
+    step works on is of one piece. Work arrays last: fresh memory for each window would
+    cost more than the arithmetic."""
+
+    def __init__(self, net: Network):
+        self.net, self.work = net, {}
+
+    def take(self, name: str, *shape: int) -> np.ndarray:
+        """A work array by name; its contents are left from the last use."""
+        size = math.prod(shape)
+        if name not in self.work or len(self.work[name]) < size:
+            self.work[name] = np.empty(size, self.net.p["embed"].dtype)
+        return self.work[name][:size].reshape(shape)
+
+    def forward(self, source: np.ndarray, start: np.ndarray, h: np.ndarray, weights: tuple[np.ndarray, ...]) -> np.ndarray:
+        """States after each step (step, unit, lane) from the one carried in (unit, lane).
+        Leaves the inputs, the states before, the gates and the candidates in ``work``.
+        source: input id by step and lane; start: where a text begins; weights: ``gated``."""
+        (steps, width), k = source.shape, HIDDEN
+        wx, uh, un, b = weights
+        x = np.take(self.net.p["embed"], source.ravel(), axis=0, out=self.take("x", steps * width, k), mode="clip")
+        gates = np.matmul(wx, x.reshape(steps, width, k).transpose(0, 2, 1), out=self.take("gates", steps, 3 * k, width))
+        gates += b
+        before, rh, after = (self.take(n, steps, k, width) for n in ("before", "rh", "after"))
+        two, one = self.take("two", 2 * k, width), self.take("one", k, width)
+        begins = start.any(1).tolist()
+        for t in range(steps):
+            old, r, new = before[t], rh[t], after[t]
+            if begins[t]:
+                np.multiply(h, ~start[t], out=old)
+            else:
+                old[:] = h
+            g, n = gates[t, : 2 * k], gates[t, 2 * k :]
+            g += np.matmul(uh, old, out=two)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.multiply(g[k:], old, out=r)
+            n += np.matmul(un, r, out=one)
+            np.tanh(n, out=n)
+            np.subtract(n, old, out=new)
+            new *= g[:k]
+            new += old
+            h = new
+        return after
+
+
 def lanes(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts dealt to at most ``width`` lanes of even length: a matrix of token
     indices by step and lane (-1 past a lane's end), longest lane first, and
@@ -177,32 +263,21 @@ def encoded(counts: Counts, hashes: np.ndarray, kinds: np.ndarray) -> tuple[np.n
     return np.where(known, word, VOCAB + kinds), np.where(known, word // CLASS_WORDS, FREQUENT + kinds), np.where(known, word % CLASS_WORDS, -1)
 
 
-class Learner:
-    """Gradients and steps of one task. Its moments and work arrays last as
-    long as the task learns: fresh memory for each window would cost more than
-    the arithmetic."""
+class Learner(Recurrence):
+    """Gradients and steps of one task. Its moments last as long as the task learns."""
 
     def __init__(self, net: Network):
-        self.net, self.turn = net, 0
+        super().__init__(net)
+        self.turn = 0
         self.moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in net.p.items()}
         self.grad = {n: np.zeros_like(v) for n, v in net.p.items()}
-        self.work: dict[str, np.ndarray] = {}
 
-    def take(self, name: str, *shape: int) -> np.ndarray:
-        """A work array by name; its contents are left from the last use."""
-        size = int(np.prod(shape))
-        if name not in self.work or len(self.work[name]) < size:
-            self.work[name] = np.empty(size, self.net.p["embed"].dtype)
-        return self.work[name][:size].reshape(shape)
-
-    def product(self, name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.matmul(a, b, out=self.take(name, len(a), b.shape[1]))
-
-    def shares_less_one(self, logits: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    def shares_less_one(self, logits: np.ndarray, truth: np.ndarray, plain: bool) -> np.ndarray:
         """In place: the softmax of each row, less one at its true place."""
-        logits -= logits.max(1, keepdims=True)  # rows may be none, columns never
+        if not plain:
+            logits -= logits.max(1, keepdims=True)  # rows may be none, columns never
         np.exp(logits, out=logits)
-        logits *= 1 / logits.sum(1, keepdims=True)
+        logits *= (1 / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
         logits[np.arange(len(logits)), truth] -= 1
         return logits
 
@@ -211,117 +286,121 @@ class Learner:
 
         at: token indices by step and lane, -1 past a lane's end (such places
         take no part in the loss); start: where a text begins; h: the state
-        carried in, through which no gradient flows. What depends on the
-        inputs alone is done for the window at once, the steps do the rest.
+        carried in by lane, through which no gradient flows. What depends on
+        the inputs alone is done for the window at once, the steps do the rest.
         """
         p, grad, k = self.net.p, self.grad, HIDDEN
         steps, width = at.shape
         size = steps * width
-        source = np.where(start, START, ids[np.maximum(at - 1, 0)]).ravel()
-        keep = (~start[:, :, None]).astype(h.dtype)
-        x = np.take(p["embed"], source, axis=0, out=self.take("x", size, k), mode="clip")
-        gates = self.product("gates", x, p["wx"])
-        gates += p["b"]
-        gates = gates.reshape(steps, width, 3 * k)
-        before, rh, after = (self.take(n, steps, width, k) for n in ("before", "rh", "after"))
-        for t in range(steps):
-            np.multiply(h, keep[t], out=before[t])
-            g = gates[t, :, : 2 * k]
-            g += before[t] @ p["uh"]
-            np.negative(g, out=g)
-            np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            np.multiply(g[:, k:], before[t], out=rh[t])
-            n = gates[t, :, 2 * k :]
-            n += rh[t] @ p["un"]
-            np.tanh(n, out=n)
-            h = after[t]
-            np.subtract(n, before[t], out=h)
-            h *= g[:, :k]
-            h += before[t]
-        live = np.flatnonzero(at.ravel() >= 0)
-        order = live[np.argsort(kind[at.ravel()[live]], kind="stable")]  # by class
-        flat = at.ravel()[order]
-        states = np.take(after.reshape(size, k), order, axis=0, out=self.take("states", len(order), k), mode="clip")
-        e = self.product("e", states, p["wc"])
-        e += p["bc"]
-        e = self.shares_less_one(e, kind[flat])
-        np.matmul(states.T, e, out=grad["wc"])
-        np.sum(e, 0, out=grad["bc"])
-        ds = self.product("ds", e, p["wc"].T)
-        cut = np.searchsorted(kind[flat], np.arange(FREQUENT + 1)).tolist()
+        source = np.where(start, START, ids[np.maximum(at - 1, 0)])
+        after = self.forward(source, start, h.T, self.net.gated())
+        x, before, gates, rh = self.take("x", steps, width, k), self.take("before", steps, k, width), self.take("gates", steps, 3 * k, width), self.take("rh", steps, k, width)
+
+        flat = at.ravel()
+        live = np.flatnonzero(flat >= 0)
+        order = live[np.argsort(kind[flat[live]].astype(np.uint8), kind="stable")]  # by class
+        flat = flat[order]
+        truth = kind[flat]
+        by_lane = self.take("by_lane", steps, width, k)
+        by_lane[:] = after.transpose(0, 2, 1)
+        states = self.take("states", len(order), k + 1)  # and one, for the bias
+        states[:, :k] = np.take(by_lane.reshape(size, k), order, axis=0, out=self.take("ordered", len(order), k), mode="clip")
+        states[:, k] = 1
+        classes, within = self.net.outputs()
+        e = np.matmul(states, classes, out=self.take("e", len(order), CLASSES))
+        e = self.shares_less_one(e, truth, bounded(classes))
+        both = states.T @ e
+        grad["wc"][:], grad["bc"][:] = both[:k], both[k]
+        ds = np.matmul(e, p["wc"].T, out=self.take("ds", len(order), k))
+        cut = np.searchsorted(truth, np.arange(FREQUENT + 1)).tolist()
         some = [(c, lo, hi) for c, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi]
-        q = np.take(p["bo"], np.minimum(kind[flat[: cut[-1]]], FREQUENT - 1), axis=0, out=self.take("q", cut[-1], CLASS_WORDS), mode="clip")
+        q = self.take("q", cut[-1], CLASS_WORDS)
         for c, lo, hi in some:
-            q[lo:hi] += states[lo:hi] @ p["wo"][c]
-        q = self.shares_less_one(q, inside[flat[: cut[-1]]])
+            np.matmul(states[lo:hi], within[c], out=q[lo:hi])
+        q = self.shares_less_one(q, inside[flat[: cut[-1]]], bounded(within))
         grad["wo"][:], grad["bo"][:] = 0, 0
+        low = self.take("low", cut[-1], k)
         for c, lo, hi in some:
-            np.matmul(states[lo:hi].T, q[lo:hi], out=grad["wo"][c])
-            ds[lo:hi] += q[lo:hi] @ p["wo"][c].T
-        if some:
-            grad["bo"][[c for c, _, _ in some]] = np.add.reduceat(q, [lo for _, lo, _ in some])
-        dh_all = self.take("dh", size, k)
+            both = states[lo:hi].T @ q[lo:hi]
+            grad["wo"][c], grad["bo"][c] = both[:k], both[k]
+            np.matmul(q[lo:hi], p["wo"][c].T, out=low[lo:hi])
+        ds[: cut[-1]] += low
         if len(order) < size:
-            dh_all[:] = 0
-        dh_all[order] = ds
-        dh_all = dh_all.reshape(steps, width, k)
-        dg = self.take("dg", steps, width, 3 * k)
-        dh_next = np.zeros((width, k), h.dtype)
+            by_lane[:] = 0
+        by_lane.reshape(size, k)[order] = ds
+        dh_all = self.take("dh", steps, k, width)
+        dh_all[:] = by_lane.transpose(0, 2, 1)
+
+        z, r, n = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :]
+        dg = self.take("dg", steps, 3 * k, width)
+        dz, dr, dn = dg[:, :k], dg[:, k : 2 * k], dg[:, 2 * k :]
+        less = np.subtract(1, z, out=self.take("less", steps, k, width))
+        np.subtract(n, before, out=dz)
+        dz *= less
+        dz *= z
+        np.subtract(1, r, out=dr)
+        dr *= rh
+        np.multiply(n, n, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= z
+        uh, un = p["uh"], p["un"]
+        dh_next, one = np.zeros((k, width), h.dtype), self.take("one", k, width)
+        begins = start.any(1).tolist()
         for t in range(steps - 1, -1, -1):
-            dh, old = dh_all[t], before[t]
-            z, r, n = gates[t, :, :k], gates[t, :, k : 2 * k], gates[t, :, 2 * k :]
+            dh, g = dh_all[t], dg[t]
             dh += dh_next
-            kept = dh * z
-            dn = np.multiply(kept, 1 - n * n, out=dg[t, :, 2 * k :])
-            drh = dn @ p["un"].T
-            np.multiply(kept * (n - old), 1 - z, out=dg[t, :, :k])
-            drh *= r
-            np.multiply(drh * old, 1 - r, out=dg[t, :, k : 2 * k])
-            dh_next = dg[t, :, : 2 * k] @ p["uh"].T
-            dh_next += drh
+            g[2 * k :] *= dh
+            g[:k] *= dh
+            np.matmul(un, g[2 * k :], out=one)
+            g[k : 2 * k] *= one
+            np.matmul(uh, g[: 2 * k], out=dh_next)
+            one *= gates[t, k : 2 * k]
+            dh_next += one
+            dh *= less[t]
             dh_next += dh
-            dh_next -= kept
-            dh_next *= keep[t]
-        dg = dg.reshape(size, 3 * k)
-        np.matmul(rh.reshape(size, k).T, dg[:, 2 * k :], out=grad["un"])
-        np.matmul(before.reshape(size, k).T, dg[:, : 2 * k], out=grad["uh"])
-        np.matmul(x.T, dg, out=grad["wx"])
-        np.sum(dg, 0, out=grad["b"])
-        by = np.argsort(source, kind="stable")
-        run = np.flatnonzero(np.diff(source[by], prepend=-1))
+            if begins[t]:
+                dh_next *= ~start[t]
+        over = lambda a, b: np.matmul(a, b.transpose(0, 2, 1)).sum(0)
+        grad["un"][:] = over(rh, dn)
+        grad["uh"][:] = over(before, dg[:, : 2 * k])
+        grad["wx"][:] = np.matmul(dg, x).sum(0).T
+        grad["b"][:] = dg.sum((0, 2))
+        np.matmul(dg.transpose(0, 2, 1), p["wx"].T, out=by_lane)
+        by = np.argsort(source.astype(np.uint16).ravel(), kind="stable")
+        source = source.ravel()[by]
+        run = np.flatnonzero(np.diff(source, prepend=-1))
         grad["embed"][:] = 0
-        dx = np.take(self.product("dx", dg, p["wx"].T), by, axis=0, out=self.take("sorted", size, k), mode="clip")
-        grad["embed"][source[by][run]] = np.add.reduceat(dx, run)
-        return h.copy()
+        dx = np.take(by_lane.reshape(size, k), by, axis=0, out=self.take("sorted", size, k), mode="clip")
+        grad["embed"][source[run]] = np.add.reduceat(dx, run)
+        return after[-1].T.copy()
 
     def step(self, count: int) -> None:
-        """One step of Adam along the mean gradient, cut to unit length. Moments
-        too small to matter are zeroed: denormal numbers are very slow."""
+        """One step of Adam along the mean gradient, cut to unit length, in blocks that
+        stay near. Moments too small to matter are zeroed: denormal numbers are very slow."""
         self.turn += 1
         size = float(np.sqrt(sum(float(np.vdot(g, g)) for g in self.grad.values()))) / count
         scale = min(1.0, 1.0 / max(size, 1e-9)) / count
-        rate, left = RATE / (1 - 0.9**self.turn), 1 - 0.99**self.turn
-        for name, g in self.grad.items():
-            one, two = self.moments[name]
-            part = self.take("part", *g.shape)
-            g *= scale
-            one *= 0.9
-            one += np.multiply(g, 0.1, out=part)
-            g *= g
-            g *= 0.01
-            two *= 0.99
-            two += g
-            if self.turn % 64 == 0:
-                one[np.abs(one) < 1e-20] = 0
-                two[two < 1e-30] = 0
-            np.multiply(two, 1 / left, out=part)
-            np.sqrt(part, out=part)
-            part += 1e-6
-            np.divide(one, part, out=part)
-            part *= rate
-            self.net.p[name] -= part
+        left = math.sqrt(1 - 0.99**self.turn)
+        rate = RATE / (1 - 0.9**self.turn) * left
+        part = self.take("part", BLOCK)
+        for name, all_g in self.grad.items():
+            whole = [v.reshape(-1) for v in (all_g, *self.moments[name], self.net.p[name])]
+            for lo in range(0, len(whole[0]), BLOCK):
+                g, one, two, value = (v[lo : lo + BLOCK] for v in whole)
+                a = np.multiply(g, 0.1 * scale, out=part[: len(g)])
+                one *= 0.9
+                one += a
+                a *= a  # a hundredth of the gradient's square
+                two *= 0.99
+                two += a
+                if self.turn % 64 == 0:
+                    one[np.abs(one) < 1e-20] = 0
+                    two[two < 1e-30] = 0
+                np.sqrt(two, out=a)
+                a += 1e-6 * left
+                np.divide(one, a, out=a)
+                a *= rate
+                value -= a
 
     def train(self, ids: np.ndarray, kind: np.ndarray, inside: np.ndarray, first: np.ndarray) -> int:
         """Truncated backpropagation over all windows of the texts; returns the tokens used."""
@@ -343,23 +422,16 @@ def score(net: Network, ids: np.ndarray, kind: np.ndarray, inside: np.ndarray, f
     """Natural log probability of each token (of a rare word: of its class), state carried over whole texts."""
     out = np.zeros(len(ids), np.float64)
     index, begins = lanes(first, SCORE_LANES)
-    live_all = (index >= 0).sum(1)
-    table = net.inputs()
-    h = np.zeros((index.shape[1], HIDDEN), np.float32)
+    unit, weights = Recurrence(net), net.gated()
+    h = np.zeros((HIDDEN, index.shape[1]), net.p["embed"].dtype)
     for t0 in range(0, len(index), SCORE_WINDOW):
-        states, places = [], []
-        for t in range(t0, min(t0 + SCORE_WINDOW, len(index))):
-            a = live_all[t]
-            at, start = index[t, :a], begins[t, :a]
-            before = h[:a]
-            if start.any():
-                before = np.where(start[:, None], 0, before).astype(np.float32)
-            source = np.where(start, START, ids[np.maximum(at - 1, 0)])
-            h = net.step(table[source], before)[0]
-            states.append(h)
-            places.append(at)
-        flat = np.concatenate(places)
-        out[flat] = net.log_probs(np.concatenate(states), kind[flat], inside[flat])
+        width = int((index[t0] >= 0).sum())  # the longest lanes come first
+        at, start = index[t0 : t0 + SCORE_WINDOW, :width], begins[t0 : t0 + SCORE_WINDOW, :width]
+        after = unit.forward(np.where(start, START, ids[np.maximum(at - 1, 0)]), start, h[:, :width], weights)
+        h = after[-1].copy()
+        live = at >= 0
+        flat = at[live]
+        out[flat] = net.log_probs(after.transpose(0, 2, 1)[live], kind[flat], inside[flat])
     return out
 
 
@@ -518,12 +590,12 @@ def score_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
         h, c = h[order], c[order].astype(np.float64)
         floor = np.log10(counts.total + counts.distinct + 1.0)
         base_of = np.log10(c + 1) - floor
-        word_of = model_words(counts, h)
+        word_of, places = model_words(counts, h), Places(h)
         rare_log = np.log10(counts.rare)
         known, base, model, sizes = [], [], [], []
         for _, data, offsets in chunks(iter(left.combine_chunks().to_batches()), "text", 6 << 20):
             hashes, kinds, first = tokens(data, offsets)
-            at = np.searchsorted(h, hashes)
+            at = places.of(hashes)
             word = word_of[at]
             is_known = word >= 0
             kinds = kinds.astype(np.int64)

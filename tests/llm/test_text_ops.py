@@ -385,6 +385,32 @@ def test_gradients_equal_differences():
             assert got[i] == pytest.approx((ends[0] - ends[1]) / 2e-3, abs=1e-3, rel=1e-3), name
 
 
+def test_places_of_hashes():
+    rng = np.random.default_rng(3)
+    for among in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.arange(600, dtype=np.uint64), np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))):  # the third all with the same first bits
+        asked = np.concatenate([among, among[::3] + np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64)])
+        where = {int(h): i for i, h in enumerate(among)}
+        assert recurrent_lm.Places(among).of(asked).tolist() == [where.get(int(h), -1) for h in asked]
+
+
+def test_scores_of_logits_beyond_exp():
+    rng = np.random.default_rng(2)
+    counts = recurrent_lm.Counts(90, 40, np.arange(30, dtype=np.uint64), np.arange(30) * 37, np.bincount(np.arange(30) * 37, minlength=recurrent_lm.VOCAB) * 3, np.ones(recurrent_lm.RARE))
+    net = recurrent_lm.Network.start(counts)
+    net.p["wc"] *= 4000
+    net.p["wo"] *= 400
+    assert not any(recurrent_lm.bounded(w) for w in net.outputs())
+    enc = recurrent_lm.encoded(counts, rng.integers(0, 40, 90).astype(np.uint64), rng.integers(0, recurrent_lm.RARE, 90).astype(np.uint8))
+    first = np.array([0, 13, 90])
+    near = recurrent_lm.score(net, *enc, first)
+    net.p = {n: v.astype(float) for n, v in net.p.items()}
+    assert np.isfinite(near).all() and near == pytest.approx(recurrent_lm.score(net, *enc, first), rel=1e-3, abs=1e-2)
+    index, begins = recurrent_lm.even_lanes(first, 3)
+    learner = recurrent_lm.Learner(net)
+    learner.gradients(*enc, index, begins, np.zeros((index.shape[1], recurrent_lm.HIDDEN)))
+    assert all(np.isfinite(g).all() for g in learner.grad.values())
+
+
 def test_even_lanes_hold_every_token_once():
     for sizes in ([5], [3, 0, 4000, 1, 900], [0, 0], [], [100_000, 1]):
         first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
