@@ -26,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole_groups
+from . import words as W
+from .common import Scratch, chunks, whole_groups
 
 #: A term: letters of ASCII, lower-cased, and every byte of a longer character.
 TERM, _GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
-#: Entries that a task counts before it hands them on; bytes of a text split at once.
-ENTRIES, SLICE = 300_000, 1 << 20
+#: Entries that a task gathers before it adds them up, rows of a batch it hands on; bytes of text split at once.
+ENTRIES, ROWS, SLICE = 1 << 20, 1 << 13, 1 << 20
+_LAST = 0xFFFFFFFF
+#: Terms, and entries of (place of the term, group, occurrences, documents).
+Part = tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 #: Terms in at most so many groups are corrected pair by pair; groups and terms of a tile.
 LIGHT, GROUPS, TERMS = 8, 128, 2048
 
@@ -47,48 +51,83 @@ def _words(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
+def _counted(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> Part:
+    """Entries of some texts: for each term and group, its occurrences and the texts that hold it."""
+    if len(data) > SLICE:  # one long text
+        n: Counter = Counter()
+        for words in _words(data.tobytes()):
+            n.update(words)
+        return pa.array(list(n), pa.binary()), np.arange(len(n)), np.repeat(group, len(n)), np.fromiter(n.values(), np.int64, len(n)), np.ones(len(n), np.int64)
+    data = W.LOWER[data]
+    starts, ends, first = W.split(data, offsets, W.LETTER)
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[W.LETTER[data]])]).dictionary_encode()
+    row = np.repeat(np.arange(len(group)), np.diff(first))
+    held, n = np.unique((row << 32) + terms.indices.to_numpy(), return_counts=True)
+    key, n, docs = _summed(((held & _LAST) << 32) + group[held >> 32], n, np.ones(len(held), np.int64))
+    return terms.dictionary, key >> 32, key & _LAST, n, docs
+
+
+def _summed(keys: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    if not len(first):
+        return keys, n, docs
+    return keys[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
+
+
+def _merged(parts: list[Part]) -> Part:
+    """The parts' entries, equal ones added up, by term and group."""
+    terms = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    at = terms.indices.to_numpy()
+    ids = np.concatenate([at[p[1] + b] for p, b in zip(parts, base)]).astype(np.int64)
+    group, n, docs = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+    key, n, docs = _summed((ids << 32) + group, n, docs)
+    return terms.dictionary, key >> 32, key & _LAST, n, docs
+
+
+def _by_term(part: Part, names: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, term, uses) of a part; names: the groups."""
+    terms, ids, group, n, docs = part
+    langs = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in names}))}
+    key = (ids << 32) + np.array([langs[lang] for lang, _ in names], np.int64)[group]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    source = pa.array([source for _, source in names], pa.string()).take(pa.array(group[order]))
+    uses = pa.StructArray.from_arrays([source, pa.array(n[order]), pa.array(docs[order])], ["source", "n", "docs"])
+    uses = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), uses)
+    lang = pa.array(list(langs), pa.string()).take(pa.array(key[first] & _LAST))
+    rows = pa.RecordBatch.from_arrays([lang, terms.take(pa.array(key[first] >> 32)).cast(pa.string()), uses], ["lang", "term", "uses"])
+    for lo in range(0, len(rows), ROWS):
+        yield rows.slice(lo, ROWS)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): partial counts of each group's terms and of the
-    documents that hold them, to be added up. Null text, lang and source read as ''.
-    Every group also gives the empty term with zeros, so that groups without terms are seen."""
+    """(lang, term, uses): partial counts of each term by source and of the documents
+    that hold it, to be added up. Null text, lang and source read as ''. Every
+    group also gives the empty term with zeros, so that groups without terms are seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses: dict[tuple[str, str], Counter] = {}
-        holds: dict[tuple[str, str], Counter] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), n in uses.items():
-                held = holds[lang, source]
-                terms = list(n)
-                for i in range(0, len(terms), 1 << 16):
-                    part = terms[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[t] for t in part], pa.int64()), pa.array([held[t] for t in part], pa.int64())],
-                        ["lang", "source", "term", "n", "docs"],
-                    )
-            uses.clear()
-            holds.clear()
-
-        entries = 0
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for text, lang, source in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
-                key = (lang or "", source or "")
-                if key not in uses:
-                    uses[key], holds[key] = Counter({b"": 0}), Counter()
-                    entries += 1
-                n, before, seen = uses[key], len(uses[key]), set()
-                for words in _words(text.as_py() or b""):
-                    n.update(words)
-                    seen.update(words)
-                holds[key].update(seen)
-                entries += len(n) - before
-                if entries > ENTRIES:
-                    yield from flush()
-                    entries = 0
-        yield from flush()
-
-    return docs.select("text", "lang", "source").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+        groups: dict[tuple[str, str], int] = {}
+        parts: list[Part] = []
+        for rows, data, offsets in chunks(batches, "text", SLICE):
+            known, names = len(groups), zip(*(rows.column(c).fill_null("").to_pylist() for c in ("lang", "source")))
+            parts.append(_counted(data, offsets, np.array([groups.setdefault(name, len(groups)) for name in names], np.int64)))
+            if len(groups) > known:
+                none = np.zeros(len(groups) - known, np.int64)
+                parts.append((pa.array([b""], pa.binary()), none, np.arange(known, len(groups)), none, none))
+            if sum(len(p[1]) for p in parts) > ENTRIES:
+                parts = [_merged(parts)]
+                if len(parts[0][1]) > ENTRIES // 2:
+                    yield from _by_term(parts.pop(), list(groups))
+        if parts:
+            yield from _by_term(_merged(parts), list(groups))
+
+    return docs.select("text", "lang", "source").mapInArrow(run, "lang string, term string, uses array<struct<source: string, n: long, docs: long>>")
 
 
 def rate(count: Column, total: Column) -> Column:
@@ -210,7 +249,9 @@ def audit(docs: DataFrame, scratch: Scratch, least: int = 3, top: int = 200, lig
     Other columns of ``docs`` are not read.
     """
     by_term = Window.partitionBy("lang", "term")
-    counts = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt by term once: the sums by source and the windows need no other exchange
+    entries = term_counts(docs).repartition("lang", "term").select("lang", "term", F.inline("uses"))
+    counts = entries.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     whole = {"held": F.sum("docs").over(by_term), "all": F.sum("n").over(by_term), "groups": F.count(F.lit(1)).over(by_term), "nth": F.row_number().over(by_term.orderBy("source"))}
     kept = scratch.table(counts.withColumns(whole).where((F.col("held") >= least) | (F.col("term") == "")).drop("docs", "held"))
 

@@ -3,8 +3,10 @@
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortlake.llm import divergence
@@ -75,6 +77,36 @@ def test_long_texts_and_no_rows(spark, monkeypatch):
     assert divergence.audit(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).count() == 0
 
 
+def test_a_task_gives_each_term_once(spark):
+    rows = [(t, lang, source) for t in ("one Two two", "two é", None, "--", "x" * 300) for lang in ("en", None) for source in ("a", "b", None)]
+    docs = spark.createDataFrame([(i, *r, 1, "t", 0) for i, r in enumerate(rows)], SCHEMA)
+    got = {(r["lang"], r["term"]): sorted(map(tuple, r["uses"])) for r in divergence.term_counts(docs.coalesce(1)).collect()}
+    each = lambda n, d: [(source, n, d) for source in ("", "a", "b")]
+    want = {"": each(0, 0), "one": each(1, 1), "two": each(3, 2), "é": each(1, 1), "x" * 300: each(1, 1)}
+    assert got == {(lang, term): uses for lang in ("", "en") for term, uses in want.items()}
+    assert divergence.term_counts(docs.coalesce(1)).count() == len(got)
+
+
+@pytest.mark.parametrize(("size", "entries"), [(40, 8), (1 << 20, 8), (40, 1 << 20)])
+def test_counts_in_parts_and_slices(monkeypatch, size, entries):
+    monkeypatch.setattr(divergence, "SLICE", size)
+    monkeypatch.setattr(divergence, "ENTRIES", entries)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["aa", "Bé", "c", "dd7ee", "ÜÜ"], n)) for n in (1, 3, 60, 9, 2, 40)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["x", "y"] * 3, "source": ["s", "s", "t"] * 2})
+    docs = SimpleNamespace(select=lambda *_: docs, mapInArrow=lambda run, _: run)
+    got = Counter()
+    for out in divergence.term_counts(docs)(iter([batch.slice(0, 4), batch.slice(4)])):
+        for r in out.to_pylist():
+            for u in r["uses"]:
+                got[r["lang"], u["source"], r["term"]] += 1000 * u["n"] + u["docs"]
+    want = Counter()
+    for text, lang, source in zip(*batch.to_pydict().values()):
+        for term, n in Counter(re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))).items():
+            want[lang, source, term] += 1000 * n + 1
+    assert got == want  # the empty term's zeros compare as absent
+
+
 def test_rates_are_exact_for_large_counts(spark):
     rows = [(0, 1), (5, 7), (8 * 10**15, 8 * 10**15 + 3), (123456789012345, 8999999999999999), (10**12, 10**12)]
     got = spark.createDataFrame(rows, "c long, d long").select(divergence.rate(divergence.F.col("c"), divergence.F.col("d"))).collect()
