@@ -32,8 +32,8 @@ from .common import Scratch, chunks, whole_groups
 #: A term: letters of ASCII, lower-cased, and every byte of a longer character.
 TERM, _GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
-#: Entries that a task gathers before it adds them up, rows of a batch it hands on; bytes of text split at once.
-ENTRIES, ROWS, SLICE = 1 << 20, 1 << 13, 1 << 20
+#: Entries that a task gathers before it adds them up, entries of a batch it hands on; bytes of text split at once.
+ENTRIES, ROWS, SLICE = 1 << 20, 1 << 16, 1 << 20
 _LAST = 0xFFFFFFFF
 #: Terms, and entries of (place of the term, group, occurrences, documents).
 Part = tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -95,15 +95,14 @@ def _by_term(part: Part, names: list[tuple[str, str]]) -> Iterator[pa.RecordBatc
     langs = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in names}))}
     key = (ids << 32) + np.array([langs[lang] for lang, _ in names], np.int64)[group]
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    source = pa.array([source for _, source in names], pa.string()).take(pa.array(group[order]))
-    uses = pa.StructArray.from_arrays([source, pa.array(n[order]), pa.array(docs[order])], ["source", "n", "docs"])
-    uses = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), uses)
-    lang = pa.array(list(langs), pa.string()).take(pa.array(key[first] & _LAST))
-    rows = pa.RecordBatch.from_arrays([lang, terms.take(pa.array(key[first] >> 32)).cast(pa.string()), uses], ["lang", "term", "uses"])
-    for lo in range(0, len(rows), ROWS):
-        yield rows.slice(lo, ROWS)
+    lang_names, source_names = pa.array(list(langs), pa.string()), pa.array([source for _, source in names], pa.string())
+    for lo in range(0, len(order), ROWS):  # a term with more groups goes on in the next batch
+        at = order[lo : lo + ROWS]
+        mine = key[at]
+        first = np.flatnonzero(np.diff(mine, prepend=-1))
+        uses = pa.StructArray.from_arrays([source_names.take(pa.array(group[at])), pa.array(n[at]), pa.array(docs[at])], ["source", "n", "docs"])
+        uses = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), uses)
+        yield pa.RecordBatch.from_arrays([lang_names.take(pa.array(mine[first] & _LAST)), terms.take(pa.array(mine[first] >> 32)).cast(pa.string()), uses], ["lang", "term", "uses"])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

@@ -91,12 +91,14 @@ def test_a_task_gives_each_term_once(spark):
 def test_counts_in_parts_and_slices(monkeypatch, size, entries):
     monkeypatch.setattr(divergence, "SLICE", size)
     monkeypatch.setattr(divergence, "ENTRIES", entries)
+    monkeypatch.setattr(divergence, "ROWS", 2)
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(["aa", "Bé", "c", "dd7ee", "ÜÜ"], n)) for n in (1, 3, 60, 9, 2, 40)]
     batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["x", "y"] * 3, "source": ["s", "s", "t"] * 2})
     docs = SimpleNamespace(select=lambda *_: docs, mapInArrow=lambda run, _: run)
     got = Counter()
     for out in divergence.term_counts(docs)(iter([batch.slice(0, 4), batch.slice(4)])):
+        assert len(out.column("uses").flatten()) <= 2
         for r in out.to_pylist():
             for u in r["uses"]:
                 got[r["lang"], u["source"], r["term"]] += 1000 * u["n"] + u["docs"]
