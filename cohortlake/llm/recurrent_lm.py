@@ -187,34 +187,31 @@ class Recurrence:
 
     def forward(self, source: np.ndarray, start: np.ndarray, h: np.ndarray, weights: tuple[np.ndarray, ...]) -> np.ndarray:
         """States after each step (step, unit, lane) from the one carried in (unit, lane).
-        Leaves the inputs, the states before, the gates and the candidates in ``work``.
+        Leaves the inputs, the gates, the candidates and what these take of the state in ``work``.
         source: input id by step and lane; start: where a text begins; weights: ``gated``."""
         (steps, width), k = source.shape, HIDDEN
         wx, uh, un, b = weights
         x = np.take(self.net.p["embed"], source.ravel(), axis=0, out=self.take("x", steps * width, k), mode="clip")
         gates = np.matmul(wx, x.reshape(steps, width, k).transpose(0, 2, 1), out=self.take("gates", steps, 3 * k, width))
         gates += b
-        before, rh, after = (self.take(n, steps, k, width) for n in ("before", "rh", "after"))
-        two, one = self.take("two", 2 * k, width), self.take("one", k, width)
-        begins = start.any(1).tolist()
-        for t in range(steps):
-            old, r, new = before[t], rh[t], after[t]
+        rh, after = (self.take(n, steps, k, width) for n in ("rh", "after"))
+        two, one, unit = self.take("two", 2 * k, width), self.take("one", k, width), np.ones((), gates.dtype)
+        begins, old = start.any(1).tolist(), h
+        # few and cheap calls: beside a long text most steps have few lanes
+        for t, (g, z, r, n, x_r, new) in enumerate(zip(gates[:, : 2 * k], gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :], rh, after)):
             if begins[t]:
-                np.multiply(h, ~start[t], out=old)
-            else:
-                old[:] = h
-            g, n = gates[t, : 2 * k], gates[t, 2 * k :]
-            g += np.matmul(uh, old, out=two)
+                old = old * ~start[t]
+            np.add(g, np.dot(uh, old, out=two), out=g)
             np.exp(g, out=g)
-            g += 1
+            np.add(g, unit, out=g)
             np.reciprocal(g, out=g)
-            np.multiply(g[k:], old, out=r)
-            n += np.matmul(un, r, out=one)
+            np.multiply(r, old, out=x_r)
+            np.add(n, np.dot(un, x_r, out=one), out=n)
             np.tanh(n, out=n)
             np.subtract(n, old, out=new)
-            new *= g[:k]
-            new += old
-            h = new
+            np.multiply(new, z, out=new)
+            np.add(new, old, out=new)
+            old = new
         return after
 
 
@@ -294,7 +291,10 @@ class Learner(Recurrence):
         size = steps * width
         source = np.where(start, START, ids[np.maximum(at - 1, 0)])
         after = self.forward(source, start, h.T, self.net.gated())
-        x, before, gates, rh = self.take("x", steps, width, k), self.take("before", steps, k, width), self.take("gates", steps, 3 * k, width), self.take("rh", steps, k, width)
+        x, gates, rh = self.take("x", steps, width, k), self.take("gates", steps, 3 * k, width), self.take("rh", steps, k, width)
+        before = self.take("before", steps, k, width)
+        before[0], before[1:] = h.T, after[:-1]
+        before *= ~start[:, None]
 
         flat = at.ravel()
         live = np.flatnonzero(flat >= 0)
